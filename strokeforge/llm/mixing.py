@@ -157,6 +157,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of all documents as whole rows; some repeat, some of a source that weighs little are left."""
+    return mix_rows(docs)
+
+
 #: Independent of blocks and slots: what each source's stream, cut at its target, holds of each document.
 SQL = """
 WITH d AS (

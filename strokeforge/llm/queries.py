@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, token_counts
+from . import langid, line_dedup, mixing, pieces, simhash, token_counts, topk
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op3_language_id": langid.op3_language_id,
+        "op4_topk": topk.op4_topk,
+        "op6_sentencepiece": pieces.op6_sentencepiece,
         "op8_simhash": simhash.op8_simhash,
         "op9_token_counts": token_counts.op9_token_counts,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL}
+    return {"op2_mixing": mixing.SQL, "op4_topk": topk.SQL, "op10_line_dedup": line_dedup.SQL}

@@ -167,3 +167,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component, the one of the least doc_id; of rows that repeat it, one.
+
+    A component is named by its least doc_id, so only rows with that id stay; a row without a
+    doc_id belongs to no component and stays.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"))
+    best = materialize(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "simhash-kept")
+    kept = docs.filter(F.col("doc_id").isNotNull()).join(best.hint("shuffle_hash"), "doc_id", "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
