@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, mixing, pieces, simhash, token_counts, topk
+from . import fingerprint, langid, line_dedup, mixing, pieces, simhash, token_counts, topk
 
 
 def queries() -> dict:
     return {
+        "op1_fingerprint": fingerprint.op1_fingerprint,
         "op2_mixing": mixing.op2_mixing,
         "op3_language_id": langid.op3_language_id,
         "op4_topk": topk.op4_topk,
