@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, line_dedup, mixing, pieces, simhash, token_counts, topk
+from . import fingerprint, langid, line_dedup, mixing, pieces, pii, simhash, token_counts, topk
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_mixing": mixing.op2_mixing,
         "op3_language_id": langid.op3_language_id,
         "op4_topk": topk.op4_topk,
+        "op5_pii": pii.op5_pii,
         "op6_sentencepiece": pieces.op6_sentencepiece,
         "op8_simhash": simhash.op8_simhash,
         "op9_token_counts": token_counts.op9_token_counts,
