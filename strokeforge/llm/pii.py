@@ -161,5 +161,5 @@ def restore(docs: DataFrame, key: str = KEY) -> DataFrame:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the pseudonymised text, and how many values of each kind were replaced, of every document."""
     out = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
-    counts = [F.coalesce(F.size(F.filter("_found", lambda x, k=k: x["kind"] == k)), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.expr(f"coalesce(size(filter(_found, x -> x.kind = '{k}')), 0)").cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", "text", *counts, F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("n_replaced"))

@@ -91,3 +91,11 @@ def test_numbers_are_permuted(spark):
 @pytest.mark.parametrize("texts", [[]])
 def test_empty(spark, texts):
     assert run(spark, texts) == {}
+
+
+def test_query(spark):
+    rows = pii.op5_pii(spark, "/root/testdata/sf0.001").collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r.n_replaced == sum(r[f"n_{k}"] for k in pii.KINDS) and (r.n_replaced > 0) == (r.text != docs[r.doc_id])
