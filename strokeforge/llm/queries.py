@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, line_dedup, mixing, pieces, pii, simhash, token_counts, topk
+from . import fingerprint, langid, line_dedup, mixing, pieces, pii, simhash, suffix_dedup, token_counts, topk
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_topk": topk.op4_topk,
         "op5_pii": pii.op5_pii,
         "op6_sentencepiece": pieces.op6_sentencepiece,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_simhash": simhash.op8_simhash,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_line_dedup": line_dedup.op10_line_dedup,
