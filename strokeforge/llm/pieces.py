@@ -12,8 +12,8 @@ than its two pieces to happen). These weights are computed as compositions ask f
 
 An input is composed with N, L and B lazily and its shortest path is found position by
 position. Where no piece holds a boundary inside, paths join, so an input splits there into
-segments whose paths are independent; the paths of segments met before are remembered, up to
-MEMORY of them in a worker. Decoding runs the transducers backwards.
+segments whose paths are independent; the paths of segments met before are remembered, a bounded
+number of them in a worker. Decoding runs the transducers backwards.
 
 Defined results: a null text is encoded as empty, an empty text as no pieces; rows that repeat
 are each returned; an empty table gives an empty result; other columns are ignored.
@@ -34,7 +34,7 @@ from .common import documents
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-MEMORY = 400_000
+MEMORY, RECENT = 500_000, 200_000
 #: What a unigram model's path pays for a character that is no piece.
 UNKNOWN_COST = 1e6
 #: Bytes of text in a batch of results.
@@ -47,6 +47,30 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+class Paths(dict):
+    """Segment -> its path's ids. The first MEMORY segments stay; later ones are forgotten together, RECENT at a time."""
+
+    def __init__(self, transducer: Transducer):
+        super().__init__()
+        self.transducer, self.recent = transducer, {}
+
+    def __missing__(self, segment: str) -> bytes:
+        path = self.recent.get(segment)
+        if path is None:
+            t = self.transducer
+            if segment[-2:] in t.ends:
+                path = self[segment[:-1]] + self[segment[-1]]
+            else:
+                path = np.array(t.shortest(segment.replace(" ", SPACE)), "<i4").tobytes()
+            if len(self) < MEMORY:
+                self[segment] = path
+            else:
+                if len(self.recent) >= RECENT:
+                    self.recent.clear()
+                self.recent[segment] = path
+        return path
+
+
 class Transducer:
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int] | None, unknown: int, bpe: bool, prefix: bool = True):
         """pieces: text -> (id, score). byte_ids: the ids of the 256 byte pieces, if the model has them."""
@@ -67,23 +91,11 @@ class Transducer:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces):
             self.segment = re.compile(r"(?s).+")
         else:
-            # A mark that ends a word starts a segment where no piece has it after the word's last letter.
-            pairs = {x for p in pieces for x in zip(p, p[1:], strict=False)}
-            words = ""
-            for q in ".,;:!?":
-                free = "".join(chr(c) for c in range(97, 123) if (chr(c), q) not in pairs)
-                if q not in alone and free:
-                    words += rf" *[^ {alone}.,;:!?]*[{free}](?={re.escape(q)}(?:[ {alone}]|\Z))|"
-            self.segment = re.compile(rf"{words} *[^ {alone}]+| +" + (f"|[{alone}]" if alone else ""))
-
-        class Paths(dict):
-            def __missing__(paths, segment):  # noqa: N805
-                if len(paths) >= MEMORY:
-                    paths.clear()
-                path = paths[segment] = np.array(self.shortest(segment.replace(" ", SPACE)), "<i4").tobytes()
-                return path
-
-        self.paths = Paths()
+            self.segment = re.compile(rf" *[^ {alone}]+| +" + (f"|[{alone}]" if alone else ""))
+        # A mark that ends a segment is a segment of its own where no piece has it after the letter before.
+        pairs = {x for p in pieces for x in zip(p, p[1:], strict=False)}
+        self.ends = {chr(c) + q for q in ".,;:!?" for c in range(97, 123) if (chr(c), q) not in pairs}
+        self.paths = Paths(self)
 
     @classmethod
     def load(cls, path: str) -> Transducer:
