@@ -351,14 +351,16 @@ def g11(spark, d):
     return s.select("s_suppkey", F.round("m.a", 9).alias("scale"), F.round("m.e", 6).alias("e"))
 
 
-@query("g13_arc_flatten", "SELECT s_suppkey, [1, 2, 2, 1][s_suppkey % 4 + 1]::INT AS n, round(CASE WHEN s_suppkey % 4 IN (1, 2) THEN 100 WHEN s_suppkey % 4 = 0 THEN 100 + (10 + s_suppkey % 50) ELSE 100 + (10 + s_suppkey % 50) END, 6)::DOUBLE AS ex, 'ok' AS on_circle FROM supplier")
+@query("g13_arc_flatten", "SELECT s_suppkey, [1, 1, 4, 1][s_suppkey % 4 + 1]::INT AS n, round(100 + (10 + s_suppkey % 50) * CASE WHEN s_suppkey % 4 IN (1, 2) THEN 0.8660254037844386::DOUBLE ELSE 1 END, 6) AS ex, 'ok' AS on_circle FROM supplier")
 def g13(spark, d):
-    # Quarter (0) and half turns (1, 2) of a circle about (100, 100), and an arc of no radius (3).
+    # About (100, 100): a quarter turn (0), 60 degrees (1), 300 the other way (2); and an arc of no radius (3).
     r = "(10 + s_suppkey % 50)"
-    text = f"CASE s_suppkey % 4 WHEN 0 THEN concat('M100 ', 100 - {r}, 'A', {r}, ' ', {r}, ' 0 01', 100 + {r}, ' 100') WHEN 3 THEN concat('M100 100A0 5 0 0 1 ', 100 + {r}, ' 100') ELSE concat('M100 ', 100 - {r}, 'a', {r}, ',', {r}, ' 30 1,', s_suppkey % 2, ' 0 ', 2 * {r}) END"
+    end = f"concat({r} * 0.8660254037844386D, ' ', {r} / 2D)"
+    text = f"CASE s_suppkey % 4 WHEN 0 THEN concat('M100 ', 100 - {r}, 'A', {r}, ' ', {r}, ' 0 01', 100 + {r}, ' 100') WHEN 3 THEN concat('M100 100A0 5 0 0 1 ', 100 + {r}, ' 100') ELSE concat('M100 ', 100 - {r}, 'a', {r}, ',', {r}, ' 30 ', s_suppkey % 4 - 1, ',', 2 - s_suppkey % 4, {end}) END"
     rows = fx.table(spark, d, "supplier").withColumn("c", F.expr(path.without_arcs(path.parsed(text))))
-    off = f"exists(slice(c, 2, size(c) - 1), k -> abs(sqrt(power(k.ex - 100, 2) + power(k.ey - 100, 2)) - {r}) > 1e-6 OR (k.c = 'C' AND abs(sqrt(power(k.p[0] - 100, 2) + power(k.p[1] - 100, 2)) - {r}) > 0.2 * {r}))"
-    return rows.select("s_suppkey", (F.size("c") - 1).alias("n"), F.round(F.expr("c[size(c) - 1].ex"), 6).alias("ex"), F.expr(f"IF({off}, 'off', 'ok')").alias("on_circle"))
+    near = lambda x, y, most: f"abs(sqrt(power({x} - 100, 2) + power({y} - 100, 2)) - {r}) <= {most}"
+    on = f"s_suppkey % 4 = 3 OR forall(slice(c, 2, size(c) - 1), k -> {near('k.ex', 'k.ey', '1e-6')} AND {near('k.p[0]', 'k.p[1]', f'0.2 * {r}')})"
+    return rows.select("s_suppkey", (F.size("c") - 1).alias("n"), F.round(F.expr("c[size(c) - 1].ex"), 6).alias("ex"), F.expr(f"IF({on}, 'ok', 'off')").alias("on_circle"))
 
 
 @query("g15_path_text", f"WITH {LINES} SELECT doc_id, string_agg(CASE WHEN n = 1 THEN 'M ' ELSE 'L ' END || x::INT || ' ' || (floor(y))::INT, ' ' ORDER BY n) AS d FROM l GROUP BY doc_id")
