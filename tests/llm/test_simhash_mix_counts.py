@@ -158,3 +158,21 @@ def test_token_counts_and_cache(spark, tmp_path, name):
     assert got == want
     assert spark.read.parquet(cache).count() == len(set(texts))  # misses only
     assert token_counts.token_counts(docs.limit(0), cache, path(name)).count() == 0
+
+
+def test_word_counter_equals_the_library(monkeypatch):
+    from public_tokenizers import path
+
+    name = path("word_bpe_49k.json")
+    assert token_counts.WordCounter.suits(name) and not token_counts.WordCounter.suits(path("byte_bpe_50k.json"))
+    count = token_counts.counter(name)
+    monkeypatch.setattr(token_counts.WordCounter, "KEPT", 50)
+    monkeypatch.setattr(token_counts.WordCounter, "RECENT", 40)
+    r = random.Random(8)
+    near = [chr(c) for c in range(1, 0x260)]
+    texts = ["".join(r.choice(near) for _ in range(60)) for _ in range(300)]
+    texts += ["".join(r.choice("abc'stredmlv 012²½\n\x85\xa0\x1c\x1fÉßµªº_-.,!") for _ in range(80)) for _ in range(300)]
+    texts += ["".join(r.choice("aΣσςİIıé e\u0301日本語😀 \u2028") for _ in range(30)) for _ in range(100)]
+    texts += ["", " ", "<|endoftext|>", "x<|startoftext|>y <| z", "It's we'll I'D they'RE", "a" * 5000]
+    texts += [x.text for x in __import__("pyarrow.parquet", fromlist=["x"]).read_table("/root/testdata/sf0.001/documents.parquet").to_pandas().itertuples()]
+    assert count(texts) == library_counts(texts, "word_bpe_49k.json")
