@@ -1,7 +1,9 @@
 """Small helpers that write Spark SQL expressions as text.
 
 Row-local logic is built as SQL text because lambdas nest by name there; everything stays in
-the JVM and needs no shuffle.
+the JVM and needs no shuffle. Lambda variables are named in one to four letters, so arguments
+that are columns should have longer names, or be a lambda variable of the caller's that the
+function does not bind itself.
 """
 
 from __future__ import annotations

@@ -47,7 +47,7 @@ def d_trim(v: str, places: int = 1) -> str:
 
 
 EVENTS = "p AS (SELECT event_id, value AS x, ((event_id * 37) % 300 + 0.25)::DOUBLE AS y FROM events)"
-LINES = "l AS (SELECT l_orderkey AS doc_id, l_quantity * 6 AS x, l_extendedprice / 350 AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem)"
+LINES = "l AS (SELECT l_orderkey AS doc_id, l_quantity * 6 AS x, l_extendedprice / 350 AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem)"
 CUBICS = (
     "e AS (SELECT vec_id, unnest(range(10)) AS i, list_transform(embedding, lambda v: (v::DOUBLE + 0.6::DOUBLE) * 250) AS m FROM embeddings), "
     "s AS (SELECT vec_id, i, m[6*i+1] AS x0, m[6*i+2] AS y0, m[6*i+3] AS x1, m[6*i+4] AS y1, m[6*i+5] AS x2, m[6*i+6] AS y2, m[6*i+7] AS x3, m[6*i+8] AS y3 FROM e)"
