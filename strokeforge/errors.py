@@ -2,7 +2,7 @@
 
 # Code -> HTTP status.
 STATUS = {
-    "GEOMTOK_ERROR": 400, "PARSE_ERROR": 400, "PARSE_UNSUPPORTED_ELEMENT": 400, "PAYLOAD_TOO_LARGE": 413,
+    "ENGINE_ERROR": 400, "PARSE_ERROR": 400, "PARSE_UNSUPPORTED_ELEMENT": 400, "PAYLOAD_TOO_LARGE": 413,
     "VOCAB_MISMATCH": 400, "VERSION_REQUIRED": 400, "INVALID_REQUEST": 400, "JOB_NOT_FOUND": 404,
 }
 

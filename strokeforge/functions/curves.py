@@ -110,3 +110,19 @@ def analysed(cmds: str, th: Thresholds = Thresholds()) -> str:
     pair = f"struct<k:{kind},g:{SEGMENT}>"
     step = f"named_struct('last', CASE WHEN u.k.c = 'M' THEN cast(NULL AS {pair}) WHEN u.g IS NULL THEN s.last ELSE u END, 'out', concat(s.out, array(named_struct('k', u.k, 'g', u.g, 'level', {level}))))"
     return f"aggregate({both}, named_struct('last', cast(NULL AS {pair}), 'out', cast(array() AS {out})), (s, u) -> {step}, s -> s.out)"
+
+
+def profile(samples: int = 20) -> str:
+    """Signed curvatures at evenly spaced places of the cubic x0..y3."""
+    return f"transform(sequence(0, {samples - 1}), i -> {curvature(f'(i / {samples - 1}D)')})"
+
+
+def same_direction(ax: str, ay: str, bx: str, by: str, limit: float = Thresholds.g1) -> str:
+    """Whether two tangents differ by less than limit; tangents of no length go with any."""
+    n = lambda x, y: f"sqrt({x} * {x} + {y} * {y})"
+    turn = f"acos(greatest(-1D, least(1D, ({ax} * {bx} + {ay} * {by}) / ({n(ax, ay)} * {n(bx, by)}))))"
+    return f"IF({n(ax, ay)} < 1e-12 OR {n(bx, by)} < 1e-12, true, {turn} < {limit!r}D)"
+
+
+def same_curvature(a: str, b: str, limit: float = Thresholds.g2) -> str:
+    return f"(abs({a} - {b}) < {limit!r}D)"

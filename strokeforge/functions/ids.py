@@ -8,7 +8,9 @@ from __future__ import annotations
 
 CANVAS, LEVEL, BASE = 300.0, 6, 100
 VOCAB = BASE + (4 ** (LEVEL + 1) - 1) // 3
-TOKENIZER_VERSION, VOCAB_ID = "geomtok-1.0.0", "geom-5561-v1"
+#: The version of the encoding is the number after the last dash; who wrote a stream doesn't matter.
+FORMAT = "1.0.0"
+TOKENIZER_VERSION, VOCAB_ID = f"strokeforge-{FORMAT}", "geom-5561-v1"
 EDGE = 1e-6  # a clamped coordinate lies this far inside the canvas
 SCALARS = 4 ** LEVEL
 
@@ -132,3 +134,13 @@ def kind(t: str) -> str:
 def embedding_class(t: str) -> str:
     """The seven classes of ids that a model's type embedding tells apart."""
     return f"CASE WHEN {t} < 10 THEN 0 WHEN {t} < 20 THEN 1 WHEN {t} < 30 THEN 2 WHEN {t} >= 30 AND {t} < 34 THEN 3 WHEN {t} >= 40 AND {t} < 56 THEN 4 WHEN {t} >= 60 AND {t} < 80 THEN 5 ELSE 6 END"
+
+
+def coord_id_at(x: str, y: str, level: str, canvas: float = CANVAS) -> str:
+    """The coordinate id on a level that is itself an expression."""
+    return "CASE " + level + " " + " ".join(f"WHEN {k} THEN {coord_id(x, y, k, canvas)}" for k in range(LEVEL + 1)) + " END"
+
+
+def cell_number(t: str) -> str:
+    """The number of a coordinate id among all coordinates: levels one after another, without the base."""
+    return f"IF({is_coord(t)}, {t} - {BASE}, NULL)"

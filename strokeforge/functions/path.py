@@ -243,3 +243,8 @@ def bbox(cmds: str) -> str:
     """Of start and end points only, as named_struct(x0, y0, x1, y1)."""
     side = lambda f, a, b: f"{f}(transform({cmds}, k -> {'least' if f == 'array_min' else 'greatest'}(k.{a}, k.{b})))"
     return f"named_struct('x0', {side('array_min', 'sx', 'ex')}, 'y0', {side('array_min', 'sy', 'ey')}, 'x1', {side('array_max', 'sx', 'ex')}, 'y1', {side('array_max', 'sy', 'ey')})"
+
+
+def is_drawable(d: str) -> str:
+    """Whether a path text begins with a move and draws something."""
+    return f"(coalesce(trim({d}) RLIKE '^[Mm]', false) AND exists({chunked(lexed(d))}, k -> upper(k.c) NOT IN ('M', 'Z')))"

@@ -46,3 +46,21 @@ def symbols(tokens: str, merge_base: int = ids.VOCAB) -> str:
 def bad_id(tokens: str, upper: int = ids.VOCAB) -> str:
     """The first id out of range, or null."""
     return f"get(filter({tokens}, t -> t < 0 OR t >= {upper}), 0)"
+
+
+def class_ratio(n_tokens: str, n_commands: str, text_length: str = "0") -> str:
+    """Tokens per source character, a command counting as 20 where there is no source."""
+    return f"({n_tokens} / cast(greatest(IF({text_length} > 0, {text_length}, {n_commands} * 20), 1) AS DOUBLE))"
+
+
+def baseline_count(bodies: str) -> str:
+    """How many tokens element bodies take one after another: brackets, separators and all."""
+    return f"(2 + aggregate({bodies}, 0, (n, b) -> n + size(b)) + greatest(size({bodies}) - 1, 0))"
+
+
+def adaptive(cmds: str, nodes: str) -> str:
+    """The lean body with each point on the level of its leaf in an adaptive grid."""
+    from ..operators.quadtree import leaf_level
+
+    at = f"transform({path.points()}, q -> {ids.coord_id_at('q.x', 'q.y', leaf_level('q.x', 'q.y', nodes))})"
+    return f"flatten(transform({cmds}, k -> concat(array({letter_id()}), {at})))"

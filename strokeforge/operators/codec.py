@@ -79,7 +79,7 @@ def pinned(version: str = "tokenizer_version", vocab: str = "vocab_id", tokens_:
     err = lambda code, message: f"named_struct('code', '{code}', 'message', {message})"
     return (
         f"CASE WHEN {version} IS NULL THEN {err('VERSION_REQUIRED', chr(39) + 'tokenizer_version is required for detokenize' + chr(39))} "
-        f"WHEN {version} <> '{ids.TOKENIZER_VERSION}' THEN {err('VOCAB_MISMATCH', f'concat({chr(39)}tokenizer_version {chr(39)}, {version}, {chr(39)} != {ids.TOKENIZER_VERSION}{chr(39)})')} "
+        f"WHEN substring_index({version}, '-', -1) <> '{ids.FORMAT}' THEN {err('VOCAB_MISMATCH', f'concat({chr(39)}tokenizer_version {chr(39)}, {version}, {chr(39)} != {ids.TOKENIZER_VERSION}{chr(39)})')} "
         f"WHEN {vocab} IS NOT NULL AND {vocab} <> '{ids.VOCAB_ID}' THEN {err('VOCAB_MISMATCH', f'concat({chr(39)}vocab_id {chr(39)}, {vocab}, {chr(39)} != {ids.VOCAB_ID}{chr(39)})')} "
         f"WHEN {bad} IS NOT NULL THEN {err('VOCAB_MISMATCH', f'concat({chr(39)}token id {chr(39)}, {bad}, {chr(39)} out of range [0,{upper}){chr(39)})')} END"
     )

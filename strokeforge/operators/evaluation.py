@@ -208,3 +208,29 @@ def gates(docs: DataFrame) -> DataFrame:
         F.round(F.avg(F.expr("aggregate(errs, 0D, (a, v) -> a + v) / size(errs)")), 4).alias("coord_err_mean"), F.round(F.max(F.expr("array_max(errs)")), 4).alias("coord_err_max"),
         F.round(F.expr("percentile(array_max(errs), 0.99)"), 4).alias("coord_err_p99"),
     )
+
+
+def value_summary(scores: DataFrame) -> DataFrame:
+    """One row from value_fidelity."""
+    return scores.agg(
+        F.count("*").alias("scenes"), F.round(F.max("attr_max_err"), 6).alias("attr_max_err"), F.round(F.avg("attr_mean_err"), 6).alias("attr_mean_err"), F.round(F.avg(F.col("count_match").cast("double")), 6).alias("count_acc")
+    )
+
+
+def external_eval(docs: DataFrame, encode, decode) -> DataFrame:
+    """Scores of another tokenizer: encode(svg) -> ids and decode(ids) -> svg run in an Arrow map; documents that fail are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("svg").to_pylist(), strict=True):
+                try:
+                    t = list(encode(text))
+                    rows.append((doc, text, t, decode(t)))
+                except Exception:  # the other side's failure is its own
+                    continue
+            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.string())], names=["doc_id", "truth", "token_ids", "svg"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "svg").filter("svg IS NOT NULL")
+    return scene_scores(rows.mapInArrow(run, "doc_id long, truth string, token_ids array<int>, svg string"))

@@ -44,3 +44,14 @@ def vocabulary(spark: SparkSession) -> DataFrame:
 
 def summary(spark: SparkSession) -> DataFrame:
     return vocabulary(spark).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def lookup(manifests: DataFrame, wanted: DataFrame) -> DataFrame:
+    """vocab_id of wanted with manifest, content_hash and error, from a table (vocab_id, manifest JSON)."""
+    out = wanted.select("vocab_id").join(manifests, "vocab_id", "left")
+    missing = F.struct(F.lit("INVALID_REQUEST").alias("code"), F.concat(F.lit("unknown vocab_id "), F.col("vocab_id")).alias("message"))
+    return out.withColumn("error", F.when(F.col("manifest").isNull(), missing))
+
+
+def stored(spark: SparkSession, manifests: list[dict]) -> DataFrame:
+    return spark.createDataFrame([(m["vocab_id"], to_json(m, None), content_hash(m)) for m in manifests], "vocab_id string, manifest string, content_hash string")

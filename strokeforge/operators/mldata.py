@@ -53,9 +53,10 @@ def cosine(a: str, b: str) -> str:
     return f"({dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})))"
 
 
-def parameters(vocab: int, d: int, layers: int, ffn: int) -> int:
-    """Weights of a decoder with a tied head: embeddings, attention, feed-forward and norms."""
-    return vocab * d + layers * (4 * (d * d + d) + 2 * d * ffn + ffn + d + 4 * d) + 2 * d
+def parameters(vocab: int, d_model: int, d_type: int, d_coord: int, d_ff: int, layers: int) -> int:
+    """Estimated weights: embeddings of tokens, types and coordinates, their projection, layers, head."""
+    embedding = vocab * d_model + 7 * d_type + 6 * d_coord + 6 + (d_model + d_type + d_coord) * d_model
+    return embedding + layers * (4 * d_model**2 + 2 * d_model * d_ff + 2 * d_model) + vocab * d_model
 
 
 def nucleus(probabilities: DataFrame, group: str, token: str, p: str, top_k: int, top_p: float) -> DataFrame:

@@ -338,7 +338,7 @@ def g4(spark, d):
 _OFF = "CASE WHEN (cx + tx) IS NULL THEN 0 ELSE 0 END"
 
 
-@query("g9_transform", f"WITH {PART} SELECT k::BIGINT AS doc_id, round(2 * cos(radians(tx * 30)), 6) AS a, round(2 * sin(radians(tx * 30)), 6) AS b, round(-(1 + ty) * sin(radians(tx * 30)), 6) AS c, round((1 + ty) * cos(radians(tx * 30)), 6) AS d, (x + 5)::DOUBLE AS e, (y + 7)::DOUBLE AS f FROM p")
+@query("g9_transform", f"WITH {PART} SELECT k::BIGINT AS doc_id, round(2 * cos(radians(tx * 30)), 6) AS a, round(2 * sin(radians(tx * 30)), 6) AS b, round(-(1 + ty) * sin(radians(tx * 30)), 6) + 0.0 AS c, round((1 + ty) * cos(radians(tx * 30)), 6) AS d, (x + 5)::DOUBLE AS e, (y + 7)::DOUBLE AS f FROM p")
 def g9(spark, d):
     p = fx.table(spark, d, "part").selectExpr(*[f"cast({v} AS INT) AS {n}" for n, v in fx.PART.items()])
     rows = p.withColumn("m", F.expr(path.transform_matrix("array(concat('translate(', x, ',', y, ')'), concat('matrix(1 0 0 1 5 7) rotate(', tx * 30, ') scale(2, ', 1 + ty, ')'))")))
@@ -684,7 +684,7 @@ def v3(spark, d):
     return service.process(batch_items(spark, d)).select("id", "ok", F.col("error.code").alias("code"), F.expr(TEXT).alias("t"))
 
 
-@query("v3_batch_counts", f"SELECT count_if(ok) AS n_ok, count_if(NOT ok) AS n_failed FROM ({_RESULT})")
+@query("v3_batch_counts", f"SELECT count_if(ok)::BIGINT AS n_ok, count_if(NOT ok)::BIGINT AS n_failed FROM ({_RESULT})")
 def v3c(spark, d):
     return service.counts(service.process(batch_items(spark, d)))
 
@@ -718,7 +718,7 @@ def m6(spark, d):
     return spark.range(128).select(F.col("id").cast("int").alias("pos"), F.posexplode(F.expr(mldata.positions("id", 16))).alias("i", "v")).select("pos", "i", F.round("v", 6).alias("v"))
 
 
-@query("m7_spatial_encoding", "WITH p AS (SELECT event_id, value / 500 AS x, (event_id % 100) / 100.0::DOUBLE AS y FROM events), r AS (SELECT event_id, i, CASE WHEN i % 2 = 0 THEN sin(x * 2 * pi() * pow(2, (i // 2) * 6.0 / 4)) ELSE cos(y * 2 * pi() * pow(2, (i // 2) * 6.0 / 4)) END AS v FROM p, range(8) b(i)) SELECT event_id, i::INT AS i, round(v / sqrt(sum(v * v) OVER (PARTITION BY event_id)), 5) AS v FROM r")
+@query("m7_spatial_encoding", "WITH p AS (SELECT event_id, value / 500 AS x, (event_id % 100) / 100.0::DOUBLE AS y FROM events), r AS (SELECT event_id, i, CASE WHEN i % 2 = 0 THEN sin(x * 2 * pi() * pow(2, (i // 2) * 6.0 / 4)) ELSE cos(y * 2 * pi() * pow(2, (i // 2) * 6.0 / 4)) END AS v FROM p, range(8) b(i)) SELECT event_id, i::INT AS i, round(v / sqrt(sum(v * v) OVER (PARTITION BY event_id)), 5) + 0.0 AS v FROM r")
 def m7(spark, d):
     rows = fx.table(spark, d, "events").select("event_id", F.posexplode(F.expr(mldata.spatial("(value / 500)", "((event_id % 100) / 100D)", 8))).alias("i", "v"))
     return rows.select("event_id", "i", F.round("v", 5).alias("v"))
@@ -752,6 +752,51 @@ def s16(spark, d):
     return spark.createDataFrame([(manifest.content_hash(m), m["vocab_size"])], "hash string, vocab_size int")
 
 
+@query("c13_predicates", f"WITH {CUBICS}, v AS (SELECT vec_id, i, x1-x0 AS ax, y1-y0 AS ay, x3-x2 AS bx, y3-y2 AS bz FROM s) SELECT vec_id, i::INT AS i, CASE WHEN sqrt(ax*ax+ay*ay) < 1e-12 OR sqrt(bx*bx+bz*bz) < 1e-12 THEN true ELSE acos(greatest(-1, least(1, (ax*bx+ay*bz) / (sqrt(ax*ax+ay*ay) * sqrt(bx*bx+bz*bz))))) < 0.1 END AS g1, abs(ax - bx) < 0.05 AS g2 FROM v")
+def c13(spark, d):
+    rows = fx.cubics(spark, d).select("vec_id", F.posexplode(F.expr("filter(cmds, k -> k.c = 'C')")).alias("i", "k"))
+    rows = rows.selectExpr("vec_id", "i", "k.p[0] - k.sx AS ax", "k.p[1] - k.sy AS ay", "k.ex - k.p[2] AS bx", "k.ey - k.p[3] AS by")
+    return rows.select("vec_id", "i", F.expr(curves.same_direction("ax", "ay", "bx", "by")).alias("g1"), F.expr(curves.same_curvature("ax", "bx")).alias("g2"))
+
+
+@query("t5_adaptive_tokens", f"WITH {_LEAF} SELECT vec_id, sum(level)::BIGINT AS levels, count(*)::INT AS n FROM leaf GROUP BY vec_id")
+def t5(spark, d):
+    rows = segment_rows(spark, d).withColumn("c", F.col("kmax") * F.col("len"))
+    s = quadtree.splits(quadtree.complexity(rows, "vec_id"), "vec_id")
+    lines = fx.cubics(spark, d).join(s, "vec_id", "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<int>")))
+    start = "transform(filter(cmds, k -> k.c = 'C'), k -> named_struct('c', 'L', 'p', array(k.sx, k.sy), 'sx', k.sx, 'sy', k.sy, 'ex', k.sx, 'ey', k.sy))"
+    rows = lines.withColumn("starts", F.expr(start)).withColumn("token_ids", F.expr(tokens.adaptive("starts", "nodes")))
+    return rows.select("vec_id", F.expr(f"aggregate(filter(token_ids, t -> t >= 100), 0L, (a, t) -> a + {ids.level_of('t')})").alias("levels"), F.expr("size(filter(token_ids, t -> t >= 100))").alias("n"))
+
+
+@query("t13_baseline_count", "SELECT n_nationkey::BIGINT AS doc_id, (2 + 3 * (n_nationkey % 5 + 2) + (n_nationkey % 5 + 1))::INT AS n_tokens FROM nation")
+def t13(spark, d):
+    rows = codec.parsed(fx.layouts(spark, d)).withColumn("bodies", F.expr(f"transform(elements, e -> {shapes.composite('e')})"))
+    return rows.select("doc_id", F.expr(tokens.baseline_count("bodies")).alias("n_tokens"))
+
+
+@query("f16_drawable", "SELECT p_partkey, p_partkey % 5 IN (0, 1) AS drawable FROM part")
+def f16(spark, d):
+    text = "element_at(array('M1 1L2 2', ' m1,1 h5z', 'M1 1 Z', 'L2 2', 'M1 1 L2'), cast(p_partkey % 5 + 1 AS INT))"
+    return fx.table(spark, d, "part").withColumn("path_text", F.expr(text)).select("p_partkey", F.expr(path.is_drawable("path_text")).alias("drawable"))
+
+
+@query("e10_value_summary", f"WITH {PART} SELECT count(*) AS scenes, 0::DOUBLE AS attr_max_err, 0::DOUBLE AS attr_mean_err, 1::DOUBLE AS count_acc FROM p")
+def e10(spark, d):
+    return evaluation.value_summary(e9(spark, d))
+
+
+@query("q15_cell_number", f"WITH {VOCAB_SQL} SELECT t AS token_id, (CASE WHEN t >= 100 THEN t - 100 END)::INT AS number FROM u")
+def q15(spark, d):
+    return manifest.vocabulary(spark).select("token_id", F.expr(ids.cell_number("token_id")).alias("number"))
+
+
+@query("s11_vocab_lookup", "SELECT v.vocab_id, CASE WHEN v.vocab_id <> 'geom-5561-v1' THEN 'INVALID_REQUEST' END AS code FROM (VALUES ('geom-5561-v1'), ('other')) v(vocab_id)")
+def s11(spark, d):
+    wanted = spark.createDataFrame([("geom-5561-v1",), ("other",)], "vocab_id string")
+    return manifest.lookup(manifest.stored(spark, [manifest.build()]), wanted).select("vocab_id", F.col("error.code").alias("code"))
+
+
 @query("flagship_roundtrip", f"WITH {LINES} SELECT doc_id, (2 * count(*) + 2)::INT AS n_tokens, true AS valid, round(max({_LERR}), 6) AS max_error, {_D} AS d FROM l GROUP BY doc_id")
 def flagship(spark, d):
     """Encode every order's line, check the grammar, decode, measure."""

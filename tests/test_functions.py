@@ -163,7 +163,7 @@ def test_decoding(spark):
     assert 'd="H 11.7 V 11.7 A 11.7 11.7 0 0 1 288.3 288.3"' in got[7][0]
 
 
-@pytest.mark.parametrize("version,vocab,tokens_,code", [(None, None, [1, 2], "VERSION_REQUIRED"), ("x", None, [1, 2], "VOCAB_MISMATCH"), (ids.TOKENIZER_VERSION, "x", [1, 2], "VOCAB_MISMATCH"), (ids.TOKENIZER_VERSION, ids.VOCAB_ID, [1, 5561, 2], "VOCAB_MISMATCH"), (ids.TOKENIZER_VERSION, None, [1, 2], None)])
+@pytest.mark.parametrize("version,vocab,tokens_,code", [(None, None, [1, 2], "VERSION_REQUIRED"), ("x", None, [1, 2], "VOCAB_MISMATCH"), (ids.TOKENIZER_VERSION, "x", [1, 2], "VOCAB_MISMATCH"), (ids.TOKENIZER_VERSION, ids.VOCAB_ID, [1, 5561, 2], "VOCAB_MISMATCH"), (ids.TOKENIZER_VERSION, None, [1, 2], None), ("another-writer-1.0.0", None, [1, 2], None), ("strokeforge-2.0.0", None, [1, 2], "VOCAB_MISMATCH")])
 def test_pins(spark, version, vocab, tokens_, code):
     df = spark.createDataFrame([(version, vocab, tokens_)], "tokenizer_version string, vocab_id string, token_ids array<int>")
     err = codec.detokenize(df).first().error

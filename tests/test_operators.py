@@ -133,3 +133,26 @@ def test_training_data(spark):
     assert list(c[0].input_ids) == [1, 10, 1595] and list(c[0].target_ids) == [10, 1595, 2] and list(c[1].input_ids) == [1, 0, 0] and list(c[1].attention_mask) == [1, 0, 0]
     v = spark.range(1).select(F.expr(mldata.spatial("0.3D", "0.7D", 8)).alias("v")).first().v
     assert sum(x * x for x in v) == pytest.approx(1.0)
+
+
+def test_external_tokenizer(spark):
+    df = spark.createDataFrame([*enumerate(ICONS)], "doc_id int, svg string")
+
+    def encode(svg):
+        if 'r="2"' in svg:
+            raise ValueError("no")
+        return [1, 2]
+
+    rows = evaluation.external_eval(df, encode, lambda t: '<svg><path d="M0 0"/></svg>').collect()
+    assert len(rows) == len(ICONS) - 1 and all(r.attr_max_err == pytest.approx(300 * 2**0.5) and not r.count_match for r in rows)
+
+
+def test_corpus_of_files(spark, tmp_path):
+    for i, s in enumerate([*ICONS[:3], "<svg><rect"]):
+        (tmp_path / f"{i}.svg").write_text(s)
+    assert bpe.corpus_streams(spark, str(tmp_path)).count() == 3
+    assert [r.path[-5:] for r in bpe.corpus_streams(spark, str(tmp_path), 2).collect()] == ["0.svg", "1.svg"]
+
+
+def test_parameter_estimate():
+    assert mldata.parameters(10, 4, 2, 3, 8, 1) == 40 + 14 + 18 + 6 + 36 + (64 + 64 + 8) + 40
