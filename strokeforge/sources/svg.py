@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.sqlgen import lit
+from ..functions.sqlgen import let, lit
 
 #: Containers whose content is not drawn, and style attributes that are kept.
 UNDRAWN = {"defs", "clipPath", "mask", "symbol", "marker", "pattern", "filter", "style", "metadata", "title", "desc"}
@@ -132,9 +132,8 @@ def unsupported(svg: str) -> str:
 
 def guard(svg: str, check_size: bool = True) -> str:
     """SQL: STRUCT<code, message> of what refuses svg before parsing, or null."""
-    size = f"WHEN octet_length({svg}) > {MAX_BYTES} THEN named_struct('code', 'PAYLOAD_TOO_LARGE', 'message', 'svg exceeds {MAX_BYTES} bytes') " if check_size else ""
-    why = f"({unsupported(svg)})"
-    return f"CASE {size}WHEN {why} IS NOT NULL THEN named_struct('code', 'PARSE_UNSUPPORTED_ELEMENT', 'message', concat('<', {why}, '> not tokenizable')) END"
+    why = let({"why": unsupported(svg)}, "IF(why IS NULL, NULL, named_struct('code', 'PARSE_UNSUPPORTED_ELEMENT', 'message', concat('<', why, '> not tokenizable')))", "struct<code:string,message:string>")
+    return f"IF(octet_length({svg}) > {MAX_BYTES}, named_struct('code', 'PAYLOAD_TOO_LARGE', 'message', 'svg exceeds {MAX_BYTES} bytes'), {why})" if check_size else why
 
 
 def canvas_size(doc: str = "doc") -> str:
