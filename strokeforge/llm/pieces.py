@@ -35,6 +35,8 @@ from .common import documents
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 MEMORY, RECENT = 500_000, 200_000
+#: Longer segments are not remembered, which bounds the memory's bytes.
+LONGEST = 64
 #: What a unigram model's path pays for a character that is no piece.
 UNKNOWN_COST = 1e6
 #: Bytes of text in a batch of results.
@@ -62,7 +64,9 @@ class Paths(dict):
                 path = self[segment[:-1]] + self[segment[-1]]
             else:
                 path = np.array(t.shortest(segment.replace(" ", SPACE)), "<i4").tobytes()
-            if len(self) < MEMORY:
+            if len(segment) > LONGEST:
+                pass
+            elif len(self) < MEMORY:
                 self[segment] = path
             else:
                 if len(self.recent) >= RECENT:

@@ -74,7 +74,7 @@ class WordCounter:
     LATIN_END = 0x180
     # A dotted capital I becomes two characters, one of them beyond LATIN_END.
     OUTSIDE = re.compile(f"[^\x00-{chr(LATIN_END - 1)}]|\u0130|<\\|")
-    KEPT, RECENT = 500_000, 200_000
+    KEPT, RECENT, LONGEST = 500_000, 200_000, 64
 
     def __init__(self, count):
         self.count = count
@@ -104,10 +104,11 @@ class WordCounter:
             recent.clear()
             new = list({w for words in plain if words for w in words if w not in known})
         fresh = dict(zip(new, self.count(new), strict=True)) if new else {}
-        room = self.KEPT - len(known)
-        known.update(list(fresh.items())[:room] if room > 0 else ())
-        recent.update(list(fresh.items())[max(room, 0) :])
-        get = lambda w: n if (n := known.get(w)) is not None else recent[w]
+        held = [x for x in fresh.items() if len(x[0]) <= self.LONGEST]
+        room = max(self.KEPT - len(known), 0)
+        known.update(held[:room])
+        recent.update(held[room:])
+        get = lambda w: known.get(w) or recent.get(w) or fresh[w]  # noqa: E731  a pre-token has one token at least
         whole = [i for i, w in enumerate(plain) if w is None]
         out = [0 if w is None else sum(map(get, w)) for w in plain]
         for i, n in zip(whole, self.count([texts[i] for i in whole]) if whole else [], strict=True):
