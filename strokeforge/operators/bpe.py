@@ -10,8 +10,6 @@ expansions.
 from __future__ import annotations
 
 import heapq
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..sources.shared import materialize
 
 PROTECTED = (1, 2, 3)
 CUT = 8
@@ -43,23 +42,11 @@ def merged(tokens: str, a: int, b: int, new: int) -> str:
     return f"aggregate({tokens}, cast(array() AS ARRAY<INT>), (s, t) -> IF({hit}, concat(slice(s, 1, size(s) - 1), array({new})), concat(s, array(t))))"
 
 
-def _folder(df: DataFrame) -> str:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strokeforge-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return f"{folder.rstrip('/')}/bpe-{uuid.uuid4().hex}"
-
-
 def learn(streams: DataFrame, n_merges: int, vocab: int = ids.VOCAB, min_freq: int = 2, protected=PROTECTED, tokens: str = "token_ids") -> list[list[int]]:
     """[a, b, new id] in the order of priority, at most n_merges."""
     protected = tuple(protected) or PROTECTED
     rows = streams.groupBy(F.col(tokens).alias("t")).agg(F.count("*").alias("w"))
-    folder, out = _folder(streams), []
-    spark = streams.sparkSession
-    rows.write.parquet(f"{folder}/0")
-    rows = spark.read.parquet(f"{folder}/0")
+    rows, out = materialize(rows, "bpe"), []
     for i in range(n_merges):
         top = best_pair(pair_counts(rows, "t", protected, "w")).collect()
         if not top or top[0]["n"] < min_freq:
@@ -68,8 +55,7 @@ def learn(streams: DataFrame, n_merges: int, vocab: int = ids.VOCAB, min_freq: i
         out.append([a, b, vocab + i])
         rows = rows.select(F.expr(f"IF(array_contains(t, {a}), {merged('t', a, b, vocab + i)}, t)").alias("t"), "w")
         if (i + 1) % CUT == 0:
-            rows.write.parquet(f"{folder}/{i + 1}")
-            rows = spark.read.parquet(f"{folder}/{i + 1}")
+            rows = materialize(rows, "bpe")
     return out
 
 
