@@ -34,7 +34,7 @@ from .common import documents
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-MEMORY, RECENT = 500_000, 200_000
+MEMORY, RECENT = 350_000, 100_000
 #: Longer segments are not remembered, which bounds the memory's bytes.
 LONGEST = 64
 #: What a unigram model's path pays for a character that is no piece.
