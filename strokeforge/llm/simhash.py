@@ -125,27 +125,32 @@ def _cell(table: pa.Table) -> pa.Table:
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges a, b whose components are those of all links among the values of fp."""
-    spark = distinct.sparkSession
-    classes = {r["p"]: r["n"] for r in distinct.groupBy(F.bit_count("fp").alias("p")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
+    cells = dealt_cells(distinct.select("fp", F.bit_count("fp").cast("int").alias("p")), radius)
+    return cells.groupBy("p", "i", "q", "j").applyInArrow(_cell, "a long, b long")
+
+
+def dealt_cells(distinct: DataFrame, radius: int) -> DataFrame:
+    """Rows with a class p, dealt to cells (p, i, q, j) so that any two whose classes differ by radius at most meet in one."""
+    spark, columns = distinct.sparkSession, [c for c in distinct.columns if c != "p"]
+    classes = {r["p"]: r["n"] for r in distinct.groupBy("p").agg(F.count("*").alias("n")).collect()}  # few classes: counts of bits, or logarithms of sizes
     size = min(BLOCK_MOST, max(BLOCK_LEAST, sum(classes.values()) // 16))
     blocks = {p: -(-n // size) for p, n in classes.items()}
-    # For each count of bits, how many blocks the counts above it have: a constant number of rows.
+    # For each class, how many blocks the classes above it have: a constant number of rows.
     near = spark.createDataFrame(
         [(p, blocks[p], [(q, blocks.get(q, 0)) for q in range(p, p + radius + 1)], [(q, blocks.get(q, 0)) for q in range(p - radius, p)]) for p in blocks] or [(0, 1, [(0, 0)], [(0, 0)])],
         "p int, own int, up array<struct<q:int,n:int>>, down array<struct<q:int,n:int>>",
     )
-    rows = distinct.select("fp", F.bit_count("fp").cast("int").alias("p")).join(F.broadcast(near), "p").withColumn("i", F.pmod(F.xxhash64("fp"), "own").cast("int"))
+    rows = distinct.join(F.broadcast(near), "p").withColumn("i", F.pmod(F.xxhash64("fp"), "own").cast("int"))
 
     def dealt(side: str, cell):
         out = rows.withColumn("o", F.explode(side)).filter("o.n > 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("o.n") - 1)))
-        return out.select(*[c.alias(n) for n, c in zip(("p", "i", "q", "j"), cell, strict=True)], *(["fp"]), F.col("p").alias("_p"), F.col("i").alias("_i"))
+        return out.select(*[c.alias(n) for n, c in zip(("p", "i", "q", "j"), cell, strict=True)], *columns, F.col("p").alias("_p"), F.col("i").alias("_i"))
 
     me, it = (F.col("p"), F.col("i")), (F.col("o.q"), F.col("j"))
     up = dealt("up", (*me, *it)).filter("q > p OR j >= i").withColumn("side", F.when(F.expr("p = q AND i = j"), 2).otherwise(0))
     down = dealt("down", (*it, *me)).withColumn("side", F.lit(1))
     same = dealt("up", (*it, *me)).filter("p = q AND i < j").withColumn("side", F.lit(1))
-    cells = up.unionByName(down).unionByName(same).select("p", "i", "q", "j", "side", "fp")
-    return cells.groupBy("p", "i", "q", "j").applyInArrow(_cell, "a long, b long")
+    return up.unionByName(down).unionByName(same).select("p", "i", "q", "j", "side", *columns)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -170,12 +175,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one of the least doc_id; of rows that repeat it, one.
+    """One document of each component of similar texts, the one of the least doc_id; of rows that repeat it, one.
 
-    A component is named by its least doc_id, so only rows with that id stay; a row without a
-    doc_id belongs to no component and stays.
+    Links are those of similar.near_copies, not op8's. A component is named by its least doc_id,
+    so only rows with that id stay; a row without a doc_id belongs to no component and stays.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
+    from .similar import near_copies
+
+    found = near_copies(docs.select("doc_id", "text"))
     best = materialize(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "simhash-kept")
     kept = docs.filter(F.col("doc_id").isNotNull()).join(best.hint("shuffle_hash"), "doc_id", "left_semi")
     return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
