@@ -35,7 +35,7 @@ KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9A-Za-z.-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z]|[.-][0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[2-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?|\([0-9]{3}\) ?[0-9]{3}[ .-]|[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-])[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[2-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])",
@@ -112,10 +112,12 @@ def pseudonym(m: str, kind: str, key: str, back: bool) -> str:
         made = bind(body, "y", f"concat(substr(y, 1, 2), lpad(cast(98 - {mod97('y')} AS STRING), 2, '0'), substr(y, 5))")
         return bind(plain.format(m), "x", f"IF(length(x) BETWEEN 15 AND 34 AND {mod97('x')} = 1, {bind(made, 'z', restored('z', m))}, NULL)")
     if kind == "phone":
-        # North American: country, first digits of area and exchange stay. Others: the country code's first digits stay.
+        # North American: after +1 or with brackets all ten digits move; else the first digits of area and exchange stay, which alone tell that it is a number. Others: the country code's first digits stay.
         us = f"{m} RLIKE '^(\\\\+1|[^+])'"
         ten = f"substr(x, length(x) - 9)"
         made = bind(chars(f"concat(substr({ten}, 2, 2), substr({ten}, 5))", key, kind, back), "y", f"concat(substr(x, 1, length(x) - 10), substr({ten}, 1, 1), substr(y, 1, 2), substr({ten}, 4, 1), substr(y, 3))")
+        all_ten = f"concat(substr(x, 1, length(x) - 10), {chars(ten, key, kind, back)})"
+        made = f"IF({m} RLIKE '^(\\\\+1|[(])', {all_ten}, {made})"
         world = f"concat(substr(x, 1, 3), {chars('substr(x, 4)', key, kind, back)})"
         return bind(plain.format(m), "x", f"IF({us}, {bind(made, 'z', restored('z', m))}, IF(length(x) BETWEEN 8 AND 15, {bind(world, 'z', restored('z', m))}, NULL))")
     if kind == "ip":

@@ -99,3 +99,17 @@ def test_query(spark):
     assert len(rows) == len(docs)
     for r in rows:
         assert r.n_replaced == sum(r[f"n_{k}"] for k in pii.KINDS) and (r.n_replaced > 0) == (r.text != docs[r.doc_id])
+
+
+def test_phones_of_explicit_form_may_start_with_any_digit(spark):
+    texts = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (171) 055-2028", "(099) 155-0123", "+12025550123", "+10005550123", "+1 202 555 0123", "+1-202-555-0123", "+1(202)5550123"]
+    kept = ["117-555-7713", "217-155-7713", "12025550123"]
+    out = run(spark, texts + kept)
+    for i, t in enumerate(texts):
+        assert [(x.kind, x.value) for x in out[i]._found] == [("phone", t)] and out[i].text != t
+        assert re.sub("[0-9]", "0", out[i].text) == re.sub("[0-9]", "0", t) and out[i].text.startswith("+1") == t.startswith("+1")
+    assert [out[len(texts) + i].text for i in range(len(kept))] == kept
+    back = run(spark, [out[i].text for i in range(len(texts))], back=True)
+    assert [back[i].text for i in range(len(texts))] == texts
+    many = run(spark, [f"+1 ({i:03}) 555-0000" for i in range(300)])
+    assert len({r.text for r in many.values()}) == 300 and len({r.text[4] for r in many.values()}) == 10
