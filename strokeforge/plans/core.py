@@ -122,7 +122,11 @@ def q10(spark, d):
 
 @query("q11_fidelity", f"WITH {EVENTS}, e AS (SELECT {ERR} AS err FROM p WHERE x <= 300) SELECT round(max(err), 6) AS max_error, round(avg(err), 6) AS mean_error, round(sqrt(avg(err*err)), 6) AS rms_error, round(300::DOUBLE/64/2*sqrt(2), 6) AS theoretical_bound, max(err) <= 300::DOUBLE/64/2*sqrt(2) + 1e-6 AS within_bound, count(*) AS n_points FROM e")
 def q11(spark, d):
-    e = fx.points(spark, d).filter("x <= 300").select(F.expr(s_err()).alias("err"))
+    return fidelity(fx.points(spark, d).filter("x <= 300"))
+
+
+def fidelity(points):
+    e = points.select(F.expr(s_err()).alias("err"))
     bound = F.expr(ids.bound())
     return e.agg(
         F.round(F.max("err"), 6).alias("max_error"), F.round(F.avg("err"), 6).alias("mean_error"), F.round(F.sqrt(F.avg(F.col("err") * F.col("err"))), 6).alias("rms_error"),
@@ -130,6 +134,11 @@ def q11(spark, d):
     )
 
 
+@query("q11_all_fidelity", f"WITH {EVENTS}, e AS (SELECT {ERR} AS err FROM p) SELECT round(max(err), 6) AS max_error, round(avg(err), 6) AS mean_error, round(sqrt(avg(err*err)), 6) AS rms_error, round(300::DOUBLE/64/2*sqrt(2), 6) AS theoretical_bound, max(err) <= 300::DOUBLE/64/2*sqrt(2) + 1e-6 AS within_bound, count(*) AS n_points FROM e")
+def q11_all(spark, d):
+    return fidelity(fx.points(spark, d))
+
+
 @query("q13_coord_id", f"WITH {EVENTS} SELECT event_id, {d_id('x', 'y')} AS token_id FROM p")
 def q13(spark, d):
     return fx.points(spark, d).select("event_id", F.expr(ids.coord_id("x", "y")).alias("token_id"))
@@ -374,6 +383,11 @@ def g16(spark, d):
     return codec.normalized_svg(drawn(spark, d).filter("doc_id % 4 IN (1, 3)")).select("doc_id", "truth")
 
 
+@query("g16_all_normalized_svg")
+def g16_all(spark, d):
+    return codec.normalized_svg(drawn(spark, d)).select("doc_id", "truth")
+
+
 @query("g17_bbox", f"WITH {LINES} SELECT doc_id, round(min(x), 6) AS x0, round(min(y), 6) AS y0, round(max(x), 6) AS x1, round(max(y), 6) AS y1 FROM l GROUP BY doc_id")
 def g17(spark, d):
     return fx.polylines(spark, d).withColumn("b", F.expr(path.bbox("elements[0]"))).select("doc_id", *[F.round(F.expr(f"b.{n}"), 6).alias(n) for n in ("x0", "y0", "x1", "y1")])
@@ -579,12 +593,30 @@ def rect_scores(spark, d):
 
 @query("e3_scene_scores", f"WITH {_RECT_ERR} SELECT doc_id, round(avg(e), 6) AS attr_mean_err, round(max(e), 6) AS attr_max_err, true AS count_match FROM e GROUP BY doc_id")
 def e3(spark, d):
-    return rect_scores(spark, d).select("doc_id", F.round("attr_mean_err", 6).alias("attr_mean_err"), F.round("attr_max_err", 6).alias("attr_max_err"), "count_match")
+    return scene_columns(rect_scores(spark, d))
+
+
+def scene_columns(scores):
+    return scores.select("doc_id", F.round("attr_mean_err", 6).alias("attr_mean_err"), F.round("attr_max_err", 6).alias("attr_max_err"), "count_match")
+
+
+@query("e3_all_scene_scores")
+def e3_all(spark, d):
+    return scene_columns(evaluation.builtin_eval(fx.drawings(spark, d)))
 
 
 @query("e4_summary", f"WITH {_RECT_ERR}, m AS (SELECT doc_id, avg(e) AS me, max(e) AS mx FROM e GROUP BY doc_id) SELECT count(*) AS scenes, round(avg(me), 4) AS attr_mean_err, round(max(mx), 4) AS attr_max_err, 1::DOUBLE AS count_acc, (SELECT count(*) FROM e) AS coords_measured, (SELECT round(quantile_cont(e, 0.5), 4) FROM e) AS coord_err_p50, (SELECT round(quantile_cont(e, 0.99), 4) FROM e) AS coord_err_p99, (SELECT round(avg((e > 2)::INT), 4) FROM e) AS perceptible_err_rate FROM m")
 def e4(spark, d):
-    return evaluation.summary(rect_scores(spark, d)).select("scenes", "attr_mean_err", "attr_max_err", "count_acc", "coords_measured", "coord_err_p50", "coord_err_p99", "perceptible_err_rate")
+    return summary_columns(rect_scores(spark, d))
+
+
+def summary_columns(scores):
+    return evaluation.summary(scores).select("scenes", "attr_mean_err", "attr_max_err", "count_acc", "coords_measured", "coord_err_p50", "coord_err_p99", "perceptible_err_rate")
+
+
+@query("e4_all_summary")
+def e4_all(spark, d):
+    return summary_columns(evaluation.builtin_eval(fx.drawings(spark, d)))
 
 
 @query("e7_restyle", "SELECT page_id, md5(CASE WHEN page_id % 2 = 0 THEN replace(html || '<path d=\"M1 1\"/>', '<path ', '<path stroke-width=\"3.0\" ') ELSE html || '<g stroke-width=\"3.0\"/><path stroke-width=\"3.0\" d=\"M1 1\"/>' END) AS styled FROM pages")
@@ -608,6 +640,11 @@ def e13(spark, d):
     return evaluation.gates(fx.drawings(spark, d).filter("doc_id % 4 = 1"))
 
 
+@query("e13_all_corpus_gates")
+def e13_all(spark, d):
+    return evaluation.gates(fx.drawings(spark, d))
+
+
 @query("e14_render_figures", "WITH m AS (SELECT event_id AS k, list_transform(range(64), lambda i: (i * 7 + event_id) % 64 < event_id % 40) AS m FROM events), i AS (SELECT k, m, list_sum(list_transform(m, lambda v: v::INT)) / 64.0::DOUBLE AS ink FROM m), q AS (SELECT avg(list_sum(list_transform(range(1, 65), lambda j: (a.m[j] <> b.m[j])::INT)) / 64.0::DOUBLE) AS diversity FROM m a JOIN m b ON b.k > a.k AND b.k <= a.k + 5) SELECT count(*) AS n, round(avg(ink), 6) AS mean_ink, round(avg((ink BETWEEN 0.005 AND 0.6)::INT), 6) AS non_degenerate, (SELECT round(diversity, 6) FROM q) AS diversity FROM i")
 def e14(spark, d):
     masks = fx.table(spark, d, "events").select("event_id", F.expr("transform(sequence(0, 63), i -> (i * 7 + event_id) % 64 < event_id % 40)").alias("mask"))
