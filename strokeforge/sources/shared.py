@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables that this driver wrote and has not deleted.
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where none is named and all runs on one machine."""
@@ -22,12 +25,69 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
 
+def materialize(df: DataFrame, label: str, parts: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back, which cuts its lineage for good.
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage for good."""
+    parts: in so many files at most, for a table that is known to be small.
+    """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole."""
+    fs, at = _file_system(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = _file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def discard_table(df: DataFrame) -> None:
+    """Delete a table of materialize(), once nothing reads it any more."""
+    discard(df.sparkSession, df._scratch)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every table that this driver's operators wrote, once their results are stored; how many."""
+    n = len(_written)
+    for path in list(_written):
+        discard(spark, path)
+    return n
