@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, hot_join, materialize
+from .common import documents, few, give_back, hot_join, materialize, slices
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -56,10 +56,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        prints = np.array([fingerprint(t.as_py() or b"") for t in texts], "<u8")
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view("<i8"), pa.int64())], names=["doc_id", "fp"])
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            prints = np.array([fingerprint(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())], "<u8")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view("<i8"), pa.int64())], names=["doc_id", "fp"])
+        give_back()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -120,7 +121,9 @@ def _cell(table: pa.Table) -> pa.Table:
     side, fp = table.column("side").to_numpy(), table.column("fp").to_numpy().view("<u8")
     one = bool((side == 2).any())
     links = forest(fp, None) if one else forest(fp[side == 0], fp[side == 1])
-    return pa.table({"a": links[:, 0].copy().view("<i8"), "b": links[:, 1].copy().view("<i8")})
+    out = pa.table({"a": links[:, 0].copy().view("<i8"), "b": links[:, 1].copy().view("<i8")})
+    give_back()
+    return out
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -129,18 +132,18 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return cells.groupBy("p", "i", "q", "j").applyInArrow(_cell, "a long, b long")
 
 
-def dealt_cells(distinct: DataFrame, radius: int) -> DataFrame:
-    """Rows with a class p, dealt to cells (p, i, q, j) so that any two whose classes differ by radius at most meet in one."""
+def dealt_cells(distinct: DataFrame, radius: int, key: str = "fp", most: int | None = None) -> DataFrame:
+    """Rows with a class p, dealt by key to cells (p, i, q, j) so that any two whose classes differ by radius at most meet in one."""
     spark, columns = distinct.sparkSession, [c for c in distinct.columns if c != "p"]
     classes = {r["p"]: r["n"] for r in distinct.groupBy("p").agg(F.count("*").alias("n")).collect()}  # few classes: counts of bits, or logarithms of sizes
-    size = min(BLOCK_MOST, max(BLOCK_LEAST, sum(classes.values()) // 16))
+    size = min(most or BLOCK_MOST, max(BLOCK_LEAST, sum(classes.values()) // 16))
     blocks = {p: -(-n // size) for p, n in classes.items()}
     # For each class, how many blocks the classes above it have: a constant number of rows.
     near = spark.createDataFrame(
         [(p, blocks[p], [(q, blocks.get(q, 0)) for q in range(p, p + radius + 1)], [(q, blocks.get(q, 0)) for q in range(p - radius, p)]) for p in blocks] or [(0, 1, [(0, 0)], [(0, 0)])],
         "p int, own int, up array<struct<q:int,n:int>>, down array<struct<q:int,n:int>>",
     )
-    rows = distinct.join(F.broadcast(near), "p").withColumn("i", F.pmod(F.xxhash64("fp"), "own").cast("int"))
+    rows = distinct.join(F.broadcast(near), "p").withColumn("i", F.pmod(F.xxhash64(key), "own").cast("int"))
 
     def dealt(side: str, cell):
         out = rows.withColumn("o", F.explode(side)).filter("o.n > 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("o.n") - 1)))
@@ -156,18 +159,18 @@ def dealt_cells(distinct: DataFrame, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id of every row."""
     prints = materialize(fingerprints(docs), "simhash")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")), "simhash-distinct")
-    stars = materialize(components(links(distinct, radius)), "simhash-stars")
-    # The least fingerprint stands for a component; it has no row in stars.
-    rooted = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.filter("root <> fp").groupBy("root").agg(F.min("doc").alias("least"))
-    joined = rooted.join(least, "root", "left")
-    # A root's own document counts too.
-    own = distinct.select(F.col("fp").alias("root"), F.col("doc").alias("root_doc")).join(stars.select("root").distinct(), "root", "left_semi")
-    named = joined.join(own, "root", "left").select("fp", "n", F.least("doc", "least", "root_doc").alias("component_id"))
-    named = named.select("fp", "n", "component_id")
     total = prints.count()
-    return hot_join(prints, named, ["fp"], "n", total).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "simhash-distinct", few(total))
+    stars = components(links(distinct.select("fp"), radius))
+    # The least fingerprint stands for a component; it has no row in stars.
+    linked = stars.select(F.col("node").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
+    linked = materialize(linked.join(distinct.select("fp", "doc"), "fp"), "simhash-linked", few(2 * stars.count()))
+    met = linked.count()
+    least = materialize(linked.groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("n")), "simhash-least", few(met))
+    known = hot_join(linked.select("fp", "root"), least, ["root"], "n", met).select("fp", "least")
+    named = distinct.join(known, "fp", "left").select("fp", "copies", F.coalesce("least", "doc").alias("component_id"))
+    out = hot_join(prints, materialize(named, "simhash-named", few(total)), ["fp"], "copies", total)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,14 +178,23 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar texts, the one of the least doc_id; of rows that repeat it, one.
+    """One row of each group of similar texts: that of the least doc_id, then of the least hash of the text.
 
-    Links are those of similar.near_copies, not op8's. A component is named by its least doc_id,
-    so only rows with that id stay; a row without a doc_id belongs to no component and stays.
+    Texts are linked by similar.py (five-word shingles, similarity 0.8), not by op8's radius. A
+    null doc_id comes before all; a null text counts as empty, and texts without words are one
+    group; of rows that repeat both doc_id and text one stays; an empty table gives an empty one.
     """
-    from .similar import near_copies
-
-    found = near_copies(docs.select("doc_id", "text"))
-    best = materialize(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "simhash-kept")
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(best.hint("shuffle_hash"), "doc_id", "left_semi")
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    from .similar import representatives
+
+    kept, repeated = representatives(docs.select("doc_id", "text"))
+    keys = ["_oid", "_th"]
+    rows = docs.withColumn("_oid", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))).withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = kept.toDF(*keys).hint("shuffle_hash")
+    if repeated.isEmpty():
+        return rows.join(kept, keys, "left_semi").select(*docs.columns)
+    repeated = repeated.toDF(*keys, "copies")
+    once = rows.join(kept.join(repeated, keys, "left_anti"), keys, "left_semi").select(*docs.columns)
+    total = repeated.agg(F.sum("copies")).first()[0]
+    again = hot_join(rows.withColumn("_row", F.struct(*docs.columns)).select(*keys, "_row"), repeated, keys, "copies", total)
+    first = again.groupBy(*keys).agg(F.first("_row").alias("_row"))  # combined before it is shuffled
+    return once.unionByName(first.select("_row.*"))

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import xxhash
 
-from strokeforge.llm import similar, simhash
+from strokeforge.llm import common, similar, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -66,3 +67,30 @@ def test_over_many_blocks(spark, monkeypatch):
     data = edited(5)
     got = sorted((r.doc_id, r.component_id) for r in similar.near_copies(spark.createDataFrame(data, SCHEMA)).collect())
     assert got == sorted(brute(data, similar.RADIUS))
+
+
+def test_stage_of_nulls_repeats_and_empty_tables(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(30))
+    schema = "doc_id long, text string, th long, oid string, node int, copies int"
+    row = lambda i, t: (i, t, 1, "x", 2, 3)
+    data = [row(5, text), row(5, text), row(5, text + " more"), row(6, text.upper()), row(2, ""), row(1, None), row(1, None), row(3, " \n"), row(None, "all alone here"), row(None, "all alone here"), row(9, "all alone here")]
+    docs = spark.createDataFrame(data, schema)
+    for hot in (10_000, 1):
+        monkeypatch.setattr(common, "HOT_LEAST", hot)
+        out = simhash.simhash_stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        assert got[1:] in ([(None, "all alone here")], [(5, text), (None, "all alone here")], [(5, text + " more"), (None, "all alone here")]) and got[0] == (1, None)
+        assert len(got) == 3
+    assert simhash.simhash_stage(spark, docs.limit(0), "").count() == 0
+    assert similar.near_copies(docs.limit(0)).count() == 0
+
+
+def test_parities_reject_no_link():
+    r = random.Random(8)
+    for _ in range(200):
+        n = r.choice([5, 40, 400, 3000])
+        x = np.array([r.getrandbits(64) for _ in range(n)], np.uint64)
+        y = np.concatenate([x[: n - n // 9], np.array([r.getrandbits(64) for _ in range(n // 9)], np.uint64)])
+        apart = sum(a.bit_count() for a in (int.from_bytes(similar.parities(x)) ^ int.from_bytes(similar.parities(y)),))
+        assert apart <= len(set(x.tolist()) ^ set(y.tolist()))
