@@ -1,14 +1,22 @@
-"""The folder that driver and executors share, and tables written there to cut lineage."""
+"""Tables that are used more than once: kept on the executors' disks, or written to the folder that all share.
+
+materialize() cuts lineage for good: for loops, and for tables whose rows must not change when
+they are made again (numbers given by place). stored() does not: what is lost with an executor is
+made again from where it came, so what it came from must stay. A stored table's plan is a part of the
+plans over it, so tables made from stored ones are materialized.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths of the tables that this driver wrote and has not deleted.
+#: Paths of the tables that this driver wrote and has not deleted, and tables that it keeps on executors' disks.
 _written: list[str] = []
+_stored: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +51,12 @@ def materialize(df: DataFrame, label: str, parts: int | None = None) -> DataFram
     return out
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, kept on the disks of the executors from its first use on."""
+    _stored.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
 def _file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
@@ -86,8 +100,10 @@ def discard_table(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> int:
-    """Delete every table that this driver's operators wrote, once their results are stored; how many."""
-    n = len(_written)
+    """Delete every table that this driver's operators wrote or keep, once their results are stored; how many."""
+    n = len(_written) + len(_stored)
+    while _stored:
+        _stored.pop().unpersist()
     for path in list(_written):
         discard(spark, path)
     return n
