@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import discard_table, exists, materialize, scratch
+from ..sources.shared import discard_table, exists, materialize, scratch, stored
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,4 +73,4 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-__all__ = ["HOT_LEAST", "HOT_SHARE", "SLICE", "WORD", "discard_table", "documents", "exists", "few", "give_back", "hot_join", "materialize", "scratch", "slices", "text_or_empty"]
+__all__ = ["HOT_LEAST", "HOT_SHARE", "SLICE", "WORD", "discard_table", "documents", "exists", "few", "give_back", "hot_join", "materialize", "scratch", "slices", "stored", "text_or_empty"]

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialize
+from .common import WORD, documents, few, materialize, stored
 
 WEIGHTS = (3, 1, 2)
 OVERSAMPLE, CAP, BLOCK = 1.5, 2.0, 1024
@@ -103,9 +103,9 @@ def pieces(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, oversample=OVER
     dup, epoch, start, words: the mix itself, in the order of slot, rank, epoch, start.
     """
     spark = docs.sparkSession
-    rows = materialize(sized(docs), "mix-sized")
+    rows = stored(sized(docs))
     parts = rows.groupBy("k", "part").agg(F.sum("size").alias("size"))
-    src = materialize(targets(parts, weights, oversample, cap), "mix-sources")
+    src = materialize(targets(parts, weights, oversample, cap), "mix-sources", 8)
     offsets = parts.withColumn("from", F.sum("size").over(Window.partitionBy("k").orderBy("part")) - F.col("size")).drop("size").join(src, "k")
     inner = Window.partitionBy("k", "part").orderBy("key", "doc_id", "size")
     laid = (
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, oversample=OVER
         .withColumn("dup", F.row_number().over(Window.partitionBy("k", "part", "doc_id", "size").orderBy("at")))
         .select("doc_id", "k", "size", "dup", "at", "source_size", "target")
     )
-    laid = materialize(laid, "mix-laid")
+    laid = materialize(laid, "mix-laid", few(rows.count()))
     goal = F.floor(F.col("target") + 0.5).cast("long")
     spans = (
         laid.filter("size > 0").withColumn("goal", goal)
@@ -158,7 +158,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of all documents as whole rows; some repeat, some of a source that weighs little are left."""
+    """The mix of all documents as whole rows; some repeat, some of a source that weighs little are left.
+
+    Null texts and texts without words are never taken; rows that repeat are documents of their
+    own; a null source is a source; an empty table gives an empty one.
+    """
     return mix_rows(docs)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, few, give_back, hot_join, materialize, slices
+from .common import documents, few, give_back, hot_join, materialize, slices, stored
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -132,12 +132,15 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return cells.groupBy("p", "i", "q", "j").applyInArrow(_cell, "a long, b long")
 
 
-def dealt_cells(distinct: DataFrame, radius: int, key: str = "fp", most: int | None = None) -> DataFrame:
-    """Rows with a class p, dealt by key to cells (p, i, q, j) so that any two whose classes differ by radius at most meet in one."""
+def dealt_cells(distinct: DataFrame, radius: int, key: str = "fp", most=lambda p: BLOCK_MOST) -> DataFrame:
+    """Rows with a class p, dealt by key to cells (p, i, q, j) so that any two whose classes differ by radius at most meet in one.
+
+    most: how many rows a block of a class may have.
+    """
     spark, columns = distinct.sparkSession, [c for c in distinct.columns if c != "p"]
     classes = {r["p"]: r["n"] for r in distinct.groupBy("p").agg(F.count("*").alias("n")).collect()}  # few classes: counts of bits, or logarithms of sizes
-    size = min(most or BLOCK_MOST, max(BLOCK_LEAST, sum(classes.values()) // 16))
-    blocks = {p: -(-n // size) for p, n in classes.items()}
+    size = max(BLOCK_LEAST, sum(classes.values()) // 16)
+    blocks = {p: -(-n // min(size, most(p))) for p, n in classes.items()}
     # For each class, how many blocks the classes above it have: a constant number of rows.
     near = spark.createDataFrame(
         [(p, blocks[p], [(q, blocks.get(q, 0)) for q in range(p, p + radius + 1)], [(q, blocks.get(q, 0)) for q in range(p - radius, p)]) for p in blocks] or [(0, 1, [(0, 0)], [(0, 0)])],
@@ -158,7 +161,7 @@ def dealt_cells(distinct: DataFrame, radius: int, key: str = "fp", most: int | N
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id of every row."""
-    prints = materialize(fingerprints(docs), "simhash")
+    prints = stored(fingerprints(docs))
     total = prints.count()
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "simhash-distinct", few(total))
     stars = components(links(distinct.select("fp"), radius))

@@ -9,9 +9,10 @@ two sets is LEAST or more. Fingerprints of a pair at 0.8 are about 10 bits apart
 wide; pairs beyond it are missed (README).
 
 A second exclusive or in the same tile rejects most candidates that are no links and loses none:
-of each set the parity of the number of shingles in each of PARITIES buckets. Every bit in which
-two parities differ stands for at least one shingle that one set has alone, and two sets of
-similarity 0.8 have a ninth of their sizes' sum of these at most.
+of each set the parity of the number of shingles in each of many buckets, as many as it has
+shingles or more. Every bit in which two parities differ stands for at least one shingle that
+one set has alone, and two sets of similarity 0.8 have a ninth of their sizes' sum of these at
+most. A cell folds all its parities to the fewest buckets that one of its rows has.
 
 The first round takes a spanning forest of each cell's candidates (and one of those that the
 parities say are links), so that a large group of copies is one component before the second,
@@ -33,16 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard_table, few, give_back, hot_join, materialize, slices, text_or_empty
+from .common import few, give_back, hot_join, materialize, slices, stored, text_or_empty
 from .components import components
 from .simhash import LEFT, RIGHT, SEED, dealt_cells
 
 SHINGLE, RADIUS, LEAST = 5, 20, 0.8
 #: Sizes of a class differ by less than this factor; a little over 1 / LEAST, against rounding.
 STEP = 1.26
-PARITIES = 1024
-#: Rows of a block at most (20 MB).
-BLOCK_MOST = 1 << 17
+#: Buckets of parities: a power of two within these bounds.
+FEWEST, MOST = 1 << 10, 1 << 17
+#: Rows of a block at most, and their bytes.
+BLOCK_MOST, BLOCK_BYTES = 1 << 17, 16 << 20
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -61,8 +63,22 @@ def vote(hashes: np.ndarray) -> int:
 
 
 def parities(hashes: np.ndarray) -> bytes:
-    """The parities of the numbers of distinct hashes in PARITIES buckets, as bits."""
-    return np.packbits(np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+    """The parities of the numbers of distinct hashes in so many buckets as buckets() says, as bits."""
+    m = buckets(len(hashes))
+    return np.packbits(np.bincount((hashes % np.uint64(m)).astype(np.int64), minlength=m) & 1).tobytes()
+
+
+def buckets(n: int) -> int:
+    return min(MOST, max(FEWEST, 1 << max(n - 1, 0).bit_length()))
+
+
+def folded(odd: list[bytes]) -> np.ndarray:
+    """Parities of all rows (rows, words) over the fewest buckets that one has."""
+    least = min(map(len, odd), default=FEWEST // 8)
+    out = np.empty((len(odd), least), np.uint8)
+    for i, o in enumerate(odd):
+        out[i] = np.frombuffer(o, np.uint8) if len(o) == least else np.bitwise_xor.reduce(np.frombuffer(o, np.uint8).reshape(-1, least), axis=0)
+    return out.view("<u8")
 
 
 PRINTS = "oid long, th long, digest binary, fp long, n int, odd binary"
@@ -123,8 +139,9 @@ def _span(tree: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _apart(odd: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     """In how many parities rows r and c differ."""
     out = np.empty(len(r), np.int32)
-    for i in range(0, len(r), 1 << 16):
-        out[i : i + (1 << 16)] = np.bitwise_count(odd[r[i : i + (1 << 16)]] ^ odd[c[i : i + (1 << 16)]]).sum(1, dtype=np.int32)
+    step = max(1, (1 << 20) // max(odd.shape[1], 1))
+    for i in range(0, len(r), step):
+        out[i : i + step] = np.bitwise_count(odd[r[i : i + step]] ^ odd[c[i : i + step]]).sum(1, dtype=np.int32)
     return out
 
 
@@ -133,7 +150,7 @@ def candidates(side: np.ndarray, fp: np.ndarray, n: np.ndarray, odd: np.ndarray,
     by = np.argsort(n, kind="stable")
     side, fp, n, odd, node, root = side[by], fp[by], n[by], odd[by], node[by], root[by]
     ones = np.bitwise_count(fp).astype(np.int16)
-    one = bool((side == 2).any())
+    one, m = bool((side == 2).any()), 64 * odd.shape[1]
     left, right = (np.arange(len(fp)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     likely, tree, out = np.arange(len(fp)), np.arange(len(fp)), [np.empty((0, 2), np.int64)]
     for i in range(0, len(left), LEFT):
@@ -154,7 +171,7 @@ def candidates(side: np.ndarray, fp: np.ndarray, n: np.ndarray, odd: np.ndarray,
             r, c, apart = r[fit], c[fit], apart[fit]
             if spanning:
                 # What the parities say of the number of shingles that are apart, collisions reckoned in.
-                guess = -PARITIES / 2 * np.log1p(-2 * np.minimum(apart, PARITIES * 0.49) / PARITIES) / (n[r] + n[c])
+                guess = -m / 2 * np.log1p(-2 * np.minimum(apart, m * 0.49) / m) / (n[r] + n[c])
                 near = np.argsort(guess, kind="stable")
                 r, c, sure = r[near], c[near], guess[near] * 9 <= 1
                 at = np.union1d(np.flatnonzero(sure)[_span(likely, r[sure], c[sure])], _span(tree, r, c))
@@ -166,8 +183,7 @@ def candidates(side: np.ndarray, fp: np.ndarray, n: np.ndarray, odd: np.ndarray,
 def _cell_of(radius: int, spanning: bool):
     def cell(table: pa.Table) -> pa.Table:
         get = lambda c: table.column(c).to_numpy()
-        odd = np.frombuffer(b"".join(table.column("odd").to_pylist()), "<u8").reshape(-1, PARITIES // 64)
-        found = candidates(get("side"), get("fp").view("<u8"), get("n").astype(np.int64), odd, get("node"), get("root"), radius, spanning)
+        found = candidates(get("side"), get("fp").view("<u8"), get("n").astype(np.int64), folded(table.column("odd").to_pylist()), get("node"), get("root"), radius, spanning)
         out = pa.table({"a": found[:, 0].copy(), "b": found[:, 1].copy()})
         give_back()
         return out
@@ -192,20 +208,20 @@ def similar_nodes(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, Dat
     """
     least = F.lit(-(1 << 63)).cast("long")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("oid"), text_or_empty("text").alias("text")).withColumn("th", F.xxhash64("text"))
-    prints = materialize(docs.mapInArrow(_prints, PRINTS), "similar-prints")
+    prints = stored(docs.mapInArrow(_prints, PRINTS))
     total = prints.count()
     distinct = prints.groupBy("digest").agg(F.min(F.struct("oid", "th")).alias("one"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.count("*").alias("copies"))
     nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "similar-nodes", few(total))
     size_class = F.floor(F.log("n") / F.log(F.lit(STEP))).cast("int").alias("p")
 
     def compared(rows: DataFrame, spanning: bool) -> DataFrame:
-        cells = dealt_cells(rows, 1, "node", BLOCK_MOST).groupBy("p", "i", "q", "j")
+        cells = dealt_cells(rows, 1, "node", lambda p: min(BLOCK_MOST, BLOCK_BYTES // (buckets(int(STEP ** (p + 1))) // 8 + 64))).groupBy("p", "i", "q", "j")
         return materialize(cells.applyInArrow(_cell_of(radius, spanning), "a long, b long"), "similar-pairs")
 
     first = compared(nodes.filter("n > 0").select("node", "fp", "n", "odd", F.col("node").alias("root"), size_class), True)
     found = first.count()
     met = materialize(first.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"), "similar-met", few(2 * found))
-    wanted = materialize(met.select("node", F.col("one.oid").alias("oid"), F.col("one.th").alias("th"), "copies"), "similar-wanted", few(2 * found))
+    wanted = met.select("node", F.col("one.oid").alias("oid"), F.col("one.th").alias("th"), "copies")
     texts = hot_join(docs.select("oid", "th", "text"), wanted, ["oid", "th"], "copies", total)
     # A document whose rows repeat gives its set in each task that has some.
     sets = texts.select("node", "text").mapInArrow(_sets, "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes"))
@@ -218,8 +234,6 @@ def similar_nodes(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, Dat
         more = confirmed(second.distinct(), sets)
         if not more.isEmpty():
             stars = components(links.unionByName(more))
-    for table in (first, wanted, sets, second):
-        discard_table(table)
     return prints, nodes, stars
 
 

@@ -91,6 +91,7 @@ def test_parities_reject_no_link():
     for _ in range(200):
         n = r.choice([5, 40, 400, 3000])
         x = np.array([r.getrandbits(64) for _ in range(n)], np.uint64)
-        y = np.concatenate([x[: n - n // 9], np.array([r.getrandbits(64) for _ in range(n // 9)], np.uint64)])
-        apart = sum(a.bit_count() for a in (int.from_bytes(similar.parities(x)) ^ int.from_bytes(similar.parities(y)),))
-        assert apart <= len(set(x.tolist()) ^ set(y.tolist()))
+        y = np.concatenate([x[: n - n // 9], np.array([r.getrandbits(64) for _ in range(r.choice([n // 9, n // 5 + 1]))], np.uint64)])
+        odd = similar.folded([similar.parities(x), similar.parities(y)])
+        assert similar._apart(odd, np.array([0]), np.array([1]))[0] <= len(set(x.tolist()) ^ set(y.tolist()))
+        assert odd.shape[1] * 64 == min(similar.buckets(len(x)), similar.buckets(len(y)))
