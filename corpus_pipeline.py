@@ -1,7 +1,13 @@
 """The corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing, SentencePiece.
 
 Every stage takes (spark, docs, sf_dir) and returns a table that the next one takes as docs;
-all but the last return the columns of documents.
+all but the last return the columns of documents, and others that docs has beside them.
+
+Defined results: documents without a language (null, empty and letterless texts among them) go
+in the first stage; of rows that repeat both doc_id and text, later ones lose their lines in the
+second and go with them in the third; a null doc_id comes before all others; of similar texts
+the least doc_id stays; a null source is a source of its own. An empty table gives an empty
+result. Each stage's docstring says what it does with such rows by itself.
 """
 
 from __future__ import annotations
