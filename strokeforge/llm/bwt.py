@@ -22,14 +22,14 @@ class Shard:
         n = len(symbols)
         length = np.diff(starts)
         row = np.repeat(np.arange(len(length)), length)
-        at, first, size = np.arange(n), starts[:-1][row], length[row]
+        at, first, size = np.arange(n, dtype=np.int32), starts[:-1][row].astype(np.int32), length[row].astype(np.int32)
         rank = symbols.astype(np.int64)
         h = 1
         while n and h < length.max():
             key = rank * (int(rank.max()) + 1) + rank[first + (at - first + h) % size]
             rank = np.unique(key, return_inverse=True)[1]
             h *= 2
-        self.order = np.lexsort((row, rank)) if n else at
+        self.order = np.lexsort((row, rank)).astype(np.int32) if n else at
         self.before = symbols[first + (at - first - 1) % size][self.order] if n else symbols
 
     def __len__(self) -> int:
@@ -42,8 +42,8 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.n
     common prefix with the place before, depth at most."""
     who = np.concatenate([np.full(len(s), i, np.int16) for i, s in enumerate(shards)]) if shards else np.empty(0, np.int16)
     n = len(who)
-    block, common = np.zeros(n, np.int64), np.full(n, depth)
-    before, steps = np.empty(n, np.int64), 0
+    block, common = np.zeros(n, np.int32), np.full(n, depth, np.int32)
+    before, steps = np.empty(n, np.int32), 0
     while steps < depth and n:
         for i, s in enumerate(shards):
             before[who == i] = s.before
@@ -53,5 +53,5 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.n
         new[0] = True
         new[1:] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
         common[new & (common == depth)] = steps
-        block, steps = np.cumsum(new) - 1, steps + 1
+        block, steps = np.cumsum(new, dtype=np.int32) - 1, steps + 1
     return who, block, common

@@ -37,15 +37,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import Shard, merge
-from .common import documents, hot_join, materialize
+from .common import documents, few, give_back, hot_join, materialize, slices, stored
 
 LENGTH, GRAM, BLOCK, SHARDS = 400, 32, 32, 4
 #: Strings of one core before it is drawn out, and strings in a bucket.
-CROWD, BUCKET = 20_000, 20_000
+CROWD, BUCKET = 8192, 4096
 #: Bits of an anchor's hash above its place when the least is sought; a text may have 2**(64 - BITS) bytes.
 BITS = 32
 #: Bytes of a text that are looked at together.
 PIECE = 1 << 20
+#: Bytes of texts whose equal fragments are gathered before they are shuffled.
+TOGETHER = 8 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
 
@@ -117,7 +119,7 @@ ANCHOR = "done boolean, key long, c1 long, c2 long, d long, g long, place int, f
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_digest
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text", TOGETHER)):
         held: dict[tuple[int, bytes], list] = {}
         done: dict[tuple[int, int], list] = {}
         docs = zip(batch.column("d").to_pylist(), batch.column("g").to_pylist(), batch.column("text"), strict=True)
@@ -146,6 +148,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             names=["done", "key", "c1", "c2", "d", "g", "place", "first", "last", "n"],
         )
+        del held, done, keys, c, rows, r
+        give_back()
 
 
 PHRASE = "k1 long, k2 long, d long, g long, start int, head binary, tail binary"
@@ -155,7 +159,7 @@ def _phrase_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_digest
 
     core = LENGTH - BLOCK + 1
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text", TOGETHER // 4)):
         keys, rows, heads, tails = [], [], [], []
         for d, g, value, found in zip(batch.column("d").to_pylist(), batch.column("g").to_pylist(), batch.column("text"), batch.column("found").to_pylist(), strict=True):
             text = value.as_py()
@@ -174,6 +178,8 @@ def _phrase_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(r[:, 0].copy()), pa.array(r[:, 1].copy()), pa.array(r[:, 2].astype(np.int32)), pa.array(heads, pa.binary()), pa.array(tails, pa.binary())],
             names=["k1", "k2", "d", "g", "start", "head", "tail"],
         )
+        del keys, rows, heads, tails, k, r
+        give_back()
 
 
 def repeated_windows(cores: np.ndarray, heads: list[bytes], tails: list[bytes], depth: np.ndarray, shard: np.ndarray) -> list[tuple[int, int]]:
@@ -188,22 +194,27 @@ def repeated_windows(cores: np.ndarray, heads: list[bytes], tails: list[bytes],
         parts, where = [], []
         for s in np.unique(shard[mine]):
             own = np.flatnonzero(shard[mine] == s)
-            rows = [np.concatenate([np.frombuffer(heads[mine[i]], np.uint8).astype(np.int64) + 1, [names[i]], np.frombuffer(tails[mine[i]], np.uint8).astype(np.int64) + 1, [0]]) for i in own]
-            sizes = np.array([len(r) for r in rows])
+            # All strings after each other as bytes, the core and the terminator as one byte each, then as symbols.
+            ahead, behind = (np.array([len(x[mine[i]]) for i in own]) for x in (heads, tails))
+            sizes = ahead + behind + 2
             starts = np.concatenate([[0], np.cumsum(sizes)])
-            parts.append(Shard(np.concatenate(rows), starts))
+            symbols = np.frombuffer(b"".join(b for i in own for b in (heads[mine[i]], b"\0", tails[mine[i]], b"\0")), np.uint8).astype(np.int32) + 1
+            symbols[starts[:-1] + ahead], symbols[starts[1:] - 1] = names[own], 0
+            parts.append(Shard(symbols, starts))
             row = np.repeat(np.arange(len(own)), sizes)
             where.append((mine[own][row], np.arange(starts[-1]) - starts[row], np.repeat(sizes, sizes)))
-        who, block, _ = merge(parts, int(deep))
-        string, place, size = (np.empty(len(who), np.int64) for _ in range(3))
+        who, _, common = merge(parts, int(deep))
+        string, place, size = (np.empty(len(who), np.int32) for _ in range(3))
         for i, (part, w) in enumerate(zip(parts, where, strict=True)):
             at = who == i
             string[at], place[at], size[at] = w[0][part.order], w[1][part.order], w[2][part.order]
         head = np.array([len(h) for h in heads])
         whole = (place <= head[string]) & (place + deep <= size - 1)  # with the core, without the terminator
-        count = np.bincount(block[whole], minlength=1)
+        # The repeated intervals: neighbours whose common prefix is a whole window.
+        interval = np.cumsum(common < deep)
+        count = np.bincount(interval[whole], minlength=1)
         again = whole.copy()
-        again[whole] = count[block[whole]] > 1
+        again[whole] = count[interval[whole]] > 1
         out += zip(string[again].tolist(), place[again].tolist(), strict=True)
     return out
 
@@ -221,7 +232,10 @@ def _bucket(table: pa.Table) -> pa.Table:
     for i, p in repeated_windows(cores, heads, tails, table.column("block").to_numpy(), shard):
         runs.setdefault((int(d[i]), int(g[i])), []).append((int(start[i]) + p, int(start[i]) + p))
     flat = np.array([(*k, lo, hi) for k, r in runs.items() for lo, hi in _joined(r)], np.int64).reshape(-1, 4)
-    return pa.table({"d": flat[:, 0], "g": flat[:, 1], "first": flat[:, 2].astype(np.int32), "last": flat[:, 3].astype(np.int32)})
+    out = pa.table({"d": flat[:, 0], "g": flat[:, 1], "first": flat[:, 2].astype(np.int32), "last": flat[:, 3].astype(np.int32)})
+    del k, cores, heads, tails, runs, flat
+    give_back()
+    return out
 
 
 def drawn_out(rows: DataFrame, block: int, into: int) -> DataFrame:
@@ -248,39 +262,40 @@ def drawn_out(rows: DataFrame, block: int, into: int) -> DataFrame:
 
 def crowded(rows: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
     """(strings whose core at least two and at most crowd have, strings of fuller cores)."""
-    counts = materialize(rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1"), "bwt-cores")
-    marked = materialize(hot_join(rows, counts, ["k1", "k2"], "n", rows.count()), "bwt-strings")
+    total = rows.count()
+    counts = materialize(rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1"), "bwt-cores", few(total))
+    marked = materialize(hot_join(rows, counts, ["k1", "k2"], "n", total), "bwt-strings", few(total))
     return marked.filter(F.col("n") <= crowd).drop("n"), marked.filter(F.col("n") > crowd).drop("n")
 
 
 def repeats(docs: DataFrame, crowd: int | None = None) -> DataFrame:
     """d, g, first, last: runs of starts of windows that occur elsewhere too, of documents d, g, text (binary)."""
     crowd = crowd or CROWD
-    rows = materialize(docs.filter(F.length("text") >= LENGTH).mapInArrow(_anchor_rows, ANCHOR), "bwt-anchors")
+    held = rows = stored(docs.filter(F.length("text") >= LENGTH).mapInArrow(_anchor_rows, ANCHOR))
     done = rows.filter("done").select("d", "g", "first", "last")
     rows = rows.filter("NOT done")
     kind = ["key", "c1", "c2", "ahead"]
-    rows = rows.withColumn("ahead", F.col("place") - F.col("first"))
-    classes = materialize(rows.groupBy(*kind).agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min(F.struct("d", "g", "place", "first", "last")).alias("one")), "bwt-classes")
-    same = hot_join(rows.drop("n"), classes.filter("rows > 1").select(*kind, F.col("rows").alias("n")), kind, "n", rows.count()).select("d", "g", "first", "last")
-    kinds = classes.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    differ = hot_join(classes.select("key", "one"), kinds, ["key"], "m", classes.count()).select("one.*")
+    rows, total = rows.withColumn("ahead", F.col("place") - F.col("first")), held.count()
+    classes = materialize(rows.groupBy(*kind).agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min(F.struct("d", "g", "place", "first", "last")).alias("one")), "bwt-classes", few(total))
+    same = hot_join(rows.drop("n"), classes.filter("rows > 1").select(*kind, F.col("rows").alias("n")), kind, "n", total).select("d", "g", "first", "last")
+    kinds = materialize(classes.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "bwt-kinds", few(total))
+    differ = hot_join(classes.select("key", "one"), kinds, ["key"], "m", total).select("one.*")
     wanted = differ.groupBy("d", "g").agg(F.collect_list(F.struct("place", "first", "last")).alias("found")).hint("shuffle_hash")
     strings = materialize(docs.join(wanted, ["d", "g"]).mapInArrow(_phrase_rows, PHRASE), "bwt-phrases")
     found, block = [done, same], BLOCK
     while True:
-        few, many = crowded(strings, crowd if block > 1 else 1)
+        light, full = crowded(strings, crowd if block > 1 else 1)
         if block == 1:
             # A core of a whole window: all that share it are repeats.
-            found.append(many.select("d", "g", F.col("start").alias("first"), F.col("start").alias("last")))
+            found.append(full.select("d", "g", F.col("start").alias("first"), F.col("start").alias("last")))
             break
-        n = few.count()
-        few = few.withColumn("block", F.lit(block)).withColumn("bucket", F.pmod(F.xxhash64("k1", "k2"), F.lit(-(-n // BUCKET) * 4 or 1)))
+        n = light.count()
+        light = light.withColumn("block", F.lit(block)).withColumn("bucket", F.pmod(F.xxhash64("k1", "k2"), F.lit(-(-n // BUCKET) * 4 or 1)))
         if n:
-            found.append(few.groupBy("bucket").applyInArrow(_bucket, RUNS))
-        if many.isEmpty():
+            found.append(light.groupBy("bucket").applyInArrow(_bucket, RUNS))
+        if full.isEmpty():
             break
-        strings, block = materialize(drawn_out(many, block, block // 4 if block > 2 else 1), "bwt-drawn"), block // 4 if block > 2 else 1
+        strings, block = materialize(drawn_out(full, block, block // 4 if block > 2 else 1), "bwt-drawn"), block // 4 if block > 2 else 1
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -288,7 +303,7 @@ def repeats(docs: DataFrame, crowd: int | None = None) -> DataFrame:
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text", TOGETHER)):
         rows = []
         for value, runs in zip(batch.column("text"), batch.column("runs").to_pylist(), strict=True):
             text = value.as_py() or b""
@@ -306,13 +321,14 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
+        give_back()
 
 
 def remove_repeats(docs: DataFrame, crowd: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("d"), F.xxhash64("text", F.col("doc_id").isNull()).alias("g"))
-    runs = materialize(repeats(rows.select("d", "g", "text"), crowd), "bwt-runs")
+    runs = repeats(rows.select("d", "g", "text"), crowd)
     side = runs.groupBy("d", "g").agg(F.collect_set(F.struct("first", "last")).alias("runs")).hint("shuffle_hash")
     out = rows.join(side, ["d", "g"], "left").select("doc_id", "text", "runs")
     return out.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
