@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, hot_join, materialize, scratch, text_or_empty
+from .common import documents, exists, few, give_back, hot_join, materialize, scratch, slices, stored, text_or_empty
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -127,19 +127,12 @@ def encode_with(path: str, version: str):
         seen: set[bytes] = set()  # rows that repeat a document
         for batch in batches:
             new = [not (d in seen or seen.add(d)) for d in batch.column("digest").to_pylist()]
-            batch = batch.filter(pa.array(new, pa.bool_()))
-            digests, texts, counts = batch.column("digest"), batch.column("text"), []
-            held, size = [], 0
-            for t in texts:
-                held.append(s := t.as_py())
-                size += len(s)
-                if size >= CALL_BYTES:
-                    counts += count(held)
-                    held, size = [], 0
-            counts += count(held) if held else []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([version] * len(counts), pa.string()), digests.cast(pa.binary()), pa.array(counts, pa.int64())], names=["version", "digest", "n_tokens"]
-            )
+            for part in slices(batch.filter(pa.array(new, pa.bool_())), "text", CALL_BYTES):
+                counts = count(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([version] * len(counts), pa.string()), part.column("digest").cast(pa.binary()), pa.array(counts, pa.int64())], names=["version", "digest", "n_tokens"]
+                )
+            give_back()
 
     return encode
 
@@ -149,24 +142,22 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str | None = None, limi
     spark = docs.sparkSession
     path = tokenizer or tokenizer_path()
     version = version_of(path)
+    digest = F.unhex(F.sha2("text", 256)).alias("digest")
+    least = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_id")
     texts = docs.select("doc_id", text_or_empty("text").alias("text"))
-    keyed = texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
-    keys = materialize(keyed, "token-keys")
-    distinct = keys.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.max("n_bytes").alias("n_bytes"))
-    try:
+    keys = stored(texts.select("doc_id", digest, F.octet_length("text").cast("long").alias("n_bytes")))
+    total = keys.count()
+    distinct = materialize(keys.select("digest", least).groupBy("digest").agg(F.min("_id").alias("_id"), F.count("*").alias("n")), "token-digests", few(total))
+    misses = distinct
+    if exists(spark, cache):
         known = spark.read.schema(CACHE).parquet(cache).filter(F.col("version") == version).select("digest").distinct()
-        misses = distinct.join(known, "digest", "left_anti")
-    except Exception as e:  # only a cache that isn't there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        misses = distinct
-    # A content's text comes from its lowest document; the side of ids is small and is what gets hashed.
-    wanted = misses.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "digest").hint("shuffle_hash")
-    with_text = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(wanted, "doc_id").filter(F.unhex(F.sha2("text", 256)) == F.col("digest"))
+        misses = materialize(distinct.join(known, "digest", "left_anti"), "token-misses", few(total))
+    # A content's text comes from the rows of its lowest document: no more of them than rows with the digest.
+    with_text = hot_join(texts.select(least, digest, "text"), misses, ["digest", "_id"], "n", total)
     with_text.select("digest", "text").mapInArrow(encode_with(path, version), CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    counted = distinct.select("digest", "n").join(counts, "digest")
-    return hot_join(keys, counted, ["digest"], "n", keys.count()).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counted = materialize(distinct.select("digest", "n").join(counts, "digest"), "token-counted", few(total))
+    return hot_join(keys, counted, ["digest"], "n", total).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strokeforge.llm import components, mixing, simhash, token_counts
+from strokeforge.llm import common, components, mixing, simhash, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, k long"
 
@@ -160,6 +160,17 @@ def test_token_counts_and_cache(spark, tmp_path, name):
     assert token_counts.token_counts(docs.limit(0), cache, path(name)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [10_000, 100])
+def test_token_counts_of_null_and_repeated_ids(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_LEAST", hot)
+    data = [(None, f"text {i % 4000}") for i in range(10_000)] + [(7, "the same row")] * 500 + [(7, "another"), (7, None), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    got = token_counts.token_counts(docs, str(tmp_path / "cache"))
+    texts = [t or "" for _, t in data]
+    want = sorted((d or -1, len(t.encode()), n) for (d, _), t, n in zip(data, texts, library_counts(texts, "word_bpe_49k.json"), strict=True))
+    assert sorted((r.doc_id or -1, r.n_bytes, r.n_tokens) for r in got.collect()) == want
+
+
 def test_word_counter_equals_the_library(monkeypatch):
     from public_tokenizers import path
 
