@@ -10,7 +10,9 @@ estimates are exact.
 
 The next document by id comes by a window over buckets of consecutive ids: their bounds are
 quantiles, MOST_BUCKETS at most, and the first row of each bucket is also sent to the one
-before. Text is shuffled once.
+before. Text is shuffled once. Where ids repeat, rows that are equal are gathered into one with
+their number, keys of id and text hash are put in order without their texts, by ranges, and each
+key then gets the text of the next: no task holds all rows of one id.
 
 Defined results: a null text counts as empty; two empty sketches are alike (1), an empty and
 another are not (0); rows that repeat a doc_id follow one another in an order by their texts'
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import documents, materialize, text_or_empty
 
 K, SHINGLE = 128, 5
 SPACES = " \t\n\x0b\f\r"
@@ -126,8 +128,33 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     return rows.select("doc_id", "fingerprint", F.length("text").cast("long").alias("n_chars"), distinct_shingles(F.col("fingerprint"), k).alias("n_shingles"))
 
 
+def next_of_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, text, next, times for a table whose ids repeat: so many rows have this text and this next document's."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("oid"), text_or_empty("text").alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    one = materialize(rows.groupBy("oid", "tie").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "next-texts")
+    parted = materialize(one.select("oid", "tie").repartitionByRange("oid", "tie").withColumn("part", F.spark_partition_id()), "next-keys")
+    key, by_part = F.struct("oid", "tie"), Window.orderBy("part")
+    firsts = parted.groupBy("part").agg(F.min(key).alias("first"))  # a row a part
+    firsts = firsts.select("part", F.coalesce(F.lead("first").over(by_part), F.min("first").over(Window.partitionBy())).alias("after"))
+    inner = F.lead(key).over(Window.partitionBy("part").orderBy("oid", "tie"))
+    following = parted.withColumn("to", inner).join(F.broadcast(firsts), "part").select("oid", "tie", F.coalesce("to", "after").alias("to"))
+    following = following.select("oid", "tie", F.col("to.oid").alias("next_oid"), F.col("to.tie").alias("next_tie"))
+    texts = one.select(F.col("oid").alias("next_oid"), F.col("tie").alias("next_tie"), F.col("text").alias("next"))
+    both = one.join(following, ["oid", "tie"]).join(texts, ["next_oid", "next_tie"])
+    last, others = F.struct(F.col("next"), F.lit(1).cast("long").alias("times")), F.struct(F.col("text").alias("next"), (F.col("copies") - 1).alias("times"))
+    rows = both.withColumn("x", F.explode(F.when(F.col("copies") > 1, F.array(last, others)).otherwise(F.array(last))))
+    return rows.select(F.when(F.col("oid") > -(1 << 63), F.col("oid")).alias("doc_id"), "text", "x.next", "x.times")
+
+
 def compare_with_next(docs: DataFrame, k: int = K) -> DataFrame:
-    rows, w = with_next(docs)
+    """The digest columns of op1 for every row."""
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("oid"))
+    repeats = not ids.groupBy("oid").count().filter("count > 1").isEmpty()
+    if repeats:
+        rows = with_sketch(next_of_repeats(docs), "next", "following", k)
+    else:
+        rows, w = with_next(docs)
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn(
         "edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next", F.lit(1), half))
@@ -135,12 +162,16 @@ def compare_with_next(docs: DataFrame, k: int = K) -> DataFrame:
     rows = with_sketch(rows, "text", "mine", k).drop("text")
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
     rows = with_sketch(rows, "edited", "other", k).drop("edited")
-    rows = rows.withColumn("following", F.lead("mine").over(w)).filter("guest = 0")
-    return rows.select(
+    if not repeats:
+        rows = rows.withColumn("following", F.lead("mine").over(w)).filter("guest = 0").withColumn("times", F.lit(1).cast("long"))
+    out = rows.select(
         "doc_id", "n_chars", "edited_sha256", text_form(F.col("mine")).alias("fingerprint"), text_form(F.col("other")).alias("edited_fingerprint"),
         resemblance(F.col("mine"), F.col("other"), k).alias("near_edited"), resemblance(F.col("mine"), F.col("following"), k).alias("near_next"),
-        containment(F.col("mine"), F.col("other"), k).alias("contained_in_edited"), distinct_shingles(F.col("mine"), k).alias("n_shingles"),
+        containment(F.col("mine"), F.col("other"), k).alias("contained_in_edited"), distinct_shingles(F.col("mine"), k).alias("n_shingles"), "times",
     )
+    if repeats:
+        out = out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("_")
+    return out.drop("times")
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from strokeforge.llm import fingerprint as fp
@@ -25,9 +27,46 @@ def data(n=90):
     return [*out, (1, None, None, None, None, None, None), (2, "😀é" * 7, "", "", 0, "", ""), (3, " ".join(map(str, range(4000))), "", "", 0, "", ""), (7, "same", "", "", 0, "", ""), (7, "same", "", "", 0, "", "")]
 
 
-def test_against_brute_force(spark, monkeypatch):
+def brute_sketch(text, k=fp.K):
+    """The k least hashes of shingles in hexadecimal, by XXH64 chained from seed 42."""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
+    words = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+    out = set()
+    for i in range(max(1, len(w) - 4) if w else 0):
+        h = 42
+        for x in words[i : i + 5]:
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), h)
+        out.add(h - (1 << 64) if h >> 63 else h)
+    return "".join(f"{h % (1 << 64):016x}" for h in sorted(out)[:k])
+
+
+def test_sketch_values(spark):
+    rows = data()
+    got = {(r.doc_id, r.x): r.s for r in fp.with_sketch(spark.createDataFrame(rows, SCHEMA).select("doc_id", F.coalesce("text", F.lit("")).alias("x")), "x", "s").select("doc_id", "x", fp.text_form(F.col("s")).alias("s")).collect()}
+    assert got == {(d[0], d[1] or ""): brute_sketch(d[1]) for d in rows}
+
+
+def test_many_rows_of_one_id(spark):
+    """Ten thousand rows without an id, a third of them equal, and some ids that repeat with other texts."""
+    texts = [f"text number {i % 50} of the nulls" for i in range(300)] + ["all alike"] * 9700
+    rows = [(None, t) for t in texts] + [(5, "five a"), (5, "five b"), (5, "five b"), (9, None)]
+    got = fp.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert len(got) == len(rows)
+    order = sorted({(d is not None, d or 0, xxhash.xxh64_intdigest((t or "").encode(), 42), t or "") for d, t in rows}, key=lambda x: (x[0], x[1], x[2] - (x[2] >> 63 << 64)))
+    after = {x: y[3] for x, y in zip(order, order[1:] + order[:1], strict=True)}
+    want = []
+    for x in order:
+        n = sum((d is not None, d or 0, t or "") == (x[0], x[1], x[3]) for d, t in rows)
+        for u in [after[x]] + [x[3]] * (n - 1):
+            h = len(x[3]) // 2
+            want.append((x[1] if x[0] else None, hashlib.sha256((x[3][: len(x[3]) - h] + u[:h]).encode()).hexdigest(), round(jaccard(shingles(x[3]), shingles(u)), 9)))
+    assert sorted(((r.doc_id, r.edited_sha256, round(r.near_next, 9)) for r in got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("repeats", [True, False])
+def test_against_brute_force(spark, monkeypatch, repeats):
     monkeypatch.setattr(fp, "BUCKET_ROWS", 8)
-    rows = sorted(data(), key=lambda x: x[0])
+    rows = sorted(data() if repeats else data()[:-1], key=lambda x: x[0])
     out = fp.compare_with_next(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(out) == len(rows)
     got = {(r.doc_id, r.edited_sha256): r for r in out}
