@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-KEY, ROUNDS = "strokeforge", 8
+ROUNDS = 8
+#: Where the key comes from if the caller gives none; a session without it gets a key for trials, which is no secret.
+KEY_CONF, TRIAL_KEY = "spark.strokeforge.pii.key", "strokeforge"
 
 #: kind -> pattern; a match is of the first kind whose pattern it is and whose rule it meets.
 KINDS = {
@@ -71,8 +73,9 @@ def numbers(x: str, key: str, tag: str, m: int, n: int, back: bool, bound: int)
     step = f"IF(r % 2 = 0, named_struct('a', pmod(s.a {sign} {h('s.b')}, {m}L), 'b', s.b), named_struct('a', s.a, 'b', pmod(s.b {sign} {h('s.a')}, {n}L)))"
     order = f"reverse(sequence(0, {ROUNDS - 1}))" if back else f"sequence(0, {ROUNDS - 1})"
     once = f"aggregate({order}, named_struct('a', v % {m}L, 'b', v DIV {m}L), (s, r) -> {step}, s -> s.b * {m}L + s.a)"
-    # m * n is so near the bound that one walk leaves it with a chance below 1 in 500; 24 in a row never end outside.
-    return f"aggregate(sequence(0, 24), cast({x} AS BIGINT), (v, w) -> IF(w > 0 AND v < {bound}L, v, {once}))"
+    # m * n is so near the bound that one walk leaves it with a chance below 1 in 500; 24 in a row that do are an error.
+    left = "cast(raise_error('the walk left the bound 25 times') AS BIGINT)"
+    return f"aggregate(sequence(0, 24), cast({x} AS BIGINT), (v, w) -> IF(w > 0 AND v < {bound}L, v, {once}), v -> IF(v < {bound}L, v, {left}))"
 
 
 def restored(digits: str, like: str) -> str:
@@ -137,8 +140,9 @@ def pseudonym(m: str, kind: str, key: str, back: bool) -> str:
     return bind(day, "x", f"IF(x BETWEEN 0 AND {DAYS - 1}, {made}, NULL)")
 
 
-def replaced(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFrame:
+def replaced(docs: DataFrame, key: str | None = None, back: bool = False) -> DataFrame:
     """docs with text pseudonymised (back: restored) and _found, the (kind, value) pairs replaced."""
+    key = key or docs.sparkSession.conf.get(KEY_CONF, TRIAL_KEY)
     names = docs.columns
     rows = docs.select(F.struct(*[c for c in names if c != "text"]).alias("_row") if len(names) > 1 else F.lit(None).alias("_row"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("m", F.expr(f"IF(text RLIKE '[0-9@]', regexp_extract_all(text, {q(ANY)}, 0), array())"))
@@ -152,11 +156,11 @@ def replaced(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFrame:
     return rows.select(*[F.col("new_text").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in names], F.col("found").alias("_found"))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     return replaced(docs, key)
 
 
-def restore(docs: DataFrame, key: str = KEY) -> DataFrame:
+def restore(docs: DataFrame, key: str | None = None) -> DataFrame:
     return replaced(docs, key, back=True)
 
 
