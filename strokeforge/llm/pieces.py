@@ -275,5 +275,5 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document of the mix as pieces."""
+    """Every row of docs as pieces; a null text is encoded as empty, rows that repeat are each returned, an empty table gives an empty one."""
     return encode_documents(docs)
