@@ -7,10 +7,18 @@ where the symbols that the longer one has seen are excluded and the rest shares
 mass; below order 0 all 256 bytes are alike. The probabilities of a context sum to one, so a
 text's code length under each language is exact, and the shortest names the language.
 
-Frozen statistics allow a table: every context that any language has seen is a state with a
-row of code lengths for each symbol and language, and the state before each byte follows from
-the three bytes before it. So scoring is a few numpy gathers per byte, over Arrow's buffer
-of a whole batch, in pieces of bounded size; a long text is never cut.
+Frozen statistics allow tables. Where they are small, every context that any language has seen
+is a state with a row of code lengths for each symbol and language, and the state before each
+byte follows from the three bytes before it: a few numpy gathers per byte. Where languages are
+many, each keeps sorted tables of the symbols that its contexts have seen and of its contexts'
+escapes; a byte's code length is then the sum of the escapes down to the context that has seen
+it. Both give the same code lengths. Scoring works over Arrow's buffer in pieces of bounded
+size; a long text is never cut.
+
+The sample is bounded: texts are cut into pieces of CHUNK characters, and of each language
+those with the least hashes of text and place are learned, TRAIN_BYTES a language and
+TOTAL_BYTES of all languages at most, but one piece of each language at least. So every label
+with text is learned, long texts give part of their pieces and texts that repeat count once.
 
 Defined results: `und` with score 0 for a text that is null or has no letters; equal code
 lengths go to the language that sorts first; score is the posterior probability of the
@@ -25,31 +33,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, give_back, slices
 
 ORDER = 3
-#: The bound of the training sample: about so many bytes of text for each language, whole
-#: documents chosen by a hash of the text; all of them for a language that has less.
-TRAIN_BYTES = 1_000_000
-#: Labels whose documents are learned at most, the most frequent first; the bound of the model.
-MOST_LANGUAGES = 64
-PIECE = 1 << 19
-
-
-def training_sample(labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> dict[str, list[bytes]]:
-    """lang -> texts from labelled (text, lang), at most about train_bytes for each language."""
-    rows = labelled.select("lang", F.col("text").cast("binary").alias("text")).filter("lang IS NOT NULL AND length(text) > 0")
-    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+#: The bounds of the training sample in bytes, for a language and in all, and its pieces in characters.
+TRAIN_BYTES, TOTAL_BYTES, CHUNK = 1_000_000, 16_000_000, 2048
+#: Larger tables by state and symbol are not built; sorted ones take their place.
+DENSE_BYTES = 64 << 20
+PIECE = 1 << 18
+
+
+def training_sample(labelled: DataFrame, train_bytes: int = TRAIN_BYTES, total_bytes: int = TOTAL_BYTES) -> dict[str, list[bytes]]:
+    """lang -> pieces of texts from labelled (text, lang)."""
+    spark = labelled.sparkSession
+    rows = labelled.filter("lang IS NOT NULL AND length(text) > 0").select("lang", F.col("text").cast("string").alias("text"))
+    distinct = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.max(F.octet_length("text")).alias("n"))
+    sizes = distinct.groupBy("lang").agg(F.sum("n").alias("n")).collect()  # a row a language, as the model has
     if not sizes:
         return {}
-    share = labelled.sparkSession.createDataFrame([(r["lang"], float(min(1.0, train_bytes / r["n"]))) for r in sizes], "lang string, share double")
-    chosen = rows.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    each = min(train_bytes, max(total_bytes // len(sizes), 1))
+    # A little more than wanted is drawn, and what is beyond the bound goes after it is put in order.
+    share = spark.createDataFrame([(r["lang"], float(min(1.0, 1.5 * each / r["n"] + 8.0 * CHUNK / r["n"]))) for r in sizes], "lang string, share double")
+    numbers = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / CHUNK).cast("int"))
+    # The digest is bound to a name, else each place would hash the whole text.
+    places = F.element_at(F.transform(F.array(F.xxhash64("text")), lambda d: F.transform(numbers, lambda i: F.struct(i.alias("i"), F.xxhash64(d, i).alias("h")))), 1)
+    drawn = lambda c: F.shiftrightunsigned(c["h"], 11) < F.col("share") * float(1 << 53)
+    chosen = rows.join(F.broadcast(share), "lang").withColumn("c", F.explode(F.filter(places, drawn)))  # a row a language
+    part = F.substring("text", F.col("c.i") * CHUNK + 1, F.lit(CHUNK)).cast("binary")
+    chosen = chosen.select("lang", F.shiftrightunsigned("c.h", 11).alias("h"), part.alias("part")).groupBy("lang", "h").agg(F.first("part").alias("part"))
+    upto = F.sum(F.length("part")).over(Window.partitionBy("lang").orderBy("h")) - F.length("part")
     out: dict[str, list[bytes]] = {}
-    for r in chosen.select("lang", "text").collect():
-        out.setdefault(r["lang"], []).append(bytes(r["text"]))
+    for r in chosen.withColumn("upto", upto).filter(F.col("upto") < each).select("lang", "part").collect():
+        out.setdefault(r["lang"], []).append(bytes(r["part"]))
+    missing = [r["lang"] for r in sizes if r["lang"] not in out]
+    if missing:  # a language none of whose pieces was drawn
+        least = rows.join(F.broadcast(spark.createDataFrame([(x,) for x in missing], "lang string")), "lang")
+        least = least.groupBy("lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.substring("text", 1, CHUNK).alias("part"))).alias("x"))
+        for r in least.select("lang", F.col("x.part").cast("binary").alias("part")).collect():
+            out[r["lang"]] = [bytes(r["part"])]
     return {k: sorted(v) for k, v in out.items()}
 
 
@@ -57,11 +81,12 @@ class Model:
     """Frozen context trees of some languages, as tables.
 
     symbol: byte -> symbol; bytes that no language has seen share the last symbol but one, the
-    last stands for what is before a text. state: code of the three symbols before a byte ->
-    state; cost[state * symbols + symbol, language]: bits.
+    last stands for what is before a text. If dense, state: code of the three symbols before a
+    byte -> state; cost[state * symbols + symbol, language]: bits. Else for each language and
+    order: the codes of (context, symbol) seen, their bits, the contexts, their escapes' bits.
     """
 
-    def __init__(self, sample: dict[str, list[bytes]], order: int = ORDER):
+    def __init__(self, sample: dict[str, list[bytes]], order: int = ORDER, dense_bytes: int = DENSE_BYTES):
         if not 1 <= order <= 3:
             raise ValueError("orders 1 to 3")
         self.languages, self.order = sorted(sample), order
@@ -73,46 +98,61 @@ class Model:
                 seen[np.frombuffer(t, np.uint8)] = True
         known = np.flatnonzero(seen)
         self.novel, self.pad, self.n = len(known), len(known) + 1, len(known) + 2
-        self.symbol = np.full(256, self.novel, np.uint8)
+        self.symbol = np.full(256, self.novel, np.uint16)
         self.symbol[known] = np.arange(len(known))
         n, weight = self.n, np.ones(self.n)
         weight[self.novel], weight[self.pad] = 256 - len(known), 0
+        self.base = np.where(weight > 0, weight / 256, 0)
+        self.spread = np.where(np.arange(n) == self.novel, max(weight[self.novel], 1), 1)  # bytes that share a symbol
         grams = {lang: self._grams(texts) for lang, texts in sample.items()}
         # States: the empty context, then all contexts of each order that any language has seen.
-        contexts = [np.unique(np.concatenate([grams[lang][k][0] // n for lang in self.languages])) for k in range(order + 1)]
+        contexts = [np.unique(np.concatenate([np.unique(grams[lang][k][0] // n) for lang in self.languages])) for k in range(order + 1)]
         first = np.cumsum([0] + [len(c) for c in contexts])
-        if first[-1] * n * len(self.languages) * 4 > 1 << 30:
-            raise ValueError("the tables of the model take over 1 GB: lower TRAIN_BYTES")
-        self.cost = np.empty((int(first[-1]) * n, len(self.languages)), np.float32)
-        base = np.where(weight > 0, weight / 256, 0)
-        for at, lang in enumerate(self.languages):
-            below = np.broadcast_to(base, (1, n))
-            for k in range(order + 1):
-                codes, counts = grams[lang][k]
-                c = contexts[k]
-                row = np.searchsorted(c, codes // n)
-                freq = np.zeros((len(c), n))
-                freq[row, codes % n] = counts
-                kinds, total = (freq > 0).sum(1, keepdims=True), freq.sum(1, keepdims=True)
-                parent = np.zeros(len(c), int) if k <= 1 else np.searchsorted(contexts[k - 1], c % n ** (k - 1))
-                p = below[parent] if k else np.repeat(below, len(c), 0)
-                rest = np.where(freq > 0, 0, p)
-                mass = rest.sum(1, keepdims=True)
-                escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1)
-                spread = rest * np.divide(escape, mass, out=np.zeros_like(mass), where=mass > 0)
-                full = np.where((total > 0) & (mass <= 0), freq / np.maximum(total, 1), freq / np.maximum(total + kinds, 1) + spread)
-                below = np.where(total > 0, full, p)
-                with np.errstate(divide="ignore"):
-                    bits = -np.log2(below / np.where(np.arange(n) == self.novel, max(weight[self.novel], 1), 1))
-                self.cost[first[k] * n : first[k + 1] * n, at] = np.where(np.isfinite(bits), bits, 0).ravel()
-        # The state of every possible context of ORDER symbols: its longest suffix that is a state.
-        state = np.zeros(n**order, np.int32)
-        for k in range(1, order + 1):
-            suffix = np.arange(n**order) % n**k
-            at = np.minimum(np.searchsorted(contexts[k], suffix), max(len(contexts[k]) - 1, 0))
-            hit = contexts[k][at] == suffix
-            state[hit] = (first[k] + at)[hit]
-        self.state = state
+        self.dense = int(first[-1]) * n * len(self.languages) * 4 + 4 * n**order <= dense_bytes
+        if self.dense:
+            self.cost = np.empty((int(first[-1]) * n, len(self.languages)), np.float32)
+            for at, lang in enumerate(self.languages):
+                for k, (below, _) in enumerate(self._orders(grams[lang], contexts)):
+                    self.cost[first[k] * n : first[k + 1] * n, at] = self._bits(below / self.spread).ravel()
+            # The state of every possible context of ORDER symbols: its longest suffix that is a state.
+            state = np.zeros(n**order, np.int32)
+            for k in range(1, order + 1):
+                suffix = np.arange(n**order) % n**k
+                at = np.minimum(np.searchsorted(contexts[k], suffix), max(len(contexts[k]) - 1, 0))
+                hit = contexts[k][at] == suffix
+                state[hit] = (first[k] + at)[hit]
+            self.state = state
+        else:
+            self.tables = []
+            for lang in self.languages:
+                own = [np.unique(codes // n) for codes, _ in grams[lang]]
+                self.tables.append([])
+                for (codes, _), c, (below, escape) in zip(grams[lang], own, self._orders(grams[lang], own), strict=True):
+                    p = below[np.searchsorted(c, codes // n), codes % n] / self.spread[codes % n]
+                    self.tables[-1].append((codes, self._bits(p).astype(np.float32), c, self._bits(escape).astype(np.float32)))
+
+    @staticmethod
+    def _bits(p: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            bits = -np.log2(p)
+        return np.where(np.isfinite(bits), bits, 0)
+
+    def _orders(self, grams: list, contexts: list[np.ndarray]):
+        """For each order the probabilities (context, symbol), and what a symbol not seen has of its probability one order lower."""
+        n, below = self.n, self.base[None]
+        for k, ((codes, counts), c) in enumerate(zip(grams, contexts, strict=True)):
+            freq = np.zeros((len(c), n), np.float32)
+            freq[np.searchsorted(c, codes // n), codes % n] = counts
+            kinds, total = (freq > 0).sum(1, keepdims=True), freq.sum(1, keepdims=True, dtype=np.float64)
+            parent = np.zeros(len(c), int) if k <= 1 else np.searchsorted(contexts[k - 1], c % n ** (k - 1))
+            p = below[parent] if k else np.repeat(below, len(c), 0)
+            rest = np.where(freq > 0, 0, p)
+            mass = rest.sum(1, keepdims=True)
+            escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1)
+            share = np.divide(escape, mass, out=np.zeros_like(mass), where=mass > 0)
+            full = np.where((total > 0) & (mass <= 0), freq / np.maximum(total, 1), freq / np.maximum(total + kinds, 1) + rest * share)
+            below = np.where(total > 0, full, p)
+            yield below, share[:, 0]
 
     def _grams(self, texts: list[bytes]):
         """For each order the codes of (context, symbol) and their counts."""
@@ -149,10 +189,31 @@ class Model:
                     at = inner[a:b] + i - lo
                     prev[at[(at >= 0) & (at < hi - lo)]] = self.pad
                 code += prev * np.int32(n ** (j - 1))
-            cost = self.cost[self.state[code] * n + s[back:]]
             first = max(int(np.searchsorted(inner, lo, "right")) - 1, 0)
             cuts = np.maximum(inner[first : np.searchsorted(inner, hi)] - lo, 0)
-            out[number[first : first + len(cuts)]] += np.add.reduceat(cost, cuts, axis=0, dtype=np.float64)
+            own = number[first : first + len(cuts)]
+            if self.dense:
+                out[own] += np.add.reduceat(self.cost[self.state[code] * n + s[back:]], cuts, axis=0, dtype=np.float64)
+            else:
+                for at, table in enumerate(self.tables):
+                    out[own, at] += np.add.reduceat(self._sparse(table, code, s[back:]), cuts)
+        return out
+
+    def _sparse(self, table: list, code: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Bits of each symbol after the context of ORDER symbols that code holds, under one language."""
+        n, out, left = self.n, np.zeros(len(code)), np.arange(len(code))
+        for k in range(self.order, -1, -1):
+            codes, bits, contexts, escapes = table[k]
+            context = code[left].astype(np.int64) % n**k
+            key = context * n + symbol[left]
+            at = np.minimum(np.searchsorted(codes, key), len(codes) - 1)
+            hit = codes[at] == key
+            out[left[hit]] += bits[at[hit]]
+            left, context = left[~hit], context[~hit]
+            if len(left):
+                at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+                out[left] += np.where(contexts[at] == context, escapes[at], 0)
+        out[left] += 8  # no context has seen the byte: all 256 are alike
         return out
 
 
@@ -161,22 +222,24 @@ def predict_with(model, names: list[str]):
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        for batch in batches:
-            text = batch.column("text").cast(pa.large_binary()).fill_null(b"")
-            starts = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-            data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
-            letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
-            if m.languages and len(text):
-                bits = m.bits(data, starts)
-                best = bits.argmin(1)
-                score = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
-                per = bits.min(1) / np.maximum(np.diff(starts), 1)
-                lang = np.where(letters, np.array(m.languages, object)[best], "und")
-                score, per = np.where(letters, score, 0.0), np.where(letters, per, 0.0)
-            else:
-                lang, score, per = np.full(len(text), "und", object), np.zeros(len(text)), np.zeros(len(text))
-            kept = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(per)], names=[*names, "lang_pred", "score", "bits_per_byte"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                text = batch.column("text").cast(pa.large_binary()).fill_null(b"")
+                starts = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+                data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+                letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
+                if m.languages and len(text):
+                    bits = m.bits(data, starts)
+                    best = bits.argmin(1)
+                    score = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
+                    per = bits.min(1) / np.maximum(np.diff(starts), 1)
+                    lang = np.where(letters, np.array(m.languages, object)[best], "und")
+                    score, per = np.where(letters, score, 0.0), np.where(letters, per, 0.0)
+                else:
+                    lang, score, per = np.full(len(text), "und", object), np.zeros(len(text)), np.zeros(len(text))
+                kept = [batch.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(per)], names=[*names, "lang_pred", "score", "bits_per_byte"])
+            give_back()
 
     return predict
 
@@ -211,7 +274,11 @@ REJECT_BITS = 7.0
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that have a language, with all their columns; lang stays as it is."""
+    """The documents that have a language, with all their columns; lang stays as it is.
+
+    Null and empty texts, and texts without letters, have none and go; rows that repeat stay or
+    go together; without labels every document goes; an empty table gives an empty one.
+    """
     others = [c for c in docs.columns if c != "text"]
     row = docs.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"))
     found = apply_model(row, docs.filter(~held_out()))
