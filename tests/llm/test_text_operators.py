@@ -1,11 +1,13 @@
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from strokeforge.llm import langid, line_dedup, pieces, simhash, topk
+from strokeforge.llm import common, langid, line_dedup, pieces, simhash, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, line string, w int, row string"
 
@@ -45,11 +47,13 @@ def brute_bits(model_texts, data, order=3):
     return -sum(math.log2(dist(tuple(padded[i - order : i]))[padded[i]]) for i in range(order, len(padded)))
 
 
-def test_code_lengths_are_exact(monkeypatch):
+@pytest.mark.parametrize("dense_bytes", [langid.DENSE_BYTES, 0])
+def test_code_lengths_are_exact(monkeypatch, dense_bytes):
     monkeypatch.setattr(langid, "PIECE", 7)
     r = random.Random(4)
     sample = {"a": [b"the cat sat on the mat", "été là".encode(), b"abab"], "b": [b"der hund und die katze", b"q"]}
-    m = langid.Model(sample)
+    m = langid.Model(sample, dense_bytes=dense_bytes)
+    assert m.dense == (dense_bytes > 0)
     texts = [b"", b"the", b"a", "hünd zz été".encode(), bytes(r.randrange(256) for _ in range(40)), b"", b"katze und cat"]
     starts = np.cumsum([0] + [len(t) for t in texts])
     bits = m.bits(np.frombuffer(b"".join(texts), np.uint8), starts)
@@ -75,6 +79,24 @@ def test_language_id_cases(spark):
     assert stage.columns == docs.columns and {r.doc_id for r in stage.collect()} == {d[0] for d in data} - {100, 101, 102}
 
 
+def test_every_label_is_learned(spark):
+    """A hundred labels, three huge documents of one language, one text that repeats, a text of one letter."""
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(40)]
+    data = [(i, " ".join(r.choice(words) + f" l{i % 100}" for _ in range(30)), f"l{i % 100:02}") for i in range(300)]
+    data += [(1000 + i, f"grand texte numéro {i} " * 150_000, "huge") for i in range(3)]
+    data += [(2000 + i, "the very same text each time " * 40_000, "same") for i in range(40)]
+    data += [(3000, "q", "one"), (3001, None, "none"), (3002, "", "none")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    sample = langid.training_sample(docs)
+    assert set(sample) == {d[2] for d in data} - {"none"}
+    assert all(v and sum(map(len, v)) <= langid.TOTAL_BYTES // len(sample) + langid.CHUNK * 4 for v in sample.values())
+    assert sum(map(len, sample["huge"])) > 50_000 and sum(map(len, sample["same"])) > 10_000
+    got = {x.doc_id: x.lang_pred for x in langid.identify(docs.filter("doc_id < 1003 OR doc_id >= 2039"), docs).collect()}
+    assert got[1000] == "huge" and got[2039] == "same" and got[3001] == "und"
+    assert sum(got[i] == f"l{i % 100:02}" for i in range(300)) > 290
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.op3_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").filter("held_out").select("lang", "lang_pred").collect()
@@ -82,66 +104,108 @@ def test_held_out_accuracy(spark):
 
 
 def brute_lines(data):
-    seen, gone = set(), defaultdict(set)
-    for d in sorted({(x[0], x[1]) for x in data if x[1] is not None}):
-        lines = d[1].split("\n")
+    """For each row the numbers of its lines that later occurrences of three-line windows cover."""
+    seen, gone = set(), [set() for _ in data]
+    order = [i for i, d in enumerate(data) if d[1] is not None]
+    for r in sorted(order, key=lambda i: (data[i][0] is not None, data[i][0] or 0, int(hashlib.md5(data[i][1].encode()).hexdigest()[:15], 16))):
+        lines = data[r][1].split("\n")
         for i in range(len(lines) - 2):
             w = tuple(lines[i : i + 3])
-            if not any(x.strip(" ") for x in w):
-                continue
             if w in seen:
-                gone[d] |= {i, i + 1, i + 2}
+                gone[r] |= {i, i + 1, i + 2}
             seen.add(w)
     return gone
 
 
-def test_line_dedup(spark):
+def kept_lines(data):
+    return [None if d[1] is None else "\n".join(x for i, x in enumerate(d[1].split("\n")) if i not in g) for d, g in zip(data, brute_lines(data), strict=True)]
+
+
+def line_cases():
     r = random.Random(2)
     lines = ["a", "b", "", " ", "cc", "é", "dd"]
     data = [doc(i, "\n".join(r.choice(lines) for _ in range(r.randrange(12)))) for i in range(60)]
     data += [doc(90, None), doc(91, "one\ntwo"), doc(92, "x\n" * 5000), doc(93, "q\nw\ne"), doc(93, "q\nw\ne"), doc(94, "\n\n\n\n\n"), doc(95, "q\nw\ne\nr")]
+    return data + [doc(96, "m\nn\no\np")] * 3 + [doc(96, "other\ntext\nhere"), doc(None, "u\nv\nw"), doc(None, "u\nv\nw"), doc(None, "u\nv\nz"), doc(97, ""), doc(97, "")]
+
+
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_line_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_LEAST", hot)
+    data = line_cases()
     docs = spark.createDataFrame(data, SCHEMA)
-    out = line_dedup.dedup_lines(docs)
-    gone = brute_lines(data)
-    want = sorted((d[0], None if d[1] is None else "\n".join(x for i, x in enumerate(d[1].split("\n")) if i not in gone[(d[0], d[1])])) for d in data)
-    key = lambda x: (x[0], x[1] or "")
-    assert sorted(((x.doc_id, x.text) for x in out.collect()), key=key) == sorted(want, key=key)
+    out = line_dedup.dedup_lines(docs.repartition(5))
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted(((x.doc_id, x.text) for x in out.collect()), key=key) == sorted(zip([d[0] for d in data], kept_lines(data), strict=True), key=key)
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
     stage = line_dedup.line_stage(spark, docs, "")
     assert stage.columns == docs.columns and all(x.n_chars == (None if x.text is None else len(x.text)) for x in stage.collect())
 
 
+def test_line_sql_tells_rows_apart(spark, tmp_path):
+    import duckdb
+
+    data = line_cases()
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = line_dedup.op10_line_dedup(spark, str(tmp_path))
+    key = lambda x: tuple(map(str, x))
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(con.sql(line_dedup.SQL).fetchall(), key=key)
+
+
 def brute_topk(data, k, every):
-    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in data if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    exact = lambda x: math.floor(Fraction(x) * 256)
+    ok = [(i, [exact(x) for x in v]) for i, v in data if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in sorted({(i, tuple(v)) for i, v in ok if i % every == 0}):
-        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in ok if i != q)
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+    for at, (q, v) in enumerate(ok):
+        if q % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for n, (i, w) in enumerate(ok) if n != at)
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [8, 64, 8192])
+VECTORS = "vec_id long, embedding array<float>, v int, q int, uid int, side int"
+
+
+@pytest.mark.parametrize("block", [8, 64, None])
 def test_topk(spark, block):
     g = np.random.default_rng(5)
     data = [(i, [float(np.float32(x)) for x in g.normal(0, 0.3, 6)]) for i in range(200)]
     data += [(300 + i, data[3][1]) for i in range(30)]
-    data += [(400, None), (410, [None] * 6), (420, [float("nan")] * 6), (430, [float("inf")] + [0.0] * 5), (440, []), (450, [0.5])]
-    df = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in data], "vec_id long, embedding array<float>, v int, q int, side int")
+    data += [(400, None), (410, [None] * 6), (420, [float("nan")] * 6), (430, [float("inf")] + [0.0] * 5), (440, []), (450, [0.5]), (None, [1.0])]
+    data += [(460, data[5][1]), (460, data[6][1]), (460, data[6][1])]  # rows that repeat an id
+    df = spark.createDataFrame([(i, v, 1, 2, 3, 4) for i, v in data], VECTORS)
     got = topk.top_k(df, 5, 10, block, 16)
     assert sorted(tuple(r) for r in got.collect()) == brute_topk(data, 5, 10)
     assert topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.filter("vec_id = 10"), 5, 10).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1e5, 1e6, 2.5e6])
+def test_topk_of_large_components(spark, scale):
+    g = np.random.default_rng(7)
+    data = [(0, [scale]), (1, [scale]), (2, [2 * scale])] + [(i, [float(x) * scale for x in g.integers(-3, 4, 2)]) for i in range(3, 40)]
+    got = topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), 5, 3)
+    assert sorted(tuple(r) for r in got.collect()) == brute_topk(data, 5, 3)
+
+
+def test_topk_refuses_scores_beyond_64_bits(spark):
+    df = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="over 64 bits"):
+        topk.top_k(df, 1, 3).collect()
+    assert [tuple(r) for r in topk.top_k(df.filter("vec_id <> 1"), 1, 3).collect()] == [(0, 1, 2, 0)]
+
+
 def test_topk_few_dimensions_stop_early():
     g = np.random.default_rng(6)
-    x = np.floor(256 * g.standard_t(2, (4000, 3))).astype(np.int64)
+    x = np.floor(256 * g.standard_t(2, (4000, 3)))
     index = topk.Index(x)
     sizes = []
     for q in range(0, 200, 20):
         rows, scores = index.search(x[q], 5, q)
         b = x @ x[q]
-        b[q] = np.iinfo(np.int64).min
+        b[q] = -np.inf
         assert sorted(scores)[-5:] == sorted(b)[-5:]
         sizes.append(len(rows))
     assert max(sizes) < 1000
