@@ -109,6 +109,16 @@ def count_id(n: str) -> str:
     return packed(f"greatest(0, least(cast({n} AS INT), {SCALARS - 1}))")
 
 
+def symbol_id(name: str) -> str:
+    """The id of a fixed symbol's name; null for other names."""
+    return f"CASE {name} " + " ".join(f"WHEN '{v}' THEN {k}" for k, v in SYMBOLS.items()) + " END"
+
+
+def curvature_id(bin: str) -> str:
+    """The id of a curvature bin, which is taken into the range there is."""
+    return f"cast({CURVATURE} + greatest(0, least({bin}, {CURVATURE_BINS - 1})) AS INT)"
+
+
 def bound(level: int | str = LEVEL, canvas: float = CANVAS) -> str:
     """The largest distance of a point from its cell's centre."""
     return f"({canvas!r}D / power(2D, {level}) / 2 * sqrt(2D))"

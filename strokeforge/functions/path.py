@@ -13,6 +13,7 @@ from .sqlgen import doubles, let, lit, trimmed
 COMMANDS = "array<struct<c:string,p:array<double>,sx:double,sy:double,ex:double,ey:double>>"
 RAW = "array<struct<c:string,p:array<double>>>"
 NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+#: Fixed values of the format: parameters of each command, and the arm of a quarter of a circle.
 ARITY = {"M": 2, "L": 2, "H": 1, "V": 1, "C": 6, "S": 4, "Q": 4, "T": 2, "A": 7, "Z": 0}
 KAPPA = 0.5522847498
 #: allclose() of numpy: what a diagonal and another entry may differ from the identity's.
@@ -26,7 +27,7 @@ def lexed(d: str) -> str:
     groups = ", ".join(f"g{i}[k]" for i in range(1, 8))
     arcs = let({f"g{i}": f"regexp_extract_all(t, {lit(arc)}, {i})" for i in range(1, 8)}, f"flatten(transform(IF(size(g1) = 0, cast(array() AS ARRAY<INT>), sequence(0, size(g1) - 1)), k -> array({groups})))", "array<string>")
     plain = f"regexp_extract_all(t, {lit('(' + NUMBER + ')')}, 1)"
-    one = f"named_struct('c', substr(t, 1, 1), 'n', {doubles(f'IF(lower(substr(t, 1, 1)) = {lit(chr(97))}, {arcs}, {plain})')})"
+    one = f"named_struct('c', substr(t, 1, 1), 'n', {doubles(f"IF(lower(substr(t, 1, 1)) = 'a', {arcs}, {plain})")})"
     return f"transform(regexp_extract_all({d}, '([MmLlHhVvCcSsQqTtAaZz][^MmLlHhVvCcSsQqTtAaZz]*)', 1), t -> {one})"
 
 
@@ -153,8 +154,8 @@ def transform_matrix(texts: str, start: str = IDENTITY) -> str:
     one = (
         f"CASE WHEN t LIKE 'matrix%' THEN IF(size(v) >= 6, {matrix(*[f'v[{i}]' for i in range(6)])}, {IDENTITY}) "
         f"WHEN t LIKE 'translate%' THEN {matrix('1D', '0D', '0D', '1D', get(0, '0D'), get(1, '0D'))} WHEN t LIKE 'scale%' THEN {matrix(get(0, '1D'), '0D', '0D', get(1, get(0, '1D')), '0D', '0D')} "
-        f"WHEN t LIKE 'rotate%' THEN {turn} WHEN t LIKE 'skewX%' THEN {matrix('1D', '0D', f'tan(radians({get(0, chr(48) + chr(68))}))', '1D', '0D', '0D')} "
-        f"ELSE {matrix('1D', f'tan(radians({get(0, chr(48) + chr(68))}))', '0D', '1D', '0D', '0D')} END"
+        f"WHEN t LIKE 'rotate%' THEN {turn} WHEN t LIKE 'skewX%' THEN {matrix('1D', '0D', f"tan(radians({get(0, '0D')}))", '1D', '0D', '0D')} "
+        f"ELSE {matrix('1D', f"tan(radians({get(0, '0D')}))", '0D', '1D', '0D', '0D')} END"
     )
     calls = f"flatten(transform({texts}, x -> regexp_extract_all(coalesce(x, ''), {lit(call)}, 1)))"
     step = let({"v": doubles(f"regexp_extract_all(substring_index(t, '(', -1), {lit(number)}, 1)"), "n": one}, product("m", "n"), AFFINE)

@@ -33,7 +33,8 @@ def _mean(group: str) -> str:
 
 def aligned(e: str) -> str:
     """Rows (equal cy), then columns (equal cx)."""
-    one = lambda kind, axis: f"transform({grouped(f'transform({e}, x -> named_struct({chr(39)}v{chr(39)}, x.{axis}, {chr(39)}i{chr(39)}, x.i))', ALIGN)}, g -> {rel(kind, 'array_sort(transform(g, x -> x.i))', _mean('g'))})"
+    values = lambda axis: f"transform({e}, x -> named_struct('v', x.{axis}, 'i', x.i))"
+    one = lambda kind, axis: f"transform({grouped(values(axis), ALIGN)}, g -> {rel(kind, 'array_sort(transform(g, x -> x.i))', _mean('g'))})"
     return f"concat({one('ALIGN_CENTER_H', 'cy')}, {one('ALIGN_CENTER_V', 'cx')})"
 
 

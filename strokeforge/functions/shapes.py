@@ -66,7 +66,7 @@ def rect_shape() -> str:
     xs, ys = ("array(" + ", ".join(f"s[{i}].{a}" for i in range(4)) + ")" for a in ("ex", "ey"))
     body = let(
         {"q": f"array({', '.join(edge(i) for i in range(4))})", "xs": xs, "ys": ys, "w": "array_max(xs) - array_min(xs)", "h": "array_max(ys) - array_min(ys)"},
-        f"IF({long_enough}, IF({square} AND {even} AND w >= 1 AND h >= 1, {_shape(chr(39) + 'rect' + chr(39), ['array_min(xs)', 'array_min(ys)', 'w', 'h'], '1D')}, NULL), NULL)",
+        f"IF({long_enough}, IF({square} AND {even} AND w >= 1 AND h >= 1, {_shape("'rect'", ['array_min(xs)', 'array_min(ys)', 'w', 'h'], '1D')}, NULL), NULL)",
         SHAPE,
     )
     return f"IF(letters RLIKE '^M[LHV]{{3,4}}Z$', {body}, NULL)"
@@ -80,7 +80,7 @@ def rounded_shape() -> str:
             "rx": "aggregate(cs, 0D, (a, k) -> a + abs(k.ex - k.sx)) / size(cs)", "ry": "aggregate(cs, 0D, (a, k) -> a + abs(k.ey - k.sy)) / size(cs)",
         },
         f"IF(size(pts) >= 8 AND w >= 2 AND h >= 2 AND rx >= 0.5 AND ry >= 0.5 AND rx <= w / 2 + {RECT_TOLERANCE} AND ry <= h / 2 + {RECT_TOLERANCE}, "
-        f"{_shape(chr(39) + 'round_rect' + chr(39), ['array_min(xs)', 'array_min(ys)', 'w', 'h', 'rx', 'ry'], '0.85D')}, NULL)",
+        f"{_shape("'round_rect'", ['array_min(xs)', 'array_min(ys)', 'w', 'h', 'rx', 'ry'], '0.85D')}, NULL)",
         SHAPE,
     )
     return f"IF(letters RLIKE '^M.*Z$' AND size(s) >= 8 AND length(regexp_replace(letters, '[^AC]', '')) = 4 AND length(regexp_replace(letters, '[^LHV]', '')) >= 3, {body}, NULL)"

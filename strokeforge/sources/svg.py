@@ -30,6 +30,10 @@ UNSUPPORTED = {
     "<foreignobject": "foreignObject", "<animate": "SMIL animation", "<animatetransform": "SMIL animation", "<set ": "SMIL animation",
 }
 
+#: Blocks that say something about a drawing and aren't drawn.
+NOTES = ("desc", "title", "metadata")
+COMMENT, BLOCK = r"(?s)<!--.*?-->", r"(?is)<TAG\b[^>]*>.*?</TAG>"
+
 ELEMENT = "struct<tag:string,id:string,gid:string,attributes:map<string,string>,d:string,v:array<double>,transforms:array<string>,transform:string>"
 PARSED = f"struct<width:double,height:double,viewbox:array<double>,elements:array<{ELEMENT}>,error:string>"
 
@@ -39,9 +43,12 @@ def read_svg(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("svg"))
 
 
-def write_svg(df: DataFrame, path: str) -> None:
-    """One text record per document, in files of a folder."""
-    df.select("svg").write.mode("overwrite").text(path)
+def write_svg(df: DataFrame, path: str, key: str | None = None) -> None:
+    """One text record per document, in files of a folder; with a key that tells documents apart, a file for each in a folder of its key."""
+    if key:
+        df.select(key, "svg").write.mode("overwrite").partitionBy(key).text(path)
+    else:
+        df.select("svg").write.mode("overwrite").text(path)
 
 
 def _numbers(node: ET.Element, tag: str) -> list[float]:
@@ -96,32 +103,44 @@ def _arrow_type() -> pa.DataType:
     return pa.struct([("width", pa.float64()), ("height", pa.float64()), ("viewbox", pa.list_(pa.float64())), ("elements", pa.list_(element)), ("error", pa.string())])
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for svg in batch.column("svg"):
-            text = svg.as_py()
-            if text is None:
-                out.append(None)
-                continue
-            try:
-                row = parse_xml(text)
-                out.append(row | {"elements": [e | {"attributes": list(e["attributes"].items())} for e in row["elements"]]})
-            except Exception as e:  # whatever is wrong with one document is its own error
-                out.append({"width": None, "height": None, "viewbox": None, "elements": None, "error": f"failed to parse SVG: {e}"})
-        names = batch.schema.names
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _arrow_type())], names=[*names, "doc"])
-
-
-def parse(df: DataFrame) -> DataFrame:
-    """df, which has svg, with doc: PARSED; null where svg is null."""
+def _documents(svgs: pa.Array) -> pa.Array:
+    out = []
+    for svg in svgs:
+        text = svg.as_py()
+        if text is None:
+            out.append(None)
+            continue
+        try:
+            row = parse_xml(text)
+            out.append(row | {"elements": [e | {"attributes": list(e["attributes"].items())} for e in row["elements"]]})
+        except Exception as e:  # whatever is wrong with one document is its own error
+            out.append({"width": None, "height": None, "viewbox": None, "elements": None, "error": f"failed to parse SVG: {e}"})
+    return pa.array(out, _arrow_type())
+
+
+def parse(df: DataFrame, **texts: str) -> DataFrame:
+    """df with new columns of PARSED from columns of documents, in one step: doc from svg, if none is named; null for null.
+
+    A map of whole rows and not a function of a column: Catalyst would join the expressions
+    before it with those after it into one, whose nested lambdas it can't compile.
+    """
+    texts = texts or {"doc": "svg"}
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(_parse, f"{kinds}, doc {PARSED}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [_documents(batch.column(column)) for column in texts.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *texts])
+
+    return df.mapInArrow(run, kinds + "".join(f", {name} {PARSED}" for name in texts))
 
 
 def without_notes(svg: str) -> str:
-    """SQL: svg without comments, desc, title and metadata blocks."""
-    return f"regexp_replace({svg}, {lit('(?is)<!--.*?-->|<(desc|title|metadata)' + chr(92) + 'b[^>]*>.*?</' + chr(92) + '1>')}, '')"
+    """SQL: svg without comments, and then without the blocks of NOTES, one kind after another."""
+    out = f"regexp_replace({svg}, {lit(COMMENT)}, '')"
+    for tag in NOTES:
+        out = f"regexp_replace({out}, {lit(BLOCK.replace('TAG', tag))}, '')"
+    return out
 
 
 def unsupported(svg: str) -> str:
