@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
 from ..functions import ids
 from ..sources.shared import materialize
 
@@ -88,7 +89,7 @@ def encode_stream(t: list[int], rank: dict[tuple[int, int], int], base: int, pro
 
 
 def encode(df: DataFrame, merges: list, tokens: str = "token_ids", base: int = ids.VOCAB) -> DataFrame:
-    """df with its streams encoded."""
+    """df with its streams encoded; null stays null."""
     rank = {(m[0], m[1]): i for i, m in reversed(list(enumerate(merges)))}
     at = df.columns.index(tokens)
 
@@ -100,6 +101,13 @@ def encode(df: DataFrame, merges: list, tokens: str = "token_ids", base: int = i
     return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
 
 
+def from_manifest(manifest: dict) -> list[list[int]]:
+    """The merges of a manifest; an error where it has none."""
+    if not manifest.get("merges"):
+        raise EngineError("INVALID_REQUEST", f"manifest {manifest.get('vocab_id')} has no merges")
+    return manifest["merges"]
+
+
 def expansions(merges: list) -> dict[int, list[int]]:
     """new id -> the ids below that it stands for, all the way down."""
     out: dict[int, list[int]] = {}
@@ -117,11 +125,13 @@ def expansions(merges: list) -> dict[int, list[int]]:
 
 
 def expanded(tokens: str, merges: list) -> str:
-    """SQL: tokens with merged ids replaced by their expansions."""
+    """SQL: tokens with merged ids replaced by their expansions, which an array has at the place of the id."""
     if not merges:
         return tokens
-    table = "map(" + ", ".join(f"{k}, array({', '.join(map(str, v))})" for k, v in expansions(merges).items()) + ")"
-    return f"IF(exists({tokens}, t -> t >= {min(m[2] for m in merges)}), element_at(transform(array({table}), mm -> flatten(transform({tokens}, t -> coalesce(mm[t], array(t))))), 1), {tokens})"
+    full = expansions(merges)
+    base, top = min(full), max(full)
+    table = "array(" + ", ".join(f"array({', '.join(map(str, full.get(k, [k])))})" for k in range(base, top + 1)) + ")"
+    return f"IF(exists({tokens}, t -> t >= {base}), element_at(transform(array({table}), mm -> flatten(transform({tokens}, t -> IF(t BETWEEN {base} AND {top}, get(mm, t - {base}), array(t))))), 1), {tokens})"
 
 
 def decode(df: DataFrame, merges: list, tokens: str = "token_ids") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import decode, grammar, ids, path, tokens
-from ..functions.sqlgen import let
+from ..functions.sqlgen import let, lit
 from ..sources import svg as source
 from . import bpe, detok
 
@@ -16,17 +16,22 @@ def with_commands(df: DataFrame, canvas: float | None = ids.CANVAS, flatten: boo
 
     Commands are moved by all transforms and, with a canvas, by the view box; arcs become cubics.
     """
-    start = path.viewbox_matrix("doc.viewbox", canvas) if canvas else path.IDENTITY
+    return df.withColumn("elements", F.expr(elements_of("doc", canvas, flatten)))
+
+
+def elements_of(doc: str, canvas: float | None = ids.CANVAS, flatten: bool = True) -> str:
+    """SQL: the drawn commands of each element of a parsed document."""
+    start = path.viewbox_matrix(f"{doc}.viewbox", canvas) if canvas else path.IDENTITY
     # The matrix of an element: the view box's, then its groups', then its own.
     moved = path.applied("c", "m")
     cmds = let({"c": path.shape("e.tag", "e.v", "e.d"), "m": path.transform_matrix("e.transforms", "root")}, path.without_arcs(moved) if flatten else moved, path.COMMANDS)
-    return df.withColumn("elements", F.expr(let({"root": start}, f"transform(doc.elements, e -> {cmds})", f"array<{path.COMMANDS}>")))
+    return let({"root": start}, f"transform({doc}.elements, e -> {cmds})", f"array<{path.COMMANDS}>")
 
 
 def parsed(df: DataFrame, canvas: float | None = ids.CANVAS, check_size: bool = True) -> DataFrame:
     """df, which has svg, with doc, elements and error: STRUCT<code, message>. Refused documents are not parsed."""
     kept = df.withColumn("_refused", F.expr(source.guard("svg", check_size)))
-    rows = source.parse(kept.withColumn("_svg", F.col("svg")).withColumn("svg", F.when(F.col("_refused").isNull(), F.col("svg")))).withColumn("svg", F.col("_svg")).drop("_svg")
+    rows = source.parse(kept.withColumn("_svg", F.when(F.col("_refused").isNull(), F.col("svg"))), doc="_svg").drop("_svg")
     failed = F.when(F.col("doc.error").isNotNull(), F.struct(F.lit("PARSE_ERROR").alias("code"), F.col("doc.error").alias("message")))
     return with_commands(rows, canvas).withColumn("error", F.coalesce("_refused", failed)).drop("_refused")
 
@@ -37,6 +42,17 @@ def l1(df: DataFrame, lean: bool = False) -> DataFrame:
     return df.withColumn("token_ids", F.when(F.col("elements").isNotNull(), F.expr(tokens.bracketed(f"transform(elements, e -> {body})"))))
 
 
+def ratio(svg: str, ids_: str) -> str:
+    """SQL: characters of a document for each of its tokens; 0 without tokens."""
+    return f"IF(size({ids_}) > 0, bround(length({svg}) / size({ids_}), 4), 0D)"
+
+
+def clamped_count(elements: str = "elements") -> str:
+    """SQL: how many points lie beyond the canvas."""
+    out = f"aggregate({path.all_points('e')}, 0, (n, q) -> n + IF(q.x < 0 OR q.x > {ids.CANVAS!r}D OR q.y < 0 OR q.y > {ids.CANVAS!r}D, 1, 0))"
+    return f"aggregate(transform({elements}, e -> {out}), 0, (a, b) -> a + b)"
+
+
 def tokenize(df: DataFrame, level: str = "L1", lean: bool = False, merges: list | None = None, check_size: bool = True) -> DataFrame:
     """df, which has svg, with the payload of each document: token_ids, tokens, counts, warnings, error.
 
@@ -52,16 +68,15 @@ def tokenize(df: DataFrame, level: str = "L1", lean: bool = False, merges: list
             said = "'L2 merges were learned on full (marker) L1 streams; lean+L2 compression may be suboptimal'" if lean else "cast(NULL AS STRING)"
         else:
             said = "'L2 merges unavailable; falling back to L1'"
-    out = f"aggregate({path.all_points('e')}, 0, (n, q) -> n + IF(q.x < 0 OR q.x > {ids.CANVAS!r}D OR q.y < 0 OR q.y > {ids.CANVAS!r}D, 1, 0))"
-    rows = rows.withColumn("n_clamped", F.expr(f"aggregate(transform(elements, e -> {out}), 0, (a, b) -> a + b)"))
+    rows = rows.withColumn("n_clamped", F.expr(clamped_count()))
     rows = rows.withColumns({
         "tokenizer_version": F.lit(ids.TOKENIZER_VERSION), "vocab_id": F.lit(ids.VOCAB_ID), "level": F.lit(applied), "lean": F.lit(lean),
         "tokens": F.expr(tokens.symbols("token_ids")),
         "n_commands": F.expr("aggregate(elements, 0, (n, e) -> n + size(e))"),
         "n_tokens": F.expr("size(token_ids)"),
         "n_elements": F.expr("size(filter(elements, e -> size(e) > 0))"),
-        "compression_ratio": F.expr("IF(size(token_ids) > 0, bround(length(svg) / size(token_ids), 4), 0D)"),
-        "normalization": F.expr("named_struct('viewBox_applied', doc.viewbox IS NOT NULL, 'transforms_flattened', size(filter(arrays_zip(doc.elements, elements), z -> length(z.doc_elements.transform) > 0 AND size(z.elements) > 0)))".replace("arrays_zip(doc.elements, elements)", "zip_with(doc.elements, elements, (x, y) -> named_struct('doc_elements', x, 'elements', y))")),
+        "compression_ratio": F.expr(ratio("svg", "token_ids")),
+        "normalization": F.expr("named_struct('viewBox_applied', doc.viewbox IS NOT NULL, 'transforms_flattened', size(filter(zip_with(doc.elements, elements, (x, y) -> length(x.transform) > 0 AND size(y) > 0), z -> z)))"),
         "warnings": F.expr(f"filter(array(IF(n_clamped > 0, concat(n_clamped, ' coordinate(s) outside viewBox were clamped to canvas'), NULL), {said}), w -> w IS NOT NULL)"),
     })
     return rows.drop("doc", "elements")
@@ -78,10 +93,10 @@ def pinned(version: str = "tokenizer_version", vocab: str = "vocab_id", tokens_:
     bad = tokens.bad_id(tokens_, upper)
     err = lambda code, message: f"named_struct('code', '{code}', 'message', {message})"
     return (
-        f"CASE WHEN {version} IS NULL THEN {err('VERSION_REQUIRED', chr(39) + 'tokenizer_version is required for detokenize' + chr(39))} "
-        f"WHEN substring_index({version}, '-', -1) <> '{ids.FORMAT}' THEN {err('VOCAB_MISMATCH', f'concat({chr(39)}tokenizer_version {chr(39)}, {version}, {chr(39)} != {ids.TOKENIZER_VERSION}{chr(39)})')} "
-        f"WHEN {vocab} IS NOT NULL AND {vocab} <> '{ids.VOCAB_ID}' THEN {err('VOCAB_MISMATCH', f'concat({chr(39)}vocab_id {chr(39)}, {vocab}, {chr(39)} != {ids.VOCAB_ID}{chr(39)})')} "
-        f"WHEN {bad} IS NOT NULL THEN {err('VOCAB_MISMATCH', f'concat({chr(39)}token id {chr(39)}, {bad}, {chr(39)} out of range [0,{upper}){chr(39)})')} END"
+        f"CASE WHEN {version} IS NULL THEN {err('VERSION_REQUIRED', lit('tokenizer_version is required for detokenize'))} "
+        f"WHEN substring_index({version}, '-', -1) <> '{ids.FORMAT}' THEN {err('VOCAB_MISMATCH', f"concat('tokenizer_version ', {version}, ' != {ids.TOKENIZER_VERSION}')")} "
+        f"WHEN {vocab} IS NOT NULL AND {vocab} <> '{ids.VOCAB_ID}' THEN {err('VOCAB_MISMATCH', f"concat('vocab_id ', {vocab}, ' != {ids.VOCAB_ID}')")} "
+        f"WHEN {bad} IS NOT NULL THEN {err('VOCAB_MISMATCH', f"concat('token id ', {bad}, ' out of range [0,{upper})')")} END"
     )
 
 

@@ -1,8 +1,8 @@
 """Elements of decoded streams.
 
 Streams without spatial tokens decode by the fold of functions.decode. A spatial token makes
-elements from all those before it, so those streams, and only they, go on to an Arrow step that
-takes the groups and texts which the fold has made.
+elements from all those before it, so an Arrow step takes the groups and texts which the fold
+has made of those streams; the others pass through it unread, as columns of the same batches.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +35,12 @@ def with_elements(df: DataFrame, tokens: str, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups = batch.column("_groups").to_pylist()
-            new = [e if not g else arranged(g) for e, g in zip(batch.column(at).to_pylist(), groups, strict=True)]
-            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_groups"]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.list_(pa.string())) if n == name else c for n, c in kept], names=[n for n, _ in kept])
+            kept = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_groups"}
+            made = pc.list_value_length(batch.column("_groups"))
+            if pc.max(made).as_py():  # else no stream of the batch has spatial tokens
+                groups = batch.column("_groups").to_pylist()
+                kept[name] = pa.array([e if not g else arranged(g) for e, g in zip(batch.column(at).to_pylist(), groups, strict=True)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*kept.values()], names=[*kept])
 
     return rows.mapInArrow(run, kinds)
 

@@ -17,10 +17,8 @@ def results(lines: DataFrame) -> DataFrame:
     """Results of JSON lines; a line that isn't an item gives STREAM_LINE_ERROR, and errors carry no id."""
     rows = service.items(lines)
     good = service.process(rows.filter(~F.col("bad")).drop("bad"))
-    bad = rows.filter("bad").select(
-        F.lit(None).cast("string").alias("id"), F.lit(False).alias("ok"), F.lit(None).cast("array<int>").alias("token_ids"), F.lit(None).cast("string").alias("svg"), F.lit(None).cast("int").alias("n_tokens"),
-        F.lit(None).cast("boolean").alias("lean"), F.struct(F.lit("STREAM_LINE_ERROR").alias("code"), F.lit("line is not a JSON item").alias("message")).alias("error"),
-    )
+    error = F.struct(F.lit("STREAM_LINE_ERROR").alias("code"), F.lit("line is not a JSON item").alias("message"), F.lit(None).cast("map<string,string>").alias("detail"), F.lit(None).cast("int").alias("status"))
+    bad = rows.filter("bad").select(error.alias("error"), F.lit(False).alias("ok"), *[F.lit(None).cast(good.schema[c].dataType).alias(c) for c in good.columns if c not in ("ok", "error")])
     return good.withColumn("id", F.when(F.col("ok"), F.col("id"))).unionByName(bad)
 
 

@@ -113,6 +113,65 @@ def test_batch_and_jobs(spark, tmp_path):
         jobs.get("none")
 
 
+def test_results_come_in_order_and_states_outlive_their_driver(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"i{i}", None, ICONS[i % 6] if i % 4 else "<svg><rect", None, "L2" if i % 2 else None, True) for i in range(20)], "pos long, " + service.ITEM)
+    merges = [[11, 1465, 5561]]
+    jobs = service.Jobs(spark, str(tmp_path / "jobs"), store=service.FolderStore(spark, str(tmp_path / "states")), merges=merges)
+    job = jobs.submit(rows, output_uri=str(tmp_path / "out"))
+    done = jobs.wait(job)
+    assert done["status"] == "partial" and done["results_url"] == str(tmp_path / "out") and done["progress"] == 1.0
+    again = service.Jobs(spark, str(tmp_path / "jobs"), store=service.FolderStore(spark, str(tmp_path / "states")))
+    view = again.get(job, include_results=True)
+    assert [r["id"] for r in view["results"]] == [f"i{i}" for i in range(20)]
+    assert [r["level"] for r in view["results"] if r["ok"]] == ["L2" if i % 2 else "L1" for i in range(20) if i % 4]
+    assert all(r["compression_ratio"] > 0 and r["lean"] for r in view["results"] if r["ok"])
+    refused = service.batch(rows, "tokenize").filter("NOT ok").first().error
+    assert (refused.code, refused.status, refused.detail) == ("PARSE_ERROR", 400, None)
+
+
+def test_webhook_posts_json(spark, tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    told = []
+
+    class Receiver(BaseHTTPRequestHandler):
+        def do_POST(self):
+            told.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(500)  # its failure isn't the job's
+            self.end_headers()
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Receiver)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    rows = spark.createDataFrame([("a", None, ICONS[0], None, None, None)], service.ITEM)
+    jobs = service.Jobs(spark, str(tmp_path / "jobs"), service.post_to(f"http://127.0.0.1:{server.server_port}"))
+    assert jobs.wait(jobs.submit(rows))["status"] == "succeeded"
+    server.shutdown()
+    assert [t["n_ok"] for t in told] == [1]
+
+
+def test_quantiles_are_exact(spark):
+    import random
+
+    r = random.Random(2)
+    for n in (1, 2, 7, 500):
+        x = sorted(r.choice([0.25, r.random(), r.random() * 300]) for _ in range(n))
+        at = lambda p: x[int(p * (n - 1))] + (x[min(int(p * (n - 1)) + 1, n - 1)] - x[int(p * (n - 1))]) * (p * (n - 1) % 1)  # noqa: B023, E731
+        got = evaluation.quantiles(spark.createDataFrame([(v,) for v in [*x, None]], "e double"), "e", (0.0, 0.5, 0.99, 1.0))
+        assert got == pytest.approx([at(p) for p in (0.0, 0.5, 0.99, 1.0)])
+    assert evaluation.quantiles(spark.createDataFrame([], "e double"), "e", (0.5,)) == [None]
+
+
+def test_masks_are_neighbours_by_place(spark):
+    masks = [[(i * 7 + k) % 64 < k % 40 for i in range(64)] for k in range(150)]
+    rows = spark.createDataFrame([(k * k - 900, m) for k, m in enumerate(masks)], "sample_id long, mask array<boolean>")
+    diff = [sum(a != b for a, b in zip(masks[i], masks[j], strict=True)) / 64 for i in range(150) for j in range(i + 1, min(i + 6, 150))]
+    assert evaluation.render_figures(rows.repartition(5)).first().diversity == pytest.approx(sum(diff) / len(diff), abs=1e-6)
+
+
 def test_ndjson_stream(spark, tmp_path):
     lines = [json.dumps({"id": f"i{i}", "svg": s}) for i, s in enumerate(ICONS)] + ["", "{bad", json.dumps({"id": "t", "op": "detokenize", "token_ids": [1, 10, 1595, 2]}), json.dumps({"id": "x", "svg": "<svg><rect"})]
     (tmp_path / "in").mkdir()
