@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -13,21 +14,26 @@ from pyspark.sql import functions as F
 from ..functions import ids, path
 from ..functions.sqlgen import let
 from ..sources import svg as source
-from . import codec
+from ..sources.shared import materialize
+from . import bpe, codec
 
 MISSING_PX = 300.0 * math.sqrt(2)
 PERCEPTIBLE_PX = 2.0
+#: Bins of a px in which errors are counted.
+BINS = 256
 TAGS = ("circle", "ellipse", "rect")
 ATTRIBUTES = ("cx", "cy", "r", "rx", "ry", "x", "y", "width", "height")
 NUMBER = r"[-+]?(?:\d*\.\d+|\d+\.?)(?:[eE][-+]?\d+)?"
 
 
-def points_of(df: DataFrame, svg: str, name: str) -> DataFrame:
-    """df with the points of an SVG column, as it stands: no view box applied, arcs as cubics; none if it doesn't parse."""
-    kept = df.withColumn("_keep", F.struct(*df.columns)).select("_keep", F.col(svg).alias("svg"))
-    rows = codec.with_commands(source.parse(kept), canvas=None)
-    pts = f"coalesce(flatten(transform(elements, e -> {path.all_points('e')})), cast(array() AS ARRAY<STRUCT<x:DOUBLE,y:DOUBLE>>))"
-    return rows.withColumn(name, F.expr(pts)).select("_keep.*", name)
+def points_of(df: DataFrame, **texts: str) -> DataFrame:
+    """df with the points of SVG columns, as they stand: no view box applied, arcs as cubics; none if one doesn't parse.
+
+    texts: new column -> SVG column. All are parsed in one step.
+    """
+    rows = source.parse(df, **{f"_doc_{name}": svg for name, svg in texts.items()})
+    pts = lambda doc: f"coalesce(flatten(transform({codec.elements_of(doc, None)}, e -> {path.all_points('e')})), cast(array() AS ARRAY<STRUCT<x:DOUBLE,y:DOUBLE>>))"
+    return rows.withColumns({name: F.expr(pts(f"_doc_{name}")) for name in texts}).drop(*[f"_doc_{name}" for name in texts])
 
 
 def errors(truth: str, recon: str) -> str:
@@ -49,7 +55,7 @@ def point_errors(truth: DataFrame, recon: DataFrame, keys: list[str]) -> DataFra
 
 def scene_scores(df: DataFrame) -> DataFrame:
     """df with truth and svg (decoded) and token_ids, with errs, attr_mean_err, attr_max_err, count_match, render_ssim, n_tokens, n_tokens_bpe."""
-    rows = points_of(points_of(df, "truth", "_p"), "svg", "_q").withColumn("errs", F.expr(errors("_p", "_q")))
+    rows = points_of(df, _p="truth", _q="svg").withColumn("errs", F.expr(errors("_p", "_q")))
     return rows.withColumns({
         "attr_mean_err": F.expr("IF(size(errs) > 0, aggregate(errs, 0D, (a, e) -> a + e) / size(errs), 0D)"),
         "attr_max_err": F.expr("coalesce(array_max(errs), 0D)"),
@@ -61,11 +67,12 @@ def scene_scores(df: DataFrame) -> DataFrame:
 
 
 def summary(scores: DataFrame) -> DataFrame:
-    """One row: means over scenes, and the pooled tail of their points' errors, in one pass.
+    """One row: means over scenes, and the pooled tail of their points' errors.
 
     Scenes are spread to their errors; what belongs to a scene is read from its first.
     """
     scene = ("attr_mean_err", "attr_max_err", "count_match", "render_ssim", "n_tokens", "n_tokens_bpe")
+    scores = materialize(scores.select("errs", *scene), "scene-scores")
     rows = scores.select(F.posexplode_outer("errs").alias("i", "e"), *scene)
     first = F.coalesce("i", F.lit(0)) == 0
     once = {c: F.when(first, F.col(c).cast("double") if c == "count_match" else F.col(c)) for c in scene}
@@ -73,10 +80,37 @@ def summary(scores: DataFrame) -> DataFrame:
         F.count_if(first).alias("scenes"), F.round(F.avg(once["attr_mean_err"]), 4).alias("attr_mean_err"), F.round(F.max("attr_max_err"), 4).alias("attr_max_err"), F.round(F.avg(once["count_match"]), 4).alias("count_acc"),
         F.round(F.avg(once["render_ssim"]), 4).alias("render_ssim_mean"), F.count(once["render_ssim"]).alias("render_scenes"), F.sum(once["n_tokens"]).alias("tokens"), F.coalesce(F.sum(once["n_tokens_bpe"]), F.lit(0)).alias("tokens_bpe"),
         F.round(F.avg(once["n_tokens"]) * math.log2(ids.VOCAB), 1).alias("bits_per_icon"), F.count("e").alias("coords_measured"),
-        F.expr("percentile(e, array(0.5, 0.9, 0.95, 0.99))").alias("q"), F.round(F.avg((F.col("e") > PERCEPTIBLE_PX).cast("double")), 4).alias("perceptible_err_rate"),
+        F.round(F.avg((F.col("e") > PERCEPTIBLE_PX).cast("double")), 4).alias("perceptible_err_rate"),
     )
-    tail = [F.round(F.col("q")[i], 4).alias(f"coord_err_p{p}") for i, p in enumerate((50, 90, 95, 99))]
-    return out.withColumn("compression_vs_baseline", F.round(F.try_divide("tokens_bpe", "tokens"), 4)).select(*[c for c in out.columns if c != "q"], "compression_vs_baseline", *tail)
+    q = quantiles(scores.select(F.explode("errs").alias("e")), "e", (0.5, 0.9, 0.95, 0.99))
+    tail = [F.lit(None if v is None else v).cast("double").alias(f"coord_err_p{p}") for v, p in zip(q, (50, 90, 95, 99), strict=True)]
+    return out.withColumn("compression_vs_baseline", F.round(F.try_divide("tokens_bpe", "tokens"), 4)).select("*", *[F.round(c, 4).alias(n) for c, n in zip(tail, ("coord_err_p50", "coord_err_p90", "coord_err_p95", "coord_err_p99"), strict=True)])
+
+
+def quantiles(rows: DataFrame, column: str, shares: tuple[float, ...]) -> list[float | None]:
+    """Exact quantiles, interpolated, of a column of errors in px that is stored; nulls are left out.
+
+    Errors are at most MISSING_PX, so bins of 1 / BINS px are a bounded number of rows: their
+    counts tell which bins hold the ranks that are sought, and only these bins' distinct values
+    are counted in a second pass.
+    """
+    rows = rows.filter(F.col(column).isNotNull()).select(F.col(column).alias("e"), F.floor(F.col(column) * BINS).cast("long").alias("bin"))
+    upto = F.sum("n").over(Window.orderBy("bin"))
+    bins = rows.groupBy("bin").agg(F.count("*").alias("n")).withColumn("upto", upto).orderBy("bin").collect()  # MISSING_PX * BINS rows at most
+    if not bins:
+        return [None] * len(shares)
+    total = bins[-1]["upto"]
+    places = [(math.floor(p * (total - 1)), math.ceil(p * (total - 1)), p * (total - 1) % 1) for p in shares]
+    ends = [b["upto"] for b in bins]
+    at = lambda rank: bins[bisect.bisect_right(ends, rank)]
+    wanted = sorted({at(r)["bin"] for lo, hi, _ in places for r in (lo, hi)})
+    values = rows.filter(F.col("bin").isin(wanted)).groupBy("bin", "e").agg(F.count("*").alias("n"))
+    within = values.withColumn("upto", F.sum("n").over(Window.partitionBy("bin").orderBy("e")))
+    ranks = {r: (at(r)["bin"], r - (at(r)["upto"] - at(r)["n"])) for lo, hi, _ in places for r in (lo, hi)}
+    hit = " OR ".join(f"(bin = {b} AND upto > {k} AND upto - n <= {k})" for b, k in set(ranks.values()))
+    found = within.filter(hit).collect()  # a row for each rank
+    value = lambda r: next(x["e"] for x in found if x["bin"] == ranks[r][0] and x["upto"] - x["n"] <= ranks[r][1] < x["upto"])
+    return [value(lo) + (value(hi) - value(lo)) * part for lo, hi, part in places]
 
 
 def builtin_eval(docs: DataFrame, level: str = "L1", lean: bool = False, merges: list | None = None) -> DataFrame:
@@ -95,14 +129,14 @@ def restyled(svg: str, width: float) -> str:
 
 def values(df: DataFrame, svg: str, key: str = "doc_id") -> DataFrame:
     """key, tag, attr, n, v: numbers of shapes' attributes by size, and of paths by place."""
+    number = NUMBER.replace("\\", "\\\\")  # for a SQL literal
     out = None
     for tag in TAGS:
         found = df.select(key, F.explode(F.expr(f"regexp_extract_all({svg}, '<{tag}\\\\b[^>]*>', 0)")).alias("e"))
-        pairs = F.array(*[F.struct(F.lit(a).alias("attr"), F.expr(f"try_cast(nullif(regexp_extract(e, '[ \"]{a}=\"({NUMBER.replace(chr(92), chr(92) * 2)})\"', 1), '') AS DOUBLE)").alias("v")) for a in ATTRIBUTES])
+        pairs = F.array(*[F.struct(F.lit(a).alias("attr"), F.expr(f"try_cast(nullif(regexp_extract(e, '[ \"]{a}=\"({number})\"', 1), '') AS DOUBLE)").alias("v")) for a in ATTRIBUTES])
         part = found.select(key, F.lit(tag).alias("tag"), F.explode(pairs).alias("p")).select(key, "tag", "p.attr", "p.v").filter("v IS NOT NULL")
         out = part if out is None else out.unionByName(part)
     ranked = out.withColumn("n", F.row_number().over(Window.partitionBy(key, "tag", "attr").orderBy("v")))
-    number = NUMBER.replace("\\", "\\\\")
     ds = f"regexp_extract_all({svg}, '\\\\bd=\"([^\"]*)\"', 1)"
     paths = df.select(key, F.posexplode(F.expr(f"flatten(transform({ds}, d -> regexp_extract_all(d, '({number})', 1)))")).alias("n", "v"))
     return ranked.select(key, "tag", "attr", "n", "v").unionByName(paths.select(key, F.lit("path").alias("tag"), F.lit("d").alias("attr"), (F.col("n") + 1).alias("n"), F.col("v").cast("double")))
@@ -135,15 +169,13 @@ def ssim_pair(a: np.ndarray, b: np.ndarray, win: int = 7) -> float:
 
 def with_ssim(df: DataFrame, a: str, b: str, side: int, name: str = "ssim") -> DataFrame:
     """df with the similarity of two columns of side * side grey values."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), strict=True)
-            out = [None if x is None or y is None else ssim_pair(np.reshape(x, (side, -1)).astype(float), np.reshape(y, (side, -1)).astype(float)) for x, y in pairs]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
+    @F.arrow_udf("double")
+    def similarity(x: pa.Array, y: pa.Array) -> pa.Array:
+        image = lambda v: np.reshape(v, (side, -1)).astype(float)
+        return pa.array([None if u is None or v is None else ssim_pair(image(u), image(v)) for u, v in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
 
-    return df.mapInArrow(run, f"{kinds}, {name} double")
+    return df.withColumn(name, similarity(a, b))
 
 
 def structure_score(t: str = "token_ids") -> str:
@@ -182,9 +214,17 @@ def categories(samples: DataFrame) -> DataFrame:
 def render_figures(masks: DataFrame, key: str = "sample_id", mask: str = "mask", ahead: int = 5) -> DataFrame:
     """One row for ink masks (arrays of booleans): share of ink, of masks neither empty nor full, and the mean difference to the next few.
 
-    Neighbours come from a join on blocks of keys, so no task holds more than two blocks.
+    Next is by place in the order of keys, whatever gaps they have. Places are the count of
+    lesser keys: of the parts that a range exchange makes, and within a part. Neighbours come
+    from a join on blocks of places, so no task holds more than two blocks.
     """
-    ranked = masks.select(F.col(key).cast("long").alias("k"), F.col(mask).alias("m")).withColumn("block", F.floor(F.col("k") / 64))
+    parted = masks.select(F.col(key).cast("long").alias("k"), F.col(mask).alias("m"), F.hash(mask).alias("tie")).repartitionByRange("k", "tie").withColumn("part", F.spark_partition_id())
+    parted = materialize(parted, "masks")
+    sizes = parted.groupBy("part").agg(F.count("*").alias("n"))  # a row a part
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("k", "tie"))
+    ranked = parted.join(F.broadcast(before.select("part", F.coalesce("before", F.lit(0)).alias("before"))), "part").select((F.col("before") + within).alias("k"), "m")
+    ranked = materialize(ranked.withColumn("block", F.floor(F.col("k") / 64)), "masks-ranked")
     ink = "aggregate(m, 0D, (a, v) -> a + IF(v, 1, 0)) / size(m)"
     one = ranked.agg(F.count("*").alias("n"), F.round(F.avg(F.expr(ink)), 6).alias("mean_ink"), F.round(F.avg(F.expr(f"IF({ink} BETWEEN 0.005 AND 0.6, 1D, 0D)")), 6).alias("non_degenerate"))
     right = ranked.select(F.col("k").alias("k2"), F.col("m").alias("m2"), F.explode(F.expr("array(block, block - 1)")).alias("block"))
@@ -199,14 +239,47 @@ def gates(docs: DataFrame) -> DataFrame:
     back = codec.detokenize(rows.drop("svg"))
     pts = f"flatten(transform(elements, e -> {path.all_points('e')}))"
     err = f"transform({pts}, q -> sqrt(power(q.x - {ids.x_of(ids.coord_id('q.x', 'q.y'))}, 2) + power(q.y - {ids.y_of(ids.coord_id('q.x', 'q.y'))}, 2)))"
-    back = back.withColumn("errs", F.expr(err))
     ok = F.col("_parse_error").isNull()
+    back = back.withColumn("errs", F.expr(err)).withColumn("worst", F.expr("array_max(errs)")).withColumn("mean", F.expr("aggregate(errs, 0D, (a, v) -> a + v) / size(errs)"))
+    back = materialize(back.select(ok.alias("ok"), (ok & F.col("svg").isNotNull()).alias("back"), "valid", "worst", "mean"), "gates")
+    p99 = quantiles(back, "worst", (0.99,))[0]
     return back.agg(
-        F.count("*").alias("icons"), F.round(F.avg(ok.cast("double")), 4).alias("parse_rate"), F.round(F.avg((ok & F.col("svg").isNotNull()).cast("double")), 4).alias("roundtrip_rate"),
+        F.count("*").alias("icons"), F.round(F.avg(F.col("ok").cast("double")), 4).alias("parse_rate"), F.round(F.avg(F.col("back").cast("double")), 4).alias("roundtrip_rate"),
         F.round(F.avg(F.coalesce(F.col("valid"), F.lit(False)).cast("double")), 4).alias("fsa_valid_rate"),
-        F.round(F.avg(F.expr(f"IF(coalesce(array_max(errs), 0D) <= {ids.cell() / 2 * math.sqrt(2) + 1e-6!r}D, 1D, 0D)")), 4).alias("within_bound_rate"),
-        F.round(F.avg(F.expr("aggregate(errs, 0D, (a, v) -> a + v) / size(errs)")), 4).alias("coord_err_mean"), F.round(F.max(F.expr("array_max(errs)")), 4).alias("coord_err_max"),
-        F.round(F.expr("percentile(array_max(errs), 0.99)"), 4).alias("coord_err_p99"),
+        F.round(F.avg(F.expr(f"IF(coalesce(worst, 0D) <= {ids.cell() / 2 * math.sqrt(2) + 1e-6!r}D, 1D, 0D)")), 4).alias("within_bound_rate"),
+        F.round(F.avg("mean"), 4).alias("coord_err_mean"), F.round(F.max("worst"), 4).alias("coord_err_max"), F.round(F.lit(p99).cast("double"), 4).alias("coord_err_p99"),
+    )
+
+
+def merge_gates(streams: DataFrame, merges: list) -> DataFrame:
+    """One row: mean lengths of streams before and after merging, and the share that comes back as it was."""
+    both = bpe.encode(streams.withColumn("_l1", F.col("token_ids")), merges).withColumn("_back", F.expr(bpe.expanded("token_ids", merges)))
+    return both.agg(
+        F.count("*").alias("icons"), F.round(F.avg(F.size("_l1")), 4).alias("l1_tokens"), F.round(F.avg(F.size("token_ids")), 4).alias("l2_tokens"),
+        F.round(F.avg((F.col("_back") == F.col("_l1")).cast("double")), 4).alias("lossless_rate"),
+    )
+
+
+def refusals(docs: DataFrame) -> DataFrame:
+    """code, n of the documents that are not tokenized."""
+    return codec.parsed(docs).filter("error IS NOT NULL").groupBy(F.col("error.code").alias("code")).agg(F.count("*").alias("n"))
+
+
+def determinism(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row: the share of documents that give the same stream in two runs, the second over rows dealt anew."""
+    one = codec.tokenize(docs).select(key, F.col("token_ids").alias("a"))
+    two = codec.tokenize(docs.repartition(7)).select(key, F.col("token_ids").alias("b"))
+    return one.join(two, key).agg(F.count("*").alias("icons"), F.round(F.avg(F.col("a").eqNullSafe(F.col("b")).cast("double")), 4).alias("same_rate"))
+
+
+def fidelity(points: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: what quantising costs points, and whether all keep the bound."""
+    t = ids.coord_id(x, y)
+    e = points.select(F.expr(f"sqrt(power({x} - {ids.x_of(t)}, 2) + power({y} - {ids.y_of(t)}, 2))").alias("err"))
+    bound = F.expr(ids.bound())
+    return e.agg(
+        F.round(F.max("err"), 6).alias("max_error"), F.round(F.avg("err"), 6).alias("mean_error"), F.round(F.sqrt(F.avg(F.col("err") * F.col("err"))), 6).alias("rms_error"),
+        F.round(F.first(bound), 6).alias("theoretical_bound"), (F.max("err") <= F.first(bound) + 1e-6).alias("within_bound"), F.count("*").alias("n_points"),
     )
 
 

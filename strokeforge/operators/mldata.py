@@ -53,6 +53,17 @@ def cosine(a: str, b: str) -> str:
     return f"({dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})))"
 
 
+def loss(rows: DataFrame, logits: str, target: str, pad: int = 0) -> DataFrame:
+    """One row: n, mean cross entropy in nats and accuracy of rows of logits, those whose target is pad left out.
+
+    Of equal greatest logits the first is the prediction.
+    """
+    top = f"array_max({logits})"
+    spread = f"ln(aggregate({logits}, 0D, (a, v) -> a + exp(v - {top}))) + {top}"
+    real = rows.filter(F.col(target) != pad)
+    return real.agg(F.count("*").alias("n"), F.avg(F.expr(f"{spread} - {logits}[{target}]")).alias("loss"), F.avg(F.expr(f"IF(array_position({logits}, {top}) - 1 = {target}, 1D, 0D)")).alias("accuracy"))
+
+
 def parameters(vocab: int, d_model: int, d_type: int, d_coord: int, d_ff: int, layers: int) -> int:
     """Estimated weights: embeddings of tokens, types and coordinates, their projection, layers, head."""
     embedding = vocab * d_model + 7 * d_type + 6 * d_coord + 6 + (d_model + d_type + d_coord) * d_model
