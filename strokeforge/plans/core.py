@@ -9,20 +9,7 @@ from ..functions import curves, decode, grammar, ids, path, relations, shapes, t
 from ..operators import bpe, codec, evaluation, manifest, mldata, quadtree, service
 from ..sources import svg as source
 from . import fixtures as fx
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return register
-
+from .registry import query
 
 # DuckDB's side of the id space.
 def d_q(v: str) -> str:
@@ -109,7 +96,7 @@ def q8(spark, d):
     return rows.select("event_id", "token_id", F.round(F.expr(ids.scalar_of("token_id")), 6).alias("back"))
 
 
-@query("q9_count_codec", "SELECT o_orderkey, (1465 + (o_custkey % 5000).least(4095) % 64 * 64 + least(o_custkey % 5000, 4095) // 64)::INT AS token_id, least(o_custkey % 5000, 4095)::INT AS back FROM orders".replace("(o_custkey % 5000).least(4095)", "least(o_custkey % 5000, 4095)"))
+@query("q9_count_codec", "SELECT o_orderkey, (1465 + least(o_custkey % 5000, 4095) % 64 * 64 + least(o_custkey % 5000, 4095) // 64)::INT AS token_id, least(o_custkey % 5000, 4095)::INT AS back FROM orders")
 def q9(spark, d):
     rows = fx.table(spark, d, "orders").select("o_orderkey", F.expr(ids.count_id("o_custkey % 5000")).alias("token_id"))
     return rows.withColumn("back", F.expr(ids.code_of("token_id")))
@@ -120,23 +107,10 @@ def q10(spark, d):
     return spark.range(1).select(F.round(F.lit(ids.scalar_bound()), 9).alias("bound"), F.lit(ids.SCALARS).alias("codes"))
 
 
-@query("q11_fidelity", f"WITH {EVENTS}, e AS (SELECT {ERR} AS err FROM p WHERE x <= 300) SELECT round(max(err), 6) AS max_error, round(avg(err), 6) AS mean_error, round(sqrt(avg(err*err)), 6) AS rms_error, round(300::DOUBLE/64/2*sqrt(2), 6) AS theoretical_bound, max(err) <= 300::DOUBLE/64/2*sqrt(2) + 1e-6 AS within_bound, count(*) AS n_points FROM e")
+@query("q11_fidelity", f"WITH {EVENTS}, e AS (SELECT {ERR} AS err FROM p) SELECT round(max(err), 6) AS max_error, round(avg(err), 6) AS mean_error, round(sqrt(avg(err*err)), 6) AS rms_error, round(300::DOUBLE/64/2*sqrt(2), 6) AS theoretical_bound, max(err) <= 300::DOUBLE/64/2*sqrt(2) + 1e-6 AS within_bound, count(*) AS n_points FROM e")
 def q11(spark, d):
-    return fidelity(fx.points(spark, d).filter("x <= 300"))
-
-
-def fidelity(points):
-    e = points.select(F.expr(s_err()).alias("err"))
-    bound = F.expr(ids.bound())
-    return e.agg(
-        F.round(F.max("err"), 6).alias("max_error"), F.round(F.avg("err"), 6).alias("mean_error"), F.round(F.sqrt(F.avg(F.col("err") * F.col("err"))), 6).alias("rms_error"),
-        F.round(F.first(bound), 6).alias("theoretical_bound"), (F.max("err") <= F.first(bound) + 1e-6).alias("within_bound"), F.count("*").alias("n_points"),
-    )
-
-
-@query("q11_all_fidelity", f"WITH {EVENTS}, e AS (SELECT {ERR} AS err FROM p) SELECT round(max(err), 6) AS max_error, round(avg(err), 6) AS mean_error, round(sqrt(avg(err*err)), 6) AS rms_error, round(300::DOUBLE/64/2*sqrt(2), 6) AS theoretical_bound, max(err) <= 300::DOUBLE/64/2*sqrt(2) + 1e-6 AS within_bound, count(*) AS n_points FROM e")
-def q11_all(spark, d):
-    return fidelity(fx.points(spark, d))
+    """Every point counts, those beyond the canvas too, which break the bound."""
+    return evaluation.fidelity(fx.points(spark, d), "x", "y")
 
 
 @query("q13_coord_id", f"WITH {EVENTS} SELECT event_id, {d_id('x', 'y')} AS token_id FROM p")
@@ -263,7 +237,8 @@ def c10(spark, d):
 
 @query("c11_complexity", f"WITH {SAMPLED} SELECT vec_id, round(sum(kmax * len), 3) AS complexity FROM g JOIN q USING (vec_id, i) GROUP BY vec_id")
 def c11(spark, d):
-    return segment_rows(spark, d).groupBy("vec_id").agg(F.round(F.sum(F.col("kmax") * F.col("len")), 3).alias("complexity"))
+    rows = segment_rows(spark, d).select("vec_id", F.struct("kmax", "len").alias("g"))
+    return rows.groupBy("vec_id").agg(F.round(F.sum(F.expr(curves.complexity("g"))), 3).alias("complexity"))
 
 
 #: Continuity of polylines: no bend is G2, as lines have no curvature.
@@ -338,15 +313,12 @@ def g3(spark, d):
     return rows.select("doc_id", F.expr("array_join(transform(c, t -> concat(t.c, array_join(transform(t.p, v -> cast(cast(v AS INT) AS STRING)), ','))), ' ')").alias("resolved"), F.expr("c[size(c) - 1].ex").alias("ex"), F.expr("c[size(c) - 1].ey").alias("ey"))
 
 
-@query("g4_shape_points", f"WITH {PART} SELECT k::BIGINT AS doc_id, [14, 5, 14, 5][kind + 1]::INT - [1, 1, 1, 1][kind + 1]::INT AS n_points, CASE WHEN kind IN (0, 2) THEN (cx + tx + CASE kind WHEN 0 THEN r ELSE rx END)::DOUBLE ELSE (x + tx)::DOUBLE END AS x0, CASE WHEN kind IN (0, 2) THEN (cy + ty)::DOUBLE ELSE (y + ty)::DOUBLE END AS y0 FROM p")
+@query("g4_shape_points", f"WITH {PART} SELECT k::BIGINT AS doc_id, [13, 4, 13, 4][kind + 1]::INT AS n_points, CASE WHEN kind IN (0, 2) THEN (cx + tx + CASE kind WHEN 0 THEN r ELSE rx END)::DOUBLE ELSE (x + tx)::DOUBLE END AS x0, CASE WHEN kind IN (0, 2) THEN (cy + ty)::DOUBLE ELSE (y + ty)::DOUBLE END AS y0 FROM p")
 def g4(spark, d):
     rows = drawn(spark, d).withColumn("p", F.expr(f"flatten(transform(elements, e -> {path.all_points('e')}))"))
     return rows.select("doc_id", F.size("p").alias("n_points"), F.expr("p[0].x").alias("x0"), F.expr("p[0].y").alias("y0"))
 
 
-_OFF = "CASE WHEN (cx + tx) IS NULL THEN 0 ELSE 0 END"
-
-
 @query("g9_transform", f"WITH {PART} SELECT k::BIGINT AS doc_id, round(2 * cos(radians(tx * 30)), 6) AS a, round(2 * sin(radians(tx * 30)), 6) AS b, round(-(1 + ty) * sin(radians(tx * 30)), 6) + 0.0 AS c, round((1 + ty) * cos(radians(tx * 30)), 6) AS d, (x + 5)::DOUBLE AS e, (y + 7)::DOUBLE AS f FROM p")
 def g9(spark, d):
     p = fx.table(spark, d, "part").selectExpr(*[f"cast({v} AS INT) AS {n}" for n, v in fx.PART.items()])
@@ -378,13 +350,24 @@ def g15(spark, d):
     return fx.polylines(spark, d).withColumn("w", F.expr(whole)).select("doc_id", F.expr(path.path_text("w")).alias("d"))
 
 
-@query("g16_normalized_svg", f"WITH {PART} SELECT k::BIGINT AS doc_id, '<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"300\" height=\"300\" viewBox=\"0 0 300 300\">' || chr(10) || '  <path d=\"M ' || (x+tx) || ' ' || (y+ty) || ' L ' || (x+tx+w) || ' ' || (y+ty) || ' L ' || (x+tx+w) || ' ' || (y+ty+h) || ' L ' || (x+tx) || ' ' || (y+ty+h) || ' Z\" fill=\"none\" stroke=\"black\" stroke-width=\"1.0\"/>' || chr(10) || '</svg>' AS truth FROM p WHERE kind IN (1, 3)")
-def g16(spark, d):
-    return codec.normalized_svg(drawn(spark, d).filter("doc_id % 4 IN (1, 3)")).select("doc_id", "truth")
+#: The points of every drawing, in the order of its commands: of a circle four curves with their control points.
+_UNIT = "[{'u': 1, 'v': 0}, {'u': 1, 'v': c}, {'u': c, 'v': 1}, {'u': 0, 'v': 1}, {'u': -c, 'v': 1}, {'u': -1, 'v': c}, {'u': -1, 'v': 0}, {'u': -1, 'v': -c}, {'u': -c, 'v': -1}, {'u': 0, 'v': -1}, {'u': c, 'v': -1}, {'u': 1, 'v': -c}, {'u': 1, 'v': 0}]"
+_CORNER = "[{'u': 0, 'v': 0}, {'u': 1, 'v': 0}, {'u': 1, 'v': 1}, {'u': 0, 'v': 1}]"
+_DRAWN = (
+    f"{PART}, o AS (SELECT k::BIGINT AS doc_id, kind IN (0, 2) AS oval, CASE WHEN kind IN (0, 2) THEN cx + tx ELSE x + tx END::DOUBLE AS px, CASE WHEN kind IN (0, 2) THEN cy + ty ELSE y + ty END::DOUBLE AS py, "
+    "CASE kind WHEN 0 THEN r WHEN 2 THEN rx ELSE w END::DOUBLE AS sx, CASE kind WHEN 0 THEN r WHEN 2 THEN ry ELSE h END::DOUBLE AS sy, 0.5522847498::DOUBLE AS c FROM p), "
+    f"l AS (SELECT doc_id, oval, px, py, sx, sy, CASE WHEN oval THEN {_UNIT} ELSE list_transform({_CORNER}, lambda z: {{'u': z.u::DOUBLE, 'v': z.v::DOUBLE}}) END AS f FROM o), "
+    "c AS (SELECT doc_id, oval, i, px + sx * f[i].u AS x, py + sy * f[i].v AS y FROM l, range(1, 14) r(i) WHERE i <= len(f))"
+)
+_NUM3 = lambda v: f"regexp_replace(printf('%.3f', {v}), '\\.?0+$', '')"
 
 
-@query("g16_all_normalized_svg")
-def g16_all(spark, d):
+@query(
+    "g16_normalized_svg",
+    f"WITH {_DRAWN}, t AS (SELECT doc_id, string_agg(CASE WHEN i = 1 THEN 'M ' WHEN NOT oval THEN 'L ' WHEN i % 3 = 2 THEN 'C ' ELSE '' END || {_NUM3('x')} || ' ' || {_NUM3('y')}, ' ' ORDER BY i) AS d FROM c GROUP BY doc_id) "
+    "SELECT doc_id, '<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"300\" height=\"300\" viewBox=\"0 0 300 300\">' || chr(10) || '  <path d=\"' || d || ' Z\" fill=\"none\" stroke=\"black\" stroke-width=\"1.0\"/>' || chr(10) || '</svg>' AS truth FROM t",
+)
+def g16(spark, d):
     return codec.normalized_svg(drawn(spark, d)).select("doc_id", "truth")
 
 
@@ -442,11 +425,17 @@ def t11(spark, d):
     return rows.select("doc_id", F.expr(TEXT).alias("t"))
 
 
-@query("k6_spatial_decode", "SELECT n_nationkey::BIGINT AS doc_id, (n_nationkey % 5 + 2)::INT AS n_elements FROM nation")
+_CX0, _SP, _AX = f"printf('%.2f', {d_centre(d_q('30::DOUBLE'))})::DOUBLE", "546::DOUBLE / 4095 * 300", "682::DOUBLE / 4095 * 300"  # 40 and 50, as codes decode
+
+
+@query(
+    "k6_spatial_decode",
+    f"WITH n AS (SELECT n_nationkey::BIGINT AS doc_id, (n_nationkey % 5 + 2) AS n FROM nation) SELECT doc_id, string_agg(CASE WHEN i = 0 THEN {d_trim(d_centre(d_q('30::DOUBLE')), 2)} WHEN n = 2 THEN {d_trim(f'2 * {_AX} - {_CX0}')} ELSE {d_trim(f'{_CX0} + {_SP} * i')} END, ' ' ORDER BY i) AS centres FROM n, range(6) r(i) WHERE i < n GROUP BY doc_id",
+)
 def k6(spark, d):
     rows = laid_out(spark, d).withColumn("b", F.expr(f"transform(elements, e -> {shapes.composite('e')})")).withColumn("token_ids", F.expr(relations.stream("b", "info")))
     out = codec.detokenize(rows.select("doc_id", "token_ids", F.lit(ids.TOKENIZER_VERSION).alias("tokenizer_version")))
-    return out.select("doc_id", F.expr("regexp_count(svg, '<circle')").alias("n_elements"))
+    return out.select("doc_id", F.expr("array_join(regexp_extract_all(svg, '<circle cx=\"([^\"]*)\"', 1), ' ')").alias("centres"))
 
 
 _PAIRS = LONG + ", w AS (SELECT tok AS a, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM t), c AS (SELECT a, b, count(*) AS n FROM w WHERE b IS NOT NULL AND a NOT IN (1, 2, 3) AND b NOT IN (1, 2, 3) GROUP BY ALL)"
@@ -489,12 +478,6 @@ def b8(spark, d):
     return both.agg(F.count("*").alias("streams"), F.sum(F.size("l1")).alias("l1_tokens"), F.bool_and(F.expr("back = l1")).alias("lossless"))
 
 
-@query("b4_learn_merges")
-def b4(spark, d):
-    table = bpe.learn(fx.streams(spark, d), 8)
-    return spark.createDataFrame([(i, *m) for i, m in enumerate(table)], "rank int, a int, b int, new_id int")
-
-
 #: Streams broken in a known way: by the id modulo 5.
 BROKEN = "CASE doc_id % 5 WHEN 0 THEN token_ids WHEN 1 THEN slice(token_ids, 2, size(token_ids) - 1) WHEN 2 THEN slice(token_ids, 1, size(token_ids) - 1) WHEN 3 THEN concat(slice(token_ids, 1, size(token_ids) - 2), array(2)) ELSE concat(array(1, 30), slice(token_ids, 2, size(token_ids) - 1)) END"
 
@@ -581,42 +564,21 @@ def e2(spark, d):
     return evaluation.point_errors(truth, recon, ["doc_id"]).select("doc_id", "pos", F.round("err", 6).alias("err"))
 
 
-#: What one decimal of the decoded text does to a rectangle's corners.
-_CORNERS = "c AS (SELECT k::BIGINT AS doc_id, unnest([x+tx, x+tx+w, x+tx+w, x+tx])::DOUBLE AS x, unnest([y+ty, y+ty, y+ty+h, y+ty+h])::DOUBLE AS y FROM p WHERE kind = 1)"
+#: The truth is text of three decimals, what is decoded text of one.
 _DEC = lambda v: f"printf('%.1f', {d_centre(d_q(v))})::DOUBLE"
-_RECT_ERR = f"{PART}, {_CORNERS}, e AS (SELECT doc_id, sqrt(pow(x - {_DEC('x')}, 2) + pow(y - {_DEC('y')}, 2)) AS e FROM c)"
-
+_TEXT_ERR = f"{_DRAWN}, e AS (SELECT doc_id, sqrt(pow(printf('%.3f', x)::DOUBLE - {_DEC('x')}, 2) + pow(printf('%.3f', y)::DOUBLE - {_DEC('y')}, 2)) AS e FROM c)"
 
-def rect_scores(spark, d):
-    return evaluation.builtin_eval(fx.drawings(spark, d).filter("doc_id % 4 = 1"))
 
-
-@query("e3_scene_scores", f"WITH {_RECT_ERR} SELECT doc_id, round(avg(e), 6) AS attr_mean_err, round(max(e), 6) AS attr_max_err, true AS count_match FROM e GROUP BY doc_id")
+@query("e3_scene_scores", f"WITH {_TEXT_ERR} SELECT doc_id, round(avg(e), 6) AS attr_mean_err, round(max(e), 6) AS attr_max_err, true AS count_match FROM e GROUP BY doc_id")
 def e3(spark, d):
-    return scene_columns(rect_scores(spark, d))
-
-
-def scene_columns(scores):
+    scores = evaluation.builtin_eval(fx.drawings(spark, d))
     return scores.select("doc_id", F.round("attr_mean_err", 6).alias("attr_mean_err"), F.round("attr_max_err", 6).alias("attr_max_err"), "count_match")
 
 
-@query("e3_all_scene_scores")
-def e3_all(spark, d):
-    return scene_columns(evaluation.builtin_eval(fx.drawings(spark, d)))
-
-
-@query("e4_summary", f"WITH {_RECT_ERR}, m AS (SELECT doc_id, avg(e) AS me, max(e) AS mx FROM e GROUP BY doc_id) SELECT count(*) AS scenes, round(avg(me), 4) AS attr_mean_err, round(max(mx), 4) AS attr_max_err, 1::DOUBLE AS count_acc, (SELECT count(*) FROM e) AS coords_measured, (SELECT round(quantile_cont(e, 0.5), 4) FROM e) AS coord_err_p50, (SELECT round(quantile_cont(e, 0.99), 4) FROM e) AS coord_err_p99, (SELECT round(avg((e > 2)::INT), 4) FROM e) AS perceptible_err_rate FROM m")
+@query("e4_summary", f"WITH {_TEXT_ERR}, m AS (SELECT doc_id, avg(e) AS me, max(e) AS mx FROM e GROUP BY doc_id) SELECT count(*) AS scenes, round(avg(me), 4) AS attr_mean_err, round(max(mx), 4) AS attr_max_err, 1::DOUBLE AS count_acc, (SELECT count(*) FROM e) AS coords_measured, (SELECT round(quantile_cont(e, 0.5), 4) FROM e) AS coord_err_p50, (SELECT round(quantile_cont(e, 0.99), 4) FROM e) AS coord_err_p99, (SELECT round(avg((e > 2)::INT), 4) FROM e) AS perceptible_err_rate FROM m")
 def e4(spark, d):
-    return summary_columns(rect_scores(spark, d))
-
-
-def summary_columns(scores):
-    return evaluation.summary(scores).select("scenes", "attr_mean_err", "attr_max_err", "count_acc", "coords_measured", "coord_err_p50", "coord_err_p99", "perceptible_err_rate")
-
-
-@query("e4_all_summary")
-def e4_all(spark, d):
-    return summary_columns(evaluation.builtin_eval(fx.drawings(spark, d)))
+    scores = evaluation.summary(evaluation.builtin_eval(fx.drawings(spark, d)))
+    return scores.select("scenes", "attr_mean_err", "attr_max_err", "count_acc", "coords_measured", "coord_err_p50", "coord_err_p99", "perceptible_err_rate")
 
 
 @query("e7_restyle", "SELECT page_id, md5(CASE WHEN page_id % 2 = 0 THEN replace(html || '<path d=\"M1 1\"/>', '<path ', '<path stroke-width=\"3.0\" ') ELSE html || '<g stroke-width=\"3.0\"/><path stroke-width=\"3.0\" d=\"M1 1\"/>' END) AS styled FROM pages")
@@ -630,24 +592,34 @@ def e8(spark, d):
     return evaluation.values(fx.drawings(spark, d), "svg").select("doc_id", "tag", "attr", F.col("n").cast("int"), "v")
 
 
-@query("e9_value_fidelity", f"WITH {PART} SELECT k::BIGINT AS doc_id, CASE kind WHEN 3 THEN 0 ELSE 0 END::DOUBLE AS attr_max_err, 0::DOUBLE AS attr_mean_err, true AS count_match FROM p")
+#: What is held against the drawings: kinds 0 to 2 moved by 1 to 3, of every seventh part nothing.
+_AGAIN = "IF(k % 7 = 0, '<svg/>', replace(replace(replace(svg, concat(' cx=\"', cx, '\"'), concat(' cx=\"', cx + k % 3 + 1, '\"')), concat('x=\"', x, '\" y'), concat('x=\"', x + k % 3 + 1, '\" y')), concat('m', x, ','), concat('m', x + 5, ',')))"
+_MOVED = f"WITH {PART}, v AS (SELECT k::BIGINT AS doc_id, k % 7 = 0 AS gone, CASE kind WHEN 3 THEN 5 ELSE k % 3 + 1 END::DOUBLE AS moved, CASE kind WHEN 0 THEN 3 WHEN 3 THEN 5 ELSE 4 END AS n, kind FROM p), f AS (SELECT doc_id, CASE WHEN gone THEN 'infinity'::DOUBLE ELSE moved END AS attr_max_err, CASE WHEN gone THEN 'infinity'::DOUBLE ELSE round(moved / n, 6) END AS attr_mean_err, kind = 3 OR NOT gone AS count_match FROM v)"
+
+
+@query("e9_value_fidelity", f"{_MOVED} SELECT * FROM f")
 def e9(spark, d):
-    return evaluation.value_fidelity(fx.drawings(spark, d).withColumn("again", F.col("svg")), "svg", "again").select("doc_id", "attr_max_err", "attr_mean_err", "count_match")
+    numbers = fx.table(spark, d, "part").selectExpr(*[f"cast({v} AS INT) AS {n}" for n, v in fx.PART.items()]).withColumn("doc_id", F.col("k").cast("long"))
+    rows = fx.drawings(spark, d).join(numbers, "doc_id").withColumn("again", F.expr(_AGAIN))
+    out = evaluation.value_fidelity(rows.select("doc_id", "svg", "again"), "svg", "again")
+    return out.select("doc_id", "attr_max_err", F.round("attr_mean_err", 6).alias("attr_mean_err"), "count_match")
 
 
-@query("e13_corpus_gates", f"WITH {_RECT_ERR.replace('printf', 'printf')}, c2 AS (SELECT doc_id, sqrt(pow(x - {d_centre(d_q('x'))}, 2) + pow(y - {d_centre(d_q('y'))}, 2)) AS e FROM c), m AS (SELECT doc_id, avg(e) AS me, max(e) AS mx FROM c2 GROUP BY doc_id) SELECT count(*) AS icons, 1::DOUBLE AS parse_rate, 1::DOUBLE AS roundtrip_rate, 1::DOUBLE AS fsa_valid_rate, 1::DOUBLE AS within_bound_rate, round(avg(me), 4) AS coord_err_mean, round(max(mx), 4) AS coord_err_max, round(quantile_cont(mx, 0.99), 4) AS coord_err_p99 FROM m")
-def e13(spark, d):
-    return evaluation.gates(fx.drawings(spark, d).filter("doc_id % 4 = 1"))
+@query("e10_value_summary", f"{_MOVED} SELECT count(*) AS scenes, round(max(attr_max_err), 6) AS attr_max_err, round(avg(attr_mean_err), 6) AS attr_mean_err, round(avg(count_match::INT), 6) AS count_acc FROM f WHERE attr_max_err < 'infinity'::DOUBLE")
+def e10(spark, d):
+    """Of the drawings that something pairs with."""
+    return evaluation.value_summary(e9(spark, d).filter("attr_max_err < double('infinity')"))
 
 
-@query("e13_all_corpus_gates")
-def e13_all(spark, d):
+@query("e13_corpus_gates", f"WITH {_DRAWN}, c2 AS (SELECT doc_id, sqrt(pow(x - {d_centre(d_q('x'))}, 2) + pow(y - {d_centre(d_q('y'))}, 2)) AS e FROM c), m AS (SELECT doc_id, avg(e) AS me, max(e) AS mx FROM c2 GROUP BY doc_id) SELECT count(*) AS icons, 1::DOUBLE AS parse_rate, 1::DOUBLE AS roundtrip_rate, 1::DOUBLE AS fsa_valid_rate, 1::DOUBLE AS within_bound_rate, round(avg(me), 4) AS coord_err_mean, round(max(mx), 4) AS coord_err_max, round(quantile_cont(mx, 0.99), 4) AS coord_err_p99 FROM m")
+def e13(spark, d):
     return evaluation.gates(fx.drawings(spark, d))
 
 
-@query("e14_render_figures", "WITH m AS (SELECT event_id AS k, list_transform(range(64), lambda i: (i * 7 + event_id) % 64 < event_id % 40) AS m FROM events), i AS (SELECT k, m, list_sum(list_transform(m, lambda v: v::INT)) / 64.0::DOUBLE AS ink FROM m), q AS (SELECT avg(list_sum(list_transform(range(1, 65), lambda j: (a.m[j] <> b.m[j])::INT)) / 64.0::DOUBLE) AS diversity FROM m a JOIN m b ON b.k > a.k AND b.k <= a.k + 5) SELECT count(*) AS n, round(avg(ink), 6) AS mean_ink, round(avg((ink BETWEEN 0.005 AND 0.6)::INT), 6) AS non_degenerate, (SELECT round(diversity, 6) FROM q) AS diversity FROM i")
+@query("e14_render_figures", "WITH m AS (SELECT row_number() OVER (ORDER BY event_id) AS k, list_transform(range(64), lambda i: (i * 7 + event_id) % 64 < event_id % 40) AS m FROM events), i AS (SELECT k, m, list_sum(list_transform(m, lambda v: v::INT)) / 64.0::DOUBLE AS ink FROM m), q AS (SELECT avg(list_sum(list_transform(range(1, 65), lambda j: (a.m[j] <> b.m[j])::INT)) / 64.0::DOUBLE) AS diversity FROM m a JOIN m b ON b.k > a.k AND b.k <= a.k + 5) SELECT count(*) AS n, round(avg(ink), 6) AS mean_ink, round(avg((ink BETWEEN 0.005 AND 0.6)::INT), 6) AS non_degenerate, (SELECT round(diversity, 6) FROM q) AS diversity FROM i")
 def e14(spark, d):
-    masks = fx.table(spark, d, "events").select("event_id", F.expr("transform(sequence(0, 63), i -> (i * 7 + event_id) % 64 < event_id % 40)").alias("mask"))
+    """Keys are ten apart: next is by place."""
+    masks = fx.table(spark, d, "events").select((F.col("event_id") * 10).alias("event_id"), F.expr("transform(sequence(0, 63), i -> (i * 7 + event_id) % 64 < event_id % 40)").alias("mask"))
     return evaluation.render_figures(masks, "event_id")
 
 
@@ -662,16 +634,26 @@ def e16(spark, d):
     return evaluation.categories(rows)
 
 
-@query("e5_ssim")
+#: Images repeat with the number modulo 34. Sums over a window of 7 by 7 that ends at the edge repeat the edge.
+_SSIM = (
+    "WITH n AS (SELECT range AS e FROM range(34)), z AS (SELECT e, i // 16 AS y, i % 16 AS x, (i * 3 + e) % 17 / 16.0::DOUBLE AS a, (i * 3 + e + e % 2) % 17 / 16.0::DOUBLE AS b FROM n, range(256) r(i)), "
+    "w AS (SELECT c.e, c.y, c.x, avg(v.a) AS ma, avg(v.b) AS mb, avg(v.a * v.a) AS aa, avg(v.b * v.b) AS bb, avg(v.a * v.b) AS ab FROM z c, range(-3, 4) p(dy), range(-3, 4) q(dx), z v "
+    "WHERE v.e = c.e AND v.y = least(15, greatest(0, c.y + dy)) AND v.x = least(15, greatest(0, c.x + dx)) GROUP BY ALL), "
+    "s AS (SELECT e, avg((2 * ma * mb + 1e-4) * (2 * (ab - ma * mb) + 9e-4) / greatest((ma * ma + mb * mb + 1e-4) * (aa - ma * ma + bb - mb * mb + 9e-4), 1e-12)) AS s FROM w GROUP BY e)"
+)
+
+
+@query("e5_ssim", f"{_SSIM} SELECT event_id, round(least(1, greatest(-1, s)), 6) AS ssim FROM events JOIN s ON e = event_id % 34")
 def e5(spark, d):
-    rows = fx.table(spark, d, "events").filter("event_id % 100 >= 0").select("event_id", F.expr("transform(sequence(0, 255), i -> pmod(i * 3 + event_id, 17) / 16D)").alias("a"), F.expr("transform(sequence(0, 255), i -> pmod(i * 3 + event_id + event_id % 2, 17) / 16D)").alias("b"))
+    rows = fx.table(spark, d, "events").select("event_id", F.expr("transform(sequence(0, 255), i -> pmod(i * 3 + event_id, 17) / 16D)").alias("a"), F.expr("transform(sequence(0, 255), i -> pmod(i * 3 + event_id + event_id % 2, 17) / 16D)").alias("b"))
     return evaluation.with_ssim(rows, "a", "b", 16).select("event_id", F.round("ssim", 6).alias("ssim"))
 
 
-@query("f1_payload_guard", "SELECT page_id, strlen(html) * (1 + page_id % 300) AS n_bytes, strlen(html) * (1 + page_id % 300) > 262144 AS too_large FROM pages")
+@query("f1_payload_guard", "SELECT page_id, strlen(html) * (1 + page_id % 300) AS n_bytes, CASE WHEN strlen(html) * (1 + page_id % 300) > 262144 THEN 'PAYLOAD_TOO_LARGE' END AS code, CASE WHEN strlen(html) * (1 + page_id % 300) > 262144 THEN 'svg exceeds 262144 bytes' END AS message FROM pages")
 def f1(spark, d):
-    rows = fx.table(spark, d, "pages").withColumn("svg", F.expr("repeat(html, cast(1 + page_id % 300 AS INT))"))
-    return rows.select("page_id", F.octet_length("svg").cast("long").alias("n_bytes"), F.expr(f"octet_length(svg) > {source.MAX_BYTES}").alias("too_large"))
+    """Texts of the pages' sizes, without anything else to refuse."""
+    rows = fx.table(spark, d, "pages").withColumn("svg", F.expr("repeat('x', cast(octet_length(html) * (1 + page_id % 300) AS INT))")).withColumn("e", F.expr(source.guard("svg")))
+    return rows.select("page_id", F.octet_length("svg").cast("long").alias("n_bytes"), "e.code", "e.message")
 
 
 _NOTES = r"<!--.*?-->|<desc\b[^>]*>.*?</desc>|<title\b[^>]*>.*?</title>|<metadata\b[^>]*>.*?</metadata>"
@@ -690,7 +672,7 @@ def f3(spark, d):
 
 @query("f8_clamp_count", f"WITH {LINES} SELECT doc_id, sum((x < 0 OR x > 300 OR y < 0 OR y > 300)::INT)::INT AS n_clamped FROM l GROUP BY doc_id")
 def f8(spark, d):
-    return fx.polylines(spark, d).select("doc_id", F.expr(f"size(filter({path.all_points('elements[0]')}, q -> q.x < 0 OR q.x > 300D OR q.y < 0 OR q.y > 300D))").alias("n_clamped"))
+    return fx.polylines(spark, d).select("doc_id", F.expr(codec.clamped_count()).alias("n_clamped"))
 
 
 @query("f10_range_check", f"WITH {LINES} SELECT DISTINCT doc_id, CASE WHEN doc_id % 3 = 0 THEN 5561 + doc_id % 7 END::INT AS bad FROM l")
@@ -713,7 +695,7 @@ def batch_items(spark, d):
 
 
 _ITEMS = f"SELECT conv_id || '-' || turn AS id, (conv_id + turn) % 17 AS m, '1,10,' || {d_id('(conv_id % 300)::DOUBLE', '(turn * 5)::DOUBLE')} || ',11,' || {d_id('100::DOUBLE', '100::DOUBLE')} || ',2' AS t FROM conversations"
-_RESULT = f"SELECT id, m > 2 AS ok, CASE m WHEN 0 THEN 'PARSE_ERROR' WHEN 1 THEN 'INVALID_REQUEST' WHEN 2 THEN 'PARSE_UNSUPPORTED_ELEMENT' END AS code, CASE WHEN m > 2 THEN t END AS t FROM ({_ITEMS})"
+_RESULT = f"SELECT id, m > 2 AS ok, CASE m WHEN 0 THEN 'PARSE_ERROR' WHEN 1 THEN 'PARSE_ERROR' WHEN 2 THEN 'PARSE_UNSUPPORTED_ELEMENT' END AS code, CASE WHEN m > 2 THEN t END AS t FROM ({_ITEMS})"
 
 
 @query("v3_batch", _RESULT)
@@ -783,7 +765,24 @@ def m13(spark, d):
     return mldata.nucleus(rows, "user_id", "event_id", "p", 5, 0.8).select("user_id", "event_id")
 
 
-@query("s16_manifest_hash", f"SELECT '{manifest.content_hash(manifest.build())}' AS hash, 5561 AS vocab_size")
+def _table(*pairs) -> str:
+    """SQL: a JSON object of numbers and names, by the text of the numbers."""
+    return "(SELECT '{' || string_agg('\"' || k || '\":\"' || v || '\"', ',' ORDER BY k) || '}' FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in pairs) + ") z(k, v))"
+
+
+#: The canonical JSON of the manifest: keys in order, no blanks.
+_MANIFEST = (
+    "'{\"canvas_size\":300.0,\"command\":' || " + _table((10, "MOVE"), (11, "LINE"), (12, "HLINE"), (13, "VLINE"), (14, "CUBIC"), (15, "QUADRATIC"), (16, "ARC"), (17, "CLOSE"))
+    + " || ',\"composite\":' || " + _table((20, "CIRCLE"), (21, "ELLIPSE"), (22, "RECT"), (23, "ROUND_RECT")) + " || ',\"continuity\":' || " + _table((30, "DISC"), (31, "G0"), (32, "G1"), (33, "G2"))
+    + " || ',\"coord_token_base\":100,\"curvature\":' || (SELECT '{' || string_agg('\"' || (40 + i) || '\":\"CURV@' || i || '\"', ',' ORDER BY i) || '}' FROM range(16) r(i))"
+    " || ',\"level_layout\":' || (SELECT '[' || string_agg('{\"grid\":' || pow(2, l)::INT || ',\"level\":' || l || ',\"n_tokens\":' || pow(4, l)::INT || ',\"start_id\":' || (100 + (pow(4, l)::INT - 1) // 3) || '}', ',' ORDER BY l) || ']' FROM range(7) r(l))"
+    " || ',\"max_coord_level\":6,\"merge_base_id\":null,\"merges\":null,\"spatial\":' || "
+    + _table((60, "ALIGN_CENTER_H"), (61, "ALIGN_CENTER_V"), (62, "SYM_REFLECT_X"), (63, "SYM_REFLECT_Y"), (64, "EQUAL_SPACE_H"), (65, "EQUAL_SPACE_V"), (66, "EQUAL_SIZE"), (67, "REPEAT_2"), (68, "REPEAT_3"), (69, "REPEAT_4"), (70, "REPEAT_N"))
+    + " || ',\"special\":' || " + _table((0, "PAD"), (1, "BOS"), (2, "EOS"), (3, "SEP"), (4, "UNK")) + " || ',\"tokenizer_version\":\"strokeforge-1.0.0\",\"vocab_id\":\"geom-5561-v1\",\"vocab_size\":5561}'"
+)
+
+
+@query("s16_manifest_hash", f"SELECT substr(sha256({_MANIFEST}), 1, 16) AS hash, 5561 AS vocab_size")
 def s16(spark, d):
     m = manifest.from_json(manifest.to_json(manifest.build()))
     return spark.createDataFrame([(manifest.content_hash(m), m["vocab_size"])], "hash string, vocab_size int")
@@ -796,14 +795,17 @@ def c13(spark, d):
     return rows.select("vec_id", "i", F.expr(curves.same_direction("ax", "ay", "bx", "by")).alias("g1"), F.expr(curves.same_curvature("ax", "bx")).alias("g2"))
 
 
-@query("t5_adaptive_tokens", f"WITH {_LEAF} SELECT vec_id, sum(level)::BIGINT AS levels, count(*)::INT AS n FROM leaf GROUP BY vec_id")
+_DEEP = lambda v: f"least(floor({v} / (300::DOUBLE / pow(2, level)))::INT, pow(2, level)::INT - 1)"
+
+
+@query("t5_adaptive_tokens", f"WITH {_LEAF} SELECT vec_id, string_agg('11,' || (100 + (pow(4, level)::INT - 1) // 3 + {_DEEP('py')} * pow(2, level)::INT + {_DEEP('px')}), ',' ORDER BY i) AS t FROM leaf JOIN o USING (vec_id, i) GROUP BY vec_id")
 def t5(spark, d):
     rows = segment_rows(spark, d).withColumn("c", F.col("kmax") * F.col("len"))
     s = quadtree.splits(quadtree.complexity(rows, "vec_id"), "vec_id")
     lines = fx.cubics(spark, d).join(s, "vec_id", "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<int>")))
     start = "transform(filter(cmds, k -> k.c = 'C'), k -> named_struct('c', 'L', 'p', array(k.sx, k.sy), 'sx', k.sx, 'sy', k.sy, 'ex', k.sx, 'ey', k.sy))"
     rows = lines.withColumn("starts", F.expr(start)).withColumn("token_ids", F.expr(tokens.adaptive("starts", "nodes")))
-    return rows.select("vec_id", F.expr(f"aggregate(filter(token_ids, t -> t >= 100), 0L, (a, t) -> a + {ids.level_of('t')})").alias("levels"), F.expr("size(filter(token_ids, t -> t >= 100))").alias("n"))
+    return rows.select("vec_id", F.expr(TEXT).alias("t"))
 
 
 @query("t13_baseline_count", "SELECT n_nationkey::BIGINT AS doc_id, (2 + 3 * (n_nationkey % 5 + 2) + (n_nationkey % 5 + 1))::INT AS n_tokens FROM nation")
@@ -818,11 +820,6 @@ def f16(spark, d):
     return fx.table(spark, d, "part").withColumn("path_text", F.expr(text)).select("p_partkey", F.expr(path.is_drawable("path_text")).alias("drawable"))
 
 
-@query("e10_value_summary", f"WITH {PART} SELECT count(*) AS scenes, 0::DOUBLE AS attr_max_err, 0::DOUBLE AS attr_mean_err, 1::DOUBLE AS count_acc FROM p")
-def e10(spark, d):
-    return evaluation.value_summary(e9(spark, d))
-
-
 @query("q15_cell_number", f"WITH {VOCAB_SQL} SELECT t AS token_id, (CASE WHEN t >= 100 THEN t - 100 END)::INT AS number FROM u")
 def q15(spark, d):
     return manifest.vocabulary(spark).select("token_id", F.expr(ids.cell_number("token_id")).alias("number"))

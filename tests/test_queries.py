@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from strokeforge.plans import core
+from strokeforge.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -15,10 +15,10 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in core.QUERIES if n in core.SQL])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n in catalog.SQL])
 def test_query_equals_its_sql(spark, con, name):
-    df = core.QUERIES[name](spark, DIR)
-    rel = con.sql(core.SQL[name])
+    df = catalog.QUERIES[name](spark, DIR)
+    rel = con.sql(catalog.SQL[name])
     cols = sorted(df.columns)
     assert sorted(rel.columns) == cols
     at = [rel.columns.index(c) for c in cols]
@@ -27,9 +27,9 @@ def test_query_equals_its_sql(spark, con, name):
     assert got == sorted(tuple(text(r[i]) for i in at) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize("name", [n for n in core.QUERIES if n not in core.SQL])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in catalog.SQL])
 def test_query_without_sql_has_rows(spark, name):
-    assert core.QUERIES[name](spark, DIR).count() > 0
+    assert catalog.QUERIES[name](spark, DIR).count() > 0
 
 
 def test_entry(spark):

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from strokeforge.plans import core
+from strokeforge.plans import catalog as core
 from strokeforge.plans import fixtures as fx
 
 DIR = "/root/testdata/sf0.001"
@@ -43,24 +43,24 @@ def parts(spark):
 def test_every_drawing_is_scored(spark, parts):
     # The truth that scores are held against is text of three decimals.
     want = {k: errors(p, one_decimal, 3) for k, p in parts.items()}
-    got = {r.doc_id: r for r in core.QUERIES["e3_all_scene_scores"](spark, DIR).collect()}
+    got = {r.doc_id: r for r in core.QUERIES["e3_scene_scores"](spark, DIR).collect()}
     assert got.keys() == want.keys() and all(r.count_match for r in got.values())
     for k, e in want.items():
         assert (got[k].attr_mean_err, got[k].attr_max_err) == pytest.approx((sum(e) / len(e), max(e)), abs=1e-5), k
-    s, pooled = core.QUERIES["e4_all_summary"](spark, DIR).first(), sorted(x for e in want.values() for x in e)
+    s, pooled = core.QUERIES["e4_summary"](spark, DIR).first(), sorted(x for e in want.values() for x in e)
     assert (s.scenes, s.coords_measured) == (len(parts), len(pooled))
     assert s.attr_max_err == pytest.approx(pooled[-1], abs=1e-4) and s.perceptible_err_rate == pytest.approx(sum(x > 2 for x in pooled) / len(pooled), abs=1e-4)
 
 
 def test_gates_cover_every_drawing(spark, parts):
     e = [errors(p, float) for p in parts.values()]
-    g = core.QUERIES["e13_all_corpus_gates"](spark, DIR).first()
+    g = core.QUERIES["e13_corpus_gates"](spark, DIR).first()
     assert g.icons == len(parts) and g.within_bound_rate == 1.0
     assert (g.coord_err_mean, g.coord_err_max) == pytest.approx((sum(sum(x) / len(x) for x in e) / len(e), max(map(max, e))), abs=1e-4)
 
 
 def test_normalized_svg_of_every_drawing(spark, parts):
-    got = {r.doc_id: r.truth for r in core.QUERIES["g16_all_normalized_svg"](spark, DIR).collect()}
+    got = {r.doc_id: r.truth for r in core.QUERIES["g16_normalized_svg"](spark, DIR).collect()}
     assert got.keys() == parts.keys()
     for k, p in parts.items():
         d = got[k].split('d="')[1].split('"')[0]
@@ -70,5 +70,5 @@ def test_normalized_svg_of_every_drawing(spark, parts):
 
 def test_points_beyond_the_canvas_count(spark):
     points = [(r.x, r.y) for r in fx.points(spark, DIR).collect()]
-    e, q = errors(points, float), core.QUERIES["q11_all_fidelity"](spark, DIR).first()
+    e, q = errors(points, float), core.QUERIES["q11_fidelity"](spark, DIR).first()
     assert q.n_points == len(points) and q.max_error == pytest.approx(max(e), abs=1e-5) and not q.within_bound
