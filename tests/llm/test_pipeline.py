@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
@@ -7,8 +8,8 @@ import pytest
 import corpus_pipeline
 from strokeforge.llm import langid, pieces
 
-from .test_simhash_mix_counts import brute_fp
-from .test_text_operators import brute_lines
+from .test_similar import shingles
+from .test_text_operators import kept_lines
 
 DIR = "/root/testdata/sf0.001"
 
@@ -71,23 +72,19 @@ def test_language(spark, stages):
 
 def test_lines(stages):
     before, after = stages[1]
-    gone = brute_lines(before)
-    want = []
-    for d in before:
-        text = "\n".join(x for i, x in enumerate(d[1].split("\n")) if i not in gone[d[0], d[1]])
-        want.append((d[0], text, d[2], d[3], len(text)))
+    want = [(d[0], text, d[2], d[3], len(text)) for d, text in zip(before, kept_lines(before), strict=True)]
     assert rows(after) == sorted(want, key=str)
 
 
 def test_near_duplicates(stages):
+    """One document of each group linked by five-word shingles at a similarity of 0.8, whatever their fingerprints."""
     before, after = stages[2]
-    fp = {d[0]: brute_fp(d[1]) for d in before}
-    least = dict(zip(fp, fp, strict=True))
-    while True:
-        new = {a: min(least[b] for b in fp if (fp[a] ^ fp[b]).bit_count() <= 3) for a in fp}
-        if new == least:
-            break
-        least = new
+    sets = [shingles(d[1]) for d in before]
+    least = {d[0]: d[0] for d in before}
+    links = [(a[0], b[0]) for i, (a, x) in enumerate(zip(before, sets, strict=True)) for b, y in zip(before[:i], sets, strict=False) if 5 * len(x & y) >= 4 * len(x | y)]
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
     assert rows(after) == sorted((d for d in before if least[d[0]] == d[0]), key=str)
     assert after.count() < len(before)
 
@@ -105,3 +102,49 @@ def test_pieces(stages):
     got = sorted((r.doc_id, tuple(r.token_ids), r.ids_sha256, r.round_trip) for r in after.collect())
     want = sorted((d[0], tuple(ids := sp.encode(d[1])), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), True) for d in before)
     assert got == want
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row string, digest long, part int, _row string, copies int"
+
+
+def odd_rows():
+    r = random.Random(12)
+    words = "the of and a cat dog house tree walked saw green old small many people water".split()
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    row = lambda i, t, source="s0": (i, t, "en", source, len(t or ""), "x", 1, 2, "y", 3)
+    data = [row(i, "\n".join(prose(12) for _ in range(4)), f"s{i % 3}") for i in range(40)]
+    data += [row(100, None), row(101, ""), row(102, " \n\n\n "), row(103, "12 34"), row(None, prose(40)), row(104, prose(30), None)]
+    data += [data[3], data[3], row(3, prose(50)), row(105, data[5][1]), row(106, data[5][1] + " more")]
+    long = "\n".join(prose(20) for _ in range(3000))
+    return [*data, row(107, long), row(108, long + " end"), row(109, "the old cat\n" * 20_000)]
+
+
+def test_run_meets_nulls_repeats_long_texts_and_clashing_names(spark, tmp_path):
+    spark.createDataFrame(odd_rows(), ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sizes = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(path := f"{tmp_path}/stage{k}")
+        before, docs = [r.asDict() for r in docs.collect()], spark.read.parquet(path)
+        if k < 4:
+            assert docs.columns == [f.split()[0] for f in ODD.split(", ")]
+        sizes[name] = (before, [r.asDict() for r in docs.collect()])
+    before, after = sizes["language ID"]
+    assert {d["doc_id"] for d in before} - {d["doc_id"] for d in after} == {100, 101, 102, 103} and len(after) == len(before) - 4
+    before, after = sizes["line dedup"]
+    assert sorted((d["doc_id"] is None, d["doc_id"] or 0, d["text"]) for d in after) == sorted((d["doc_id"] is None, d["doc_id"] or 0, t) for d, t in zip(before, kept_lines([(x["doc_id"], x["text"]) for x in before]), strict=True))
+    before, after = sizes["SimHash near-dedup"]
+    kept = [d["doc_id"] for d in after]
+    # The id 3 had two texts and rows that repeat, whose lines went before: one of these, now without words, stays too.
+    assert kept.count(3) == 3 and len(kept) == len(set(kept)) + 2
+    assert {104, None} <= set(kept) and not {106, 108} & set(kept)
+    before, after = sizes["mixing sources"]
+    assert {(d["doc_id"], d["text"]) for d in after} <= {(d["doc_id"], d["text"]) for d in before if (d["text"] or "").split()}
+    before, after = sizes["SentencePiece"]
+    assert len(after) == len(before) and all(d["round_trip"] for d in after)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(after)
+
+
+def test_run_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
