@@ -12,6 +12,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores, if its files are fewer: drawing makes much of few bytes."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     """event_id, x, y; some outside the canvas."""
     return table(spark, d, "events").select("event_id", F.col("value").alias("x"), ((F.col("event_id") * 37) % 300 + 0.25).cast("double").alias("y"))
@@ -34,7 +40,7 @@ def cubics(spark: SparkSession, d: str) -> DataFrame:
     (sx, sy), (ax, ay), (bx, by), (cx, cy) = (pt("i", k) for k in range(4))
     curve = cmd("C", [ax, ay, bx, by, cx, cy], sx, sy, cx, cy)
     move = cmd("M", [at("0"), at("1")], at("0"), at("1"), at("0"), at("1"))
-    return table(spark, d, "embeddings").select("vec_id", F.expr(f"cast(concat(array({move}), transform(sequence(0, 9), i -> {curve})) AS {COMMANDS})").alias("cmds"))
+    return spread(table(spark, d, "embeddings")).select("vec_id", F.expr(f"cast(concat(array({move}), transform(sequence(0, 9), i -> {curve})) AS {COMMANDS})").alias("cmds"))
 
 
 #: SQL for both engines: what the drawing of a part holds.
@@ -46,7 +52,7 @@ PART = {
 
 def drawings(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, svg: one circle, rectangle, ellipse or closed path for each part, in a moved group."""
-    p = table(spark, d, "part").selectExpr(*[f"cast({v} AS INT) AS {n}" for n, v in PART.items()])
+    p = spread(table(spark, d, "part")).selectExpr(*[f"cast({v} AS INT) AS {n}" for n, v in PART.items()])
     shape = (
         "CASE kind WHEN 0 THEN concat('<circle cx=\"', cx, '\" cy=\"', cy, '\" r=\"', r, '\"/>') WHEN 1 THEN concat('<rect x=\"', x, '\" y=\"', y, '\" width=\"', w, '\" height=\"', h, '\"/>') "
         "WHEN 2 THEN concat('<ellipse cx=\"', cx, '\" cy=\"', cy, '\" rx=\"', rx, '\" ry=\"', ry, '\"/>') ELSE concat('<path d=\"m', x, ',', y, 'h', w, 'v', h, 'h-', w, 'z\"/>') END"
