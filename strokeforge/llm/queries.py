@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, line_dedup, mixing, pieces, pii, simhash, suffix_dedup, token_counts, topk
+from . import fingerprint, langid, line_dedup, mixing, pieces, pii, row_patterns, simhash, suffix_dedup, token_counts, topk
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_row_patterns": row_patterns.op11_row_patterns,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL, "op4_topk": topk.SQL, "op10_line_dedup": line_dedup.SQL}
+    return {"op2_mixing": mixing.SQL, "op4_topk": topk.SQL, "op10_line_dedup": line_dedup.SQL, "op11_row_patterns": row_patterns.SQL}
