@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, line_dedup, mixing, pieces, pii, row_patterns, simhash, suffix_dedup, token_counts, topk
+from . import fingerprint, langid, line_dedup, mixing, pieces, pii, prefix_trie, quality, row_patterns, simhash, suffix_dedup, token_counts, topk
 
 
 def queries() -> dict:
@@ -18,8 +18,10 @@ def queries() -> dict:
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_line_dedup": line_dedup.op10_line_dedup,
         "op11_row_patterns": row_patterns.op11_row_patterns,
+        "op12_quality_rules": quality.op12_quality_rules,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL, "op4_topk": topk.SQL, "op10_line_dedup": line_dedup.SQL, "op11_row_patterns": row_patterns.SQL}
+    return {"op2_mixing": mixing.SQL, "op4_topk": topk.SQL, "op10_line_dedup": line_dedup.SQL, "op11_row_patterns": row_patterns.SQL, "op12_quality_rules": quality.SQL, "op13_prefix_trie": prefix_trie.SQL}
