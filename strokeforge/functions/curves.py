@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from .sqlgen import let
+from .sqlgen import let, scan
 
 SAMPLES = 30
 STRAIGHT = 1e-4
@@ -104,12 +104,15 @@ def analysed(cmds: str, th: Thresholds = Thresholds()) -> str:
     A move ends the memory of what was drawn before; a close doesn't.
     """
     kind = "struct<c:string,p:array<double>,sx:double,sy:double,ex:double,ey:double>"
-    out = f"array<struct<k:{kind},g:{SEGMENT},level:int>>"
-    both = f"transform({cmds}, k -> named_struct('k', k, 'g', {segment('k')}))"
-    level = f"IF(s.last IS NULL OR u.g IS NULL, cast(NULL AS INT), {continuity('s.last.k.ex', 's.last.k.ey', 's.last.g.t1', 's.last.g.k1', 'u.k.sx', 'u.k.sy', 'u.g.t0', 'u.g.k0', th)})"
     pair = f"struct<k:{kind},g:{SEGMENT}>"
-    step = f"named_struct('last', CASE WHEN u.k.c = 'M' THEN cast(NULL AS {pair}) WHEN u.g IS NULL THEN s.last ELSE u END, 'out', concat(s.out, array(named_struct('k', u.k, 'g', u.g, 'level', {level}))))"
-    return f"aggregate({both}, named_struct('last', cast(NULL AS {pair}), 'out', cast(array() AS {out})), (s, u) -> {step}, s -> s.out)"
+
+    def step(s: str) -> str:
+        level = f"IF({s}.last IS NULL OR u.g IS NULL, cast(NULL AS INT), {continuity(f'{s}.last.k.ex', f'{s}.last.k.ey', f'{s}.last.g.t1', f'{s}.last.g.k1', 'u.k.sx', 'u.k.sy', 'u.g.t0', 'u.g.k0', th)})"
+        last = f"CASE WHEN u.k.c = 'M' THEN cast(NULL AS {pair}) WHEN u.g IS NULL THEN {s}.last ELSE u END"
+        return f"named_struct('st', named_struct('last', {last}), 'out', array(named_struct('k', u.k, 'g', u.g, 'level', {level})))"
+
+    both = f"transform({cmds}, k -> named_struct('k', k, 'g', {segment('k')}))"
+    return scan(both, "u", f"named_struct('last', cast(NULL AS {pair}))", f"struct<last:{pair}>", f"struct<k:{kind},g:{SEGMENT},level:int>", step)
 
 
 def profile(samples: int = 20) -> str:

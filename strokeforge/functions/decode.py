@@ -1,4 +1,4 @@
-"""Decoding of streams to path text and SVG, as one fold over the tokens.
+"""Decoding of streams to path text and SVG: groups by one scan over the tokens, texts by group.
 
 A group is a command or shape with the coordinates that follow it. Groups of commands make
 path texts, which join into one path until a SEP, a shape or a spatial token ends it; shapes
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from . import ids
 from .grammar import struct
-from .sqlgen import let, trimmed
+from .sqlgen import let, scan, trimmed
 
 STYLE = 'fill="none" stroke="black" stroke-width="1"'
 
@@ -41,20 +41,26 @@ def shape_text(c: str = "c", v: str = "v") -> str:
     )
 
 
+GROUP = "struct<c:int,v:array<int>>"
+
+
 def groups(tokens: str) -> str:
     """Array of STRUCT<c INT, v ARRAY<INT>> in order: c is the id that opened a group, 3 for SEP; v its coordinates."""
-    kind = "array<struct<c:int,v:array<int>>>"
     none = "cast(array() AS ARRAY<INT>)"
     opens = "((t >= 10 AND t < 18) OR (t >= 20 AND t < 24) OR (t >= 60 AND t < 71))"
     keeps = "((t >= 30 AND t < 34) OR (t >= 40 AND t < 56))"
-    last = "s.out[size(s.out) - 1]"
-    grown = f"concat(slice(s.out, 1, size(s.out) - 1), array(named_struct('c', {last}.c, 'v', concat({last}.v, array(t)))))"
-    out = (
-        f"CASE WHEN {opens} OR t = 3 THEN concat(s.out, array(named_struct('c', t, 'v', {none}))) WHEN {ids.is_coord('t')} AND s.open THEN {grown} ELSE s.out END"
-    )
-    # Markers leave a command open and close a shape; so does any other id.
-    is_open = f"CASE WHEN {opens} THEN true WHEN {ids.is_coord('t')} THEN s.open WHEN {keeps} THEN s.open AND {last}.c < 18 ELSE false END"
-    return f"aggregate({tokens}, named_struct('open', false, 'out', cast(array() AS {kind})), (s, t) -> named_struct('open', {is_open}, 'out', {out}), s -> s.out)"
+    ended = lambda s: f"IF({s}.c IS NULL, cast(array() AS array<{GROUP}>), array(named_struct('c', {s}.c, 'v', {s}.v)))"
+
+    def step(s: str) -> str:
+        # Markers leave a command open and close a shape; so does any other id.
+        state = {
+            "open": f"CASE WHEN {opens} THEN true WHEN {ids.is_coord('t')} THEN {s}.open WHEN {keeps} THEN {s}.open AND {s}.c < 18 ELSE false END",
+            "c": f"IF({opens} OR t = 3, t, {s}.c)", "v": f"CASE WHEN {opens} OR t = 3 THEN {none} WHEN {ids.is_coord('t')} AND {s}.open THEN concat({s}.v, array(t)) ELSE {s}.v END",
+        }
+        return struct({"st": struct(state), "out": f"IF({opens} OR t = 3, {ended(s)}, cast(array() AS array<{GROUP}>))"})
+
+    start = f"named_struct('open', false, 'c', cast(NULL AS INT), 'v', {none})"
+    return scan(tokens, "t", start, "struct<open:boolean,c:int,v:array<int>>", GROUP, step, ended)
 
 
 def path_text(tokens: str) -> str:
@@ -65,15 +71,15 @@ def path_text(tokens: str) -> str:
 
 def element_list(tokens: str) -> str:
     """The elements of a stream without spatial tokens; one path, maybe empty, if it decodes to none."""
-    step = {
-        "path": "CASE WHEN g.c < 10 OR g.c >= 18 THEN '' WHEN x = '' THEN s.path WHEN s.path = '' THEN x ELSE concat(s.path, ' ', x) END",
-        "out": f"concat(s.out, IF((g.c < 10 OR g.c >= 18) AND s.path <> '', array(concat('<path d=\"', s.path, '\" {STYLE}/>')), cast(array() AS ARRAY<STRING>)), IF(g.c >= 18 AND x <> '', array(x), cast(array() AS ARRAY<STRING>)))",
-    }
     text = let({"c": "g.c", "v": "g.v"}, f"IF(c < 18, {group_text()}, {shape_text()})", "string")
-    done = f"IF(s.path = '', s.out, concat(s.out, array(concat('<path d=\"', s.path, '\" {STYLE}/>'))))"
-    fold = f"aggregate({groups(tokens)}, named_struct('path', '', 'out', cast(array() AS ARRAY<STRING>)), (s, g) -> {let({'x': text}, struct(step), 'struct<path:string,out:array<string>>')}, s -> {done})"
+    # Groups that are no commands end the path before them, as the end does; they may be shapes themselves.
+    cuts = "filter(sequence(0, size(gs)), i -> coalesce(gs[i].c < 10 OR gs[i].c >= 18, false) OR i = size(gs))".replace("gs[i]", "get(gs, i)")
+    joined = "array_join(filter(slice(xs, lo + 1, i - lo), x -> x <> ''), ' ')"
+    path = let({"lo": "IF(n = 0, 0, cs[n - 1] + 1)", "d": joined}, f"IF(d = '', cast(array() AS ARRAY<STRING>), array(concat('<path d=\"', d, '\" {STYLE}/>')))", "array<string>")
+    shape = "IF(get(gs, i).c >= 18 AND xs[i] <> '', array(xs[i]), cast(array() AS ARRAY<STRING>))".replace("xs[i]", "get(xs, i)")
+    made = let({"gs": groups(tokens), "xs": f"transform(gs, g -> {text})", "cs": cuts}, f"flatten(transform(cs, (i, n) -> concat({path}, coalesce({shape}, cast(array() AS ARRAY<STRING>)))))", "array<string>")
     alone = f"array(concat('<path d=\"', {path_text(tokens)}, '\" fill=\"none\" stroke=\"black\" stroke-width=\"1.0\"/>'))"
-    return let({"els": fold}, f"IF(size(els) > 0, els, {alone})", "array<string>")
+    return let({"els": made}, f"IF(size(els) > 0, els, {alone})", "array<string>")
 
 
 def document(elements: str, canvas: float = ids.CANVAS) -> str:

@@ -7,6 +7,7 @@ a command or shape, 3 after a continuity token; and whether the last group is a
 from __future__ import annotations
 
 from . import ids
+from .sqlgen import scan
 
 # Coordinates that follow each id.
 COMMAND_ARGS = {10: 1, 11: 1, 12: 1, 13: 1, 14: 3, 15: 2, 16: 2, 17: 0}
@@ -47,6 +48,7 @@ def struct(fields: dict[str, str]) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
+NONE = "cast(array() AS ARRAY<INT>)"
 START = {"pending": "0", "state": "0", "path": "false"}
 
 
@@ -77,15 +79,19 @@ def validated(tokens: str) -> str:
 def repaired(tokens: str) -> str:
     """The stream with what isn't allowed left out, cut back to its last complete group, and closed."""
     t = "t"
-    skip = f"(s.stop OR {t} IN (1, 2) OR NOT ({allowed(t)}))"
-    nxt = advance(t)
-    step = {k: f"IF({skip}, s.{k}, {v})" for k, v in nxt.items()} | {
-        "stop": f"s.stop OR {t} = 2", "out": f"IF({skip}, s.out, concat(s.out, array({t})))",
-        # How much of out is complete: all of it whenever no argument is pending.
-        "whole": f"IF({skip}, s.whole, IF(({nxt['pending']}) = 0, size(s.out) + 1, s.whole))",
-    }
-    init = START | {"stop": "false", "out": "cast(array() AS ARRAY<INT>)", "whole": "0"}
-    return f"aggregate({tokens}, {struct(init)}, (s, t) -> {struct(step)}, s -> concat(array(1), slice(s.out, 1, s.whole), array(2)))"
+
+    def step(s: str) -> str:
+        skip = f"({s}.stop OR {t} IN (1, 2) OR NOT ({allowed(t, s)}))"
+        nxt = advance(t, s)
+        state = {k: f"IF({skip}, {s}.{k}, {v})" for k, v in nxt.items()} | {
+            # Tokens are held until no argument is pending; what is still held at the end is left out.
+            "held": f"CASE WHEN {skip} THEN {s}.held WHEN ({nxt['pending']}) = 0 THEN {NONE} ELSE concat({s}.held, array({t})) END",
+            "stop": f"{s}.stop OR {t} = 2",
+        }
+        return struct({"st": struct(state), "out": f"IF({skip} OR ({nxt['pending']}) > 0, {NONE}, concat({s}.held, array({t})))"})
+
+    init = START | {"held": NONE, "stop": "false"}
+    return f"concat(array(1), {scan(tokens, t, struct(init), 'struct<pending:int,state:int,path:boolean,held:array<int>,stop:boolean>', 'int', step)}, array(2))"
 
 
 def mask(tokens: str, size: int = ids.VOCAB) -> str:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from .sqlgen import doubles, let, lit, trimmed
+from .sqlgen import doubles, let, lit, scan, trimmed
 
 COMMANDS = "array<struct<c:string,p:array<double>,sx:double,sy:double,ex:double,ey:double>>"
 RAW = "array<struct<c:string,p:array<double>>>"
@@ -43,24 +43,28 @@ def chunked(lex: str) -> str:
 
 def resolved(chunks: str) -> str:
     """Absolute commands. S and T become C and Q; their reflected point is that of the last curve, of either kind."""
-    rx, ry = "IF(s.kx IS NULL, s.x, 2 * s.x - s.kx)", "IF(s.ky IS NULL, s.y, 2 * s.y - s.ky)"
-    pairs = lambda n: ", ".join(f"ox + t.p[{i}], oy + t.p[{i + 1}]" for i in range(0, n, 2))
-    absolute = (
-        f"CASE u WHEN 'H' THEN array(ox + t.p[0], s.y) WHEN 'V' THEN array(s.x, oy + t.p[0]) WHEN 'C' THEN array({pairs(6)}) WHEN 'S' THEN array({rx}, {ry}, {pairs(4)}) "
-        f"WHEN 'Q' THEN array({pairs(4)}) WHEN 'T' THEN array({rx}, {ry}, {pairs(2)}) WHEN 'A' THEN array(t.p[0], t.p[1], t.p[2], t.p[3], t.p[4], ox + t.p[5], oy + t.p[6]) "
-        f"WHEN 'Z' THEN cast(array() AS ARRAY<DOUBLE>) ELSE array({pairs(2)}) END"
-    )
-    ex, ey = "IF(u = 'Z', s.mx, a[size(a) - 2])", "IF(u = 'Z', s.my, a[size(a) - 1])"
-    k = lambda i: f"CASE WHEN u IN ('C', 'S') THEN a[{2 + i}] WHEN u IN ('Q', 'T') THEN a[{i}] END"
-    kind = "CASE u WHEN 'S' THEN 'C' WHEN 'T' THEN 'Q' ELSE u END"
-    step = let(
-        {"u": "upper(t.c)", "ox": "IF(t.c = upper(t.c), 0D, s.x)", "oy": "IF(t.c = upper(t.c), 0D, s.y)", "a": absolute, "ex": ex, "ey": ey},
-        f"named_struct('x', ex, 'y', ey, 'mx', IF(u = 'M', ex, s.mx), 'my', IF(u = 'M', ey, s.my), 'kx', {k(0)}, 'ky', {k(1)}, "
-        f"'out', concat(s.out, array(named_struct('c', {kind}, 'p', a, 'sx', s.x, 'sy', s.y, 'ex', ex, 'ey', ey))))",
-        f"struct<x:double,y:double,mx:double,my:double,kx:double,ky:double,out:{COMMANDS}>",
-    )
-    start = f"named_struct('x', 0D, 'y', 0D, 'mx', 0D, 'my', 0D, 'kx', cast(NULL AS DOUBLE), 'ky', cast(NULL AS DOUBLE), 'out', cast(array() AS {COMMANDS}))"
-    return f"aggregate({chunks}, {start}, (s, t) -> {step}, s -> s.out)"
+    state = "struct<x:double,y:double,mx:double,my:double,kx:double,ky:double>"
+
+    def step(s: str) -> str:
+        rx, ry = f"IF({s}.kx IS NULL, {s}.x, 2 * {s}.x - {s}.kx)", f"IF({s}.ky IS NULL, {s}.y, 2 * {s}.y - {s}.ky)"
+        pairs = lambda n: ", ".join(f"ox + t.p[{i}], oy + t.p[{i + 1}]" for i in range(0, n, 2))
+        absolute = (
+            f"CASE u WHEN 'H' THEN array(ox + t.p[0], {s}.y) WHEN 'V' THEN array({s}.x, oy + t.p[0]) WHEN 'C' THEN array({pairs(6)}) WHEN 'S' THEN array({rx}, {ry}, {pairs(4)}) "
+            f"WHEN 'Q' THEN array({pairs(4)}) WHEN 'T' THEN array({rx}, {ry}, {pairs(2)}) WHEN 'A' THEN array(t.p[0], t.p[1], t.p[2], t.p[3], t.p[4], ox + t.p[5], oy + t.p[6]) "
+            f"WHEN 'Z' THEN cast(array() AS ARRAY<DOUBLE>) ELSE array({pairs(2)}) END"
+        )
+        ex, ey = f"IF(u = 'Z', {s}.mx, a[size(a) - 2])", f"IF(u = 'Z', {s}.my, a[size(a) - 1])"
+        k = lambda i: f"CASE WHEN u IN ('C', 'S') THEN a[{2 + i}] WHEN u IN ('Q', 'T') THEN a[{i}] END"
+        kind = "CASE u WHEN 'S' THEN 'C' WHEN 'T' THEN 'Q' ELSE u END"
+        return let(
+            {"u": "upper(t.c)", "ox": f"IF(t.c = upper(t.c), 0D, {s}.x)", "oy": f"IF(t.c = upper(t.c), 0D, {s}.y)", "a": absolute, "ex": ex, "ey": ey},
+            f"named_struct('st', named_struct('x', ex, 'y', ey, 'mx', IF(u = 'M', ex, {s}.mx), 'my', IF(u = 'M', ey, {s}.my), 'kx', {k(0)}, 'ky', {k(1)}), "
+            f"'out', array(named_struct('c', {kind}, 'p', a, 'sx', {s}.x, 'sy', {s}.y, 'ex', ex, 'ey', ey)))",
+            f"struct<st:{state},out:{COMMANDS}>",
+        )
+
+    start = "named_struct('x', 0D, 'y', 0D, 'mx', 0D, 'my', 0D, 'kx', cast(NULL AS DOUBLE), 'ky', cast(NULL AS DOUBLE))"
+    return scan(chunks, "t", start, state, COMMANDS[6:-1], step)
 
 
 def parsed(d: str) -> str:

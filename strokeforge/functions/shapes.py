@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from . import ids, tokens
 from .path import COMMANDS
-from .sqlgen import let
+from .sqlgen import let, scan
 
 SHAPE = "struct<shape:string,a:int,b:int,p:array<double>,confidence:double>"
 #: px, px, cosine.
@@ -18,11 +18,12 @@ SPAN = "struct<a:int,b:int>"
 
 def subpaths(cmds: str) -> str:
     """First and last index of each run from a move to a close; later moves begin anew, unclosed runs are none."""
-    step = (
-        f"named_struct('a', CASE x.c WHEN 'M' THEN x.i WHEN 'Z' THEN cast(NULL AS INT) ELSE s.a END, "
-        f"'out', IF(x.c = 'Z' AND s.a IS NOT NULL, concat(s.out, array(named_struct('a', s.a, 'b', x.i))), s.out))"
+    none = f"cast(array() AS ARRAY<{SPAN}>)"
+    step = lambda s: (
+        f"named_struct('st', named_struct('a', CASE x.c WHEN 'M' THEN x.i WHEN 'Z' THEN cast(NULL AS INT) ELSE {s}.a END), "
+        f"'out', IF(x.c = 'Z' AND {s}.a IS NOT NULL, array(named_struct('a', {s}.a, 'b', x.i)), {none}))"
     )
-    return f"aggregate(transform({cmds}, (k, i) -> named_struct('c', k.c, 'i', i)), named_struct('a', cast(NULL AS INT), 'out', cast(array() AS ARRAY<{SPAN}>)), (s, x) -> {step}, s -> s.out)"
+    return scan(f"transform({cmds}, (k, i) -> named_struct('c', k.c, 'i', i))", "x", "named_struct('a', cast(NULL AS INT))", "struct<a:int>", SPAN, step)
 
 
 def _shape(kind: str, p: list[str], confidence: str) -> str:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import ids
+from ..functions.sqlgen import scan
 from ..sources.shared import materialize
 
 PROTECTED = (1, 2, 3)
@@ -39,8 +40,12 @@ def best_pair(counts: DataFrame) -> DataFrame:
 
 def merged(tokens: str, a: int, b: int, new: int) -> str:
     """SQL: tokens with each non-overlapping a, b from the left replaced by new."""
-    hit = f"size(s) > 0 AND s[size(s) - 1] = {a} AND t = {b}"
-    return f"aggregate({tokens}, cast(array() AS ARRAY<INT>), (s, t) -> IF({hit}, concat(slice(s, 1, size(s) - 1), array({new})), concat(s, array(t))))"
+    none = "cast(array() AS ARRAY<INT>)"
+    # A token is held back until the next one shows whether both are merged.
+    held = lambda s: f"IF({s}.a IS NULL, {none}, array({s}.a))"
+    hit = lambda s: f"coalesce({s}.a = {a}, false) AND t = {b}"
+    step = lambda s: f"named_struct('st', named_struct('a', IF({hit(s)}, NULL, t)), 'out', IF({hit(s)}, array({new}), {held(s)}))"
+    return scan(tokens, "t", "named_struct('a', cast(NULL AS INT))", "struct<a:int>", "int", step, held)
 
 
 def learn(streams: DataFrame, n_merges: int, vocab: int = ids.VOCAB, min_freq: int = 2, protected=PROTECTED, tokens: str = "token_ids") -> list[list[int]]:
