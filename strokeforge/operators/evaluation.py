@@ -15,7 +15,7 @@ from ..functions import ids, path
 from ..functions.sqlgen import let
 from ..sources import svg as source
 from ..sources.shared import materialize
-from . import bpe, codec
+from . import bpe, codec, render
 
 MISSING_PX = 300.0 * math.sqrt(2)
 PERCEPTIBLE_PX = 2.0
@@ -53,14 +53,20 @@ def point_errors(truth: DataFrame, recon: DataFrame, keys: list[str]) -> DataFra
     return a.join(b, [*keys, "pos"], "full").withColumn("err", F.coalesce(F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")), F.lit(MISSING_PX)))
 
 
-def scene_scores(df: DataFrame) -> DataFrame:
-    """df with truth and svg (decoded) and token_ids, with errs, attr_mean_err, attr_max_err, count_match, render_ssim, n_tokens, n_tokens_bpe."""
+def scene_scores(df: DataFrame, side: int | None = None, stroke: float = render.STROKE) -> DataFrame:
+    """df with truth and svg (decoded) and token_ids, with errs, attr_mean_err, attr_max_err, count_match, render_ssim, n_tokens, n_tokens_bpe.
+
+    side: of the images that are compared, all strokes of one width; without it render_ssim is null, as unknown.
+    """
+    if side:
+        df = render.with_similarity(render.document_lines(df, _truth_lines="truth", _svg_lines="svg"), "_truth_lines", "_svg_lines", side, stroke)
+    else:
+        df = df.withColumn("render_ssim", F.lit(None).cast("double"))
     rows = points_of(df, _p="truth", _q="svg").withColumn("errs", F.expr(errors("_p", "_q")))
     return rows.withColumns({
         "attr_mean_err": F.expr("IF(size(errs) > 0, aggregate(errs, 0D, (a, e) -> a + e) / size(errs), 0D)"),
         "attr_max_err": F.expr("coalesce(array_max(errs), 0D)"),
         "count_match": F.expr(f"{element_count('truth')} = {element_count('svg')}"),
-        "render_ssim": F.lit(None).cast("double"),  # no renderer: unknown, not bad
         "n_tokens": F.size("token_ids"),
         "n_tokens_bpe": F.lit(None).cast("int"),  # no baseline vocabulary offline
     }).drop("_p", "_q")
@@ -113,12 +119,12 @@ def quantiles(rows: DataFrame, column: str, shares: tuple[float, ...]) -> list[f
     return [value(lo) + (value(hi) - value(lo)) * part for lo, hi, part in places]
 
 
-def builtin_eval(docs: DataFrame, level: str = "L1", lean: bool = False, merges: list | None = None) -> DataFrame:
+def builtin_eval(docs: DataFrame, level: str = "L1", lean: bool = False, merges: list | None = None, side: int | None = None) -> DataFrame:
     """Scores of every document that tokenizes: encode, decode, compare with the geometry before quantising."""
     rows = codec.normalized_svg(codec.parsed(docs)).filter("error IS NULL").select("doc_id", F.col("svg").alias("source"), "truth", "elements")
     rows = codec.l1(rows, lean).drop("elements")
     rows = rows.withColumn("tokenizer_version", F.lit(ids.TOKENIZER_VERSION))
-    return scene_scores(codec.detokenize(rows, merges).filter("error IS NULL"))
+    return scene_scores(codec.detokenize(rows, merges).filter("error IS NULL"), side)
 
 
 def restyled(svg: str, width: float) -> str:
@@ -211,24 +217,26 @@ def categories(samples: DataFrame) -> DataFrame:
     return samples.groupBy(F.expr(category()).alias("category")).agg(F.count("*").alias("n"))
 
 
-def render_figures(masks: DataFrame, key: str = "sample_id", mask: str = "mask", ahead: int = 5) -> DataFrame:
+def render_figures(masks: DataFrame, key: str = "sample_id", mask: str = "mask", ahead: int = 5, ink: str | None = None) -> DataFrame:
     """One row for ink masks (arrays of booleans): share of ink, of masks neither empty nor full, and the mean difference to the next few.
 
+    ink: a column of the share of ink; that of the mask by default.
+
     Next is by place in the order of keys, whatever gaps they have. Places are the count of
     lesser keys: of the parts that a range exchange makes, and within a part. Neighbours come
-    from a join on blocks of places, so no task holds more than two blocks.
+    from a join on places.
     """
-    parted = masks.select(F.col(key).cast("long").alias("k"), F.col(mask).alias("m"), F.hash(mask).alias("tie")).repartitionByRange("k", "tie").withColumn("part", F.spark_partition_id())
+    parted = masks.select(F.col(key).cast("long").alias("k"), F.col(mask).alias("m"), F.hash(mask).alias("tie"), F.expr(f"aggregate({mask}, 0D, (a, v) -> a + IF(v, 1, 0)) / size({mask})" if ink is None else ink).cast("double").alias("ink")).repartitionByRange("k", "tie").withColumn("part", F.spark_partition_id())
     parted = materialize(parted, "masks")
     sizes = parted.groupBy("part").agg(F.count("*").alias("n"))  # a row a part
     before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     within = F.row_number().over(Window.partitionBy("part").orderBy("k", "tie"))
-    ranked = parted.join(F.broadcast(before.select("part", F.coalesce("before", F.lit(0)).alias("before"))), "part").select((F.col("before") + within).alias("k"), "m")
-    ranked = materialize(ranked.withColumn("block", F.floor(F.col("k") / 64)), "masks-ranked")
-    ink = "aggregate(m, 0D, (a, v) -> a + IF(v, 1, 0)) / size(m)"
-    one = ranked.agg(F.count("*").alias("n"), F.round(F.avg(F.expr(ink)), 6).alias("mean_ink"), F.round(F.avg(F.expr(f"IF({ink} BETWEEN 0.005 AND 0.6, 1D, 0D)")), 6).alias("non_degenerate"))
-    right = ranked.select(F.col("k").alias("k2"), F.col("m").alias("m2"), F.explode(F.expr("array(block, block - 1)")).alias("block"))
-    pairs = ranked.join(right, "block").filter(f"k2 > k AND k2 <= k + {ahead}")
+    ranked = parted.join(F.broadcast(before.select("part", F.coalesce("before", F.lit(0)).alias("before"))), "part").select((F.col("before") + within).alias("k"), "m", "ink")
+    ranked = materialize(ranked, "masks-ranked")
+    one = ranked.agg(F.count("*").alias("n"), F.round(F.avg("ink"), 6).alias("mean_ink"), F.round(F.avg(F.expr("IF(ink BETWEEN 0.005 AND 0.6, 1D, 0D)")), 6).alias("non_degenerate"))
+    # Each mask meets the next few and no others: its place is told to those before it.
+    right = ranked.select(F.col("m").alias("m2"), F.explode(F.expr(f"transform(sequence(1, {ahead}), i -> k - i)")).alias("k"))
+    pairs = ranked.join(right, "k")
     diff = pairs.agg(F.round(F.avg(F.expr("aggregate(zip_with(m, m2, (a, b) -> IF(a = b, 0D, 1D)), 0D, (a, v) -> a + v) / size(m)")), 6).alias("diversity"))
     return one.join(F.broadcast(diff))
 
