@@ -1,8 +1,8 @@
 """Byte-pair merges over token streams: counting, learning, encoding, decoding.
 
-Learning iterates distributed aggregations: pairs of neighbours are counted with a partial and
-a final sum, the best is taken, and all streams are rewritten by one fold each; lineage is cut
-through a written table every CUT merges. Distinct streams are counted once, with their number.
+Learning counts pairs of neighbours once, with a partial and a final sum, and then by what changes:
+each round takes the best pairs that can be merged together, rewrites the streams that hold one,
+and adds the difference of these streams' pairs. Distinct streams count once, with their number.
 Encoding uses an Arrow map with a heap over linked positions; decoding is a lookup of whole
 expansions.
 """
@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import ids
-from ..functions.sqlgen import scan
-from ..sources.shared import materialize
+from ..functions.sqlgen import let, scan
+from ..sources.shared import discard_table, materialize
 
 PROTECTED = (1, 2, 3)
-CUT = 8
+#: Pairs that are merged in one round at most.
+BATCH = 16
 
 
 def pair_counts(streams: DataFrame, tokens: str = "token_ids", protected=PROTECTED, weight: str = "1L") -> DataFrame:
@@ -40,28 +41,65 @@ def best_pair(counts: DataFrame) -> DataFrame:
 
 def merged(tokens: str, a: int, b: int, new: int) -> str:
     """SQL: tokens with each non-overlapping a, b from the left replaced by new."""
+    return merged_all(tokens, [[a, b, new]])
+
+
+def merged_all(tokens: str, merges: list[list[int]]) -> str:
+    """SQL: tokens with each a, b of merges, none of which overlaps another, replaced by its new id."""
     none = "cast(array() AS ARRAY<INT>)"
     # A token is held back until the next one shows whether both are merged.
     held = lambda s: f"IF({s}.a IS NULL, {none}, array({s}.a))"
-    hit = lambda s: f"coalesce({s}.a = {a}, false) AND t = {b}"
-    step = lambda s: f"named_struct('st', named_struct('a', IF({hit(s)}, NULL, t)), 'out', IF({hit(s)}, array({new}), {held(s)}))"
+    hit = lambda s: "CASE " + " ".join(f"WHEN {s}.a = {a} AND t = {b} THEN {new}" for a, b, new in merges) + " END"
+    step = lambda s: let({"hit": hit(s)}, f"named_struct('st', named_struct('a', IF(hit IS NULL, t, NULL)), 'out', IF(hit IS NULL, {held(s)}, array(hit)))", "struct<st:struct<a:int>,out:array<int>>")
     return scan(tokens, "t", "named_struct('a', cast(NULL AS INT))", "struct<a:int>", "int", step, held)
 
 
+def independent(ranked: list[tuple[int, int, int]], most: int, whole: bool) -> list[tuple[int, int]]:
+    """The first pairs of ranked (a, b, n) that can be merged at once, with what merging them one by one gives.
+
+    No pair of a batch meets another (so none takes from another's count), and the least of them is
+    more frequent than any other pair. A pair with a new id is no more frequent than one that it
+    takes the place of, which is none of the batch: so none comes before the batch is through.
+    whole: whether ranked holds every pair that counts. One pair can always be merged.
+    """
+    met, best = [], 1
+    for i, (a, b, n) in enumerate(ranked[:most]):
+        if i and (a == b or met[0][0] == met[0][1] or any(b == c or a == d for c, d in met)):
+            break
+        met.append((a, b))
+        if (whole and i + 1 == len(ranked)) or (i + 1 < len(ranked) and ranked[i + 1][2] < n):
+            best = i + 1
+    return met[:best]
+
+
 def learn(streams: DataFrame, n_merges: int, vocab: int = ids.VOCAB, min_freq: int = 2, protected=PROTECTED, tokens: str = "token_ids") -> list[list[int]]:
-    """[a, b, new id] in the order of priority, at most n_merges."""
+    """[a, b, new id] in the order of priority, at most n_merges.
+
+    Pairs are counted once. Each round merges the first pairs that do not touch each other, and
+    changes the counts by those of the streams that hold one of them: pairs before and after.
+    """
     protected = tuple(protected) or PROTECTED
     rows = streams.groupBy(F.col(tokens).alias("t")).agg(F.count("*").alias("w"))
-    rows, out = materialize(rows, "bpe"), []
-    for i in range(n_merges):
-        top = best_pair(pair_counts(rows, "t", protected, "w")).collect()
-        if not top or top[0]["n"] < min_freq:
+    rows = materialize(rows.select("t", F.lit(None).cast("array<int>").alias("u"), "w"), "bpe")
+    counts = materialize(pair_counts(rows, "t", protected, "w"), "bpe-pairs")
+    out: list[list[int]] = []
+    while len(out) < n_merges:
+        top = [tuple(r) for r in counts.filter(F.col("n") >= min_freq).orderBy(F.desc("n"), "a", "b").limit(BATCH + 1).select("a", "b", "n").collect()]
+        batch = [[a, b, vocab + len(out) + i] for i, (a, b) in enumerate(independent(top, min(BATCH, n_merges - len(out)), len(top) <= BATCH))]
+        if not batch:
+            break
+        out += batch
+        if len(out) == n_merges:
             break
-        a, b = top[0]["a"], top[0]["b"]
-        out.append([a, b, vocab + i])
-        rows = rows.select(F.expr(f"IF(array_contains(t, {a}), {merged('t', a, b, vocab + i)}, t)").alias("t"), "w")
-        if (i + 1) % CUT == 0:
-            rows = materialize(rows, "bpe")
+        holds = " OR ".join(f"(array_contains(t, {a}) AND array_contains(t, {b}))" for a, b, _ in batch)
+        now = rows.select(F.coalesce("u", "t").alias("t"), "w").withColumn("u", F.expr(f"IF({holds}, {merged_all('t', batch)}, NULL)"))
+        now = materialize(now.select("t", F.expr("IF(u = t, NULL, u)").alias("u"), "w"), "bpe")
+        touched = now.filter("u IS NOT NULL")
+        change = pair_counts(touched, "u", protected, "w").unionByName(pair_counts(touched, "t", protected, "-w"))
+        following = materialize(counts.unionByName(change).groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 0"), "bpe-pairs")
+        for old in (rows, counts):
+            discard_table(old)
+        rows, counts = now, following
     return out
 
 

@@ -202,7 +202,18 @@ def b10(spark, d):
     return spark.createDataFrame(found, "min_freq int, a int, b int, new_id int")
 
 
-@query("b4_learn_merges")
+def _steps(n: int) -> str:
+    """SQL of DuckDB: s0 (id, t) and m1 to mn, the merges one by one, each after a recount."""
+    out = []
+    for k in range(1, n + 1):
+        pairs = f"SELECT t[i] AS a, t[i + 1] AS b, count(*) AS n FROM s{k - 1}, unnest(range(1, len(t))) AS r(i) WHERE t[i] NOT IN (1, 2, 3) AND t[i + 1] NOT IN (1, 2, 3) GROUP BY ALL"
+        out.append(f"m{k} AS MATERIALIZED (SELECT {k - 1} AS rank, a, b, {ids.VOCAB + k - 1} AS new_id FROM ({pairs}) WHERE n >= 2 ORDER BY n DESC, a, b LIMIT 1)")
+        fold = "list_reduce(list_transform(t, lambda x: [x]), lambda p, x: CASE WHEN p[-1] = m.a AND x[1] = m.b THEN list_append(p[:-2], m.new_id) ELSE list_concat(p, x) END)"
+        out.append(f"s{k} AS MATERIALIZED (SELECT {fold} AS t FROM s{k - 1}, m{k} m)")
+    return ", ".join(out)
+
+
+@query("b4_learn_merges", f"WITH {LINES}, {TOKENS}, s0 AS (SELECT list_transform(string_split(t, ','), lambda x: x::INT) AS t FROM lean), {_steps(8)} " + " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(1, 9)))
 def b4(spark, d):
     table = bpe.learn(fx.streams(spark, d), 8)
     return spark.createDataFrame([(i, *m) for i, m in enumerate(table)], "rank int, a int, b int, new_id int")
