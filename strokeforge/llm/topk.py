@@ -20,7 +20,8 @@ every sum is an integer below 2**53, in 64-bit integers below 2**63, else in Pyt
 Defined results: vectors that are null or hold null or non-finite components take no part;
 missing components of a shorter vector count as zero; every row with an id that the queries'
 divisor divides is a query, rows that repeat an id too, and a query's candidates are all rows
-but itself; equal scores go to the smaller id; a score among the k best that 64 bits can't hold
+but itself, those of a null id too (no query has one); equal scores go to the smaller id, null
+last; a score among the k best that 64 bits can't hold
 is an error (OverflowError), never another value; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -50,8 +51,7 @@ def taking_part(vectors: DataFrame) -> DataFrame:
     """uid (of the row), vec_id, v (the components as they are) of the vectors that take part."""
     kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     good = F.col("embedding").isNotNull() & F.forall("embedding", lambda c: F.coalesce(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")), F.lit(False)))
-    rows = vectors.filter(good & F.col("vec_id").isNotNull())
-    return rows.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("v"))
+    return vectors.filter(good).select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("v"))
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
@@ -136,7 +136,8 @@ RESULT = pa.schema([("uid", pa.int64()), ("query_id", pa.int64()), ("other", pa.
 
 def search_cell(k: int, width: int):
     def search(table: pa.Table) -> pa.Table:
-        side, uid, ids = (table.column(c).to_numpy() for c in ("side", "uid", "vec_id"))
+        side, uid = (table.column(c).to_numpy() for c in ("side", "uid"))
+        nameless, ids = table.column("vec_id").is_null().to_numpy(), table.column("vec_id").fill_null(0).to_numpy()
         values = quantised(_matrix(table.column("v"), width))
         mine, asked = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         out: list[tuple] = []
@@ -146,14 +147,14 @@ def search_cell(k: int, width: int):
             for q in asked:
                 at = int(np.searchsorted(own, uid[q]))
                 rows, scores = index.search(values[q], k, at if at < len(own) and own[at] == uid[q] else -1)
-                others = ids[mine[rows]]
+                others, last = ids[mine[rows]], nameless[mine[rows]]
                 if scores.dtype == object:
-                    best = sorted(range(len(rows)), key=lambda i: (-scores[i], others[i], own[rows[i]]))[:k]
+                    best = sorted(range(len(rows)), key=lambda i: (-scores[i], last[i], others[i], own[rows[i]]))[:k]
                     if any(not -(1 << 63) <= scores[i] < 1 << 63 for i in best):
                         raise OverflowError(f"a score of vector {ids[q]} needs over 64 bits")
                 else:
-                    best = np.lexsort((own[rows], others, -scores))[:k]
-                out += [(int(uid[q]), int(ids[q]), int(own[rows[i]]), int(others[i]), int(scores[i])) for i in best]
+                    best = np.lexsort((own[rows], others, last, -scores))[:k]
+                out += [(int(uid[q]), int(ids[q]), int(own[rows[i]]), None if last[i] else int(others[i]), int(scores[i])) for i in best]
         found = pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], schema=RESULT)
         give_back()
         return found
@@ -173,7 +174,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int | None
     ask = rows.filter(F.col("vec_id") % every == 0)
     ask = ask.select(F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("c"), dealt(2, qb).alias("q"), F.lit(1).alias("side"), "uid", "vec_id", "v")
     found = mine.unionByName(ask).groupBy("c", "q").applyInArrow(search_cell(k, width or 0), "uid long, query_id long, other long, vec_id long, score long")
-    best = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id", "other")
+    best = Window.partitionBy("uid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "other")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
@@ -184,10 +185,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH e AS MATERIALIZED (
   SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.uid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
   FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.uid <> c.uid),
-r AS (SELECT uid, query_id, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+r AS (SELECT uid, query_id, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

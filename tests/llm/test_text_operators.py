@@ -156,12 +156,12 @@ def test_line_sql_tells_rows_apart(spark, tmp_path):
 
 def brute_topk(data, k, every):
     exact = lambda x: math.floor(Fraction(x) * 256)
-    ok = [(i, [exact(x) for x in v]) for i, v in data if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [exact(x) for x in v]) for i, v in data if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for at, (q, v) in enumerate(ok):
-        if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for n, (i, w) in enumerate(ok) if n != at)
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+        if q is not None and q % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i is None, i or 0) for n, (i, w) in enumerate(ok) if n != at)
+            out += [(q, n + 1, None if null else i, -s) for n, (s, null, i) in enumerate(scores[:k])]
     return sorted(out)
 
 
@@ -252,3 +252,12 @@ def test_simhash_stage_keeps_one_of_each(spark):
     data = [doc(1, base), doc(2, base), doc(2, base), doc(3, "something else entirely here and now and again"), doc(4, ""), doc(5, None), (None, "null id", None, None, 1, "", 1, "")]
     out = simhash.simhash_stage(spark, spark.createDataFrame(data, SCHEMA), "")
     assert sorted((r.doc_id is None, r.doc_id) for r in out.collect()) == [(False, 1), (False, 3), (False, 4), (True, None)]
+
+
+def test_top_k_takes_vectors_of_null_ids(spark):
+    rows = [(50, [1.0, 0.0]), (None, [2.0, 0.0]), (None, [1.5, 0.0]), (7, [2.0, 0.0])]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in out) == [(1, 7, 131072), (2, None, 131072), (3, None, 98304)]
+    many = spark.range(10_000).selectExpr("cast(NULL AS LONG) AS vec_id", "array(double(id), 1D) AS embedding")
+    many = many.unionByName(spark.createDataFrame([(100, [1.0, 0.0])], "vec_id long, embedding array<double>"))
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(many).collect()) == [(i, None, 65536 * (10_000 - i)) for i in range(1, 6)]
