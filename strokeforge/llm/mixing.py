@@ -8,8 +8,9 @@ its stream, so any stretch of the mix holds the sources in their target shares.
 block of a source ends where its target does; a source that the points gave a slot too few
 gets it after the others.
 
-Positions in streams and ranks of slots are prefix sums in two levels (chunk totals, then
-offsets within a chunk), so no task ever sees a whole source.
+Positions in streams are running sums over ranges (see scans), ranks of slots prefix sums in two
+levels (chunk totals, then offsets within a chunk), so no task ever sees a whole source, nor all
+rows of one or no doc_id.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a
 source of its own, last in order; rows that repeat a doc_id are documents of their own; an
@@ -21,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, few, materialize, stored
+from .common import HOT_LEAST, WORD, documents, few, materialize
+from .scans import ranged, running
 
 WEIGHTS = (3, 1, 2)
 OVERSAMPLE, CAP, BLOCK = 1.5, 2.0, 1024
@@ -32,17 +34,17 @@ CHUNK = 1 << 16
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, k (source; sorts by code point with null last), size, and the shuffle key."""
+    """doc_id, k (source; sorts by code point with null last), size, and the shuffle key, which is never null."""
     return docs.select(
         "doc_id",
         F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source"))).alias("k"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))).alias("key"),
-    ).withColumn("part", F.substring("key", 1, 3))
+    )
 
 
-def targets(parts: DataFrame, weights=WEIGHTS, oversample=OVERSAMPLE, cap=CAP) -> DataFrame:
-    """k, source_size, target of each source, from sums by (k, part).
+def targets(rows: DataFrame, weights=WEIGHTS, oversample=OVERSAMPLE, cap=CAP) -> DataFrame:
+    """k, source_size, target of each source of rows (k, size).
 
     Water filling: with the sources by rising cap / weight, the first that stays below its cap
     fixes the level; those before it are full. One row a source.
@@ -51,7 +53,7 @@ def targets(parts: DataFrame, weights=WEIGHTS, oversample=OVERSAMPLE, cap=CAP) -
     by_k, by_ratio = everything.orderBy("k"), everything.orderBy("ratio", "k")
     share = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_k) - 1) % len(weights) + 1).cast("int"))
     src = (
-        parts.groupBy("k").agg(F.sum("size").alias("source_size"))
+        rows.groupBy("k").agg(F.sum("size").alias("source_size"))
         .withColumn("w", share)
         .withColumn("most", F.col("source_size") * F.lit(float(cap)))
         .withColumn("ratio", F.col("most") / F.col("w"))
@@ -103,17 +105,14 @@ def pieces(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, oversample=OVER
     dup, epoch, start, words: the mix itself, in the order of slot, rank, epoch, start.
     """
     spark = docs.sparkSession
-    rows = stored(sized(docs))
-    parts = rows.groupBy("k", "part").agg(F.sum("size").alias("size"))
-    src = materialize(targets(parts, weights, oversample, cap), "mix-sources", 8)
-    offsets = parts.withColumn("from", F.sum("size").over(Window.partitionBy("k").orderBy("part")) - F.col("size")).drop("size").join(src, "k")
-    inner = Window.partitionBy("k", "part").orderBy("key", "doc_id", "size")
-    laid = (
-        rows.join(offsets, ["k", "part"])
-        .withColumn("at", F.col("from") + F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        .withColumn("dup", F.row_number().over(Window.partitionBy("k", "part", "doc_id", "size").orderBy("at")))
-        .select("doc_id", "k", "size", "dup", "at", "source_size", "target")
-    )
+    # Rows of one key and size can take each other's place, so where ranges part them doesn't matter.
+    order = ["k", "key", "size", "row"]
+    rows = ranged(sized(docs).withColumn("row", F.monotonically_increasing_id()), order)
+    src = materialize(targets(rows, weights, oversample, cap), "mix-sources", 8)
+    dup = running(rows, ["k", "key", "size"], order, {"dup": ("sum", F.lit(1).cast("long"))})
+    upto = running(dup, ["k"], order, {"upto": ("sum", F.col("size"))})
+    laid = upto.join(src.hint("shuffle_hash") if src.count() > HOT_LEAST else F.broadcast(src), "k")
+    laid = laid.select("doc_id", "k", "size", "dup", (F.col("upto") - F.col("size")).alias("at"), "source_size", "target")
     laid = materialize(laid, "mix-laid", few(rows.count()))
     goal = F.floor(F.col("target") + 0.5).cast("long")
     spans = (

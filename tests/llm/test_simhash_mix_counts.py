@@ -187,3 +187,16 @@ def test_word_counter_equals_the_library(monkeypatch):
     texts += ["", " ", "<|endoftext|>", "x<|startoftext|>y <| z", "It's we'll I'D they'RE", "a" * 5000]
     texts += [x.text for x in __import__("pyarrow.parquet", fromlist=["x"]).read_table("/root/testdata/sf0.001/documents.parquet").to_pandas().itertuples()]
     assert count(texts) == library_counts(texts, "word_bpe_49k.json")
+
+
+def test_mixing_spreads_rows_of_null_ids(spark):
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, id, cast(NULL AS LONG)) AS doc_id", "repeat('w ', 1 + cast(id % 4 AS INT)) AS text", "concat('s', id % 2) AS source")
+    out = mixing.mix(docs).collect()
+    assert len(out) == 3000 and all(0 <= r["taken"] <= 2 * r["size"] for r in out)
+    for source in {r["source_size"] for r in out}:
+        taken = sum(r["taken"] for r in out if r["source_size"] == source)
+        assert abs(taken - sum({r["target"] for r in out if r["source_size"] == source})) <= 1
+    from strokeforge.llm.scans import ranged
+
+    parts = ranged(mixing.sized(docs).withColumn("row", mixing.F.monotonically_increasing_id()), ["k", "key", "size", "row"]).groupBy("_part").count().collect()
+    assert max(r["count"] for r in parts) < 1000
