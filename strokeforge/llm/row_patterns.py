@@ -157,6 +157,8 @@ def match_rows(clicks: DataFrame, limit: int = LIMIT) -> DataFrame:
     found = _found(held.filter("NOT odd").select("client", "seg")).unionByName(_found(whole.select("client", "seg")))
     if not (large := odd.filter(f"n >= {limit}")).isEmpty():
         found = found.unionByName(_long(large.select("client", F.col("own").alias("seg"), (F.col("place") - F.col("least") + 1).alias("at"), "n", *ROW)))
+    # Ranges are chosen from a sample, for which the matches would be found once more.
+    found = materialize(found, "pattern-found")
     found = running(ranged(found, ["client", "part", "no"]), ["client"], ["client", "part", "no"], {"match_no": ("sum", F.lit(1).cast("long"))})
     return found.select(F.col("client").alias("client_id"), "match_no", "first_id", "last_id", "n_rows", "sum_cents", "labels")
 
