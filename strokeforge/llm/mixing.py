@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_LEAST, WORD, documents, few, materialize
+from .common import HOT_LEAST, WORD, documents, few, materialize, stored
 from .scans import ranged, running
 
 WEIGHTS = (3, 1, 2)
@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, oversample=OVER
     spark = docs.sparkSession
     # Rows of one key and size can take each other's place, so where ranges part them doesn't matter.
     order = ["k", "key", "size", "row"]
-    rows = ranged(sized(docs).withColumn("row", F.monotonically_increasing_id()), order)
+    rows = ranged(stored(sized(docs)).withColumn("row", F.monotonically_increasing_id()), order)
     src = materialize(targets(rows, weights, oversample, cap), "mix-sources", 8)
     dup = running(rows, ["k", "key", "size"], order, {"dup": ("sum", F.lit(1).cast("long"))})
     upto = running(dup, ["k"], order, {"upto": ("sum", F.col("size"))})
