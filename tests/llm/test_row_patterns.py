@@ -86,8 +86,7 @@ def test_a_segment_of_one_client_is_spread(spark):
         "if(pmod(xxhash64(id), 3) = 0, 'view', 'click') AS kind", "double(pmod(xxhash64(id, 1), 100000)) / 100 AS value", "'' AS props",
     )
     out = rp.match_rows(rows).collect()
-    want = brute([tuple(r) for r in rows.limit(0).collect()] or [(1, T0, T0, 1, "view", 1.0, "")])
-    assert want == [] and sum(r["n_rows"] - 1 for r in out) > n // 2
+    assert sum(r["n_rows"] - 1 for r in out) > n // 2
     assert all(len(r["labels"]) == r["n_rows"] for r in out) and [r["match_no"] for r in sorted(out, key=lambda r: r["first_id"])] == list(range(1, len(out) + 1))
 
 
