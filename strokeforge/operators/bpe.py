@@ -183,10 +183,10 @@ def decode(df: DataFrame, merges: list, tokens: str = "token_ids") -> DataFrame:
 
 def corpus_streams(spark, path: str, limit: int | None = None, lean: bool = False) -> DataFrame:
     """path, token_ids of the SVG files of a folder in the order of their paths; those that fail are left out."""
-    from ..sources.svg import read_svg
+    from ..sources.files import read_files
     from . import codec
 
-    files = read_svg(spark, path)
+    files = read_files(spark, path).select("path", "svg")
     if limit is not None:
         files = files.orderBy("path").limit(limit)
     return codec.l1(codec.parsed(files), lean).filter("error IS NULL").select("path", "token_ids")

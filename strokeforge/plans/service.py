@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import STATUS, EngineError
 from ..functions import ids
 from ..operators import bpe, codec, evaluation, manifest, service
-from ..sources import shared
-from ..sources import svg as source
+from ..sources import files, shared
 from ..streaming import ndjson
 from . import fixtures as fx
 from .core import _DRAWN, _ITEMS, _MANIFEST, _PAIRS, LINES, MERGES, PART, TEXT, TOKENS, batch_items, d_id
@@ -158,29 +157,52 @@ def s6(spark, d):
     return rows.select("id", "ok", "error.code", F.expr(TEXT).alias("t"))
 
 
-_FILES = f"WITH {PART}, f AS (SELECT k::BIGINT AS doc_id, CASE WHEN k % 5 = 0 THEN '<svg><rect' ELSE '<svg><path d=\"M' || x || ' ' || y || 'L' || cx || ' ' || cy || '\"/>' || chr(10) || '</svg>' END AS svg, '1,10,' || {d_id('x', 'y')} || ',11,' || {d_id('cx', 'cy')} || ',2' AS t FROM p WHERE k <= 40)"
+_FILES = f"WITH {PART}, f AS (SELECT k::BIGINT AS doc_id, CASE WHEN k % 5 = 0 THEN '<svg><rect' ELSE '<svg><path d=\"M' || x || ' ' || y || 'L' || cx || ' ' || cy || '\"/>' || chr(10) || '</svg>' END AS svg, '1,10,' || {d_id('x', 'y')} || ',11,' || {d_id('cx', 'cy')} || ',2' AS t FROM p)"
 
 
-def files(spark: SparkSession, d: str) -> str:
-    """A folder with a file for each of forty small drawings, every fifth broken."""
+def small_drawings(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id and svg of each part, every fifth broken."""
+    svg = "IF(k % 5 = 0, '<svg><rect', concat('<svg><path d=\"M', x, ' ', y, 'L', cx, ' ', cy, '\"/>\n</svg>'))"
+    return fx.spread(parts(spark, d, svg=svg).select("doc_id", "svg"))
+
+
+def folder_of(spark: SparkSession, d: str) -> str:
+    """A folder with a file for each part's drawing, named by the part."""
     path = shared.scratch(spark, "files")
-    svg = "IF(k % 5 = 0, '<svg><rect', concat('<svg><path d=\"M', x, ' ', y, 'L', cx, ' ', cy, '\"/>\\n</svg>'))"
-    source.write_svg(parts(spark, d, svg=svg).filter("k <= 40"), path, "doc_id")
+    files.write_files(small_drawings(spark, d), path, "doc_id")
     return path
 
 
 @query("s2_svg_files", f"{_FILES} SELECT doc_id, md5(svg) AS svg FROM f")
 def s2(spark, d):
-    """Documents written a file each and read whole."""
-    rows = source.read_svg(spark, files(spark, d) + "/*")
-    return rows.select(F.expr("cast(regexp_extract(path, 'doc_id=([0-9]+)', 1) AS BIGINT)").alias("doc_id"), F.md5(F.expr("rtrim('\\n', svg)")).alias("svg"))
+    """Every part's drawing written to a file of its own and read whole."""
+    return files.read_files(spark, folder_of(spark, d)).select(F.col("name").cast("long").alias("doc_id"), F.md5("svg").alias("svg"))
+
 
+@query("s12_named_files", f"{_FILES} SELECT doc_id || '.svg' AS file, octet_length(encode(svg)) AS size FROM f")
+def s12(spark, d):
+    """What is in the folder after a stream of documents was written, stopped and written on."""
+    path, state, src = (shared.scratch(spark, label) for label in ("files", "files-state", "files-in"))
+    rows = small_drawings(spark, d)
+    for part in ("doc_id % 2 = 0", "doc_id % 2 = 1"):
+        rows.filter(part).write.mode("append").parquet(src)
+        files.stream_files(spark.readStream.schema("doc_id long, svg string").parquet(src), path, "doc_id", state).awaitTermination()
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.svg").load(path)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"))
 
-@query("s15_corpus_scan", f"{_FILES} SELECT doc_id, t FROM (SELECT * FROM f ORDER BY 'doc_id=' || doc_id || '/' LIMIT 12) WHERE doc_id % 5 <> 0")
+
+@query("s15_corpus_scan", f"{_FILES} SELECT doc_id, t FROM f WHERE doc_id % 5 <> 0")
 def s15(spark, d):
-    """The first twelve files by path, less those that fail."""
-    rows = bpe.corpus_streams(spark, files(spark, d) + "/*", 12)
-    return rows.select(F.expr("cast(regexp_extract(path, 'doc_id=([0-9]+)', 1) AS BIGINT)").alias("doc_id"), F.expr(TEXT).alias("t"))
+    """Every file of a folder, less those that fail."""
+    rows = bpe.corpus_streams(spark, folder_of(spark, d))
+    return rows.select(F.expr("cast(regexp_extract(path, '([0-9]+)[.]svg$', 1) AS BIGINT)").alias("doc_id"), F.expr(TEXT).alias("t"))
+
+
+@query("s15_corpus_limit", f"{_FILES} SELECT doc_id, t FROM (SELECT * FROM f ORDER BY doc_id || '.svg' LIMIT 12) WHERE doc_id % 5 <> 0")
+def s15_limit(spark, d):
+    """The first twelve files by path, less those that fail: a limit is taken before files are read."""
+    rows = bpe.corpus_streams(spark, folder_of(spark, d), 12)
+    return rows.select(F.expr("cast(regexp_extract(path, '([0-9]+)[.]svg$', 1) AS BIGINT)").alias("doc_id"), F.expr(TEXT).alias("t"))
 
 
 @query("s9_manifest_file", "SELECT l::INT AS level, (100 + (pow(4, l)::INT - 1) // 3)::INT AS start_id, 'geom-5561-v1' AS vocab_id, 5561 AS merge_base_id, 3 AS n_merges, 'CLOSE' AS command_17 FROM range(7) r(l)")
