@@ -7,13 +7,16 @@ one: results are rows, and an order is what a sort by pos gives.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import threading
 import time
 import urllib.request
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ RESULT = ["id", "ok", "token_ids", "svg", "n_tokens", "lean", "level", "compress
 ERROR = "struct<code:string,message:string,detail:map<string,string>,status:int>"
 MOST_ITEMS, MOST_BYTES, INLINE = 1000, 32 * 1024 * 1024, 10_000
 OPS = ("tokenize", "detokenize")
+#: A job's state is stored again once so many more items are done, looked at every so many seconds.
+EVERY, LOOK = 50, 0.1
 FINAL = ("succeeded", "failed", "partial", "cancelled")
 
 
@@ -135,6 +140,22 @@ def post_to(url: str, timeout: float = 5.0) -> Callable[[dict], None]:
     return post
 
 
+def counting(results: DataFrame, ok, failed) -> DataFrame:
+    """results, whose rows are added to two accumulators as they pass: what a task adds is seen at its end.
+
+    A task that runs twice adds twice, so the sums are for progress, and final counts come from what is stored.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = pc.sum(batch.column("ok")).as_py() or 0
+            ok.add(good)
+            failed.add(len(batch) - good)
+            yield batch
+
+    return results.mapInArrow(run, results.schema)
+
+
 class MemoryStore:
     """States of jobs in the driver's memory."""
 
@@ -165,7 +186,8 @@ class FolderStore:
 class Jobs:
     """Jobs that run in threads of the driver as tagged Spark jobs, and leave their results in a folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, webhook: Callable[[dict], None] | None = None, store=None, merges: list | None = None):
+    def __init__(self, spark: SparkSession, folder: str, webhook: Callable[[dict], None] | None = None, store=None, merges: list | None = None, every: int = EVERY):
+        self.every = every
         self.spark, self.folder, self.webhook, self.merges = spark, folder.rstrip("/"), webhook, merges
         self.store, self.threads, self.lock = store or MemoryStore(), {}, threading.RLock()
 
@@ -206,7 +228,8 @@ class Jobs:
             out = process(rows, lean, self.merges, code="ITEM_ERROR", level=level)
             if on_error == "fail_fast":
                 out = out.withColumn("ok", F.when(F.col("ok"), True).otherwise(F.raise_error(F.col("error.message")).cast("boolean")))
-            out.write.mode("overwrite").parquet(self.store.get(job)["results_uri"])
+            with self._watched(job, out) as watched:
+                watched.write.mode("overwrite").parquet(self.store.get(job)["results_uri"])
             ok, failed = counts(self.results(job)).first()
             self._set(job, status="succeeded" if not failed else "partial", n_ok=ok, n_failed=failed, done=ok + failed, total=ok + failed, finished_at=time.time())
         except Exception as e:  # whatever ends the job is its state
@@ -219,6 +242,28 @@ class Jobs:
             except Exception:  # a receiver's failure isn't the job's
                 pass
 
+    @contextlib.contextmanager
+    def _watched(self, job: str, out: DataFrame) -> Iterator[DataFrame]:
+        """out, and a thread that stores how much of it is done while it is written."""
+        ok, failed = (self.spark.sparkContext.accumulator(0) for _ in range(2))
+        total, ended = self.store.get(job)["total"], threading.Event()
+
+        def look() -> None:
+            seen = 0
+            while not ended.wait(LOOK):
+                good, bad = ok.value, failed.value
+                if good + bad >= seen + self.every and good + bad <= total:
+                    seen = good + bad
+                    self._set(job, done=seen, n_ok=good, n_failed=bad)
+
+        watcher = threading.Thread(target=look, daemon=True)
+        watcher.start()
+        try:
+            yield counting(out, ok, failed)
+        finally:
+            ended.set()
+            watcher.join()
+
     def results(self, job: str) -> DataFrame:
         return self.spark.read.parquet(self.store.get(job)["results_uri"])
 

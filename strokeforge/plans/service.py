@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,6 +137,58 @@ def v8(spark, d):
     return spark.createDataFrame(out, "job string, cancelled boolean, status string, code string")
 
 
+class Watched(service.MemoryStore):
+    """Keeps how much was done in each state of a running job, and hands a state to a caller."""
+
+    def __init__(self, seen=lambda state: None):
+        super().__init__()
+        self.done, self.seen = [], seen
+
+    def put(self, state):
+        super().put(state)
+        if state["status"] == "running" and state["total"]:
+            self.done.append(state["done"])
+            self.seen(state)
+
+
+def slow_items(spark, d):
+    """Items in four times as many parts as cores, each held up a little, so that a job has a middle."""
+
+    def run(batches):
+        for batch in batches:
+            time.sleep(0.3)
+            yield batch
+
+    rows = batch_items(spark, d)
+    return rows.repartition(4 * spark.sparkContext.defaultParallelism, "id").mapInArrow(run, rows.schema)
+
+
+@query("v6_progress", f"WITH {_COUNTS} SELECT 'partial' AS status, n AS total, n AS done, n_ok, n_failed, true AS seen_between, true AS rising FROM c")
+def v6(spark, d):
+    """A job tells how much is done while it runs."""
+    store = Watched()
+    jobs = service.Jobs(spark, shared.scratch(spark, "jobs"), store=store, every=1)
+    v = jobs.wait(jobs.submit(slow_items(spark, d), lean=True))
+    between = any(0 < n < v["total"] for n in store.done)
+    row = (*(v[k] for k in ("status", "total", "done", "n_ok", "n_failed")), between, store.done == sorted(store.done))
+    return spark.createDataFrame([row], "status string, total long, done long, n_ok long, n_failed long, seen_between boolean, rising boolean")
+
+
+@query("v8_cancel_running", f"WITH {_COUNTS} SELECT 'cancelled' AS status, n AS total, true AS cancelled, true AS some_done, true AS some_left, false AS has_results FROM c")
+def v8_running(spark, d):
+    """A job is cancelled in the middle: its Spark jobs stop, and its state stays as it was then."""
+    met = threading.Event()
+    store = Watched(lambda state: met.set() if state["done"] else None)
+    jobs = service.Jobs(spark, shared.scratch(spark, "jobs"), store=store, every=1)
+    job = jobs.submit(slow_items(spark, d), lean=True)
+    while not met.wait(0.1) and jobs.threads[job].is_alive():
+        pass
+    cancelled = jobs.cancel(job)
+    v = jobs.wait(job)
+    row = (v["status"], v["total"], cancelled, v["done"] > 0, v["done"] < v["total"], v["results_url"] is not None)
+    return spark.createDataFrame([row], "status string, total long, cancelled boolean, some_done boolean, some_left boolean, has_results boolean")
+
+
 # Files and streams.
 @query("s5_ndjson_file", f"SELECT conv_id || '-' || turn AS id, 'tokenize' AS op, 'L1' AS level, true AS lean, md5(coalesce({_SVG}, 'none')) AS svg, false AS bad FROM conversations")
 def s5(spark, d):
@@ -157,6 +212,30 @@ def s6(spark, d):
     return rows.select("id", "ok", "error.code", F.expr(TEXT).alias("t"))
 
 
+@query(
+    "s6_exactly_once",
+    f"SELECT CASE WHEN m > 2 THEN id END AS id, m > 2 AS ok, CASE m WHEN 0 THEN 'PARSE_ERROR' WHEN 1 THEN 'PARSE_ERROR' WHEN 2 THEN 'PARSE_UNSUPPORTED_ELEMENT' END AS code, CASE WHEN m > 2 THEN t END AS t, true AS placed FROM ({_ITEMS})",
+)
+def s6_once(spark, d):
+    """Every item is in two files and the stream is stopped in between, once in mid-run: each gives one result."""
+    src, out, state = (shared.scratch(spark, label) for label in ("stream-in", "stream-out", "stream-state"))
+    line = F.to_json(F.struct("id", "op", "svg", "lean")).alias("value")
+    rows = batch_items(spark, d).withColumn("h", F.expr("pmod(xxhash64(id), 3)"))
+    put = lambda which: rows.filter(which).select(line).repartition(2).write.mode("append").text(src)
+    run = lambda files, **how: ndjson.write_once(ndjson.read_numbered(spark, src, files), out, state, **how)
+    put("h < 2")
+    first = run(1, processingTime="0 seconds")
+    while first.isActive and not first.recentProgress:
+        time.sleep(0.1)
+    first.stop()
+    for again in ("h > 0", "h <> 1"):
+        put(again)
+        run(100).awaitTermination()
+    kind = "id string, ok boolean, token_ids array<int>, error struct<code:string>, pos struct<file:string,line:int>"
+    rows = spark.read.schema(kind).json(out)
+    return rows.select("id", "ok", "error.code", F.expr(TEXT).alias("t"), (F.col("pos.file").isNotNull() & (F.col("pos.line") >= 0)).alias("placed"))
+
+
 _FILES = f"WITH {PART}, f AS (SELECT k::BIGINT AS doc_id, CASE WHEN k % 5 = 0 THEN '<svg><rect' ELSE '<svg><path d=\"M' || x || ' ' || y || 'L' || cx || ' ' || cy || '\"/>' || chr(10) || '</svg>' END AS svg, '1,10,' || {d_id('x', 'y')} || ',11,' || {d_id('cx', 'cy')} || ',2' AS t FROM p)"
 
 
