@@ -127,14 +127,27 @@ VOCAB_SQL = (
 )
 
 
-@query("q14_decode_id", f"WITH {VOCAB_SQL} SELECT * FROM y")
+def used(spark: SparkSession, d: str) -> DataFrame:
+    """token_id and n, how often the orders' streams hold it."""
+    return fx.streams(spark, d).select(F.explode("token_ids").alias("token_id")).groupBy("token_id").agg(F.count("*").alias("n"))
+
+
+def placed(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, pos, token_id of the orders' streams."""
+    return fx.streams(spark, d).select("doc_id", F.posexplode("token_ids").alias("pos", "token_id"))
+
+
+@query("q14_decode_id", f"WITH {VOCAB_SQL}, {LONG}, n AS (SELECT tok, count(*) AS n FROM t GROUP BY tok) SELECT y.*, coalesce(n.n, 0)::BIGINT AS n FROM y LEFT JOIN n ON n.tok = y.token_id")
 def q14(spark, d):
-    return manifest.vocabulary(spark).select("token_id", "kind", "symbol")
+    """What every id means, and how often the orders' streams say it."""
+    return manifest.vocabulary(spark).join(used(spark, d), "token_id", "left").select("token_id", "kind", "symbol", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("q16_vocab_summary", f"WITH {VOCAB_SQL} SELECT kind, count(*) AS n FROM y GROUP BY kind")
+@query("q16_vocab_summary", f"WITH {VOCAB_SQL}, {LONG}, n AS (SELECT tok, count(*) AS n FROM t GROUP BY tok) SELECT kind, count(*) AS n, count(n.tok) AS n_used, coalesce(sum(n.n), 0)::BIGINT AS uses FROM y LEFT JOIN n ON n.tok = y.token_id GROUP BY kind")
 def q16(spark, d):
-    return manifest.summary(spark)
+    """How many ids of each kind there are, how many of them the orders' streams use, and how often."""
+    rows = manifest.vocabulary(spark).join(used(spark, d), "token_id", "left").groupBy("kind").agg(F.count("n").alias("n_used"), F.coalesce(F.sum("n"), F.lit(0)).alias("uses"))
+    return manifest.summary(spark).join(rows, "kind")
 
 
 def segment_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -500,6 +513,13 @@ def a3(spark, d):
     return rows.select("prefix", F.expr(f"size(filter({grammar.mask('t')}, v -> v))").alias("n_allowed"))
 
 
+@query("a3_stream_masks", f"WITH {LONG}, n AS (SELECT doc_id, max(pos) AS n FROM t GROUP BY doc_id) SELECT doc_id, (1 + doc_id % n)::INT AS size, (CASE WHEN doc_id % n = 0 THEN 25 WHEN doc_id % n % 2 = 1 THEN 5461 ELSE 45 END)::INT AS n_allowed FROM n")
+def a3_streams(spark, d):
+    """What may follow a prefix of every order's stream."""
+    rows = fx.streams(spark, d).withColumn("size", F.expr("cast(1 + doc_id % (size(token_ids) - 1) AS INT)")).withColumn("t", F.expr("slice(token_ids, 1, size)"))
+    return rows.select("doc_id", "size", F.expr(f"size(filter({grammar.mask('t')}, v -> v))").alias("n_allowed"))
+
+
 @query("k1_segments", f"WITH {LINES} SELECT doc_id, (n - 1)::INT AS seg, CASE WHEN n = 1 THEN 10 ELSE 11 END AS command, {d_id('x', 'y')} AS coord FROM l")
 def k1(spark, d):
     rows = fx.streams(spark, d).select("doc_id", F.posexplode(F.expr(decode.groups("token_ids"))).alias("seg", "g"))
@@ -721,20 +741,30 @@ def m3(spark, d):
     return rows.select("doc_id", F.size("input_ids").alias("width"), total("attention_mask").cast("int").alias("real"), total("input_ids").alias("input_sum"), total("target_ids").alias("target_sum"))
 
 
-@query("m4_type_ids", "SELECT t::INT AS token_id, (CASE WHEN t < 10 THEN 0 WHEN t < 20 THEN 1 WHEN t < 30 THEN 2 WHEN t BETWEEN 30 AND 33 THEN 3 WHEN t BETWEEN 40 AND 55 THEN 4 WHEN t BETWEEN 60 AND 79 THEN 5 ELSE 6 END)::INT AS type_id FROM range(5561) r(t)")
+@query("m4_type_ids", f"WITH {LONG} SELECT doc_id, pos::INT AS pos, (CASE WHEN tok < 10 THEN 0 WHEN tok < 20 THEN 1 ELSE 6 END)::INT AS type_id FROM t")
 def m4(spark, d):
-    return manifest.vocabulary(spark).select("token_id", F.expr(ids.embedding_class("token_id")).alias("type_id"))
+    return placed(spark, d).select("doc_id", "pos", F.expr(ids.embedding_class("token_id")).alias("type_id"))
+
+
+@query("m4_vocabulary_types", f"WITH {LONG}, y AS (SELECT t::INT AS token_id, (CASE WHEN t < 10 THEN 0 WHEN t < 20 THEN 1 WHEN t < 30 THEN 2 WHEN t BETWEEN 30 AND 33 THEN 3 WHEN t BETWEEN 40 AND 55 THEN 4 WHEN t BETWEEN 60 AND 79 THEN 5 ELSE 6 END)::INT AS type_id FROM range(5561) r(t)) SELECT token_id, type_id, count(t.tok) AS n FROM y LEFT JOIN t ON t.tok = y.token_id GROUP BY ALL")
+def m4_types(spark, d):
+    """The type of every id, and how often the orders' streams hold it."""
+    rows = manifest.vocabulary(spark).select("token_id", F.expr(ids.embedding_class("token_id")).alias("type_id"))
+    return rows.join(used(spark, d), "token_id", "left").select("token_id", "type_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("m5_coord_lut", f"WITH {VOCAB_SQL} SELECT t AS token_id, round(coalesce(l / 6.0::DOUBLE, 0), 9) AS level, round(coalesce((o % g + 0.5) / g::DOUBLE, 0), 9) AS x, round(coalesce((o // g + 0.5) / g::DOUBLE, 0), 9) AS y FROM u")
+@query("m5_coord_lut", f"WITH {VOCAB_SQL}, {LONG} SELECT doc_id, pos::INT AS pos, round(coalesce(l / 6.0::DOUBLE, 0), 9) AS level, round(coalesce((o % g + 0.5) / g::DOUBLE, 0), 9) AS x, round(coalesce((o // g + 0.5) / g::DOUBLE, 0), 9) AS y FROM t JOIN u ON u.t = t.tok")
 def m5(spark, d):
-    rows = manifest.vocabulary(spark).withColumn("c", F.expr(mldata.lookup("token_id")))
-    return rows.select("token_id", *[F.round(F.expr(f"c[{i}]"), 9).alias(n) for i, n in enumerate(("level", "x", "y"))])
+    """Level and centre of every token of the orders' streams, from the table of ids."""
+    table = manifest.vocabulary(spark).withColumn("c", F.expr(mldata.lookup("token_id")))
+    rows = placed(spark, d).join(F.broadcast(table), "token_id")  # a row for each id of the vocabulary
+    return rows.select("doc_id", "pos", *[F.round(F.expr(f"c[{i}]"), 9).alias(n) for i, n in enumerate(("level", "x", "y"))])
 
 
-@query("m6_positions", "SELECT p::INT AS pos, i::INT AS i, round(CASE WHEN i % 2 = 0 THEN sin(p * exp(-(i // 2) * 2 * ln(10000) / 16)) ELSE cos(p * exp(-(i // 2) * 2 * ln(10000) / 16)) END, 6) AS v FROM range(128) a(p), range(16) b(i)")
+@query("m6_positions", f"WITH {LONG} SELECT doc_id, pos::INT AS pos, i::INT AS i, round(CASE WHEN i % 2 = 0 THEN sin(pos * exp(-(i // 2) * 2 * ln(10000) / 8)) ELSE cos(pos * exp(-(i // 2) * 2 * ln(10000) / 8)) END, 6) AS v FROM t, range(8) b(i)")
 def m6(spark, d):
-    return spark.range(128).select(F.col("id").cast("int").alias("pos"), F.posexplode(F.expr(mldata.positions("id", 16))).alias("i", "v")).select("pos", "i", F.round("v", 6).alias("v"))
+    """The waves of every place in the orders' streams."""
+    return placed(spark, d).select("doc_id", "pos", F.posexplode(F.expr(mldata.positions("pos", 8))).alias("i", "v")).select("doc_id", "pos", "i", F.round("v", 6).alias("v"))
 
 
 @query("m7_spatial_encoding", "WITH p AS (SELECT event_id, value / 500 AS x, (event_id % 100) / 100.0::DOUBLE AS y FROM events), r AS (SELECT event_id, i, CASE WHEN i % 2 = 0 THEN sin(x * 2 * pi() * pow(2, (i // 2) * 6.0 / 4)) ELSE cos(y * 2 * pi() * pow(2, (i // 2) * 6.0 / 4)) END AS v FROM p, range(8) b(i)) SELECT event_id, i::INT AS i, round(v / sqrt(sum(v * v) OVER (PARTITION BY event_id)), 5) + 0.0 AS v FROM r")
@@ -820,9 +850,9 @@ def f16(spark, d):
     return fx.table(spark, d, "part").withColumn("path_text", F.expr(text)).select("p_partkey", F.expr(path.is_drawable("path_text")).alias("drawable"))
 
 
-@query("q15_cell_number", f"WITH {VOCAB_SQL} SELECT t AS token_id, (CASE WHEN t >= 100 THEN t - 100 END)::INT AS number FROM u")
+@query("q15_cell_number", f"WITH {LONG} SELECT doc_id, pos::INT AS pos, (CASE WHEN tok >= 100 THEN tok - 100 END)::INT AS number FROM t")
 def q15(spark, d):
-    return manifest.vocabulary(spark).select("token_id", F.expr(ids.cell_number("token_id")).alias("number"))
+    return placed(spark, d).select("doc_id", "pos", F.expr(ids.cell_number("token_id")).alias("number"))
 
 
 @query("s11_vocab_lookup", "SELECT v.vocab_id, CASE WHEN v.vocab_id <> 'geom-5561-v1' THEN 'INVALID_REQUEST' END AS code FROM (VALUES ('geom-5561-v1'), ('other')) v(vocab_id)")
