@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, path
 from ..functions.sqlgen import let
+from ..sources import remote
 from ..sources import svg as source
 from ..sources.shared import materialize
 from . import bpe, codec, render
@@ -315,3 +316,10 @@ def external_eval(docs: DataFrame, encode, decode) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), "svg").filter("svg IS NOT NULL")
     return scene_scores(rows.mapInArrow(run, "doc_id long, truth string, token_ids array<int>, svg string"))
+
+
+def remote_eval(docs: DataFrame, tokenizer: remote.Remote) -> DataFrame:
+    """Scores of a tokenizer behind HTTP; documents that fail are left out. Documents are asked for once: what comes back is stored."""
+    rows = docs.select(F.col("doc_id").cast("long"), "svg").filter("svg IS NOT NULL")
+    back = materialize(remote.round_trip(rows, tokenizer), "remote")
+    return scene_scores(back.filter("error IS NULL").select("doc_id", F.col("svg").alias("truth"), "token_ids", F.col("decoded").alias("svg")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import http.server
+import json
 import threading
 import time
 
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import STATUS, EngineError
 from ..functions import ids
 from ..operators import bpe, codec, evaluation, manifest, service
-from ..sources import files, shared
+from ..sources import files, remote, shared
 from ..streaming import ndjson
 from . import fixtures as fx
 from .core import _DRAWN, _ITEMS, _MANIFEST, _PAIRS, LINES, MERGES, PART, TEXT, TOKENS, batch_items, d_id
@@ -378,3 +381,62 @@ def e11(spark, d):
 
     scores = evaluation.external_eval(fx.drawings(spark, d), encode, lambda t: '<svg><path d="M1 1"/></svg>')
     return scores.select("doc_id", F.round("attr_mean_err", 6).alias("attr_mean_err"), F.round("attr_max_err", 6).alias("attr_max_err"), "n_tokens")
+
+
+@contextlib.contextmanager
+def unsteady_server(spark):
+    """A tokenizer on the driver's host that makes every drawing a point, puts every third off at first, and refuses every fifth."""
+    asked, lock = set(), threading.Lock()
+
+    class Answers(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            given = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if self.path == "/detokenize":
+                return self.answer(200, {"svg": '<svg><path d="M1 1"/></svg>'})
+            number = int(given["svg"].partition('id="g')[2].partition('"')[0])
+            with lock:
+                first = number not in asked
+                asked.add(number)
+            if number % 5 == 0:
+                return self.answer(400, {})
+            return self.answer(503, {}) if first and number % 3 == 0 else self.answer(200, {"token_ids": [number]})
+
+        def answer(self, status, what):
+            body = json.dumps(what).encode()
+            self.send_response(status)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    host = spark.conf.get("spark.driver.host")
+    server = http.server.ThreadingHTTPServer((host, 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://{host}:{server.server_port}"
+        yield remote.Remote(f"{at}/tokenize", f"{at}/detokenize", pause=0.01)
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+@query("s14_remote", f"WITH {PART} SELECT k::BIGINT AS doc_id, CASE WHEN k % 5 <> 0 THEN 1 END::INT AS n_tokens, k % 5 <> 0 AS decoded, CASE WHEN k % 5 = 0 THEN 'HTTP 400' END AS error FROM p")
+def s14(spark, d):
+    """Every drawing by way of a server that fails at times."""
+    with unsteady_server(spark) as tokenizer:
+        rows = shared.materialize(remote.round_trip(fx.drawings(spark, d), tokenizer), "remote")
+    return rows.select("doc_id", F.expr("IF(token_ids IS NULL, NULL, size(token_ids))").alias("n_tokens"), F.col("decoded").isNotNull().alias("decoded"), "error")
+
+
+@query(
+    "e11_remote",
+    f"WITH {_DRAWN}, f AS (SELECT doc_id, count(*) AS n, max(sqrt(pow(printf('%.3f', x)::DOUBLE - 1, 2) + pow(printf('%.3f', y)::DOUBLE - 1, 2))) FILTER (WHERE i = 1) AS e FROM c GROUP BY doc_id) "
+    "SELECT doc_id, round((e + (n - 1) * 300 * sqrt(2)) / n, 6) AS attr_mean_err, round(300 * sqrt(2), 6) AS attr_max_err, 1 AS n_tokens FROM f WHERE doc_id % 5 <> 0",
+)
+def e11_remote(spark, d):
+    """Scores of such a tokenizer."""
+    with unsteady_server(spark) as tokenizer:
+        scores = evaluation.remote_eval(fx.drawings(spark, d), tokenizer)
+    return scores.select("doc_id", F.round("attr_mean_err", 6).alias("attr_mean_err"), F.round("attr_max_err", 6).alias("attr_max_err"), "n_tokens")
