@@ -38,7 +38,7 @@ def read_numbered(spark: SparkSession, path: str, files_per_trigger: int = 100,
 
     A file is read whole by one task, as lines of a split one have no numbers: service.MOST_BYTES a file is meant.
     """
-    files = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("wholetext", True).text(path)
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path, wholetext=True)
     files = files.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("arrived"))
     lines = files.select("file", "arrived", F.posexplode(F.split("value", line_sep)).alias("line", "value"))
     return lines.select(F.struct("file", "line").alias("pos"), "arrived", "value").filter(F.col("value").rlike(r"(?U)\S"))
