@@ -15,10 +15,10 @@ from .sqlgen import let, scan, trimmed
 STYLE = 'fill="none" stroke="black" stroke-width="1"'
 
 
-def group_text(c: str = "c", v: str = "v") -> str:
+def group_text(c: str = "c", v: str = "v", canvas: float | str = ids.CANVAS) -> str:
     """The path text of command c with coordinate ids v; empty if it has too few."""
-    x = lambda i: trimmed(ids.x_of(f"{v}[{i}]"), 1)
-    y = lambda i: trimmed(ids.y_of(f"{v}[{i}]"), 1)
+    x = lambda i: trimmed(ids.x_of(f"{v}[{i}]", canvas), 1)
+    y = lambda i: trimmed(ids.y_of(f"{v}[{i}]", canvas), 1)
     xy = lambda i: f"concat({x(i)}, ' ', {y(i)})"
     n = f"size({v})"
     return (
@@ -28,11 +28,11 @@ def group_text(c: str = "c", v: str = "v") -> str:
     )
 
 
-def shape_text(c: str = "c", v: str = "v") -> str:
+def shape_text(c: str = "c", v: str = "v", canvas: float | str = ids.CANVAS, level: int | str = ids.LEVEL) -> str:
     """The element of shape c; empty if it lacks coordinates or a scalar isn't of the deepest level."""
-    x, y = trimmed(ids.x_of(f"{v}[0]"), 2), trimmed(ids.y_of(f"{v}[0]"), 2)
-    s = lambda i: trimmed(ids.scalar_of(f"{v}[{i}]"), 2)
-    deep = lambda n: f"size({v}) > {n} AND forall(slice({v}, 2, {n}), z -> z >= {ids.level_base(ids.LEVEL)})"
+    x, y = trimmed(ids.x_of(f"{v}[0]", canvas), 2), trimmed(ids.y_of(f"{v}[0]", canvas), 2)
+    s = lambda i: trimmed(ids.scalar_of(f"{v}[{i}]", canvas, level), 2)
+    deep = lambda n: f"size({v}) > {n} AND forall(slice({v}, 2, {n}), z -> z >= {ids.first_id(level)})"
     a = lambda tag, *pairs: "concat(" + ", ".join([f"'<{tag}'", *[z for k, val in pairs for z in (f"' {k}=\"'", val, "'\"'")], f"' {STYLE}/>'"]) + ")"
     return (
         f"CASE WHEN {c} = 20 AND {deep(1)} THEN {a('circle', ('cx', x), ('cy', y), ('r', s(1)))} WHEN {c} = 21 AND {deep(2)} THEN {a('ellipse', ('cx', x), ('cy', y), ('rx', s(1)), ('ry', s(2)))} "
@@ -63,33 +63,36 @@ def groups(tokens: str) -> str:
     return scan(tokens, "t", start, "struct<open:boolean,c:int,v:array<int>>", GROUP, step, ended)
 
 
-def path_text(tokens: str) -> str:
+def path_text(tokens: str, canvas: float | str = ids.CANVAS) -> str:
     """All commands of a stream as one path text; coordinates go to the last command whatever lies between."""
     flat = f"filter({tokens}, t -> (t >= 10 AND t < 18) OR {ids.is_coord('t')})"
-    return f"array_join(filter(transform({groups(flat)}, g -> {let({'c': 'g.c', 'v': 'g.v'}, group_text(), 'string')}), x -> x <> ''), ' ')"
+    return f"array_join(filter(transform({groups(flat)}, g -> {let({'c': 'g.c', 'v': 'g.v'}, group_text(canvas=canvas), 'string')}), x -> x <> ''), ' ')"
 
 
-def element_list(tokens: str) -> str:
+def element_list(tokens: str, canvas: float | str = ids.CANVAS, level: int | str = ids.LEVEL) -> str:
     """The elements of a stream without spatial tokens; one path, maybe empty, if it decodes to none."""
-    text = let({"c": "g.c", "v": "g.v"}, f"IF(c < 18, {group_text()}, {shape_text()})", "string")
+    text = let({"c": "g.c", "v": "g.v"}, f"IF(c < 18, {group_text(canvas=canvas)}, {shape_text(canvas=canvas, level=level)})", "string")
     # Groups that are no commands end the path before them, as the end does; they may be shapes themselves.
     cuts = "filter(sequence(0, size(gs)), i -> coalesce(gs[i].c < 10 OR gs[i].c >= 18, false) OR i = size(gs))".replace("gs[i]", "get(gs, i)")
     joined = "array_join(filter(slice(xs, lo + 1, i - lo), x -> x <> ''), ' ')"
     path = let({"lo": "IF(n = 0, 0, cs[n - 1] + 1)", "d": joined}, f"IF(d = '', cast(array() AS ARRAY<STRING>), array(concat('<path d=\"', d, '\" {STYLE}/>')))", "array<string>")
     shape = "IF(get(gs, i).c >= 18 AND xs[i] <> '', array(xs[i]), cast(array() AS ARRAY<STRING>))".replace("xs[i]", "get(xs, i)")
     made = let({"gs": groups(tokens), "xs": f"transform(gs, g -> {text})", "cs": cuts}, f"flatten(transform(cs, (i, n) -> concat({path}, coalesce({shape}, cast(array() AS ARRAY<STRING>)))))", "array<string>")
-    alone = f"array(concat('<path d=\"', {path_text(tokens)}, '\" fill=\"none\" stroke=\"black\" stroke-width=\"1.0\"/>'))"
+    alone = f"array(concat('<path d=\"', {path_text(tokens, canvas)}, '\" fill=\"none\" stroke=\"black\" stroke-width=\"1.0\"/>'))"
     return let({"els": made}, f"IF(size(els) > 0, els, {alone})", "array<string>")
 
 
-def document(elements: str, canvas: float = ids.CANVAS) -> str:
-    size = str(int(canvas)) if float(canvas).is_integer() else str(canvas)
-    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{size}" height="{size}" viewBox="0 0 {size} {size}">'
-    return f"concat('{head}\\n  ', array_join({elements}, '\\n  '), '\\n</svg>')"
+def document(elements: str, canvas: float | str = ids.CANVAS) -> str:
+    if isinstance(canvas, str):
+        size = f"IF({canvas} = floor({canvas}), cast(cast({canvas} AS BIGINT) AS STRING), cast({canvas} AS STRING))"
+    else:
+        size = f"'{int(canvas) if float(canvas).is_integer() else canvas}'"
+    head = f"""'<svg xmlns="http://www.w3.org/2000/svg" width="', {size}, '" height="', {size}, '" viewBox="0 0 ', {size}, ' ', {size}, '">'"""
+    return f"concat({head}, '\\n  ', array_join({elements}, '\\n  '), '\\n</svg>')"
 
 
-def expected_fidelity(tokens: str, canvas: float = ids.CANVAS) -> str:
+def expected_fidelity(tokens: str, canvas: float | str = ids.CANVAS) -> str:
     """STRUCT<coord_mean_px, coord_max_px>: what quantising costs at the coarsest level used."""
     level = f"array_min(filter(transform({tokens}, t -> {ids.level_of('t')}), z -> z IS NOT NULL))"
-    size = f"({canvas!r}D / power(2D, lv))"
+    size = f"({ids.number(canvas)} / power(2D, lv))"
     return let({"lv": level}, f"named_struct('coord_mean_px', IF(lv IS NULL, 0D, round(0.382597858D * {size}, 4)), 'coord_max_px', IF(lv IS NULL, 0D, round({size} / 2 * sqrt(2D), 4)))", "struct<coord_mean_px:double,coord_max_px:double>")

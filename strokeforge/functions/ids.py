@@ -1,7 +1,8 @@
 """The token id space in closed form, and the coordinate, scalar and count codecs.
 
 Coordinates of level l (0 to 6) are ids BASE + (4**l - 1) / 3 + qy * 2**l + qx; everything
-below BASE is a fixed symbol. All functions take and return SQL text.
+below BASE is a fixed symbol. All functions take and return SQL text; a canvas and a deepest level
+may be numbers or SQL text themselves, so that each row can have its own.
 """
 
 from __future__ import annotations
@@ -37,17 +38,48 @@ def cell(level: int = LEVEL, canvas: float = CANVAS) -> float:
     return canvas / 2**level
 
 
-def clamped(v: str, canvas: float = CANVAS) -> str:
+def number(v: float | str) -> str:
+    """SQL of a double that is given as a number or as SQL."""
+    return v if isinstance(v, str) else f"{float(v)!r}D"
+
+
+def side(level: int | str) -> str:
+    """SQL: cells in a row of a level."""
+    return f"shiftleft(1, {level})" if isinstance(level, str) else f"{2**level}"
+
+
+def first_id(level: int | str) -> str:
+    """SQL: the first coordinate id of a level."""
+    return f"({BASE} + cast((shiftleft(1, 2 * {level}) - 1) div 3 AS INT))" if isinstance(level, str) else f"{level_base(level)}"
+
+
+def codes(level: int | str) -> str:
+    """SQL: how many values a scalar or count has."""
+    return f"shiftleft(1, 2 * {level})" if isinstance(level, str) else f"{4**level}"
+
+
+def vocab_size(level: int | str = LEVEL) -> str:
+    """SQL: how many ids there are down to a level."""
+    return f"({first_id(level)} + {codes(level)})"
+
+
+def cell_size(level: int | str, canvas: float | str) -> str:
+    """SQL: the side of a level's cell."""
+    return f"({number(canvas)} / {side(level)})" if isinstance(level, str) or isinstance(canvas, str) else f"{cell(level, canvas)!r}D"
+
+
+def clamped(v: str, canvas: float | str = CANVAS) -> str:
     """Into [0, canvas - EDGE]; NaN counts as 0."""
-    return f"greatest(0D, least(nanvl({v}, 0D), {canvas - EDGE!r}D))"
+    top = f"({canvas} - {EDGE!r}D)" if isinstance(canvas, str) else f"{canvas - EDGE!r}D"
+    return f"greatest(0D, least(nanvl({v}, 0D), {top}))"
 
 
-def quantised(v: str, level: int = LEVEL, canvas: float = CANVAS) -> str:
-    return f"cast(least(floor({clamped(v, canvas)} / {cell(level, canvas)!r}D), {2**level - 1}) AS INT)"
+def quantised(v: str, level: int | str = LEVEL, canvas: float | str = CANVAS) -> str:
+    return f"cast(least(floor({clamped(v, canvas)} / {cell_size(level, canvas)}), {side(level)} - 1) AS INT)"
 
 
-def coord_id(x: str, y: str, level: int = LEVEL, canvas: float = CANVAS) -> str:
-    return f"({level_base(level)} + {quantised(y, level, canvas)} * {2**level} + {quantised(x, level, canvas)})"
+def coord_id(x: str, y: str, level: int | str = LEVEL, canvas: float | str = CANVAS) -> str:
+    return f"({first_id(level)} + {quantised(y, level, canvas)} * {side(level)} + {quantised(x, level, canvas)})"
 
 
 def is_coord(t: str) -> str:
@@ -71,42 +103,42 @@ def qy(t: str) -> str:
     return _by_level(t, lambda k: f"cast(floor(({t} - {level_base(k)}) / {2**k}) AS INT)")
 
 
-def x_of(t: str, canvas: float = CANVAS) -> str:
+def x_of(t: str, canvas: float | str = CANVAS) -> str:
     """The centre of a coordinate id's cell."""
-    return _by_level(t, lambda k: f"(({t} - {level_base(k)}) % {2**k} + 0.5D) * {cell(k, canvas)!r}D")
+    return _by_level(t, lambda k: f"(({t} - {level_base(k)}) % {2**k} + 0.5D) * {cell_size(k, canvas)}")
 
 
-def y_of(t: str, canvas: float = CANVAS) -> str:
-    return _by_level(t, lambda k: f"(floor(({t} - {level_base(k)}) / {2**k}) + 0.5D) * {cell(k, canvas)!r}D")
+def y_of(t: str, canvas: float | str = CANVAS) -> str:
+    return _by_level(t, lambda k: f"(floor(({t} - {level_base(k)}) / {2**k}) + 0.5D) * {cell_size(k, canvas)}")
 
 
-def packed(code: str) -> str:
-    """The deepest coordinate id that stands for a code 0..4095: qx is its high part."""
-    side = 2**LEVEL
-    return f"({level_base(LEVEL)} + ({code}) % {side} * {side} + cast(floor(({code}) / {side}) AS INT))"
+def packed(code: str, level: int | str = LEVEL) -> str:
+    """The deepest coordinate id that stands for a code, 0..4095 on level 6: qx is its high part."""
+    n = side(level)
+    return f"({first_id(level)} + ({code}) % {n} * {n} + cast(floor(({code}) / {n}) AS INT))"
 
 
-def code_of(t: str) -> str:
-    side = 2**LEVEL
-    return f"(({t} - {level_base(LEVEL)}) % {side} * {side} + cast(floor(({t} - {level_base(LEVEL)}) / {side}) AS INT))"
+def code_of(t: str, level: int | str = LEVEL) -> str:
+    n, first = side(level), first_id(level)
+    return f"(({t} - {first}) % {n} * {n} + cast(floor(({t} - {first}) / {n}) AS INT))"
 
 
-def scalar_code(v: str, canvas: float = CANVAS) -> str:
+def scalar_code(v: str, canvas: float | str = CANVAS, level: int | str = LEVEL) -> str:
     """Fixed point, ties to even; what isn't finite counts as 0."""
     finite = f"IF({v} IS NULL OR isnan({v}) OR abs({v}) = double('infinity'), 0D, {v})"
-    return f"cast(rint(greatest(0D, least({finite}, {canvas!r}D)) / {canvas!r}D * {SCALARS - 1}) AS INT)"
+    return f"cast(rint(greatest(0D, least({finite}, {number(canvas)})) / {number(canvas)} * ({codes(level)} - 1)) AS INT)"
 
 
-def scalar_id(v: str, canvas: float = CANVAS) -> str:
-    return packed(scalar_code(v, canvas))
+def scalar_id(v: str, canvas: float | str = CANVAS, level: int | str = LEVEL) -> str:
+    return packed(scalar_code(v, canvas, level), level)
 
 
-def scalar_of(t: str, canvas: float = CANVAS) -> str:
-    return f"({code_of(t)} / {SCALARS - 1}D * {canvas!r}D)"
+def scalar_of(t: str, canvas: float | str = CANVAS, level: int | str = LEVEL) -> str:
+    return f"({code_of(t, level)} / cast({codes(level)} - 1 AS DOUBLE) * {number(canvas)})"
 
 
-def count_id(n: str) -> str:
-    return packed(f"greatest(0, least(cast({n} AS INT), {SCALARS - 1}))")
+def count_id(n: str, level: int | str = LEVEL) -> str:
+    return packed(f"greatest(0, least(cast({n} AS INT), {codes(level)} - 1))", level)
 
 
 def symbol_id(name: str) -> str:
@@ -119,16 +151,16 @@ def curvature_id(bin: str) -> str:
     return f"cast({CURVATURE} + greatest(0, least({bin}, {CURVATURE_BINS - 1})) AS INT)"
 
 
-def bound(level: int | str = LEVEL, canvas: float = CANVAS) -> str:
+def bound(level: int | str = LEVEL, canvas: float | str = CANVAS) -> str:
     """The largest distance of a point from its cell's centre."""
-    return f"({canvas!r}D / power(2D, {level}) / 2 * sqrt(2D))"
+    return f"({number(canvas)} / power(2D, {level}) / 2 * sqrt(2D))"
 
 
 def scalar_bound(canvas: float = CANVAS) -> float:
     return canvas / (SCALARS - 1) / 2
 
 
-def symbol(t: str, merge_base: int = VOCAB) -> str:
+def symbol(t: str, merge_base: int | str = VOCAB) -> str:
     cases = " ".join(f"WHEN {k} THEN '{v}'" for k, v in SYMBOLS.items())
     curve = f"WHEN {t} >= {CURVATURE} AND {t} < {CURVATURE + CURVATURE_BINS} THEN concat('CURV@', {t} - {CURVATURE})"
     coord = f"WHEN {is_coord(t)} THEN concat('C', {level_of(t)}, ':', {qx(t)}, ',', {qy(t)})"

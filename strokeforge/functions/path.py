@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+from . import ids
 from .sqlgen import doubles, let, lit, scan, trimmed
 
 COMMANDS = "array<struct<c:string,p:array<double>,sx:double,sy:double,ex:double,ey:double>>"
@@ -166,9 +167,10 @@ def transform_matrix(texts: str, start: str = IDENTITY) -> str:
     return f"aggregate({calls}, {start}, (m, t) -> {step})"
 
 
-def viewbox_matrix(box: str, canvas: float) -> str:
+def viewbox_matrix(box: str, canvas: float | str) -> str:
     """Scales a box of four numbers evenly into the canvas, centred; anything else changes nothing."""
-    scaled = let({"k": f"{canvas!r}D / greatest({box}[2], {box}[3])"}, matrix("k", "0D", "0D", "k", f"({canvas!r}D - {box}[2] * k) / 2 - {box}[0] * k", f"({canvas!r}D - {box}[3] * k) / 2 - {box}[1] * k"), AFFINE)
+    side = ids.number(canvas)
+    scaled = let({"k": f"{side} / greatest({box}[2], {box}[3])"}, matrix("k", "0D", "0D", "k", f"({side} - {box}[2] * k) / 2 - {box}[0] * k", f"({side} - {box}[3] * k) / 2 - {box}[1] * k"), AFFINE)
     return f"IF({box} IS NOT NULL AND size({box}) = 4 AND {box}[2] > 0 AND {box}[3] > 0, {scaled}, {IDENTITY})"
 
 

@@ -6,7 +6,7 @@ from . import ids, path
 from .curves import Thresholds, analysed, curvature_bin
 
 
-def coords(k: str = "k", level: int = ids.LEVEL, canvas: float = ids.CANVAS) -> str:
+def coords(k: str = "k", level: int | str = ids.LEVEL, canvas: float | str = ids.CANVAS) -> str:
     """Coordinate ids of a command's points."""
     return f"transform({path.points(k)}, q -> {ids.coord_id('q.x', 'q.y', level, canvas)})"
 
@@ -15,16 +15,16 @@ def letter_id(k: str = "k") -> str:
     return f"CASE {k}.c " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in ids.LETTERS.items()) + " END"
 
 
-def lean(cmds: str) -> str:
+def lean(cmds: str, level: int | str = ids.LEVEL, canvas: float | str = ids.CANVAS) -> str:
     """The body of an element without markers."""
-    return f"flatten(transform({cmds}, k -> concat(array({letter_id()}), {coords()})))"
+    return f"flatten(transform({cmds}, k -> concat(array({letter_id()}), {coords("k", level, canvas)})))"
 
 
-def full(cmds: str, th: Thresholds = Thresholds()) -> str:
+def full(cmds: str, th: Thresholds = Thresholds(), level: int | str = ids.LEVEL, canvas: float | str = ids.CANVAS) -> str:
     """The body of an element with continuity and curvature markers, in this order after the coordinates."""
     none = "cast(array() AS ARRAY<INT>)"
     markers = f"concat(IF(u.level IS NULL, {none}, array(31 + u.level)), IF(u.g IS NULL OR u.g.straight, {none}, array({ids.CURVATURE} + {curvature_bin('u.g.kmax')})))"
-    return f"flatten(transform({analysed(cmds, th)}, u -> concat(array({letter_id('u.k')}), {coords('u.k')}, {markers})))"
+    return f"flatten(transform({analysed(cmds, th)}, u -> concat(array({letter_id('u.k')}), {coords('u.k', level, canvas)}, {markers})))"
 
 
 def bracketed(bodies: str) -> str:
@@ -39,11 +39,11 @@ def lean_of(tokens: str) -> str:
     return f"filter({tokens}, t -> NOT ((t >= 30 AND t < 34) OR (t >= 40 AND t < 56)))"
 
 
-def symbols(tokens: str, merge_base: int = ids.VOCAB) -> str:
+def symbols(tokens: str, merge_base: int | str = ids.VOCAB) -> str:
     return f"transform({tokens}, t -> {ids.symbol('t', merge_base)})"
 
 
-def bad_id(tokens: str, upper: int = ids.VOCAB) -> str:
+def bad_id(tokens: str, upper: int | str = ids.VOCAB) -> str:
     """The first id out of range, or null."""
     return f"get(filter({tokens}, t -> t < 0 OR t >= {upper}), 0)"
 

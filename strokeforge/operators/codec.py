@@ -11,7 +11,7 @@ from ..sources import svg as source
 from . import bpe, detok
 
 
-def with_commands(df: DataFrame, canvas: float | None = ids.CANVAS, flatten: bool = True) -> DataFrame:
+def with_commands(df: DataFrame, canvas: float | str | None = ids.CANVAS, flatten: bool = True) -> DataFrame:
     """df, which has doc, with elements: the drawn commands of each, in order.
 
     Commands are moved by all transforms and, with a canvas, by the view box; arcs become cubics.
@@ -19,7 +19,7 @@ def with_commands(df: DataFrame, canvas: float | None = ids.CANVAS, flatten: boo
     return df.withColumn("elements", F.expr(elements_of("doc", canvas, flatten)))
 
 
-def elements_of(doc: str, canvas: float | None = ids.CANVAS, flatten: bool = True) -> str:
+def elements_of(doc: str, canvas: float | str | None = ids.CANVAS, flatten: bool = True) -> str:
     """SQL: the drawn commands of each element of a parsed document."""
     start = path.viewbox_matrix(f"{doc}.viewbox", canvas) if canvas else path.IDENTITY
     # The matrix of an element: the view box's, then its groups', then its own.
@@ -28,17 +28,21 @@ def elements_of(doc: str, canvas: float | None = ids.CANVAS, flatten: bool = Tru
     return let({"root": start}, f"transform({doc}.elements, e -> {cmds})", f"array<{path.COMMANDS}>")
 
 
-def parsed(df: DataFrame, canvas: float | None = ids.CANVAS, check_size: bool = True) -> DataFrame:
-    """df, which has svg, with doc, elements and error: STRUCT<code, message>. Refused documents are not parsed."""
-    kept = df.withColumn("_refused", F.expr(source.guard("svg", check_size)))
+def parsed(df: DataFrame, canvas: float | str | None = ids.CANVAS, check_size: bool = True, refused: str | None = None) -> DataFrame:
+    """df, which has svg, with doc, elements and error: STRUCT<code, message>. Refused documents are not parsed.
+
+    refused: SQL of an error that comes before those of the text.
+    """
+    why = source.guard("svg", check_size)
+    kept = df.withColumn("_refused", F.expr(f"coalesce({refused}, {why})" if refused else why))
     rows = source.parse(kept.withColumn("_svg", F.when(F.col("_refused").isNull(), F.col("svg"))), doc="_svg").drop("_svg")
     failed = F.when(F.col("doc.error").isNotNull(), F.struct(F.lit("PARSE_ERROR").alias("code"), F.col("doc.error").alias("message")))
     return with_commands(rows, canvas).withColumn("error", F.coalesce("_refused", failed)).drop("_refused")
 
 
-def l1(df: DataFrame, lean: bool = False) -> DataFrame:
+def l1(df: DataFrame, lean: bool = False, canvas: float | str = ids.CANVAS, level: int | str = ids.LEVEL) -> DataFrame:
     """df, which has elements, with token_ids."""
-    body = tokens.lean("e") if lean else tokens.full("e")
+    body = tokens.lean("e", level, canvas) if lean else tokens.full("e", level=level, canvas=canvas)
     return df.withColumn("token_ids", F.when(F.col("elements").isNotNull(), F.expr(tokens.bracketed(f"transform(elements, e -> {body})"))))
 
 
@@ -47,9 +51,9 @@ def ratio(svg: str, ids_: str) -> str:
     return f"IF(size({ids_}) > 0, bround(length({svg}) / size({ids_}), 4), 0D)"
 
 
-def clamped_count(elements: str = "elements") -> str:
+def clamped_count(elements: str = "elements", canvas: float | str = ids.CANVAS) -> str:
     """SQL: how many points lie beyond the canvas."""
-    out = f"aggregate({path.all_points('e')}, 0, (n, q) -> n + IF(q.x < 0 OR q.x > {ids.CANVAS!r}D OR q.y < 0 OR q.y > {ids.CANVAS!r}D, 1, 0))"
+    out = f"aggregate({path.all_points('e')}, 0, (n, q) -> n + IF(q.x < 0 OR q.x > {ids.number(canvas)} OR q.y < 0 OR q.y > {ids.number(canvas)}, 1, 0))"
     return f"aggregate(transform({elements}, e -> {out}), 0, (a, b) -> a + b)"
 
 
@@ -68,10 +72,15 @@ def tokenize(df: DataFrame, level: str = "L1", lean: bool = False, merges: list
             said = "'L2 merges were learned on full (marker) L1 streams; lean+L2 compression may be suboptimal'" if lean else "cast(NULL AS STRING)"
         else:
             said = "'L2 merges unavailable; falling back to L1'"
-    rows = rows.withColumn("n_clamped", F.expr(clamped_count()))
+    return payload(rows, lean, {"vocab_id": F.lit(ids.VOCAB_ID), "level": F.lit(applied)}, said)
+
+
+def payload(rows: DataFrame, lean: bool, pins: dict, said: str, canvas: float | str = ids.CANVAS, merge_base: int | str = ids.VOCAB) -> DataFrame:
+    """rows, which have doc, elements and token_ids, as payloads with the given vocab_id and level; said is SQL of a warning or null."""
+    rows = rows.withColumn("n_clamped", F.expr(clamped_count(canvas=canvas)))
     rows = rows.withColumns({
-        "tokenizer_version": F.lit(ids.TOKENIZER_VERSION), "vocab_id": F.lit(ids.VOCAB_ID), "level": F.lit(applied), "lean": F.lit(lean),
-        "tokens": F.expr(tokens.symbols("token_ids")),
+        "tokenizer_version": F.lit(ids.TOKENIZER_VERSION), **pins, "lean": F.lit(lean),
+        "tokens": F.expr(tokens.symbols("token_ids", merge_base)),
         "n_commands": F.expr("aggregate(elements, 0, (n, e) -> n + size(e))"),
         "n_tokens": F.expr("size(token_ids)"),
         "n_elements": F.expr("size(filter(elements, e -> size(e) > 0))"),
@@ -88,15 +97,15 @@ def project(payload: DataFrame, fields: list[str], keys: list[str] = ()) -> Data
     return payload.select(*[c for c in payload.columns if c in {*fields, *always, *keys}])
 
 
-def pinned(version: str = "tokenizer_version", vocab: str = "vocab_id", tokens_: str = "token_ids", upper: int = ids.VOCAB) -> str:
-    """SQL: STRUCT<code, message> of what refuses a stream before decoding, or null."""
+def pinned(version: str = "tokenizer_version", vocab: str = "vocab_id", tokens_: str = "token_ids", upper: int | str = ids.VOCAB, expected: str = lit(ids.VOCAB_ID)) -> str:
+    """SQL: STRUCT<code, message> of what refuses a stream before decoding, or null; upper and expected may be SQL."""
     bad = tokens.bad_id(tokens_, upper)
     err = lambda code, message: f"named_struct('code', '{code}', 'message', {message})"
     return (
         f"CASE WHEN {version} IS NULL THEN {err('VERSION_REQUIRED', lit('tokenizer_version is required for detokenize'))} "
         f"WHEN substring_index({version}, '-', -1) <> '{ids.FORMAT}' THEN {err('VOCAB_MISMATCH', f"concat('tokenizer_version ', {version}, ' != {ids.TOKENIZER_VERSION}')")} "
-        f"WHEN {vocab} IS NOT NULL AND {vocab} <> '{ids.VOCAB_ID}' THEN {err('VOCAB_MISMATCH', f"concat('vocab_id ', {vocab}, ' != {ids.VOCAB_ID}')")} "
-        f"WHEN {bad} IS NOT NULL THEN {err('VOCAB_MISMATCH', f"concat('token id ', {bad}, ' out of range [0,{upper})')")} END"
+        f"WHEN {vocab} IS NOT NULL AND {vocab} <> {expected} THEN {err('VOCAB_MISMATCH', f"concat('vocab_id ', {vocab}, ' != ', {expected})")} "
+        f"WHEN {bad} IS NOT NULL THEN {err('VOCAB_MISMATCH', f"concat('token id ', {bad}, ' out of range [0,', {upper}, ')')")} END"
     )
 
 
@@ -109,12 +118,17 @@ def detokenize(df: DataFrame, merges: list | None = None, measure: bool = True)
     rows = df.withColumn("error", F.expr(pinned(upper=upper))).withColumn("_ids", F.when(F.col("error").isNull(), F.col("token_ids")))
     if merges:
         rows = rows.withColumn("_ids", F.expr(bpe.expanded("_ids", merges)))
+    return decoded(rows, measure)
+
+
+def decoded(rows: DataFrame, measure: bool = True, canvas: float | str = ids.CANVAS, level: int | str = ids.LEVEL) -> DataFrame:
+    """rows, which have token_ids and _ids, the stream without merges, with svg, valid, repaired, fidelity."""
     rows = rows.withColumn("valid", F.expr(f"({grammar.validated('_ids')}).valid"))
     rows = rows.withColumn("repaired", ~F.col("valid")).withColumn("_ids", F.expr(f"IF(valid, _ids, {grammar.repaired('_ids')})"))
-    rows = detok.with_elements(rows, "_ids", "_elements")
-    out = {"n_tokens": F.expr("size(token_ids)"), "svg": F.expr(decode.document("_elements"))}
+    rows = detok.with_elements(rows, "_ids", "_elements", canvas, level)
+    out = {"n_tokens": F.expr("size(token_ids)"), "svg": F.expr(decode.document("_elements", canvas))}
     if measure:
-        out["fidelity"] = F.expr(decode.expected_fidelity("_ids"))
+        out["fidelity"] = F.expr(decode.expected_fidelity("_ids", canvas))
     return rows.withColumns(out).drop("_ids", "_elements")
 
 

@@ -24,12 +24,12 @@ STYLE = decode.STYLE
 PLACED = {"circle": ("cx", "cy", "r"), "ellipse": ("cx", "cy", "rx", "ry"), "rect": ("x", "y", "width", "height")}
 
 
-def with_elements(df: DataFrame, tokens: str, name: str) -> DataFrame:
-    """df with the SVG elements of each stream."""
+def with_elements(df: DataFrame, tokens: str, name: str, canvas: float | str = ids.CANVAS, level: int | str = ids.LEVEL) -> DataFrame:
+    """df with the SVG elements of each stream; canvas and deepest level are numbers or columns."""
     spatial = F.expr(f"exists({tokens}, t -> t >= 60 AND t < 71)")
     groups = f"IF(exists({tokens}, t -> t >= 60 AND t < 71), {decode.groups(tokens)}, cast(array() AS ARRAY<STRUCT<c:INT,v:ARRAY<INT>>>))"
-    text = let({"c": "g.c", "v": "g.v"}, f"IF(c < 18, {decode.group_text()}, IF(c < 60, {decode.shape_text()}, ''))", "string")
-    rows = df.withColumn(name, F.when(~spatial, F.expr(decode.element_list(tokens)))).withColumn("_groups", F.expr(f"transform({groups}, g -> named_struct('c', g.c, 'v', g.v, 'x', {text}))"))
+    text = let({"c": "g.c", "v": "g.v"}, f"IF(c < 18, {decode.group_text(canvas=canvas)}, IF(c < 60, {decode.shape_text(canvas=canvas, level=level)}, ''))", "string")
+    rows = df.withColumn(name, F.when(~spatial, F.expr(decode.element_list(tokens, canvas, level)))).withColumn("_groups", F.expr(f"transform({groups}, g -> named_struct('c', g.c, 'v', g.v, 'x', {text}))"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_groups").schema)
     at = rows.columns.index(name)
 
@@ -39,15 +39,17 @@ def with_elements(df: DataFrame, tokens: str, name: str) -> DataFrame:
             made = pc.list_value_length(batch.column("_groups"))
             if pc.max(made).as_py():  # else no stream of the batch has spatial tokens
                 groups = batch.column("_groups").to_pylist()
-                kept[name] = pa.array([e if not g else arranged(g) for e, g in zip(batch.column(at).to_pylist(), groups, strict=True)], pa.list_(pa.string()))
+                each = lambda v: batch.column(v).to_pylist() if isinstance(v, str) else [v] * len(groups)  # noqa: B023, E731
+                rows = zip(batch.column(at).to_pylist(), groups, each(canvas), each(level), strict=True)
+                kept[name] = pa.array([e if not g else arranged(g, c, k) for e, g, c, k in rows], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*kept.values()], names=[*kept])
 
     return rows.mapInArrow(run, kinds)
 
 
-def _scalar(t: int) -> int | None:
-    deep = t - ids.level_base(ids.LEVEL)
-    return None if deep < 0 else deep % 64 * 64 + deep // 64
+def _scalar(t: int, level: int) -> int | None:
+    deep, side = t - ids.level_base(level), 2**level
+    return None if deep < 0 else deep % side * side + deep // side
 
 
 def _text(v: float) -> str:
@@ -78,7 +80,7 @@ def _shifted(element: str, dx: float, dy: float) -> str | None:
     return _moved(element, lambda tag, v: {"x": v["x"] + dx, "y": v["y"] + dy} if tag == "rect" else {"cx": v["cx"] + dx, "cy": v["cy"] + dy})
 
 
-def arranged(groups: list[dict]) -> list[str]:
+def arranged(groups: list[dict], canvas: float = ids.CANVAS, level: int = ids.LEVEL) -> list[str]:
     """Elements of a stream with spatial tokens, from its groups and their texts.
 
     A reflection repeats every element before it. EQUAL_SIZE begins a header of alignments,
@@ -87,6 +89,7 @@ def arranged(groups: list[dict]) -> list[str]:
     """
     out: list[str] = []
     path: list[str] = []
+    top = 4**level - 1
 
     def close() -> None:
         if path:
@@ -103,9 +106,9 @@ def arranged(groups: list[dict]) -> list[str]:
             continue
         close()
         if c in (62, 63):
-            code = _scalar(v[0]) if v else None
+            code = _scalar(v[0], level) if v else None
             if code is not None:
-                axis = code / 4095 * ids.CANVAS
+                axis = code / top * canvas
                 out += [m for m in (_mirrored(e, axis, c == 62) for e in list(out)) if m]
         elif c == 66:
             align = space = None
@@ -117,11 +120,11 @@ def arranged(groups: list[dict]) -> list[str]:
                 if k in (62, 63, 66):
                     break
                 i += 1
-                first = _scalar(w[0]) if w else None
+                first = _scalar(w[0], level) if w else None
                 if k in (60, 61):
                     align = k
                 elif k in (64, 65):
-                    space = None if first is None else first / 4095 * ids.CANVAS
+                    space = None if first is None else first / top * canvas
                 else:
                     count = {67: 2, 68: 3, 69: 4}.get(k, 0 if first is None else min(first, MOST_COPIES))
                     break

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from ..functions import ids
 
 
-def build(merges: list | None = None, vocab_id: str = ids.VOCAB_ID) -> dict:
+def build(merges: list | None = None, vocab_id: str = ids.VOCAB_ID, canvas: float = ids.CANVAS, level: int = ids.LEVEL) -> dict:
     name = lambda table: {str(k): v for k, v in table.items()}
-    layout = [{"level": k, "start_id": ids.level_base(k), "grid": 2**k, "n_tokens": 4**k} for k in range(ids.LEVEL + 1)]
+    layout = [{"level": k, "start_id": ids.level_base(k), "grid": 2**k, "n_tokens": 4**k} for k in range(level + 1)]
     return {
-        "vocab_id": vocab_id, "tokenizer_version": ids.TOKENIZER_VERSION, "canvas_size": ids.CANVAS, "max_coord_level": ids.LEVEL, "vocab_size": ids.VOCAB, "coord_token_base": ids.BASE, "level_layout": layout,
+        "vocab_id": vocab_id, "tokenizer_version": ids.TOKENIZER_VERSION, "canvas_size": float(canvas), "max_coord_level": level, "vocab_size": ids.level_base(level + 1), "coord_token_base": ids.BASE, "level_layout": layout,
         "special": name(ids.SPECIAL), "command": name(ids.COMMAND), "continuity": name(ids.CONTINUITY), "curvature": {str(ids.CURVATURE + k): f"CURV@{k}" for k in range(ids.CURVATURE_BINS)},
-        "composite": name(ids.COMPOSITE), "spatial": name(ids.SPATIAL), "merges": merges, "merge_base_id": ids.VOCAB if merges else None,
+        "composite": name(ids.COMPOSITE), "spatial": name(ids.SPATIAL), "merges": merges, "merge_base_id": ids.level_base(level + 1) if merges else None,
     }
 
 

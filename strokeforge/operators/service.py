@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..errors import STATUS, EngineError
 from ..functions import ids, tokens
 from ..sources import shared
-from . import bpe, codec
+from . import bpe, codec, configured
 
 ITEM = "id string, op string, svg string, token_ids array<int>, level string, lean boolean"
 RESULT = ["id", "ok", "token_ids", "svg", "n_tokens", "lean", "level", "compression_ratio", "error"]
@@ -66,22 +66,23 @@ def check_batch(rows: DataFrame, op: str) -> None:
         raise EngineError("PAYLOAD_TOO_LARGE", f"batch payload exceeds {MOST_BYTES} bytes", limit=MOST_BYTES)
 
 
-def _with_detail(error: str, upper: int) -> str:
+def _with_detail(error: str, upper: int | str) -> str:
     """SQL: an error of code and message with what its code has to add."""
     none = "cast(NULL AS MAP<STRING,STRING>)"
     detail = (
         f"CASE {error}.code WHEN 'PAYLOAD_TOO_LARGE' THEN map('limit', regexp_extract({error}.message, '([0-9]+) bytes', 1)) WHEN 'PARSE_UNSUPPORTED_ELEMENT' THEN map('reason', regexp_extract({error}.message, '^<(.*)> not', 1)) "
-        f"WHEN 'VOCAB_MISMATCH' THEN map('max_id', '{upper}') ELSE {none} END"
+        f"WHEN 'VOCAB_MISMATCH' THEN map('max_id', cast({upper} AS STRING)) ELSE {none} END"
     )
     status = f"CASE {error}.code " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in STATUS.items()) + " END"
     return f"IF({error} IS NULL, NULL, named_struct('code', {error}.code, 'message', {error}.message, 'detail', {detail}, 'status', {status}))"
 
 
-def process(rows: DataFrame, lean: bool = False, merges: list | None = None, code: str | None = None, level: str = "L1") -> DataFrame:
+def process(rows: DataFrame, lean: bool = False, merges: list | None = None, code: str | None = None, level: str = "L1", configs: configured.Configs | None = None) -> DataFrame:
     """The result of each item. An item's own level and lean come before the batch's; code, if given, replaces the codes of its own errors.
 
     An item without op is what it has: token_ids, else a drawing; a missing drawing counts as an
-    empty text, missing token_ids as an empty stream.
+    empty text, missing token_ids as an empty stream. With configs an item has a vocab_id, and its configuration's
+    canvas, level and merges stand for the batch's.
     """
     place = [c for c in ("pos",) if c in rows.columns]
     for name, kind in (("op", "string"), ("level", "string"), ("lean", "boolean")):
@@ -90,15 +91,21 @@ def process(rows: DataFrame, lean: bool = False, merges: list | None = None, cod
     given = F.when(F.col("token_ids").isNotNull() & F.col("svg").isNull(), "detokenize").otherwise("tokenize")
     rows = rows.withColumns({"op": F.coalesce("op", given), "lean": F.coalesce("lean", F.lit(lean)), "level": F.upper(F.coalesce("level", F.lit(level)))})
     enc = rows.filter("op = 'tokenize'").drop("token_ids").withColumn("svg", F.coalesce("svg", F.lit("")))
-    enc = codec.l1(codec.parsed(enc), False).withColumn("token_ids", F.expr(f"IF(error IS NOT NULL, NULL, IF(lean, {tokens.lean_of('token_ids')}, token_ids))"))
-    if merges:
+    if configs:
+        enc = configured.l1(enc, configs)
+    else:
+        enc = codec.l1(codec.parsed(enc), False)
+    enc = enc.withColumn("token_ids", F.expr(f"IF(error IS NOT NULL, NULL, IF(lean, {tokens.lean_of('token_ids')}, token_ids))"))
+    if configs:
+        enc = configured.merged(enc, configs, "level = 'L2'")
+    elif merges:
         enc = bpe.encode(enc.withColumn("_l2", F.when(F.col("level") == "L2", F.col("token_ids"))), merges, "_l2")
         enc = enc.withColumn("token_ids", F.coalesce("_l2", "token_ids")).drop("_l2")
     enc = enc.withColumn("compression_ratio", F.expr(codec.ratio("svg", "token_ids"))).withColumn("svg", F.lit(None).cast("string"))
-    enc = enc.withColumn("level", F.when((F.col("level") == "L2") & F.lit(bool(merges)), "L2").otherwise("L1"))
+    enc = enc.withColumn("level", F.when((F.col("level") == "L2") & (F.col("_n_merges") > 0 if configs else F.lit(bool(merges))), "L2").otherwise("L1"))
     dec = rows.filter("op = 'detokenize'").drop("svg").withColumn("tokenizer_version", F.lit(ids.TOKENIZER_VERSION)).withColumn("token_ids", F.coalesce("token_ids", F.array().cast("array<int>")))
-    dec = codec.detokenize(dec, merges).withColumn("svg", F.when(F.col("error").isNull(), F.col("svg"))).withColumn("compression_ratio", F.lit(None).cast("double")).withColumn("level", F.lit(None).cast("string"))
-    own = F.expr(_with_detail("error", ids.VOCAB + len(merges or [])))
+    dec = (configured.detokenize(dec, configs, keep=True) if configs else codec.detokenize(dec, merges)).withColumn("svg", F.when(F.col("error").isNull(), F.col("svg"))).withColumn("compression_ratio", F.lit(None).cast("double")).withColumn("level", F.lit(None).cast("string"))
+    own = F.expr(_with_detail("error", "_upper" if configs else ids.VOCAB + len(merges or [])))
     if code:
         own = F.when(F.col("error").isNotNull(), F.struct(F.lit(code).alias("code"), F.col("error.message").alias("message"), F.lit(None).cast("map<string,string>").alias("detail"), F.lit(None).cast("int").alias("status")))
     ok = F.col("error").isNull()
@@ -108,7 +115,7 @@ def process(rows: DataFrame, lean: bool = False, merges: list | None = None, cod
     )
     unknown = F.struct(F.lit("INVALID_REQUEST").alias("code"), F.format_string("unknown op '%s'", "op").alias("message"))
     other = rows.filter("op NOT IN ('tokenize', 'detokenize')").withColumns({
-        "error": unknown, "token_ids": F.lit(None).cast("array<int>"), "svg": F.lit(None).cast("string"), "level": F.lit(None).cast("string"), "compression_ratio": F.lit(None).cast("double"),
+        "error": unknown, "token_ids": F.lit(None).cast("array<int>"), "svg": F.lit(None).cast("string"), "level": F.lit(None).cast("string"), "compression_ratio": F.lit(None).cast("double"), "_upper": F.lit(None).cast("int"),
     })
     return one(enc).unionByName(one(dec)).unionByName(one(other))
 
