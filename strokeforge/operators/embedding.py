@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import ids
+from ..functions.sqlgen import uniform
 from . import manifest, mldata
 
 #: Ids of one meaning (first, last) and the number of their centre.
@@ -41,11 +42,6 @@ MOST_BYTES = 256 << 20
 SLICE = 16 << 20
 
 
-def uniform(key: str) -> str:
-    """SQL: a number between 0 and 1 from the hash of a text."""
-    return f"((cast(conv(substr(md5({key}), 1, 13), 16, 10) AS DOUBLE) + 0.5D) / 4503599627370496D)"
-
-
 def normal(key: str) -> str:
     """SQL: a standard normal number from the hash of a text (Box and Muller)."""
     return f"(sqrt(-2D * ln({uniform(f'concat({key}, ' + repr(':a') + ')')})) * cos({2 * math.pi!r}D * {uniform(f'concat({key}, ' + repr(':b') + ')')}))"

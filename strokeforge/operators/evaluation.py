@@ -218,6 +218,22 @@ def categories(samples: DataFrame) -> DataFrame:
     return samples.groupBy(F.expr(category()).alias("category")).agg(F.count("*").alias("n"))
 
 
+def report(samples: DataFrame) -> DataFrame:
+    """The figures of generation() and the categories of samples (token_ids, is_valid) as lines of text: line, text.
+
+    Categories come after the figures, most frequent first, then by name; without samples only the figures come.
+    """
+    shown = [("samples", "%d", "n_samples"), ("valid documents", "%.1f%%", "valid_svg_rate * 100"), ("structure", "%.3f", "structural_score"), ("geometry", "%.3f", "geometric_score"), ("diversity", "%.3f", "diversity_score"), ("mean length", "%.1f", "avg_token_length")]
+    texts = [f"format_string('%-16s {form}', '{name}', coalesce({value}, 0))" for name, form, value in shown]
+    texts.append("format_string('%-16s %d to %d', 'lengths', coalesce(min_token_length, 0), coalesce(max_token_length, 0))")
+    head = generation(samples).select(F.posexplode(F.expr(f"array({', '.join(texts)})")).alias("line", "text"))
+    # A handful of categories: their order and share are of an array of one row.
+    kinds = categories(samples).agg(F.expr("array_sort(collect_list(struct(-n AS n, category)))").alias("c"))
+    one = "format_string('  %-14s %d (%.1f%%)', x.category, -x.n, 100 * x.n / aggregate(c, 0L, (s, y) -> s + y.n))"
+    tail = kinds.select(F.posexplode(F.expr(f"transform(c, x -> {one})")).alias("line", "text")).withColumn("line", F.col("line") + len(texts))
+    return head.unionByName(tail)
+
+
 def render_figures(masks: DataFrame, key: str = "sample_id", mask: str = "mask", ahead: int = 5, ink: str | None = None) -> DataFrame:
     """One row for ink masks (arrays of booleans): share of ink, of masks neither empty nor full, and the mean difference to the next few.
 

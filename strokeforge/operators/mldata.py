@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..functions.sqlgen import uniform
 
 MOST = 128
 
@@ -82,20 +83,24 @@ def nucleus(probabilities: DataFrame, group: str, token: str, p: str, top_k: int
 KINDS = (("circle", 0.15), ("rect", 0.15), ("ellipse", 0.10), ("line_path", 0.20), ("curve_path", 0.15), ("mixed_path", 0.15), ("multi", 0.10))
 
 
-def synthetic(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """sample_id, category, token_ids of n drawings, each from hashes of its own number: any split gives the same rows."""
-    u = lambda k: f"(pmod(xxhash64(id, {seed}, {k}), 1000003) / 1000003D)"
-    rank, edge, cases = u(0), 0.0, []
+def synthetic_for(keys: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """sample_id, category, token_ids: one drawing for each row, drawn by hashes of its key; equal keys give equal drawings, a null key none."""
+    u = lambda *k: uniform(f"concat_ws(':', 'draw', {seed}, sample_id, {', '.join(map(str, k))})")
+    edge, cases = 0.0, []
     for name, w in KINDS:
         edge += w
         cases.append(f"WHEN r < {edge!r}D THEN '{name}'")
-    at = lambda k: ids.coord_id(f"{u(k)} * 299", f"{u(k + 1)} * 299")
+    at = lambda *k: ids.coord_id(f"{u(*k[:-1])} * 299", f"{u(*k[:-2], k[-1])} * 299")
     sc = lambda k: ids.scalar_id(f"{u(k)} * 100 + 5")
-    circle, rect, oval = f"array(20, {at(1)}, {sc(3)})", f"array(22, {at(1)}, {sc(3)}, {sc(4)})", f"array(21, {at(1)}, {sc(3)}, {sc(4)})"
-    k = f"(3 + cast(floor({u(5)} * 5) AS INT))"
-    pt = lambda j: ids.coord_id(f"pmod(xxhash64(id, {seed}, i, {j}), 29900) / 100D", f"pmod(xxhash64(id, {seed}, i, {j + 1}), 29900) / 100D")
-    line, curve = f"array(11, {pt(100)})", f"array(14, {pt(100)}, {pt(102)}, {pt(104)})"
-    path = lambda one: f"concat(array(10, {at(1)}), flatten(transform(sequence(1, {k}), i -> {one})))"
+    circle, rect, oval = f"array(20, {at(1, 2)}, {sc(3)})", f"array(22, {at(1, 2)}, {sc(3)}, {sc(4)})", f"array(21, {at(1, 2)}, {sc(3)}, {sc(4)})"
+    line, curve = f"array(11, {at('i', 0, 1)})", f"array(14, {at('i', 0, 1)}, {at('i', 2, 3)}, {at('i', 4, 5)})"
+    path = lambda one: f"concat(array(10, {at(1, 2)}), flatten(transform(sequence(1, 3 + cast(floor({u(5)} * 5) AS INT)), i -> {one})))"
     body = f"CASE category WHEN 'circle' THEN {circle} WHEN 'rect' THEN {rect} WHEN 'ellipse' THEN {oval} WHEN 'line_path' THEN {path(line)} WHEN 'curve_path' THEN {path(curve)} WHEN 'mixed_path' THEN {path(f'IF(i % 2 = 0, {line}, {curve})')} ELSE concat({circle}, array(3), {rect}) END"
-    rows = spark.range(n).withColumn("r", F.expr(rank)).withColumn("category", F.expr(f"CASE {' '.join(cases)} ELSE 'multi' END"))
-    return rows.select(F.col("id").alias("sample_id"), "category", F.expr(f"concat(array(1), {body}, array(2))").alias("token_ids"))
+    rows = keys.select(F.col(key).alias("sample_id")).filter("sample_id IS NOT NULL").withColumn("r", F.expr(u(0)))
+    rows = rows.withColumn("category", F.expr(f"CASE {' '.join(cases)} ELSE 'multi' END"))
+    return rows.select("sample_id", "category", F.expr(f"concat(array(1), {body}, array(2))").alias("token_ids"))
+
+
+def synthetic(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    """sample_id, category, token_ids of n drawings, each from hashes of its own number: any split gives the same rows."""
+    return synthetic_for(spark.range(n), "id", seed)

@@ -780,12 +780,6 @@ def m8(spark, d):
     return rows.select("vec_id", F.round(F.expr(mldata.cosine("a", "b")), 6).alias("cosine"))
 
 
-@query("m1_synthetic")
-def m1(spark, d):
-    rows = mldata.synthetic(spark, 1000)
-    return rows.select("sample_id", "category", F.expr(TEXT).alias("t"), F.expr(f"({grammar.validated('token_ids')}).valid").alias("valid"))
-
-
 @query("m13_nucleus", "WITH p AS (SELECT user_id, event_id, value / sum(value) OVER (PARTITION BY user_id) AS p FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, event_id) AS r FROM p), m AS (SELECT *, p / sum(p) OVER (PARTITION BY user_id) AS q FROM k WHERE r <= 5), c AS (SELECT *, sum(q) OVER (PARTITION BY user_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM m) SELECT user_id, event_id FROM c WHERE coalesce(c, 0) < 0.8")
 def m13(spark, d):
     e = fx.table(spark, d, "events")
