@@ -205,11 +205,11 @@ def category(t: str = "token_ids") -> str:
 
 
 def generation(samples: DataFrame) -> DataFrame:
-    """One row of quality figures of samples (token_ids, is_valid)."""
+    """One row of quality figures of samples (token_ids, is_valid); without samples they are null."""
     uniq = "IF(size(token_ids) > 0, size(array_distinct(token_ids)) / cast(size(token_ids) AS DOUBLE), NULL)"
     return samples.agg(
         F.count("*").alias("n_samples"), F.round(F.avg(F.col("is_valid").cast("double")), 6).alias("valid_svg_rate"), F.round(F.avg(F.expr(structure_score())), 6).alias("structural_score"),
-        F.round((F.countDistinct("token_ids") / F.count("*") + F.coalesce(F.avg(F.expr(uniq)), F.lit(0.0))) / 2, 6).alias("diversity_score"), F.round(F.avg(F.expr(geometry_score())), 6).alias("geometric_score"),
+        F.round((F.try_divide(F.countDistinct("token_ids"), F.count("*")) + F.coalesce(F.avg(F.expr(uniq)), F.lit(0.0))) / 2, 6).alias("diversity_score"), F.round(F.avg(F.expr(geometry_score())), 6).alias("geometric_score"),
         F.round(F.avg(F.size("token_ids")), 6).alias("avg_token_length"), F.min(F.size("token_ids")).alias("min_token_length"), F.max(F.size("token_ids")).alias("max_token_length"),
     )
 

@@ -140,6 +140,48 @@ def v8(spark, d):
     return spark.createDataFrame(out, "job string, cancelled boolean, status string, code string")
 
 
+@contextlib.contextmanager
+def receiver(spark, status: int):
+    """A server of the driver's that answers every post with status: its address, and what it was sent."""
+    sent: list[dict] = []
+
+    class Posts(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            sent.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(status)
+            self.send_header("Content-Length", "0")
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    host = spark.conf.get("spark.driver.host")
+    server = http.server.ThreadingHTTPServer((host, 0), Posts)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        yield f"http://{host}:{server.server_port}/done", sent
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+@query(
+    "s13_webhooks",
+    f"WITH {_COUNTS} SELECT r AS receiver, 'partial' AS status, 1 AS n_posts, 'partial' AS posted_status, n AS posted_done, n_ok, n_failed FROM c, (VALUES ('answers'), ('fails')) v(r)",
+)
+def s13(spark, d):
+    """A job over a file named with its scheme tells a receiver how it ended; one that fails changes nothing."""
+    folder, out = shared.scratch(spark, "jobs"), []
+    service.write_ndjson(batch_items(spark, d), f"{folder}/in")
+    uri = f"file://{folder}/in" if folder.startswith("/") else f"{folder}/in"
+    for name, answer in (("answers", 200), ("fails", 500)):
+        with receiver(spark, answer) as (url, sent):
+            jobs = service.Jobs(spark, folder, webhook=service.post_to(url))
+            view = jobs.wait(jobs.submit(input_uri=uri, op="tokenize", lean=True))
+        out.append((name, view["status"], len(sent), sent[0]["status"], sent[0]["done"], sent[0]["n_ok"], sent[0]["n_failed"]))
+    return spark.createDataFrame(out, "receiver string, status string, n_posts int, posted_status string, posted_done long, n_ok long, n_failed long")
+
+
 class Watched(service.MemoryStore):
     """Keeps how much was done in each state of a running job, and hands a state to a caller."""
 

@@ -188,6 +188,9 @@ def test_training_data(spark):
     s = mldata.synthetic(spark, 300)
     assert s.collect() == mldata.synthetic(spark, 300).repartition(7).orderBy("sample_id").collect()
     assert {r.category for r in s.collect()} == {k for k, _ in mldata.KINDS}
+    keyed = mldata.synthetic_for(spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("", 4)], "k string, r int"), "k").collect()
+    assert sorted(r.sample_id for r in keyed) == ["", "a", "a"] and len({(r.sample_id, tuple(r.token_ids)) for r in keyed}) == 2
+    assert mldata.synthetic(spark, 300, seed=7).subtract(s).count() > 290
     c = mldata.collate(streams(spark, [[1, 10, 1595, 2], [1, 2]]).withColumn("b", F.lit(0)), "b").orderBy("doc_id").collect()
     assert list(c[0].input_ids) == [1, 10, 1595] and list(c[0].target_ids) == [10, 1595, 2] and list(c[1].input_ids) == [1, 0, 0] and list(c[1].attention_mask) == [1, 0, 0]
     v = spark.range(1).select(F.expr(mldata.spatial("0.3D", "0.7D", 8)).alias("v")).first().v
@@ -215,3 +218,12 @@ def test_corpus_of_files(spark, tmp_path):
 
 def test_parameter_estimate():
     assert mldata.parameters(10, 4, 2, 3, 8, 1) == 40 + 14 + 18 + 6 + 36 + (64 + 64 + 8) + 40
+
+
+def test_report(spark):
+    rows = streams(spark, [[1, 20, 1595, 2000, 2], [1, 22, 1595, 2000, 2000, 2], [1, 20, 1600, 2000, 2], [1, 2]]).withColumn("is_valid", F.lit(True))
+    text = [r.text for r in evaluation.report(rows).orderBy("line").collect()]
+    assert text[0].split() == ["samples", "4"] and text[6].split() == ["lengths", "2", "to", "6"] and text[1].endswith("100.0%")
+    assert [t.split()[0] for t in text[7:]] == ["circle", "rect", "unknown"] and text[7].endswith("2 (50.0%)")
+    none = [r.text for r in evaluation.report(rows.limit(0)).orderBy("line").collect()]
+    assert len(none) == 7 and none[0].split() == ["samples", "0"]
