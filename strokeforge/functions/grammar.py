@@ -94,7 +94,30 @@ def repaired(tokens: str) -> str:
     return f"concat(array(1), {scan(tokens, t, struct(init), 'struct<pending:int,state:int,path:boolean,held:array<int>,stop:boolean>', 'int', step)}, array(2))"
 
 
+#: A state of each kind (pending, state, path): states of one kind admit the same ids.
+KINDS = [(1, 1, "true"), (0, 2, "true"), (0, 3, "true"), (0, 0, "false")]
+
+
+def kind(s: str = "s") -> str:
+    """The place in KINDS of a state: an argument pending, after a path's command, after a continuity token, any other."""
+    return f"CASE WHEN {s}.pending > 0 THEN 0 WHEN {s}.state = 2 AND {s}.path THEN 1 WHEN {s}.state = 3 THEN 2 ELSE 3 END"
+
+
+def kinds() -> str:
+    """The states of KINDS, as an array."""
+    return "array(" + ", ".join(struct(dict(zip(START, map(str, k), strict=True))) for k in KINDS) + ")"
+
+
+def reached(tokens: str) -> str:
+    """The state after a prefix that begins with BOS."""
+    return f"aggregate(slice({tokens}, 2, greatest(size({tokens}) - 1, 0)), {struct(START)}, (s, t) -> {struct(advance('t'))})"
+
+
+def masked(state: str, size: int = ids.VOCAB) -> str:
+    """Whether each id may follow in a state."""
+    return f"element_at(transform(array({state}), s -> transform(sequence(0, {size - 1}), v -> {allowed('v')})), 1)"
+
+
 def mask(tokens: str, size: int = ids.VOCAB) -> str:
     """Whether each id may follow a prefix that begins with BOS."""
-    fold = f"aggregate(slice({tokens}, 2, greatest(size({tokens}) - 1, 0)), {struct(START)}, (s, t) -> {struct(advance('t'))})"
-    return f"element_at(transform(array({fold}), s -> transform(sequence(0, {size - 1}), v -> {allowed('v')})), 1)"
+    return masked(reached(tokens), size)

@@ -15,7 +15,7 @@ far are repaired first; null prompts stay null.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grammar, ids
@@ -39,7 +39,20 @@ def weights(streams: DataFrame, tokens: str = "token_ids") -> DataFrame:
 
 def state(tokens: str) -> str:
     """SQL: the grammar's state after a prompt that begins with BOS."""
-    return f"aggregate(slice({tokens}, 2, greatest(size({tokens}) - 1, 0)), {grammar.struct(grammar.START)}, (s, t) -> {grammar.struct(grammar.advance('t'))})"
+    return grammar.reached(tokens)
+
+
+def masks(spark: SparkSession, size: int = ids.VOCAB) -> DataFrame:
+    """kind, mask, n_allowed: what the states of each kind admit."""
+    rows = spark.range(1).select(F.posexplode(F.expr(grammar.kinds())).alias("kind", "s"))
+    return rows.select("kind", F.expr(grammar.masked("s", size)).alias("mask")).withColumn("n_allowed", F.expr("size(filter(mask, v -> v))"))
+
+
+def with_n_allowed(df: DataFrame, tokens: str, name: str = "n_allowed") -> DataFrame:
+    """df with the number of ids that may follow a prefix that begins with BOS; masks are made once for each kind of state."""
+    rows = df.withColumn("_kind", F.expr(f"element_at(transform(array({grammar.reached(tokens)}), s -> {grammar.kind()}), 1)"))
+    counts = masks(df.sparkSession).select(F.col("kind").alias("_kind"), F.col("n_allowed").alias(name))
+    return rows.join(F.broadcast(counts), "_kind").drop("_kind")
 
 
 def kept(choices: str, state_: str, top_k: int, top_p: float) -> str:

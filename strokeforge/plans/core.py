@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import curves, decode, grammar, ids, path, relations, shapes, tokens
-from ..operators import bpe, codec, evaluation, manifest, mldata, quadtree, service
+from ..operators import bpe, codec, evaluation, manifest, mldata, quadtree, sampling, service
 from ..sources import svg as source
 from . import fixtures as fx
 from .registry import query
@@ -517,7 +517,7 @@ def a3(spark, d):
 def a3_streams(spark, d):
     """What may follow a prefix of every order's stream."""
     rows = fx.streams(spark, d).withColumn("size", F.expr("cast(1 + doc_id % (size(token_ids) - 1) AS INT)")).withColumn("t", F.expr("slice(token_ids, 1, size)"))
-    return rows.select("doc_id", "size", F.expr(f"size(filter({grammar.mask('t')}, v -> v))").alias("n_allowed"))
+    return sampling.with_n_allowed(rows.select("doc_id", "size", "t"), "t").select("doc_id", "size", "n_allowed")
 
 
 @query("k1_segments", f"WITH {LINES} SELECT doc_id, (n - 1)::INT AS seg, CASE WHEN n = 1 THEN 10 ELSE 11 END AS command, {d_id('x', 'y')} AS coord FROM l")

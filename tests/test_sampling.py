@@ -44,3 +44,13 @@ def test_null_prompts_and_no_streams(spark, corpus):
     out = sampling.generate(spark.createDataFrame([(1, None), (2, [1, 14])], SCHEMA), corpus.limit(0), "k", 8).collect()
     got = {r["k"]: r["token_ids"] for r in out}
     assert got[1] is None and got[2][:2] == [1, 14] and len(got[2]) == 6 and got[2][-1] == 2
+
+
+def test_masks_are_made_by_kind_of_state_not_by_row(spark):
+    prefixes = [[1], [1, 10], [1, 10, 140], [1, 10, 140, 31], [1, 10, 140, 42], [1, 20, 140, 2000], [1, 17], [1, 60], [1, 66], []]
+    df = spark.createDataFrame(list(enumerate(prefixes)), SCHEMA)
+    got = sampling.with_n_allowed(df, "token_ids")
+    want = {r.k: r.n for r in df.select("k", F.expr(f"size(filter({grammar.mask('token_ids')}, v -> v))").alias("n")).collect()}
+    assert {r.k: r.n_allowed for r in got.collect()} == want
+    # One mask a kind, whatever the number of rows: the masks come from a table of as many rows.
+    assert sorted(r.n_allowed for r in sampling.masks(spark).collect()) == [25, 41, 45, 5461]
