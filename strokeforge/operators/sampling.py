@@ -5,8 +5,9 @@ the grammar's state admits the TOP_K most frequent are kept, of these the fewest
 share TOP_P, and one is drawn in proportion to its weight: that of the least -ln(u) / weight,
 with u from the MD5 of seed, key, place and token, so that reruns agree and no order matters.
 
-A step joins each prompt with the weights of its last token: one row a token, at most as many
-as the vocabulary. They are broadcast up to BROADCAST pairs, else shuffled.
+What may be drawn depends on the last token and the kind of state only, so it is chosen once for
+each of these, not for each prompt: a step joins prompts with a table of at most TOP_K choices a
+row, a row for each token and kind. It is broadcast up to BROADCAST choices, else shuffled.
 
 Defined results: where no weighed token is admitted, a pending argument takes a coordinate by
 hash, anything else ends the stream; streams that have ended stay; prompts that aren't valid so
@@ -72,12 +73,23 @@ def drawn(choices: str, key: str, place: str, seed: int) -> str:
     return f"array_min(transform({choices}, c -> named_struct('e', -ln({uniform(str(seed), key, place, 'c.t')}) / c.w, 't', c.t))).t"
 
 
+def choices(weighed: DataFrame, top_k: int = TOP_K, top_p: float = TOP_P) -> DataFrame:
+    """last, kind, kept: what may be drawn after a token in states of a kind; weighed is what weights() gives."""
+    rows = weighed.select("last", "next", F.posexplode(F.expr(grammar.kinds())).alias("kind", "_state"))
+    return rows.select("last", "kind", F.expr(kept("next", "_state", top_k, top_p)).alias("kept")).filter("size(kept) > 0")
+
+
 def step(prompts: DataFrame, weighed: DataFrame, key: str, seed: int = 0, top_k: int = TOP_K, top_p: float = TOP_P, small: bool = True) -> DataFrame:
     """prompts (key, token_ids, _state) with one more token, and the state after it."""
-    told = weighed.select(F.col("last").alias("_last"), F.col("next").alias("_next"))
-    rows = prompts.withColumn("_last", F.expr("get(token_ids, size(token_ids) - 1)")).join(F.broadcast(told) if small else told, "_last", "left")
+    return drawn_step(prompts, choices(weighed, top_k, top_p), key, seed, small)
+
+
+def drawn_step(prompts: DataFrame, chosen: DataFrame, key: str, seed: int, small: bool) -> DataFrame:
+    """step() over what choices() gives."""
+    told = chosen.select(F.col("last").alias("_last"), F.col("kind").alias("_kind"), F.col("kept").alias("_kept"))
+    rows = prompts.withColumns({"_last": F.expr("get(token_ids, size(token_ids) - 1)"), "_kind": F.expr(grammar.kind("_state"))})
+    rows = rows.join(F.broadcast(told) if small else told, ["_last", "_kind"], "left").withColumn("_kept", F.expr(f"coalesce(_kept, cast(array() AS {NEXT}))"))
     place = "size(token_ids)"
-    rows = rows.withColumn("_kept", F.expr(kept(f"coalesce(_next, cast(array() AS {NEXT}))", "_state", top_k, top_p)))
     other = f"IF(_state.pending > 0, {ids.BASE} + cast(floor({uniform(str(seed), key, place)} * {ids.VOCAB - ids.BASE}) AS INT), 2)"
     rows = rows.withColumn("_t", F.expr(f"IF(token_ids IS NULL OR _last = 2, NULL, coalesce({drawn('_kept', key, place, seed)}, {other}))"))
     moved = f"element_at(transform(array(named_struct('s', _state, 't', _t)), z -> {grammar.struct(grammar.advance('z.t', 'z.s'))}), 1)"
@@ -87,14 +99,14 @@ def step(prompts: DataFrame, weighed: DataFrame, key: str, seed: int = 0, top_k:
 
 def generate(prompts: DataFrame, streams: DataFrame, key: str, steps: int = 64, seed: int = 0, top_k: int = TOP_K, top_p: float = TOP_P) -> DataFrame:
     """prompts (key, token_ids from BOS on) completed as streams do, each by steps tokens at most; every one is valid."""
-    weighed = materialize(weights(streams), "sampling")
-    small = (weighed.agg(F.sum(F.size("next"))).first()[0] or 0) <= BROADCAST
+    chosen = materialize(choices(weights(streams), top_k, top_p), "sampling")
+    small = (chosen.agg(F.sum(F.size("kept"))).first()[0] or 0) <= BROADCAST
     open_ = f"slice({grammar.repaired('token_ids')}, 1, size({grammar.repaired('token_ids')}) - 1)"
     # A prompt that is cut within a command is one that repair would shorten: it is kept if all that it holds is admitted.
     fine = f"aggregate(slice(token_ids, 2, greatest(size(token_ids) - 1, 0)), named_struct('ok', get(token_ids, 0) = 1, 's', {grammar.struct(grammar.START)}), (z, t) -> named_struct('ok', z.ok AND {grammar.allowed('t', 'z.s')}, 's', {grammar.struct(grammar.advance('t', 'z.s'))}), z -> z.ok)"
     rows = prompts.withColumn("token_ids", F.expr(f"IF(token_ids IS NULL, NULL, IF(coalesce({fine}, false), token_ids, {open_}))")).withColumn("_state", F.expr(state("token_ids")))
     for i in range(steps):
-        rows = step(rows, weighed, key, seed, top_k, top_p, small)
+        rows = drawn_step(rows, chosen, key, seed, small)
         if (i + 1) % CUT == 0:
             rows = materialize(rows, "sampled")
     # What is still open after the last step is cut back to whole groups and closed.

@@ -54,3 +54,12 @@ def test_masks_are_made_by_kind_of_state_not_by_row(spark):
     assert {r.k: r.n_allowed for r in got.collect()} == want
     # One mask a kind, whatever the number of rows: the masks come from a table of as many rows.
     assert sorted(r.n_allowed for r in sampling.masks(spark).collect()) == [25, 41, 45, 5461]
+
+
+def test_what_may_be_drawn_is_chosen_once_for_each_token_and_kind(spark, corpus):
+    weighed = sampling.weights(corpus)
+    got = {(r["last"], r["kind"]): r["kept"] for r in sampling.choices(weighed, 5, 0.8).collect()}
+    states = F.expr(grammar.kinds())
+    rows = weighed.select("last", "next", F.posexplode(states).alias("kind", "_state"))
+    want = {(r["last"], r["kind"]): r["kept"] for r in rows.select("last", "kind", F.expr(sampling.kept("next", "_state", 5, 0.8)).alias("kept")).collect()}
+    assert got == {k: v for k, v in want.items() if v} and max(map(len, got.values())) <= 5
