@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,13 +175,29 @@ def ssim_pair(a: np.ndarray, b: np.ndarray, win: int = 7) -> float:
     return float(np.clip(score.mean(), -1.0, 1.0))
 
 
+#: Images that are compared at a time.
+STACK = 512
+
+
+def _stack(column: pa.Array, side: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, side, side)
+
+
+def similar(x: pa.Array, y: pa.Array, side: int) -> list[float | None]:
+    """The similarity of images by place: square ones are compared as stacks; null ones, or of another size, one by one."""
+    square = pc.fill_null(pc.and_(*(pc.equal(pc.list_value_length(v), side * side) for v in (x, y))), False)
+    if pc.all(square).as_py() and not x.flatten().null_count and not y.flatten().null_count:
+        return render.ssim(_stack(x, side), _stack(y, side)).tolist()
+    image = lambda v: np.reshape(v, (side, -1)).astype(float)
+    return [None if u is None or v is None else ssim_pair(image(u), image(v)) for u, v in zip(x.to_pylist(), y.to_pylist(), strict=True)]
+
+
 def with_ssim(df: DataFrame, a: str, b: str, side: int, name: str = "ssim") -> DataFrame:
     """df with the similarity of two columns of side * side grey values."""
 
     @F.arrow_udf("double")
     def similarity(x: pa.Array, y: pa.Array) -> pa.Array:
-        image = lambda v: np.reshape(v, (side, -1)).astype(float)
-        return pa.array([None if u is None or v is None else ssim_pair(image(u), image(v)) for u, v in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
+        return pa.array([v for at in range(0, len(x), STACK) for v in similar(x.slice(at, STACK), y.slice(at, STACK), side)], pa.float64())
 
     return df.withColumn(name, similarity(a, b))
 

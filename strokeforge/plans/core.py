@@ -665,7 +665,7 @@ _SSIM = (
 
 @query("e5_ssim", f"{_SSIM} SELECT event_id, round(least(1, greatest(-1, s)), 6) AS ssim FROM events JOIN s ON e = event_id % 34")
 def e5(spark, d):
-    rows = fx.table(spark, d, "events").select("event_id", F.expr("transform(sequence(0, 255), i -> pmod(i * 3 + event_id, 17) / 16D)").alias("a"), F.expr("transform(sequence(0, 255), i -> pmod(i * 3 + event_id + event_id % 2, 17) / 16D)").alias("b"))
+    rows = fx.spread(fx.table(spark, d, "events")).select("event_id", F.expr("transform(sequence(0, 255), i -> pmod(i * 3 + event_id, 17) / 16D)").alias("a"), F.expr("transform(sequence(0, 255), i -> pmod(i * 3 + event_id + event_id % 2, 17) / 16D)").alias("b"))
     return evaluation.with_ssim(rows, "a", "b", 16).select("event_id", F.round("ssim", 6).alias("ssim"))
 
 
