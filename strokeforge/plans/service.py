@@ -430,18 +430,26 @@ def unsteady_server(spark):
     """A tokenizer on the driver's host that makes every drawing a point, puts every third off at first, and refuses every fifth."""
     asked, lock = set(), threading.Lock()
 
+    def answered(given: dict) -> tuple[int, dict]:
+        if "token_ids" in given:
+            return 200, {"svg": '<svg><path d="M1 1"/></svg>'}
+        number = int(given["svg"].partition('id="g')[2].partition('"')[0])
+        if number % 5 == 0:
+            return 400, {}
+        if number % 3 == 0:
+            with lock:
+                first = number not in asked
+                # Those that came again need not be known any longer.
+                (asked.add if first else asked.discard)(number)
+            if first:
+                return 503, {}
+        return 200, {"token_ids": [number]}
+
     class Answers(http.server.BaseHTTPRequestHandler):
         def do_POST(self):  # noqa: N802
             given = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
-            if self.path == "/detokenize":
-                return self.answer(200, {"svg": '<svg><path d="M1 1"/></svg>'})
-            number = int(given["svg"].partition('id="g')[2].partition('"')[0])
-            with lock:
-                first = number not in asked
-                asked.add(number)
-            if number % 5 == 0:
-                return self.answer(400, {})
-            return self.answer(503, {}) if first and number % 3 == 0 else self.answer(200, {"token_ids": [number]})
+            each = [answered(g) for g in given["items"]]
+            self.answer(200, {"items": [what if status == 200 else {"status": status} for status, what in each]})
 
         def answer(self, status, what):
             body = json.dumps(what).encode()
@@ -458,7 +466,7 @@ def unsteady_server(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     try:
         at = f"http://{host}:{server.server_port}"
-        yield remote.Remote(f"{at}/tokenize", f"{at}/detokenize", pause=0.01)
+        yield remote.Remote(f"{at}/tokenize", f"{at}/detokenize", pause=0.01, batch=256)
     finally:
         server.shutdown()
         server.server_close()

@@ -119,3 +119,51 @@ def test_an_item_of_an_id_is_given_once(spark, tmp_path):
     (tmp_path / "in" / "b.json").write_text(line("b") + "\n" + line("c") + "\n{bad\n")
     again = run()
     assert sorted(r[0] for r in again if r[0]) == ["a", "b", "c"] and len(again) == 6
+
+
+def test_documents_are_asked_for_many_at_once(spark):
+    calls, asked = [], set()
+
+    class Many(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            items = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["items"]
+            calls.append(len(items))
+            out = []
+            for i in items:
+                svg = i.get("svg")
+                if svg is None:
+                    out.append({"svg": f"d{i['token_ids'][0]}"} if i["token_ids"] != [4] else {"svg": 4})
+                elif svg == "bad":
+                    out.append({"status": 400})
+                elif svg == "odd":
+                    out.append({"token_ids": ["x"]})
+                elif svg == "later" and "later" not in asked:
+                    asked.add("later")
+                    out.append({"status": 503})
+                elif svg == "never":
+                    out.append({"status": 503})
+                else:
+                    out.append({"token_ids": [len(svg)]})
+            body = json.dumps({"items": out}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Many)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{server.server_port}"
+        given = ["a", "bad", "odd", "later", "never", None, "four"] + ["x" * 7] * 93
+        df = spark.createDataFrame(list(enumerate(given)), "id int, svg string").coalesce(1)
+        got = {r.id: (r.token_ids, r.decoded, r.error) for r in remote.round_trip(df, remote.Remote(at, at, attempts=3, pause=0.01, batch=50)).collect()}
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert [got[i] for i in range(7)] == [([1], "d1", None), (None, None, "HTTP 400"), (None, None, "unlike an answer: ValueError"), ([5], "d5", None), (None, None, "HTTP 503"), (None, None, None), ([4], None, "unlike an answer: TypeError")]
+    assert all(got[i] == ([7], "d7", None) for i in range(7, 100))
+    # Two requests for fifty, and two more of what was put off.
+    assert len(calls) == 6 and max(calls) == 50
