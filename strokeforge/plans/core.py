@@ -180,7 +180,7 @@ _SPLIT = (
 @query("q4_split_nodes", f"WITH {_SPLIT} SELECT vec_id, count(*)::INT AS n_nodes, sum(l * 4096 + y * 64 + x)::BIGINT AS codes FROM h GROUP BY vec_id")
 def q4(spark, d):
     rows = segment_rows(spark, d).withColumn("c", F.col("kmax") * F.col("len"))
-    s = quadtree.splits(quadtree.complexity(rows, "vec_id"), "vec_id")
+    s = quadtree.nodes(rows, "vec_id")
     return s.select("vec_id", F.size("nodes").alias("n_nodes"), F.expr("aggregate(nodes, 0L, (a, v) -> a + v)").alias("codes"))
 
 
@@ -193,7 +193,7 @@ _LEAF = (
 
 def leaves(spark, d):
     rows = segment_rows(spark, d).withColumn("c", F.col("kmax") * F.col("len"))
-    s = quadtree.splits(quadtree.complexity(rows, "vec_id"), "vec_id")
+    s = quadtree.nodes(rows, "vec_id")
     pts = fx.cubics(spark, d).select("vec_id", F.posexplode(F.expr("transform(filter(cmds, k -> k.c = 'C'), k -> named_struct('x', k.sx, 'y', k.sy))")).alias("i", "p"))
     joined = pts.join(s, "vec_id", "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<int>")))
     return joined.select("vec_id", "i", F.expr(quadtree.leaf_level("p.x", "p.y")).alias("level"))
@@ -825,7 +825,7 @@ _DEEP = lambda v: f"least(floor({v} / (300::DOUBLE / pow(2, level)))::INT, pow(2
 @query("t5_adaptive_tokens", f"WITH {_LEAF} SELECT vec_id, string_agg('11,' || (100 + (pow(4, level)::INT - 1) // 3 + {_DEEP('py')} * pow(2, level)::INT + {_DEEP('px')}), ',' ORDER BY i) AS t FROM leaf JOIN o USING (vec_id, i) GROUP BY vec_id")
 def t5(spark, d):
     rows = segment_rows(spark, d).withColumn("c", F.col("kmax") * F.col("len"))
-    s = quadtree.splits(quadtree.complexity(rows, "vec_id"), "vec_id")
+    s = quadtree.nodes(rows, "vec_id")
     lines = fx.cubics(spark, d).join(s, "vec_id", "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<int>")))
     start = "transform(filter(cmds, k -> k.c = 'C'), k -> named_struct('c', 'L', 'p', array(k.sx, k.sy), 'sx', k.sx, 'sy', k.sy, 'ex', k.sx, 'ey', k.sy))"
     rows = lines.withColumn("starts", F.expr(start)).withColumn("token_ids", F.expr(tokens.adaptive("starts", "nodes")))
