@@ -7,7 +7,7 @@ a command or shape, 3 after a continuity token; and whether the last group is a
 from __future__ import annotations
 
 from . import ids
-from .sqlgen import scan
+from .sqlgen import let, scan
 
 # Coordinates that follow each id.
 COMMAND_ARGS = {10: 1, 11: 1, 12: 1, 13: 1, 14: 3, 15: 2, 16: 2, 17: 0}
@@ -56,23 +56,19 @@ def validated(tokens: str) -> str:
     """STRUCT<valid, position, reason>: the first violation, position -1 if there is none."""
     t, n = "t", f"size({tokens})"
     names = "CASE s.state WHEN 0 THEN 'boundary' WHEN 1 THEN 'args' WHEN 2 THEN 'post' ELSE 'curv' END"
-    stop = "s.done"
     why = (
         f"CASE WHEN {t} = 1 THEN 'unexpected BOS' WHEN {t} = 2 AND s.pending > 0 THEN 'EOS while args pending' WHEN {t} = 2 AND s.i <> s.n - 1 THEN 'tokens after EOS' "
         f"WHEN {t} = 2 THEN '' WHEN NOT ({allowed(t)}) THEN concat('token ', {t}, ' not allowed in state (pending=', s.pending, ',state=', {names}, ')') END"
     )
-    nxt = advance(t)
-    step = {k: f"IF({stop}, s.{k}, {v})" for k, v in nxt.items()} | {
-        "i": "s.i + 1", "n": "s.n", "done": f"{stop} OR ({why}) IS NOT NULL",
-        "at": f"IF({stop}, s.at, IF(({why}) = '', -1, s.i))", "why": f"IF({stop}, s.why, ({why}))",
-    }
+    found = struct(advance(t) | {"i": "s.i + 1", "n": "s.n", "done": "w IS NOT NULL", "at": "IF(w = '', -1, s.i)", "why": "w"})
+    step = f"IF(s.done, s, {let({'w': why}, found, 'struct<pending:int,state:int,path:boolean,i:int,n:int,done:boolean,at:int,why:string>')})"
     init = START | {"i": "1", "n": n, "done": "false", "at": "0", "why": "cast(NULL AS STRING)"}
     end = (
         "named_struct('valid', s.done AND s.why = '', 'position', IF(s.done, s.at, s.n - 1), 'reason', "
         "CASE WHEN s.done THEN s.why WHEN s.pending > 0 THEN 'stream ends mid-argument' ELSE 'missing EOS' END)"
     )
     bad = lambda why: f"named_struct('valid', false, 'position', 0, 'reason', '{why}')"
-    fold = f"aggregate(slice({tokens}, 2, greatest({n} - 1, 0)), {struct(init)}, (s, t) -> {struct(step)}, s -> {end})"
+    fold = f"aggregate(slice({tokens}, 2, greatest({n} - 1, 0)), {struct(init)}, (s, t) -> {step}, s -> {end})"
     return f"CASE WHEN {n} = 0 THEN {bad('empty stream')} WHEN {tokens}[0] <> 1 THEN {bad('missing BOS')} ELSE {fold} END"
 
 

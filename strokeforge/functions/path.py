@@ -65,7 +65,11 @@ def resolved(chunks: str) -> str:
         )
 
     start = "named_struct('x', 0D, 'y', 0D, 'mx', 0D, 'my', 0D, 'kx', cast(NULL AS DOUBLE), 'ky', cast(NULL AS DOUBLE))"
-    return scan(chunks, "t", start, state, COMMANDS[6:-1], step)
+    # Absolute commands that end at their last two numbers need no state: each starts where the one before it ends.
+    at = lambda k, n: f"0D + {k}.p[size({k}.p) - {n}]"
+    before = lambda n: f"IF(i = 0, 0D, {at('cs[i - 1]', n)})"
+    plain = f"transform(cs, (t, i) -> named_struct('c', t.c, 'p', transform(t.p, v -> 0D + v), 'sx', {before(2)}, 'sy', {before(1)}, 'ex', {at('t', 2)}, 'ey', {at('t', 1)}))"
+    return let({"cs": chunks}, f"IF(forall(cs, t -> t.c IN ('M', 'L', 'C', 'Q')), {plain}, {scan('cs', 't', start, state, COMMANDS[6:-1], step)})", COMMANDS)
 
 
 def parsed(d: str) -> str:

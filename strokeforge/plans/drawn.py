@@ -16,7 +16,7 @@ from .registry import query
 
 def parts(spark: SparkSession, d: str, **columns: str) -> DataFrame:
     """The numbers of each part's drawing with columns of SQL text."""
-    p = fx.table(spark, d, "part").selectExpr(*[f"cast({v} AS INT) AS {n}" for n, v in fx.PART.items()])
+    p = fx.spread(fx.table(spark, d, "part")).selectExpr(*[f"cast({v} AS INT) AS {n}" for n, v in fx.PART.items()])
     return p.withColumn("doc_id", F.col("k").cast("long")).withColumns({n: F.expr(v) for n, v in columns.items()})
 
 

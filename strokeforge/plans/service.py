@@ -287,7 +287,7 @@ _FILES = f"WITH {PART}, f AS (SELECT k::BIGINT AS doc_id, CASE WHEN k % 5 = 0 TH
 def small_drawings(spark: SparkSession, d: str) -> DataFrame:
     """doc_id and svg of each part, every fifth broken."""
     svg = "IF(k % 5 = 0, '<svg><rect', concat('<svg><path d=\"M', x, ' ', y, 'L', cx, ' ', cy, '\"/>\n</svg>'))"
-    return fx.spread(parts(spark, d, svg=svg).select("doc_id", "svg"))
+    return parts(spark, d, svg=svg).select("doc_id", "svg")
 
 
 def folder_of(spark: SparkSession, d: str) -> str:

@@ -72,3 +72,37 @@ def test_points_beyond_the_canvas_count(spark):
     points = [(r.x, r.y) for r in fx.points(spark, DIR).collect()]
     e, q = errors(points, float), core.QUERIES["q11_fidelity"](spark, DIR).first()
     assert q.n_points == len(points) and q.max_error == pytest.approx(max(e), abs=1e-5) and not q.within_bound
+
+
+def test_parts_are_dealt_to_all_cores(spark):
+    """One small file of parts is much work: queries over them ran in one task."""
+    from strokeforge.plans import drawn
+
+    cores = spark.sparkContext.defaultParallelism
+    assert drawn.parts(spark, DIR, svg="'<svg/>'").rdd.getNumPartitions() >= cores
+    assert drawn.documents(spark, DIR).rdd.getNumPartitions() >= cores
+
+
+def test_absolute_commands_need_no_state(spark):
+    """Paths of M, L, C and Q alone are made without a fold, as the fold makes them."""
+    from strokeforge.functions import path
+
+    texts = [("M1 2L-0 4C1 1 2 2 3 3Q4 4 5 5M9 9 8 8",), ("",), ("L5 5",)]
+    rows = spark.createDataFrame(texts, "d string")
+    got = [r.p for r in rows.selectExpr(f"{path.parsed('d')} AS p").collect()]
+    folded = [r.p for r in rows.selectExpr(f"{path.parsed("concat(d, 'm0 0')")} AS p").collect()]
+    assert got == [p[:-1] for p in folded]
+    assert [(k.c, k.sx, k.ex) for k in got[0]] == [("M", 0, 1), ("L", 1, 0), ("C", 0, 3), ("Q", 3, 5), ("M", 5, 9), ("L", 9, 8)]
+
+
+def test_second_run_uses_all_cores(spark):
+    """What is dealt anew has more parts than there are cores."""
+    from strokeforge.operators import codec, evaluation
+
+    dealt, tokenize = [], codec.tokenize
+    try:
+        codec.tokenize = lambda df, *a, **k: dealt.append(df.rdd.getNumPartitions()) or tokenize(df, *a, **k)
+        evaluation.determinism(spark.createDataFrame([(i, "<svg><path d='M1 1L2 2'/></svg>") for i in range(3)], "doc_id long, svg string"))
+    finally:
+        codec.tokenize = tokenize
+    assert dealt[1] > spark.sparkContext.defaultParallelism and dealt[1] != dealt[0]
