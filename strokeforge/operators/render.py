@@ -27,7 +27,7 @@ from ..sources import svg as source
 from . import codec
 
 STEPS = 16
-PIXELS = 1 << 22
+PIXELS = 1 << 19
 #: Fixed values of the protocol: the side of images that are compared, and the stroke that both get.
 SIDE, STROKE = 256, 3.0
 #: Ink is what is darker than nine tenths of white.

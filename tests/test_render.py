@@ -81,3 +81,17 @@ def test_long_paths_are_scanned_in_blocks(spark):
     row = codec.detokenize(rows.select("token_ids", "tokenizer_version")).first()
     n = sum(2 if i % 3 else 3 for i in range(6000)) + 1
     assert rows.first()["n_commands"] == n and row["valid"] and row["svg"].count("Z") == 2000
+
+
+def test_a_slice_is_small_in_memory():
+    """What a slice of images takes at its fullest is bounded well below a worker's share."""
+    import tracemalloc
+
+    lines = pa.array([[0.0, 0.0, 300.0, 300.0, 300.0, 0.0, 0.0, 300.0]] * (render.PIXELS // 64**2), pa.list_(pa.float64()))
+    tracemalloc.start()
+    try:
+        images = render.rasterise(lines, 64, 5.0)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 100 << 20 and (images == images[0]).all()
