@@ -69,13 +69,13 @@ def length(samples: int = 2 * SAMPLES) -> str:
     return let({"pts": pts}, f"aggregate(sequence(1, {samples - 1}), 0D, (a, i) -> a + sqrt(power(pts[i].x - pts[i - 1].x, 2) + power(pts[i].y - pts[i - 1].y, 2)))")
 
 
-def segment(k: str = "k") -> str:
-    """The segment of a command; null for M and Z."""
+def segment(k: str = "k", measured: bool = True) -> str:
+    """The segment of a command; null for M and Z. Not measured: without length and mean, which cost as much as the rest."""
     s = lambda kmax, kmean, k0, k1, t0, t1, ln, straight: f"named_struct('kmax', {kmax}, 'kmean', {kmean}, 'k0', {k0}, 'k1', {k1}, 't0', {t0}, 't1', {t1}, 'len', {ln}, 'straight', {straight})"
-    ks = f"transform(sequence(0, {SAMPLES - 1}), i -> {curvature(f'(i / {SAMPLES - 1}D)')})"
+    ks = f"transform(transform(sequence(0, {SAMPLES - 1}), i -> i / {SAMPLES - 1}D), tt -> {curvature('tt')})"
     top = "array_max(transform(ks, z -> abs(z)))"
-    mean = f"aggregate(ks, 0D, (a, z) -> a + abs(z)) / {SAMPLES}"
-    curve = let(controls(k) | {"ks": ks, "top": top}, s("top", mean, "ks[0]", f"ks[{SAMPLES - 1}]", angle("0D"), angle("1D"), length(), f"{k}.c = 'C' AND top < {STRAIGHT!r}D"), SEGMENT)
+    mean = f"aggregate(ks, 0D, (a, z) -> a + abs(z)) / {SAMPLES}" if measured else "cast(NULL AS DOUBLE)"
+    curve = let(controls(k) | {"ks": ks, "top": top}, s("top", mean, "ks[0]", f"ks[{SAMPLES - 1}]", angle("0D"), angle("1D"), length() if measured else "cast(NULL AS DOUBLE)", f"{k}.c = 'C' AND top < {STRAIGHT!r}D"), SEGMENT)
     chord = {"ch": f"sqrt(power({k}.ex - {k}.sx, 2) + power({k}.ey - {k}.sy, 2))", "th": f"IF(ch < 1e-12, 0D, atan2({k}.ey - {k}.sy, {k}.ex - {k}.sx))"}
     line = let(chord, s("0D", "0D", "0D", "0D", "th", "th", "ch", "true"), SEGMENT)
     arc = let(chord | {"kap": f"IF({k}.p[0] < 1e-6 OR {k}.p[1] < 1e-6, 0D, 2D / ({k}.p[0] + {k}.p[1]))"}, s("kap", "kap", "kap", "kap", "th", "th", "ch * 1.2D", "false"), SEGMENT)
@@ -98,7 +98,7 @@ def continuity(px: str, py: str, pt: str, pk: str, x: str, y: str, t: str, k: st
     return f"CASE WHEN sqrt(power({px} - {x}, 2) + power({py} - {y}, 2)) > {th.g0!r}D THEN -1 WHEN {turn} > {th.g1!r}D THEN 0 WHEN {bent} THEN 1 ELSE 2 END"
 
 
-def analysed(cmds: str, th: Thresholds = Thresholds()) -> str:
+def analysed(cmds: str, th: Thresholds = Thresholds(), measured: bool = True) -> str:
     """Array of STRUCT<k: command, g: segment, level INT>: level is that of the junction with the drawn command before, null without one.
 
     A move ends the memory of what was drawn before; a close doesn't.
@@ -111,7 +111,7 @@ def analysed(cmds: str, th: Thresholds = Thresholds()) -> str:
         last = f"CASE WHEN u.k.c = 'M' THEN cast(NULL AS {pair}) WHEN u.g IS NULL THEN {s}.last ELSE u END"
         return f"named_struct('st', named_struct('last', {last}), 'out', array(named_struct('k', u.k, 'g', u.g, 'level', {level})))"
 
-    both = f"transform({cmds}, k -> named_struct('k', k, 'g', {segment('k')}))"
+    both = f"transform({cmds}, k -> named_struct('k', k, 'g', {segment('k', measured)}))"
     return scan(both, "u", f"named_struct('last', cast(NULL AS {pair}))", f"struct<last:{pair}>", f"struct<k:{kind},g:{SEGMENT},level:int>", step)
 
 

@@ -24,7 +24,7 @@ def full(cmds: str, th: Thresholds = Thresholds(), level: int | str = ids.LEVEL,
     """The body of an element with continuity and curvature markers, in this order after the coordinates."""
     none = "cast(array() AS ARRAY<INT>)"
     markers = f"concat(IF(u.level IS NULL, {none}, array(31 + u.level)), IF(u.g IS NULL OR u.g.straight, {none}, array({ids.CURVATURE} + {curvature_bin('u.g.kmax')})))"
-    return f"flatten(transform({analysed(cmds, th)}, u -> concat(array({letter_id('u.k')}), {coords('u.k', level, canvas)}, {markers})))"
+    return f"flatten(transform({analysed(cmds, th, measured=False)}, u -> concat(array({letter_id('u.k')}), {coords('u.k', level, canvas)}, {markers})))"
 
 
 def bracketed(bodies: str) -> str:

@@ -203,3 +203,11 @@ def test_markers_do_not_change_what_is_decoded(spark):
     out = {r.d for r in df.select(F.expr(decode.document(decode.element_list("token_ids"))).alias("d")).collect()}
     assert len(docs[0]) > len(docs[1]) and len(out) == 1
     assert list(df.select(F.expr(tokens.lean_of("token_ids")).alias("t")).first().t) == docs[1]
+
+
+def test_tokens_are_made_without_measuring_segments():
+    """Curvature markers need neither the length nor the mean of a curve, each of which costs dozens of samples."""
+    from strokeforge.functions import curves, tokens
+
+    assert curves.length() in curves.analysed("elements[0]")
+    assert curves.length() not in tokens.full("elements[0]")
