@@ -309,8 +309,10 @@ def s12(spark, d):
     path, state, src = (shared.scratch(spark, label) for label in ("files", "files-state", "files-in"))
     rows = small_drawings(spark, d)
     for part in ("doc_id % 2 = 0", "doc_id % 2 = 1"):
-        rows.filter(part).write.mode("append").parquet(src)
-        files.stream_files(spark.readStream.schema("doc_id long, svg string").parquet(src), path, "doc_id", state).awaitTermination()
+        # Files and batches that do not grow with the table, so tasks do not either.
+        rows.filter(part).write.mode("append").option("maxRecordsPerFile", files.FILES).parquet(src)
+        stream = spark.readStream.schema("doc_id long, svg string").option("maxFilesPerTrigger", 4 * spark.sparkContext.defaultParallelism).parquet(src)
+        files.stream_files(stream, path, "doc_id", state).awaitTermination()
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.svg").load(path)
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"))
 

@@ -26,6 +26,8 @@ PARTITION_BYTES = 16 << 20
 #: What opening a file counts as, in bytes: many small files are few tasks, but not one.
 OPEN_COST = 64 << 10
 LONGEST_NAME = 200
+#: Files that one task writes: more documents are more tasks, not longer ones.
+FILES = 8192
 
 
 def _open(folder: str):
@@ -143,18 +145,27 @@ def read_files(spark: SparkSession, folder: str, partition_bytes: int = PARTITIO
     return spark.read.format("svg_files").option("partitionBytes", partition_bytes).load(folder)
 
 
+def dealt(df: DataFrame, n: int) -> DataFrame:
+    """df, of n rows, in parts of about FILES rows, if it has fewer parts than that takes."""
+    parts = -(-n // FILES)
+    return df.repartition(parts) if parts > df.rdd.getNumPartitions() else df
+
+
 def write_files(df: DataFrame, folder: str, key: str) -> None:
     """A file for each row of df, named by its key; equal keys are refused before anything is written."""
     register(df.sparkSession)
     named = df.select(F.col(key).cast("string").alias("name"), "svg")
-    twice = named.groupBy("name").count().filter("count > 1").first()
-    if twice:
-        raise EngineError("INVALID_REQUEST", f"several documents are named {twice['name']!r}")
-    named.write.format("svg_files").mode("append").save(folder)
+    names = named.groupBy("name").count().agg(F.sum("count").alias("n"), F.min(F.when(F.col("count") > 1, F.struct("name"))).alias("twice")).first()
+    if names["twice"]:
+        raise EngineError("INVALID_REQUEST", f"several documents are named {names['twice']['name']!r}")
+    dealt(named, names["n"] or 0).write.format("svg_files").mode("append").save(folder)
 
 
 def stream_files(df: DataFrame, folder: str, key: str, checkpoint: str):
-    """As write_files(), of a stream, until what is there is written; of equal keys the last one stays."""
+    """As write_files(), of a stream, until what is there is written; of equal keys the last one stays.
+
+    The source's own bounds (maxFilesPerTrigger, maxBytesPerTrigger) say how much a batch, and so a task, writes.
+    """
     register(df.sparkSession)
     named = df.select(F.col(key).cast("string").alias("name"), "svg")
     return named.writeStream.format("svg_files").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

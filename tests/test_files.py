@@ -51,3 +51,14 @@ def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
         stream = spark.readStream.schema("name string, svg string").parquet(str(tmp_path / "in"))
         files.stream_files(stream, str(tmp_path / "o"), "name", str(tmp_path / "state")).awaitTermination()
     assert {r.name: r.svg for r in files.read_files(spark, str(tmp_path / "o")).collect()} == {"a": "aab", "b": "bbc", "c": "cbc"}
+
+
+def test_more_documents_are_more_tasks(spark, tmp_path, monkeypatch):
+    """A task writes FILES files whatever their number, where it wrote all that its part of the input held."""
+    monkeypatch.setattr(files, "FILES", 10)
+    docs = spark.range(0, 35, 1, 1).selectExpr("cast(id AS STRING) AS name", "'<svg/>' AS svg")
+    sizes = [len(p) for p in files.dealt(docs, 35).rdd.glom().collect()]
+    assert len(sizes) == 4 and max(sizes) <= 10
+    assert files.dealt(docs, 10).rdd.getNumPartitions() == 1
+    files.write_files(docs, str(tmp_path / "o"), "name")
+    assert len(list((tmp_path / "o").glob("*.svg"))) == 35
