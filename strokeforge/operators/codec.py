@@ -123,7 +123,7 @@ def detokenize(df: DataFrame, merges: list | None = None, measure: bool = True)
 
 def decoded(rows: DataFrame, measure: bool = True, canvas: float | str = ids.CANVAS, level: int | str = ids.LEVEL) -> DataFrame:
     """rows, which have token_ids and _ids, the stream without merges, with svg, valid, repaired, fidelity."""
-    rows = rows.withColumn("valid", F.expr(f"({grammar.validated('_ids')}).valid"))
+    rows = rows.withColumn("valid", F.expr(grammar.is_valid("_ids")))
     rows = rows.withColumn("repaired", ~F.col("valid")).withColumn("_ids", F.expr(f"IF(valid, _ids, {grammar.repaired('_ids')})"))
     rows = detok.with_elements(rows, "_ids", "_elements", canvas, level)
     out = {"n_tokens": F.expr("size(token_ids)"), "svg": F.expr(decode.document("_elements", canvas))}
