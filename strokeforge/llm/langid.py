@@ -112,24 +112,31 @@ class Model:
         if self.dense:
             self.cost = np.empty((int(first[-1]) * n, len(self.languages)), np.float32)
             for at, lang in enumerate(self.languages):
-                for k, (below, _) in enumerate(self._orders(grams[lang], contexts)):
-                    self.cost[first[k] * n : first[k + 1] * n, at] = self._bits(below / self.spread).ravel()
+                for k, lo, below, _ in self._orders(grams[lang], contexts):
+                    row = (first[k] + lo) * n
+                    self.cost[row : row + below.size, at] = self._bits(below / self.spread).ravel()
             # The state of every possible context of ORDER symbols: its longest suffix that is a state.
-            state = np.zeros(n**order, np.int32)
-            for k in range(1, order + 1):
-                suffix = np.arange(n**order) % n**k
-                at = np.minimum(np.searchsorted(contexts[k], suffix), max(len(contexts[k]) - 1, 0))
-                hit = contexts[k][at] == suffix
-                state[hit] = (first[k] + at)[hit]
-            self.state = state
+            self.state = np.zeros(n**order, np.int32)
+            for lo in range(0, n**order, PIECE):
+                state = self.state[lo : lo + PIECE]
+                for k in range(1, order + 1):
+                    suffix = np.arange(lo, lo + len(state)) % n**k
+                    at = np.minimum(np.searchsorted(contexts[k], suffix), max(len(contexts[k]) - 1, 0))
+                    hit = contexts[k][at] == suffix
+                    state[hit] = (first[k] + at)[hit]
         else:
             self.tables = []
             for lang in self.languages:
                 own = [np.unique(codes // n) for codes, _ in grams[lang]]
-                self.tables.append([])
-                for (codes, _), c, (below, escape) in zip(grams[lang], own, self._orders(grams[lang], own), strict=True):
-                    p = below[np.searchsorted(c, codes // n), codes % n] / self.spread[codes % n]
-                    self.tables[-1].append((codes, self._bits(p).astype(np.float32), c, self._bits(escape).astype(np.float32)))
+                codes = [codes for codes, _ in grams[lang]]
+                self.tables.append([(a, np.empty(len(a), np.float32), c, np.empty(len(c), np.float32)) for a, c in zip(codes, own, strict=True)])
+                for k, lo, below, escape in self._orders(grams[lang], own):
+                    _, bits, c, escapes = self.tables[-1][k]
+                    hi = lo + len(below)
+                    a, b = np.searchsorted(codes[k], [c[lo] * n, (c[hi - 1] + 1) * n])
+                    part = codes[k][a:b]
+                    bits[a:b] = self._bits(below[np.searchsorted(c, part // n) - lo, part % n] / self.spread[part % n])
+                    escapes[lo:hi] = self._bits(escape)
 
     @staticmethod
     def _bits(p: np.ndarray) -> np.ndarray:
@@ -138,29 +145,54 @@ class Model:
         return np.where(np.isfinite(bits), bits, 0)
 
     def _orders(self, grams: list, contexts: list[np.ndarray]):
-        """For each order the probabilities (context, symbol), and what a symbol not seen has of its probability one order lower."""
-        n, below = self.n, self.base[None]
+        """(order, first context, probabilities (context, symbol), what a symbol not seen has of its probability one order lower), some contexts at a time."""
+        n, below, step = self.n, self.base[None], max(1, PIECE // self.n)
         for k, ((codes, counts), c) in enumerate(zip(grams, contexts, strict=True)):
-            freq = np.zeros((len(c), n), np.float32)
-            freq[np.searchsorted(c, codes // n), codes % n] = counts
-            kinds, total = (freq > 0).sum(1, keepdims=True), freq.sum(1, keepdims=True, dtype=np.float64)
-            parent = np.zeros(len(c), int) if k <= 1 else np.searchsorted(contexts[k - 1], c % n ** (k - 1))
-            p = below[parent] if k else np.repeat(below, len(c), 0)
-            rest = np.where(freq > 0, 0, p)
-            mass = rest.sum(1, keepdims=True)
-            escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1)
-            share = np.divide(escape, mass, out=np.zeros_like(mass), where=mass > 0)
-            full = np.where((total > 0) & (mass <= 0), freq / np.maximum(total, 1), freq / np.maximum(total + kinds, 1) + rest * share)
-            below = np.where(total > 0, full, p)
-            yield below, share[:, 0]
+            parts = []
+            for lo in range(0, len(c), step):
+                own = c[lo : lo + step]
+                a, b = np.searchsorted(codes, [own[0] * n, (own[-1] + 1) * n])
+                freq = np.zeros((len(own), n), np.float32)
+                freq[np.searchsorted(own, codes[a:b] // n), codes[a:b] % n] = counts[a:b]
+                kinds, total = (freq > 0).sum(1, keepdims=True), freq.sum(1, keepdims=True, dtype=np.float64)
+                parent = np.zeros(len(own), int) if k <= 1 else np.searchsorted(contexts[k - 1], own % n ** (k - 1))
+                p = below[parent] if k else np.repeat(below, len(own), 0)
+                rest = np.where(freq > 0, 0, p)
+                mass = rest.sum(1, keepdims=True)
+                escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1)
+                share = np.divide(escape, mass, out=np.zeros_like(mass), where=mass > 0)
+                full = np.where((total > 0) & (mass <= 0), freq / np.maximum(total, 1), freq / np.maximum(total + kinds, 1) + rest * share)
+                full = np.where(total > 0, full, p)
+                if k < self.order:  # the next order's contexts look into it
+                    parts.append(full)
+                yield k, lo, full, share[:, 0]
+            if k < self.order:
+                below = np.concatenate(parts)
 
     def _grams(self, texts: list[bytes]):
         """For each order the codes of (context, symbol) and their counts."""
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))] * (self.order + 1)
+        lo = size = 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= PIECE or i == len(texts) - 1:
+                out = [self._summed(a, b) for a, b in zip(out, self._grams_of(texts[lo : i + 1]), strict=True)]
+                lo, size = i + 1, 0
+        return out
+
+    @staticmethod
+    def _summed(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.union1d(a[0], b[0])
+        counts = np.zeros(len(codes), np.int64)
+        for own, n in (a, b):
+            counts[np.searchsorted(codes, own)] += n
+        return codes, counts
+
+    def _grams_of(self, texts: list[bytes]):
         n, out = self.n, []
         lead = np.full(self.order, self.pad, np.int64)
         s = np.concatenate([x for t in texts for x in (lead, self.symbol[np.frombuffer(t, np.uint8)].astype(np.int64))])
         real = s[self.order :] != self.pad
-        code = np.zeros(len(s) - self.order, np.int64)
         parts = [s[self.order - k : len(s) - k] for k in range(self.order + 1)]
         for k in range(self.order + 1):
             code = parts[0].copy()
@@ -256,6 +288,7 @@ def identify(docs: DataFrame, labelled: DataFrame, train_bytes: int = TRAIN_BYTE
 def apply_model(docs: DataFrame, labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """All columns of docs, which has text, with lang_pred, score and bits_per_byte."""
     model = docs.sparkSession.sparkContext.broadcast(Model(training_sample(labelled, train_bytes)))
+    give_back()  # what building it took of the driver's memory
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     with_letters = docs.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
