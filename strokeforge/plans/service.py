@@ -266,7 +266,8 @@ def s6_once(spark, d):
     src, out, state = (shared.scratch(spark, label) for label in ("stream-in", "stream-out", "stream-state"))
     line = F.to_json(F.struct("id", "op", "svg", "lean")).alias("value")
     rows = batch_items(spark, d).withColumn("h", F.expr("pmod(xxhash64(id), 3)"))
-    put = lambda which: rows.filter(which).select(line).repartition(2).write.mode("append").text(src)
+    # A file is one task's, so files are bounded.
+    put = lambda which: rows.filter(which).select(line).repartition(2).write.mode("append").option("maxRecordsPerFile", files.FILES).text(src)
     run = lambda files, **how: ndjson.write_once(ndjson.read_numbered(spark, src, files), out, state, **how)
     put("h < 2")
     first = run(1, processingTime="0 seconds")

@@ -56,12 +56,14 @@ def first_of_ids(lines: DataFrame, within: str = "1 hour") -> DataFrame:
 
 
 def write_once(lines: DataFrame, path: str, checkpoint: str, within: str = "1 hour", **trigger) -> StreamingQuery:
-    """Append the results of lines of read_numbered(), each id once: a folder for each batch, written over if it runs again."""
+    """Append the results of lines of read_numbered(), each id once: a folder for each batch with any, and for the first, written over if it runs again."""
 
     def write(batch: DataFrame, number: int) -> None:
         kept = batch.drop("arrived").persist()  # state is read once, not for each of the operations
         try:
-            results(kept).write.mode("overwrite").json(f"{path}/batch={number}")
+            # The count updates the state of every partition; batches of repeats, and those that only clear state, end there.
+            if kept.count() or not number:
+                results(kept).write.mode("overwrite").json(f"{path}/batch={number}")
         finally:
             kept.unpersist()
 
