@@ -314,8 +314,7 @@ def s12(spark, d):
         rows.filter(part).write.mode("append").option("maxRecordsPerFile", files.FILES).parquet(src)
         stream = spark.readStream.schema("doc_id long, svg string").option("maxFilesPerTrigger", 4 * spark.sparkContext.defaultParallelism).parquet(src)
         files.stream_files(stream, path, "doc_id", state).awaitTermination()
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.svg").load(path)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"))
+    return files.list_files(spark, path).select(F.col("name").alias("file"), "size")
 
 
 @query("s15_corpus_scan", f"{_FILES} SELECT doc_id, t FROM f WHERE doc_id % 5 <> 0")

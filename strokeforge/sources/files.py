@@ -12,9 +12,12 @@ drawing. Of equal names the file written last stays; write_files() refuses them
 
 from __future__ import annotations
 
+import itertools
+import os
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -28,6 +31,8 @@ OPEN_COST = 64 << 10
 LONGEST_NAME = 200
 #: Files that one task writes: more documents are more tasks, not longer ones.
 FILES = 8192
+#: Rows of a batch of names.
+NAMES = 10_000
 
 
 def _open(folder: str):
@@ -36,6 +41,22 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
 
 
+def _entries(folder: str) -> Iterator[tuple[str, int]]:
+    """File name and bytes of each drawing of a folder, unordered; those of a local folder come as it is read, of other stores as one list."""
+    from pyarrow import fs
+
+    store, root = _open(folder)
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(root) as found:
+            for f in found:
+                if f.name.endswith(SUFFIX) and f.is_file():
+                    yield f.name, f.stat().st_size
+    else:
+        for f in store.get_file_info(fs.FileSelector(root)):
+            if f.type == fs.FileType.File and f.base_name.endswith(SUFFIX):
+                yield f.base_name, f.size
+
+
 class Files(InputPartition):
     """Paths that one task reads."""
 
@@ -139,6 +160,17 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SvgFiles)
 
 
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """File name and bytes of the drawings of a folder, which one task lists."""
+
+    def run(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _entries(folder)
+        while rows := list(itertools.islice(found, NAMES)):
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.int64())], names=["name", "size"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "name string, size long")
+
+
 def read_files(spark: SparkSession, folder: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """path, name and svg of the files of a folder."""
     register(spark)

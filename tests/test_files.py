@@ -62,3 +62,25 @@ def test_more_documents_are_more_tasks(spark, tmp_path, monkeypatch):
     assert files.dealt(docs, 10).rdd.getNumPartitions() == 1
     files.write_files(docs, str(tmp_path / "o"), "name")
     assert len(list((tmp_path / "o").glob("*.svg"))) == 35
+
+
+def test_the_folder_of_a_stream_is_listed_by_a_task(spark):
+    from strokeforge.plans import catalog
+
+    df = catalog.QUERIES["s12_named_files"](spark, "/root/testdata/sf0.001")
+    assert df.count() == 200 and not df.inputFiles()
+
+
+def test_a_folder_is_listed_without_being_held(spark, tmp_path):
+    import tracemalloc
+
+    for i in range(5000):
+        (tmp_path / f"{'x' * 150}{i}.svg").touch()
+    (tmp_path / "folder.svg").mkdir()
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in files._entries(str(tmp_path))) == 5000
+        assert tracemalloc.get_traced_memory()[1] < 500_000
+    finally:
+        tracemalloc.stop()
+    assert files.list_files(spark, f"file://{tmp_path}").count() == 5000
