@@ -1,7 +1,9 @@
 """SVG documents as files named by their documents: a data source that reads, writes and streams.
 
-spark.read.format("svg_files").load(folder) gives path, name and svg; a task reads as many whole
-files as fit into partitionBytes. df.write.format("svg_files").mode("append").save(folder) takes
+read_files() gives path, name and svg of a folder of any number of files: a task lists it, the names
+are a table, and the driver holds none of them. spark.read.format("svg_files").load(folder) gives the
+same of a folder whose paths the driver can hold. A task reads as many whole files as fit into
+partitionBytes. df.write.format("svg_files").mode("append").save(folder) takes
 name and svg and makes one file a document, named by it. A file is written beside its place and
 moved there, so a reader sees whole files only, and a task that runs again after a lost executor
 leaves the same files. The folder is any that pyarrow can open (a path, file:, hdfs:, s3:).
@@ -15,7 +17,7 @@ from __future__ import annotations
 import itertools
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..errors import EngineError
+from . import shared
 
 SUFFIX = ".svg"
 PARTITION_BYTES = 16 << 20
@@ -31,8 +34,10 @@ OPEN_COST = 64 << 10
 LONGEST_NAME = 200
 #: Files that one task writes: more documents are more tasks, not longer ones.
 FILES = 8192
-#: Rows of a batch of names.
-NAMES = 10_000
+#: Tasks that read, from which on a task takes several parts of PARTITION_BYTES, and how many at most.
+TASKS, PARTS = 2048, 32
+#: Rows of a batch of names, and rows and bytes of a batch of drawings.
+NAMES, DRAWINGS, BATCH_BYTES = 10_000, 1000, 4 << 20
 
 
 def _open(folder: str):
@@ -41,6 +46,10 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
 
 
+def _root(folder: str) -> str:
+    return _open(folder)[1].rstrip("/")
+
+
 def _entries(folder: str) -> Iterator[tuple[str, int]]:
     """File name and bytes of each drawing of a folder, unordered; those of a local folder come as it is read, of other stores as one list."""
     from pyarrow import fs
@@ -57,6 +66,26 @@ def _entries(folder: str) -> Iterator[tuple[str, int]]:
                 yield f.base_name, f.size
 
 
+def _text(store, path: str) -> str:
+    with store.open_input_stream(path) as f:
+        return f.read().decode("utf-8", "replace")
+
+
+def _numbering(most: int) -> Callable[[int], int]:
+    """What gives files, by their bytes and in their order, the number of the part that they are read in."""
+    part = held = 0
+
+    def number(size: int) -> int:
+        nonlocal part, held
+        cost = size + OPEN_COST
+        if held and held + cost > most:
+            part, held = part + 1, 0
+        held += cost
+        return part
+
+    return number
+
+
 class Files(InputPartition):
     """Paths that one task reads."""
 
@@ -69,25 +98,17 @@ class SvgReader(DataSourceReader):
         self.folder, self.most = folder, most
 
     def partitions(self) -> list[Files]:
-        from pyarrow import fs
-
-        store, root = _open(self.folder)
-        files = [f for f in store.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.File and f.path.endswith(SUFFIX)]
-        out, size = [[]], 0
-        for f in sorted(files, key=lambda f: f.path):
-            cost = f.size + OPEN_COST
-            if out[-1] and size + cost > self.most:
+        root, number, out = _root(self.folder), _numbering(self.most), [[]]
+        for name, size in sorted(_entries(self.folder)):
+            if number(size) == len(out):
                 out.append([])
-                size = 0
-            out[-1].append(f.path)
-            size += cost
+            out[-1].append(f"{root}/{name}")
         return [Files(paths) for paths in out]
 
     def read(self, partition: Files) -> Iterator[tuple[str, str, str]]:
         store, _ = _open(self.folder)
         for path in partition.paths:
-            with store.open_input_stream(path) as f:
-                yield path, path.rpartition("/")[2][: -len(SUFFIX)], f.read().decode("utf-8", "replace")
+            yield path, path.rpartition("/")[2][: -len(SUFFIX)], _text(store, path)
 
 
 class Written(WriterCommitMessage):
@@ -172,9 +193,39 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, folder: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
-    """path, name and svg of the files of a folder."""
-    register(spark)
-    return spark.read.format("svg_files").option("partitionBytes", partition_bytes).load(folder)
+    """path, name and svg of the files of a folder, in the order of their paths.
+
+    The folder is listed when this is called, and its names are stored as a table that is dealt to the tasks that read.
+    """
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _numbering(partition_bytes)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([number(size) for size in batch.column(1).to_pylist()], pa.int64())], names=["name", "part"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _open(folder)[0], _root(folder)
+        rows, held = [], 0
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                svg = _text(store, path := f"{root}/{name}")
+                rows.append((path, name[: -len(SUFFIX)], svg))
+                held += len(svg)
+                if len(rows) == DRAWINGS or held > BATCH_BYTES:
+                    yield _drawings(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _drawings(rows)
+
+    names = shared.materialize(list_files(spark, folder).sortWithinPartitions("name").mapInArrow(numbered, "name string, part long"), "listing")
+    parts = (names.agg(F.max("part")).first()[0] or 0) + 1
+    each = min(1 + parts // TASKS, PARTS)
+    dealt = names.repartitionById(-(-parts // each), F.expr(f"cast(part div {each} AS INT)")).select("name").sortWithinPartitions("name")
+    return dealt.mapInArrow(read, "path string, name string, svg string")
+
+
+def _drawings(rows: list[tuple[str, str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["path", "name", "svg"])
 
 
 def dealt(df: DataFrame, n: int) -> DataFrame:

@@ -64,6 +64,23 @@ def test_more_documents_are_more_tasks(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "o").glob("*.svg"))) == 35
 
 
+def leaves(df):
+    """Names of the sources that a plan reads."""
+    found = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return [found.apply(i).nodeName() + found.apply(i).toString() for i in range(found.size())]
+
+
+def test_the_driver_holds_no_path_of_a_folder(spark, tmp_path):
+    """All paths were in the plan that the driver made: a source's parts, or an index of files."""
+    for i in range(30):
+        (tmp_path / f"{i:02}.svg").write_text("<svg/>")
+    few = files.read_files(spark, str(tmp_path), 3 * (6 + files.OPEN_COST))
+    assert few.rdd.getNumPartitions() == 10 and not any("svg_files" in x for x in leaves(few))
+    assert len(few.inputFiles()) == 1  # the table of names
+    assert [r.name for r in few.collect()] == [f"{i:02}" for i in range(30)]
+    assert [r.path for r in few.collect()] == [f"{tmp_path}/{i:02}.svg" for i in range(30)]
+
+
 def test_the_folder_of_a_stream_is_listed_by_a_task(spark):
     from strokeforge.plans import catalog
 
@@ -84,3 +101,15 @@ def test_a_folder_is_listed_without_being_held(spark, tmp_path):
     finally:
         tracemalloc.stop()
     assert files.list_files(spark, f"file://{tmp_path}").count() == 5000
+
+
+def test_many_parts_are_few_tasks(spark, tmp_path, monkeypatch):
+    """Tasks of the smallest parts grow in number to TASKS, and then in size to PARTS parts."""
+    monkeypatch.setattr(files, "TASKS", 4)
+    for i in range(30):
+        (tmp_path / f"{i:02}.svg").write_text(str(i))
+    df = files.read_files(spark, str(tmp_path), 1)
+    assert df.rdd.getNumPartitions() == 4  # of 8 parts each
+    assert [(r.name, r.svg) for r in df.collect()] == [(f"{i:02}", str(i)) for i in range(30)]
+    monkeypatch.setattr(files, "PARTS", 2)
+    assert files.read_files(spark, str(tmp_path), 1).rdd.getNumPartitions() == 15
